@@ -6,7 +6,11 @@ from importlib import import_module
 
 #: Query name -> module of this subpackage that defines it.
 MODULES = {
+    "op3_url_filter": "urls",
     "op4_simhash": "simhash",
+    "op8_sharding": "sharding",
+    "op9_embedding_neardup": "embed",
+    "op10_topk": "topk",
 }
 
 
