@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name -> module of this subpackage that defines it.
 MODULES = {
     "op1_bpe": "bpe",
+    "op2_token_store": "store",
     "op3_url_filter": "urls",
     "op4_simhash": "simhash",
     "op8_sharding": "sharding",
