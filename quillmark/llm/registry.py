@@ -10,6 +10,7 @@ MODULES = {
     "op2_token_store": "store",
     "op3_url_filter": "urls",
     "op4_simhash": "simhash",
+    "op5_packing": "packing",
     "op7_quality": "quality",
     "op8_sharding": "sharding",
     "op9_embedding_neardup": "embed",
