@@ -11,6 +11,7 @@ MODULES = {
     "op3_url_filter": "urls",
     "op4_simhash": "simhash",
     "op5_packing": "packing",
+    "op6_suffix_dedup": "suffix",
     "op7_quality": "quality",
     "op8_sharding": "sharding",
     "op9_embedding_neardup": "embed",
