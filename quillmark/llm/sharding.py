@@ -26,23 +26,24 @@ def slot_totals(records: DataFrame) -> DataFrame:
     return records.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
 
 
-def _deal(slots: DataFrame, loads: Column) -> DataFrame:
-    """Deal slots (virtual_slot, bytes, rows), largest first, each to the shard with the least bytes so far; ``loads`` is where the shards start."""
+def _deal(slots: DataFrame, loads: DataFrame) -> DataFrame:
+    """Deal slots (virtual_slot, bytes, rows), largest first, each to the shard with the least bytes so far; ``loads`` is one row that says where the shards start."""
     order = F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "virtual_slot", "rows")))
-    start = F.struct(loads.alias("loads"), F.array().cast("array<int>").alias("homes"))
+    start = F.struct("loads", F.array().cast("array<int>").alias("homes"))
 
     def step(s: Column, x: Column) -> Column:
         to = F.array_position(s["loads"], F.array_min(s["loads"])).cast("int") - 1
         return F.struct(F.transform(s["loads"], lambda y, i: F.when(i == to, y - x["less"]).otherwise(y)).alias("loads"), F.concat(s["homes"], F.array(to)).alias("homes"))
 
-    one = slots.agg(order.alias("slots")).select("slots", F.aggregate("slots", start, step, lambda s: s["homes"]).alias("homes"))
+    one = slots.agg(order.alias("slots")).crossJoin(F.broadcast(loads)).select("slots", F.aggregate("slots", start, step, lambda s: s["homes"]).alias("homes"))
     dealt = one.select(F.explode(F.arrays_zip("slots", "homes")).alias("x"))
     return dealt.select("x.slots.virtual_slot", F.col("x.homes").alias("shard"), (-F.col("x.slots.less")).alias("bytes"), "x.slots.rows")
 
 
 def first_map(totals: DataFrame, shards: int) -> DataFrame:
     """Version 1 of a map: (version, virtual_slot, shard, bytes, rows), shards near equal in bytes."""
-    return _deal(totals, F.array_repeat(F.lit(0).cast("long"), shards)).select(F.lit(1).alias("version"), "*")
+    loads = totals.sparkSession.range(1).select(F.array_repeat(F.lit(0).cast("long"), shards).alias("loads"))
+    return _deal(totals, loads).select(F.lit(1).alias("version"), "*")
 
 
 def rebalance(old: DataFrame, totals: DataFrame, shards: int) -> DataFrame:
@@ -56,9 +57,8 @@ def rebalance(old: DataFrame, totals: DataFrame, shards: int) -> DataFrame:
     marked = common.materialize(now.withColumn("stays", F.col("shard").isNotNull() & (F.col("shard") < shards) & (running <= F.col("fair"))), "slot-moves")
     kept = marked.where("stays").select("virtual_slot", "shard", "bytes", "rows")
     loads = kept.groupBy("shard").agg(F.sum("bytes").alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("shard", "b"))).alias("m"))
-    start = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.coalesce(F.try_element_at(F.first("m"), i), F.lit(0).cast("long")))
-    moving = marked.where("not stays").select("virtual_slot", "bytes", "rows").crossJoin(F.broadcast(loads))
-    moved = _deal(moving, start)
+    start = loads.select(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("loads"))
+    moved = _deal(marked.where("not stays").select("virtual_slot", "bytes", "rows"), start)
     version = old.agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("version"))
     return kept.unionByName(moved).crossJoin(F.broadcast(version)).select("version", "virtual_slot", "shard", "bytes", "rows")
 

@@ -210,7 +210,8 @@ class Suffixes:
             x, y = (self.data[np.minimum(self.at[k[part]][:, None] + step, len(self.data) - 1)] for k in (i, j))
             differ = (x != y) & (step < n[part][:, None])
             wrong = differ.any(1)
-            n[part[wrong]] = differ[wrong].argmax(1)
+            if wrong.any():
+                n[part[wrong]] = differ[wrong].argmax(1)
         return n
 
     def before(self, i: np.ndarray, j: np.ndarray, or_equal: bool) -> np.ndarray:
@@ -398,7 +399,7 @@ def _edges(blocks: int, buckets: int):
         h = gram_hashes(data)
         least = (sliding_least((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), WINDOW) & _PLACE).astype(np.int64)
         prefixes, block = Prefixes(data), int(block_of(names[:1], blocks)[0])
-        spans, sent = [], []
+        spans, sent = [(doc[:0], place[:0])], [(np.empty(0, np.uint64), doc[:0], place[:0])]
         for off, rows, same in window_classes(data, starts, ends, num, at):
             ours = (flag[rows] & (1 if off <= RIGHT else 2) > 0) & (least[at[rows] - off] == at[rows])
             rows, same = rows[ours], same[ours]
