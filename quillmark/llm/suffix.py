@@ -389,16 +389,19 @@ def _edges(blocks: int, buckets: int):
             return _rows([])
         _, texts, first = _block_texts(docs)
         doc, place, flag = doc[on], place[on].astype(np.int64), flag[on]
-        names = np.unique(doc)
-        some = [texts[first[i]] for i in names.tolist()]
-        ends = np.cumsum([len(t) for t in some])
+        block = int(block_of(doc[:1], blocks)[0])
+        pieces, at = [], []  # of each text only what the windows around an edge can see
+        for i, x in zip(doc.tolist(), place.tolist()):
+            lo = max(0, x - (WINDOW - 1))
+            pieces.append(texts[first[i]][lo : x + LENGTH])
+            at.append(x - lo)
+        ends = np.cumsum([len(t) for t in pieces])
         starts = np.concatenate([[0], ends[:-1]])
-        data = np.frombuffer(b"".join(some), np.uint8)
-        num = np.searchsorted(names, doc)
-        at = starts[num] + place
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        at = starts + np.array(at)
         h = gram_hashes(data)
         least = (sliding_least((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), WINDOW) & _PLACE).astype(np.int64)
-        prefixes, block = Prefixes(data), int(block_of(names[:1], blocks)[0])
+        prefixes, num = Prefixes(data), np.arange(len(at))
         spans, sent = [(doc[:0], place[:0])], [(np.empty(0, np.uint64), doc[:0], place[:0])]
         for off, rows, same in window_classes(data, starts, ends, num, at):
             ours = (flag[rows] & (1 if off <= RIGHT else 2) > 0) & (least[at[rows] - off] == at[rows])
