@@ -1,11 +1,457 @@
-"""Registered queries of the evaluation engine and their SQL counterparts."""
+"""Registered queries of the evaluation engine; their SQL is in ``oracle``."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import constants as K
+from ..functions import judge, names, rules, text
+from ..operators import aggregates as agg
+from ..operators import ledger, ranking, stats, turns
+from ..sources import adapters
+from ..streaming import ledger_stream
+from . import oracle
+
+Query = Callable[..., DataFrame]
+_found: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _found[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Query]:
+    return dict(_found)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracle.SQL.items() if k in _found}
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c in columns})
+
+
+def _cells(spark, sf) -> DataFrame:
+    return agg.cell_scores(adapters.evaluations(spark, sf))
+
+
+def _breakdown(spark, sf) -> DataFrame:
+    return agg.cell_breakdown(adapters.evaluations(spark, sf))
+
+
+def _summary(spark, sf) -> DataFrame:
+    return agg.summary(adapters.evaluations(spark, sf), adapters.generations(spark, sf))
+
+
+def _stats(spark, sf) -> DataFrame:
+    return agg.task_stats(_cells(spark, sf), adapters.tasks(spark, sf), adapters.generations(spark, sf))
+
+
+def _documents(spark, sf) -> DataFrame:
+    return adapters.table(spark, sf, "documents").select("doc_id", "text")
+
+
+@query
+def leaderboard(spark, sf):
+    r = ranking.leaderboard(_summary(spark, sf))
+    return rounded(r.select("rank", "model", "model_short", "company", "avg_score", "generation_cost", "total"), "avg_score", "generation_cost")
+
+
+@query
+def cell_scores(spark, sf):
+    return rounded(_cells(spark, sf), "score")
+
+
+@query
+def cell_breakdown(spark, sf):
+    parts = ("word_count", "programmatic", "llm_judge", "process", "output")
+    return rounded(_breakdown(spark, sf).select("model", "task_id", *parts), *parts)
+
+
+@query
+def model_components(spark, sf):
+    return rounded(agg.model_components(_breakdown(spark, sf)), *[f"avg_{c}" for c in agg.COMPONENTS])
+
+
+@query
+def model_task_type_scores(spark, sf):
+    return rounded(agg.model_scores(_cells(spark, sf), "task_type"), "avg_score")
+
+
+@query
+def model_task_type_components(spark, sf):
+    return rounded(agg.model_components(_breakdown(spark, sf), "task_type"), *[f"avg_{c}" for c in agg.COMPONENTS], digits=9)
+
+
+@query
+def model_costs(spark, sf):
+    return rounded(agg.model_costs(adapters.generations(spark, sf)), "generation_cost", "avg_cost_per_task")
+
+
+@query
+def value_ranking(spark, sf):
+    return rounded(ranking.value_ranking(_summary(spark, sf)).select("rank", "model", "value"), "value")
+
+
+@query
+def cost_efficiency(spark, sf):
+    return rounded(agg.cost_efficiency(agg.model_costs(adapters.generations(spark, sf))), "reasoning_pct", "cost_per_1k_output")
+
+
+@query
+def score_matrix(spark, sf):
+    return rounded(ranking.matrix(agg.model_scores(_cells(spark, sf), "task_type"), "model", "task_type", "avg_score"), *K.TASK_TYPES)
+
+
+@query
+def heat_map(spark, sf):
+    return rounded(ranking.heat_map(agg.model_scores(_cells(spark, sf), "task_type"), "model", "task_type", "avg_score"), *K.TASK_TYPES)
+
+
+@query
+def task_model_matrix(spark, sf):
+    models = [f"{adapters.COMPANIES[m % 5]}/model-{m:02d}" for m in range(25)]
+    return rounded(ranking.matrix(_cells(spark, sf), "task_id", "model", "score", models), *models)
+
+
+@query
+def task_stats(spark, sf):
+    return rounded(_stats(spark, sf), "avg_score", "min_score", "max_score", "spread", "stdev", "total_cost", "avg_cost")
+
+
+@query
+def task_type_discrimination(spark, sf):
+    return rounded(agg.discrimination(_stats(spark, sf)), "avg_score", "avg_spread", "max_spread")
+
+
+@query
+def task_type_costs(spark, sf):
+    return rounded(agg.task_type_costs(_stats(spark, sf)), "total_cost", "avg_cost")
+
+
+def _top(spark, sf, by: str, ascending: bool) -> DataFrame:
+    t = ranking.top_tasks(_stats(spark, sf), by, 10, ascending)
+    return rounded(t.select("rank", "task_id", "avg_score", "spread", "best_model", "worst_model"), "avg_score", "spread")
+
+
+@query
+def top_discriminative(spark, sf):
+    return _top(spark, sf, "spread", False)
+
+
+@query
+def hardest(spark, sf):
+    return _top(spark, sf, "avg_score", True)
+
+
+@query
+def easiest(spark, sf):
+    return _top(spark, sf, "avg_score", False)
+
+
+@query
+def task_details(spark, sf):
+    return rounded(ranking.details(_stats(spark, sf)).select("task_type", "task_id", "spread", "place"), "spread")
+
+
+@query
+def best_by_type(spark, sf):
+    cells = _cells(spark, sf)
+    ranked = ranking.leaderboard(agg.model_scores(cells))
+    return rounded(ranking.best_by_type(agg.model_scores(cells, "task_type"), ranked), "avg_score")
+
+
+@query
+def pareto_frontier(spark, sf):
+    return rounded(ranking.frontier(_summary(spark, sf)).select("model", "generation_cost", "avg_score", "on_frontier"), "generation_cost", "avg_score")
+
+
+@query
+def marker_sizes(spark, sf):
+    points = _summary(spark, sf).withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
+    return rounded(ranking.marker_sizes(points).select("model", "marker"), "marker")
+
+
+@query
+def contributions(spark, sf):
+    return rounded(ranking.contributions(agg.model_components(_breakdown(spark, sf))), "programmatic_part", "llm_judge_part")
+
+
+def _stored_generations(spark, sf) -> DataFrame:
+    """A ledger in which every fifth generation is stored."""
+    return adapters.generations(spark, sf).where("sample % 5 = 0")
+
+
+def _stored_evaluations(spark, sf) -> DataFrame:
+    return adapters.evaluations(spark, sf).where("sample % 7 = 0")
+
+
+def _evaluators(spark, sf) -> DataFrame:
+    return adapters.evaluations(spark, sf).select("evaluator_model").distinct()
+
+
+@query
+def missing_generations(spark, sf):
+    return ledger.missing_generations(adapters.tasks(spark, sf), adapters.models(spark, sf), _stored_generations(spark, sf))
+
+
+@query
+def missing_evaluations(spark, sf):
+    return ledger.missing_evaluations(adapters.generations(spark, sf), _evaluators(spark, sf), _stored_evaluations(spark, sf))
+
+
+@query
+def work_estimate(spark, sf):
+    work = ledger.missing_work(adapters.tasks(spark, sf), adapters.models(spark, sf), _stored_generations(spark, sf), _evaluators(spark, sf), _stored_evaluations(spark, sf))
+    return rounded(ledger.work_estimate(work), "estimated_cost")
+
+
+@query
+def upsert_latest(spark, sf):
+    events, keys, order = adapters.ledger_events(spark, sf), ("user_id", "event_type"), (F.desc("ts"), F.desc("event_id"))
+    stored, batch = (ledger.latest(events.where(c), keys, *order) for c in ("event_id % 3 <> 0", "event_id % 3 = 0"))
+    return ledger.upsert(stored, batch, keys).select("user_id", "event_type", "event_id")
+
+
+@query
+def purge_failed(spark, sf):
+    return ledger.purge_failed(adapters.generations(spark, sf), "anthropic/model-00").select("task_id", "model", "sample")
+
+
+@query
+def ledger_totals(spark, sf):
+    return rounded(ledger.totals(adapters.generations(spark, sf), adapters.evaluations(spark, sf)), "generation_cost", "evaluation_cost", "total_cost", digits=4)
+
+
+@query
+def status(spark, sf):
+    s = agg.status(adapters.evaluations(spark, sf), adapters.generations(spark, sf))
+    return s.select(F.array_join("models", ",").alias("models"), "tasks", "generations", F.array_join("evaluators", ",").alias("evaluators"), "evaluations")
+
+
+@query
+def generation_cost_report(spark, sf):
+    r = rounded(agg.generation_report(adapters.generations(spark, sf), "model"), "cost", digits=4)
+    return rounded(r, "success_rate")
+
+
+@query
+def generation_type_report(spark, sf):
+    return rounded(agg.generation_report(adapters.generations(spark, sf), "task_type").select("task_type", "total", "successes", "cost"), "cost", digits=4)
+
+
+@query
+def evaluation_report(spark, sf):
+    return rounded(rounded(agg.evaluation_report(adapters.evaluations(spark, sf), "model"), "avg_score"), "cost", digits=4)
+
+
+def _rates(spark, sf) -> DataFrame:
+    return agg.pass_rates(adapters.pass_flags(spark, sf))
+
+
+@query
+def pass_rates_grouping_sets(spark, sf):
+    return rounded(_rates(spark, sf).select("scope", "model", "task_type", "n", "passed", "rate", "variance", "std"), "rate", "variance", "std")
+
+
+@query
+def pass_rate_matrix(spark, sf):
+    langs = ["de", "en", "es", "fr"]
+    return rounded(ranking.matrix(_rates(spark, sf).where("scope = 'model_task_type'"), "model", "task_type", "rate", langs), *langs)
+
+
+@query
+def extreme_types(spark, sf):
+    return rounded(ranking.extreme_types(_rates(spark, sf)), "rate")
+
+
+@query
+def model_gaps(spark, sf):
+    return rounded(ranking.model_gaps(_rates(spark, sf)), "gap")
+
+
+@query
+def pairwise_ttest(spark, sf):
+    return rounded(stats.pairwise(_cells(spark, sf)).select("model_a", "model_b", "n_a", "n_b", "difference", "t"), "difference", "t")
+
+
+@query
+def cohens_d(spark, sf):
+    return rounded(stats.pairwise(_cells(spark, sf)).select("model_a", "model_b", "cohens_d", "effect"), "cohens_d")
+
+
+@query
+def p_values(spark, sf):
+    """Student's p needs the incomplete beta function, which SQL lacks; tested against known values."""
+    return rounded(stats.with_p_values(stats.pairwise(_cells(spark, sf))).select("model_a", "model_b", "t", "df", "p", "significant"), "t", "p")
+
+
+@query
+def word_count(spark, sf):
+    return _documents(spark, sf).select("doc_id", text.word_count(F.col("text")).alias("words"))
+
+
+@query
+def word_count_scores(spark, sf):
+    d = _documents(spark, sf).select("doc_id", text.word_count(F.col("text")).alias("n"))
+    return rounded(d.select("doc_id", *[text.word_count_score(F.col("n"), F.lit(300), F.lit(500), m).alias(m) for m in text.METHODS]), *text.METHODS)
+
+
+@query
+def tokens(spark, sf):
+    t = _documents(spark, sf).select("doc_id", text.tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").alias("tokens"), F.size(F.array_distinct("t")).alias("distinct_tokens"), F.try_element_at("t", F.lit(1)).alias("first_token"))
+
+
+@query
+def sentences(spark, sf):
+    return _documents(spark, sf).select("doc_id", F.size(text.sentences(F.col("text"))).alias("sentences"))
+
+
+@query
+def repetition_score(spark, sf):
+    return rounded(text.repetition_scores(_documents(spark, sf)), "repetition_score")
+
+
+def _slop() -> Column:
+    return text.slop_score(F.col("text"), oracle.CORPUS_LEXICON, oracle.CORPUS_PHRASES)
+
+
+@query
+def slop_score(spark, sf):
+    return rounded(_documents(spark, sf).select("doc_id", _slop().alias("slop_score")), "slop_score")
+
+
+@query
+def programmatic_score(spark, sf):
+    d = _documents(spark, sf)
+    own = d.select("doc_id", text.word_count_score(text.word_count(F.col("text")), F.lit(300), F.lit(500)).alias("w"), _slop().alias("s"))
+    j = own.join(text.repetition_scores(d), "doc_id")
+    return rounded(j.select("doc_id", text.programmatic_score(F.col("w"), F.col("repetition_score"), F.col("s")).alias("programmatic")), "programmatic")
+
+
+def _judge_results() -> Column:
+    """Judge maps with numbers, booleans, junk and missing keys."""
+    pairs = []
+    for i, (k, key) in enumerate(oracle.JUDGE_KEYS.items()):
+        value = F.expr(key).cast("string")
+        mod = F.col("doc_id") % (5 + i)
+        pairs.append(F.struct(F.lit(f"{k}_score").alias("k"), F.when(mod == 0, "8/10").when(mod == 1, "true" if i % 2 else None).otherwise(value).alias("v")))
+    return F.map_from_entries(F.array(*pairs))
+
+
+@query
+def judge_score(spark, sf):
+    return rounded(adapters.table(spark, sf, "documents").select("doc_id", judge.judge_score("beat_interpolation", _judge_results()).alias("judge")), "judge")
+
+
+@query
+def final_score(spark, sf):
+    w = text.word_count_score(text.word_count(F.col("text")), F.lit(300), F.lit(500))
+    return rounded(_documents(spark, sf).select("doc_id", text.final_score(w, judge.judge_score("beat_interpolation", _judge_results())).alias("final")), "final")
+
+
+@query
+def schema_violations(spark, sf):
+    k = F.col("p_partkey")
+    task_id = F.when(k % 7 == 0, "Bad-1").otherwise("beat_revision_001")
+    kind = F.when(k % 11 == 0, "unknown").otherwise("beat_revision")
+    v = rules.task_violations(task_id, kind, F.lit(300), F.when(F.col("p_size") % 5 == 0, 200).otherwise(500))
+    return adapters.table(spark, sf, "part").select("p_partkey", F.size(v).alias("violations"))
+
+
+@query
+def question_answer_pairs(spark, sf):
+    q = turns.question_answers(adapters.turns(spark, sf))
+    return q.select("generation_id", "turn_idx", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
+
+
+@query
+def turn_metrics(spark, sf):
+    return turns.turn_metrics(adapters.turns(spark, sf))
+
+
+@query
+def last_generation(spark, sf):
+    return turns.last_generation(adapters.turns(spark, sf)).select("generation_id", "turn_idx", F.md5("output").alias("output_md5"))
+
+
+@query
+def first_question(spark, sf):
+    return turns.first_plan(adapters.turns(spark, sf), "question", 40)
+
+
+@query
+def revision_trajectory(spark, sf):
+    return turns.trajectory(adapters.turns(spark, sf), most=4, width=50)
+
+
+@query
+def keyword_match(spark, sf):
+    constraint = lambda answer, *patterns: F.struct(F.array(*map(F.lit, patterns)).alias("patterns"), F.lit(answer).alias("answer"))
+    constraints = F.array(constraint("YES", "the", "der"), constraint("MAYBE", "LA"))
+    return adapters.turns(spark, sf).where("turn_type = 'question'").select("generation_id", "turn_idx", turns.keyword_answer(F.col("content"), constraints).alias("answer"))
+
+
+@query
+def oracle_answers(spark, sf):
+    replies = F.array(*map(F.lit, ["none of them", "constraint 2", "Yes, that holds", "maybe", "99", "#1."]))
+    reply = F.element_at(replies, (F.col("event_id") % 6 + 1).cast("int"))
+    return adapters.table(spark, sf, "events").select("event_id", turns.oracle_answer(reply, F.array(F.lit("A"), F.lit("B"))).alias("answer"))
+
+
+@query
+def json_extract(spark, sf):
+    wrapped = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```"))).otherwise(F.concat(F.lit("It is "), "props", F.lit(" I think")))
+    return adapters.table(spark, sf, "events").select("event_id", judge.safe_float(F.get_json_object(judge.extract_json(wrapped), "$.k"), 0.5).alias("k"))
+
+
+@query
+def safe_float(spark, sf):
+    e = F.col("event_id") % 5
+    raw = F.when(e == 0, F.col("value").cast("string")).when(e == 1, "True").when(e == 2, "false").when(e == 3, "8/10")
+    return rounded(adapters.table(spark, sf, "events").select("event_id", judge.safe_float(raw, 0.5).alias("v")), "v")
+
+
+@query
+def company_rollup(spark, sf):
+    g = _summary(spark, sf).groupBy(names.company_name(F.col("model")).alias("company")).agg(F.count(F.lit(1)).alias("models"), F.avg("avg_score").alias("avg_score"), F.sum("generation_cost").alias("cost"))
+    return rounded(rounded(g, "avg_score"), "cost", digits=4)
+
+
+@query
+def token_limits(spark, sf):
+    most, reasoning = names.token_limits(F.col("task_type"))
+    return adapters.generations(spark, sf).select("task_type").distinct().select("task_type", most.alias("max_tokens"), reasoning.alias("max_reasoning"))
+
+
+@query
+def response_class(spark, sf):
+    d = F.col("doc_id")
+    finish = F.when(d % 3 == 0, "stop").when(d % 3 == 2, "length")
+    c = text.response_class(F.lit(1000), d % 1200, F.when(d % 4 == 0, "  ").otherwise(F.col("text")), finish)
+    return _documents(spark, sf).select("doc_id", c.alias("class"))
+
+
+@query
+def error_rates(spark, sf):
+    return ledger_stream.error_rates(adapters.ledger_events(spark, sf))
+
+
+@query
+def continuation_pass(spark, sf):
+    d = F.col("doc_id")
+    checks = F.create_map(F.lit("a"), d % 2 == 0, F.lit("b"), d % 3 == 0, F.lit("c"), d % 5 != 0, F.lit("d"), F.lit(True), F.lit("e"), F.lit(True))
+    return adapters.table(spark, sf, "documents").select("doc_id", rules.continuation_pass(checks).alias("pass"))
+
+
+@query
+def synthesis_pass(spark, sf):
+    d = F.col("doc_id")
+    nested = F.create_map(F.lit("x"), F.create_map(F.lit("p"), d % 2 == 0, F.lit("q"), F.lit(True)), F.lit("y"), F.create_map(F.lit("r"), F.lit(True)))
+    return adapters.table(spark, sf, "documents").select("doc_id", rules.synthesis_pass(F.create_map(F.lit("m"), d % 3 == 0), nested, F.lit(False)).alias("pass"))
