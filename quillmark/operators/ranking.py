@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,34 +10,39 @@ from ..functions import names
 from ..functions.constants import TASK_TYPES
 
 
+def settled(column) -> Column:
+    """A mean as a sort key: differences below 1e-12 come from the order of summation and count as ties."""
+    return F.round(F.col(column) if isinstance(column, str) else column, 12)
+
+
 def leaderboard(summary: DataFrame) -> DataFrame:
     """Models by mean score (null counts as 0), then name; one row for each model."""
-    order = Window.orderBy(F.coalesce("avg_score", F.lit(0.0)).desc(), "model")
+    order = Window.orderBy(settled(F.coalesce("avg_score", F.lit(0.0))).desc(), "model")
     return summary.withColumn("rank", F.row_number().over(order)).withColumn("model_short", names.short_name(F.col("model"))).withColumn("company", names.company_name(F.col("model")))
 
 
 def value_ranking(summary: DataFrame) -> DataFrame:
     """Squared score per dollar, for models with a score and a cost."""
     v = summary.where(F.col("avg_score").isNotNull() & (F.col("generation_cost") > 0)).withColumn("value", F.col("avg_score") * F.col("avg_score") * 100 / F.col("generation_cost"))
-    return v.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("value"), "model")))
+    return v.withColumn("rank", F.row_number().over(Window.orderBy(settled("value").desc(), "model")))
 
 
 def top_tasks(stats: DataFrame, by: str, k: int = 10, ascending: bool = False) -> DataFrame:
     """The k first tasks by a statistic, with their rank."""
-    key = F.col(by).asc() if ascending else F.col(by).desc()
+    key = settled(by).asc() if ascending else settled(by).desc()
     best = stats.orderBy(key, "task_id").limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(key, "task_id")))
 
 
 def details(stats: DataFrame) -> DataFrame:
     """Tasks inside their type by falling spread."""
-    return stats.withColumn("place", F.row_number().over(Window.partitionBy("task_type").orderBy(F.desc("spread"), "task_id")))
+    return stats.withColumn("place", F.row_number().over(Window.partitionBy("task_type").orderBy(settled("spread").desc(), "task_id")))
 
 
 def best_by_type(type_scores: DataFrame, ranked: DataFrame) -> DataFrame:
     """Best model of each task type with a score above 0; ties go to the better overall rank."""
     t = type_scores.where("avg_score > 0").join(ranked.select("model", "rank"), "model")
-    first = Window.partitionBy("task_type").orderBy(F.desc("avg_score"), "rank")
+    first = Window.partitionBy("task_type").orderBy(settled("avg_score").desc(), "rank")
     return t.withColumn("__r", F.row_number().over(first)).where("__r = 1").select("task_type", "model", "avg_score")
 
 
@@ -58,8 +63,8 @@ def model_gaps(rates: DataFrame, least: float = 0.15) -> DataFrame:
 
 def frontier(points: DataFrame, cost: str = "generation_cost", score: str = "avg_score") -> DataFrame:
     """Points with ``on_frontier``: nothing cheaper scores as high."""
-    before = F.max(score).over(Window.orderBy(cost, F.desc(score), "model").rowsBetween(Window.unboundedPreceding, -1))
-    return points.withColumn("__b", before).withColumn("on_frontier", F.col("__b").isNull() | (F.col(score) > F.col("__b"))).drop("__b")
+    before = F.max(settled(score)).over(Window.orderBy(settled(cost), settled(score).desc(), "model").rowsBetween(Window.unboundedPreceding, -1))
+    return points.withColumn("__b", before).withColumn("on_frontier", F.col("__b").isNull() | (settled(score) > F.col("__b"))).drop("__b")
 
 
 def marker_sizes(points: DataFrame, by: str = "total_tokens") -> DataFrame:

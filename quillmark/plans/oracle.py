@@ -100,14 +100,14 @@ JUDGE_KEYS = {k: f"(doc_id * {17 + 3 * i} % 11) / 10.0" for i, k in enumerate(K.
 _JUDGE = " + ".join(f"{w} * CASE doc_id % {5 + i} WHEN 0 THEN {d} WHEN 1 THEN {'1.0' if i % 2 else d} ELSE {JUDGE_KEYS[k]} END" for i, (k, (w, d)) in enumerate(K.JUDGE_WEIGHTS["beat_interpolation"].items()))
 
 SQL: dict[str, str] = {
-    "leaderboard": f"{_with(*SUMMARY)} SELECT row_number() OVER (ORDER BY coalesce(avg_score, 0) DESC, model) AS rank, model, split_part(model, '/', -1) AS model_short, {NAMED} AS company, {_round('avg_score', 'generation_cost')}, total FROM sm",
+    "leaderboard": f"{_with(*SUMMARY)} SELECT row_number() OVER (ORDER BY round(coalesce(avg_score, 0), 12) DESC, model) AS rank, model, split_part(model, '/', -1) AS model_short, {NAMED} AS company, {_round('avg_score', 'generation_cost')}, total FROM sm",
     "cell_scores": f"{_with(*BASE)} SELECT model, task_id, task_type, {_round('score')}, evaluations FROM cell",
     "cell_breakdown": f"{_with(EVAL, BREAK)} SELECT model, task_id, {_round('word_count', 'programmatic', 'llm_judge', 'process', 'output')} FROM brk",
     "model_components": f"{_with(EVAL, BREAK)} SELECT model, round(avg(word_count), 6) AS avg_word_count, round(avg(programmatic), 6) AS avg_programmatic, round(avg(llm_judge), 6) AS avg_llm_judge FROM brk GROUP BY model",
     "model_task_type_scores": f"{_with(*BASE)} SELECT model, task_type, round(avg(score), 6) AS avg_score, count(score) AS total FROM cell GROUP BY ALL",
     "model_task_type_components": f"{_with(EVAL, BREAK)} SELECT model, task_type, round(avg(word_count), 9) AS avg_word_count, round(avg(programmatic), 9) AS avg_programmatic, round(avg(llm_judge), 9) AS avg_llm_judge FROM brk GROUP BY model, task_type",
     "model_costs": f"{_with(GEN, COST)} SELECT model, {_round('generation_cost', 'avg_cost_per_task')}, generations, prompt_tokens, completion_tokens, reasoning_tokens, output_tokens FROM cost",
-    "value_ranking": f"{_with(*SUMMARY)} SELECT row_number() OVER (ORDER BY avg_score * avg_score * 100 / generation_cost DESC, model) AS rank, model, round(avg_score * avg_score * 100 / generation_cost, 6) AS value FROM sm WHERE generation_cost > 0",
+    "value_ranking": f"{_with(*SUMMARY)} SELECT row_number() OVER (ORDER BY round(avg_score * avg_score * 100 / generation_cost, 12) DESC, model) AS rank, model, round(avg_score * avg_score * 100 / generation_cost, 6) AS value FROM sm WHERE generation_cost > 0",
     "cost_efficiency": f"{_with(GEN, COST)} SELECT model, output_tokens, round(CASE WHEN completion_tokens > 0 THEN reasoning_tokens * 100.0 / completion_tokens ELSE 0 END, 6) AS reasoning_pct, round(CASE WHEN output_tokens > 0 THEN generation_cost / output_tokens * 1000 ELSE 0 END, 6) AS cost_per_1k_output FROM cost",
     "score_matrix": f"{_with(*BASE)} {_matrix('(SELECT model, task_type, round(avg(score), 6) AS s FROM cell GROUP BY ALL)', 'model', 'task_type', 's', K.TASK_TYPES)}",
     "heat_map": f"{_with(*BASE)} {_matrix('(SELECT model, task_type, avg(score) AS s FROM cell GROUP BY ALL)', 'model', 'task_type', 's', K.TASK_TYPES, 'round(coalesce({}, 0) * 100, 6)')}",
@@ -118,12 +118,12 @@ SQL: dict[str, str] = {
     "task_type_costs": f"{_with(*TASKS)} SELECT task_type, round(sum(total_cost), 6) AS total_cost, round(avg(avg_cost), 6) AS avg_cost FROM ts GROUP BY task_type",
     **{
         name: f"{_with(*TASKS)} SELECT row_number() OVER (ORDER BY {order}, task_id) AS rank, task_id, {_round('avg_score', 'spread')}, best_model, worst_model FROM ts ORDER BY {order}, task_id LIMIT 10"
-        for name, order in {"top_discriminative": "spread DESC", "hardest": "avg_score", "easiest": "avg_score DESC"}.items()
+        for name, order in {"top_discriminative": "round(ts.spread, 12) DESC", "hardest": "round(ts.avg_score, 12)", "easiest": "round(ts.avg_score, 12) DESC"}.items()
     },
-    "task_details": f"{_with(*TASKS)} SELECT task_type, task_id, {_round('spread')}, row_number() OVER (PARTITION BY task_type ORDER BY spread DESC, task_id) AS place FROM ts",
-    "best_by_type": f"""{_with(*BASE, MSCORE)}, r AS (SELECT model, row_number() OVER (ORDER BY avg_score DESC, model) AS rank FROM ms), t AS (SELECT model, task_type, avg(score) AS s FROM cell GROUP BY ALL)
-      SELECT task_type, model, round(s, 6) AS avg_score FROM t JOIN r USING (model) WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY task_type ORDER BY s DESC, rank) = 1""",
-    "pareto_frontier": f"""{_with(*SUMMARY)} SELECT model, {_round('generation_cost', 'avg_score')}, coalesce(avg_score > max(avg_score) OVER (ORDER BY generation_cost, avg_score DESC, model ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS on_frontier FROM sm""",
+    "task_details": f"{_with(*TASKS)} SELECT task_type, task_id, {_round('spread')}, row_number() OVER (PARTITION BY task_type ORDER BY round(spread, 12) DESC, task_id) AS place FROM ts",
+    "best_by_type": f"""{_with(*BASE, MSCORE)}, r AS (SELECT model, row_number() OVER (ORDER BY round(avg_score, 12) DESC, model) AS rank FROM ms), t AS (SELECT model, task_type, avg(score) AS s FROM cell GROUP BY ALL)
+      SELECT task_type, model, round(s, 6) AS avg_score FROM t JOIN r USING (model) WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY task_type ORDER BY round(s, 12) DESC, rank) = 1""",
+    "pareto_frontier": f"""{_with(*SUMMARY)} SELECT model, {_round('generation_cost', 'avg_score')}, coalesce(round(avg_score, 12) > max(round(avg_score, 12)) OVER (ORDER BY round(generation_cost, 12), round(avg_score, 12) DESC, model ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS on_frontier FROM sm""",
     "marker_sizes": f"{_with(*SUMMARY)} SELECT model, round(CASE WHEN max(t) OVER () = min(t) OVER () THEN 100 ELSE 50 + (t - min(t) OVER ()) * 100.0 / (max(t) OVER () - min(t) OVER ()) END, 6) AS marker FROM (SELECT model, prompt_tokens + completion_tokens AS t FROM sm)",
     "contributions": f"{_with(EVAL, BREAK)} SELECT model, round(coalesce(avg(programmatic), 0) * 50, 6) AS programmatic_part, round(coalesce(avg(llm_judge), 0) * 50, 6) AS llm_judge_part FROM brk GROUP BY model",
     "missing_generations": f"{_with(GEN, TASK, MODEL)} SELECT task_id, model FROM tk CROSS JOIN md WHERE NOT EXISTS (SELECT 1 FROM gen WHERE success AND gen.task_id = tk.task_id AND gen.model = md.model AND gen.sample % 5 = 0)",

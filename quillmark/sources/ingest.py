@@ -108,7 +108,7 @@ def evaluations(docs: DataFrame) -> DataFrame:
             "timestamp": F.coalesce(_at("timestamp"), F.lit("")),
             "success": F.coalesce(_at("success", "boolean"), F.lit(True)),
             "final_score": _at("final_score", "double"),
-            "word_count_score": component("programmatic.breakdown.word_count.score"),
+            "word_count_score": component("programmatic.breakdown.word_count_score"),
             "programmatic": component("programmatic.score"),
             "llm_judge": component("llm_judge.score"),
             "process_scores": process,

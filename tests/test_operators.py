@@ -1,0 +1,219 @@
+"""Operators on hand-made edge rows."""
+
+import math
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillmark.functions import constants as K
+from quillmark.functions import judge, names, rules, text
+from quillmark.operators import aggregates, ledger, ranking, report, stats, turns
+from quillmark.sources import ingest
+from quillmark.streaming import ledger_stream
+
+
+def one(spark, *columns):
+    return spark.range(1).select(*[c.alias(str(i)) for i, c in enumerate(columns)]).first()
+
+
+def test_fixed_values():
+    assert (len(K.STOP_WORDS), len(set(K.STOP_WORDS)), len(K.OVERUSED_2), len(K.OVERUSED_1), len(K.OVERUSED_PHRASES)) == (105, 105, 41, 41, 14)
+    assert all(abs(sum(w for w, _ in v.values()) - 1) < 1e-9 for v in K.JUDGE_WEIGHTS.values())
+
+
+@pytest.mark.parametrize("words, gaussian, tanh, sigmoid", [(500, 1, 1, 1), (350, 0.952345, 0.238406, 0.364851), (200, 0.457833, 0.000671, 0.004945), (650, 0.952345, 0.238406, 0.364851), (900, 0.172422, 0.000012, 0.000247), (400, 1, 1, 1), (600, 1, 1, 1)])
+def test_word_count_scores(spark, words, gaussian, tanh, sigmoid):
+    got = one(spark, *[text.word_count_score(F.lit(words), F.lit(400), F.lit(600), m) for m in ("gaussian", "tanh", "sigmoid")])
+    assert got == pytest.approx((gaussian, tanh, sigmoid), abs=1e-6)
+
+
+def test_word_count_limits(spark):
+    assert one(spark, text.word_count_score(F.lit(250_000), F.lit(400), F.lit(600), "sigmoid"))[0] == 0
+    assert one(spark, text.word_count_score(F.lit(450), F.lit(500), F.lit(500)))[0] == pytest.approx(math.exp(-0.5))
+    with pytest.raises(ValueError):
+        text.word_count_score(F.lit(1), F.lit(1), F.lit(1), "other")
+
+
+def tokenize(t):
+    return re.findall(r"\b[a-zA-Z]+\b", (t or "").lower())
+
+
+def brute_repetition(t):
+    words = tokenize(t)
+    content = [w for w in words if w not in K.STOP_WORDS and len(w) > 2]
+    if len(words) < 20 or len(content) < 10:
+        return 0.7
+    n = Counter(content)
+    limit = max(3, 2 * len(content) / len(n))
+    penalty = sum((c - limit) * 0.02 for c in n.values() if c > limit) + sum((c - 3) * 0.03 for c in Counter(zip(words, words[1:])).values() if c > 3)
+    return max(0.0, 1 - min(0.5, penalty))
+
+
+def brute_slop(t):
+    words = tokenize(t)
+    if len(words) < 20:
+        return 0.8
+    penalty = sum(K.OVERUSED_WORDS.get(w, 0) for w in words) + sum(t.lower().count(p) * v for p, v in K.OVERUSED_PHRASES.items())
+    return max(0.0, 1 - penalty / len(words) * 100 * 0.05)
+
+
+EDGE_TEXTS = [
+    None, "", " \n", "word " * 19, "word " * 20, "the of and " * 10 + "alpha beta gamma delta epsilon zeta eta theta iota", "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3,
+    "naïve über_x a1b2 straße " * 9, "We delve into the rich tapestry of a realm; it's worth noting that " * 4, "it’s worth noting " * 12, "one two three four " * 5, "DELVE Into Delve into " * 30,
+    "alpha beta " * 40 + " ".join(f"w{chr(97 + i)}x" for i in range(26)), "aaa bbb ccc ddd eee fff ggg hhh iii jjj kkk lll mmm nnn ooo ppp qqq rrr sss ttt aaa aaa aaa aaa aaa",
+]
+
+
+def test_text_scores_equal_plain_python(spark):
+    df = spark.createDataFrame(list(enumerate(EDGE_TEXTS)), "doc_id int, text string")
+    rep = {r.doc_id: r.repetition_score for r in text.repetition_scores(df).collect()}
+    rest = {r.doc_id: r for r in df.select("doc_id", text.slop_score(F.col("text")).alias("slop"), text.tokens(F.col("text")).alias("t"), text.word_count(F.col("text")).alias("n")).collect()}
+    for i, t in enumerate(EDGE_TEXTS):
+        assert rep[i] == pytest.approx(brute_repetition(t)), t
+        assert rest[i].slop == pytest.approx(brute_slop(t or "")), t
+        assert rest[i].t == tokenize(t) and rest[i].n == len((t or "").split())
+
+
+def test_sentences_and_budgets(spark):
+    assert one(spark, text.sentences(F.lit("One.  Two!? \n Three")))[0] == ["One", "Two", "Three"]
+    assert tuple(one(spark, *text.beat_budget(F.lit(600), F.lit(905), F.lit(4)))) == (150, 226)
+    assert tuple(one(spark, *text.word_range(F.lit("theory_conversion")))) == (500, 800)
+    assert tuple(one(spark, *text.word_range(F.lit("x"), F.lit(None).cast("int"), F.lit(9)))) == (300, 9)
+    with pytest.raises(ValueError):
+        text.final_score(F.lit(1.0), F.lit(1.0), (0.5, 0.6))
+
+
+def test_judge_scores(spark):
+    m = lambda **kv: F.create_map(*[F.lit(x) for p in kv.items() for x in p])
+    got = one(
+        spark,
+        judge.judge_score("beat_revision", m(correct_diagnosis_score="1", reasoning_quality_score="true")),
+        judge.judge_score("beat_revision", m(diagnosis_score="1.5", junk_score="9")),
+        judge.judge_score("beat_interpolation", F.create_map().cast("map<string,string>")),
+        judge.judge_score_by_type(F.lit("theory_conversion"), m(beats_score="1", tone_score="8/10")),
+        judge.agentic_scores("planning_execution", m(plan_adherence="1", narrative_quality="0"))[2],
+        judge.agentic_scores("other", m(a="1"))[2],
+    )
+    assert tuple(got) == pytest.approx((0.40 + 0.15 * 0.5 + 0.15, 0.2 * 1.5 + 0.7 * 0.5 + 0.1, 0, 0.35 + 0.325, 0.35 * 2 / 3 + 0.65 / 3, 0))
+    with pytest.raises(ValueError):
+        judge.judge_score("other", F.lit(None))
+
+
+def test_json_extraction(spark):
+    texts = ['{"a": 1}', 'x ```json\n{"a": 2}\n``` y', 'it is {"a": 3} really', "none", None, "", "```\n[1]\n```"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", judge.extract_json(F.col("t")).alias("j"))
+    assert [r.j for r in df.orderBy("i").collect()] == ['{"a": 1}', '{"a": 2}', '{"a": 3}', None, None, None, "[1]"]
+
+
+def test_names(spark):
+    f = lambda x: F.lit(x)
+    got = one(spark, names.company_name(f("z-ai/x")), names.company_name(f("acme-labs/x")), names.company_name(f("solo")), names.short_name(f("a/b/c")), names.display_name(f("q/gpt-4-gpt-x")), names.task_type_of(f("a_b_001")), names.task_type_of(f("plain")), names.is_agentic(f("critique_improvement")), names.file_stem(f("t"), f("a/b"), f(0)), names.token_cost(f(1_000_000), f(2_000_000), f(0.5), f(1.0)))
+    assert tuple(got) == ("Z-AI", "Acme-Labs", "Unknown", "c", "GPT-4-GPT-x", "a_b", "plain", True, "t_a_b_0", 2.5)
+
+
+def test_pass_rules(spark):
+    r = F.struct(F.lit(True).alias("a"), F.lit(None).cast("boolean").alias("b"), F.lit(True).alias("c"), F.lit(True).alias("d"), F.lit(True).alias("e"))
+    none = F.create_map().cast("map<string,boolean>")
+    nested = F.create_map().cast("map<string,map<string,boolean>>")
+    got = one(spark, rules.interpolation_pass(r, ("a", "c")), rules.interpolation_pass(r, ("a", "b")), rules.revision_pass(r, ("a",), ("c", "d", "e")), rules.continuation_pass(none), rules.conversion_pass(F.lit(True), F.lit(True), F.lit(0.7)), rules.conversion_pass(F.lit(True), F.lit(None), F.lit(1.0)), rules.synthesis_pass(none, nested, F.lit(True)))
+    assert tuple(got) == (True, False, True, False, True, False, True)
+
+
+def test_aggregates_on_edge_cells(spark):
+    rows = [("t", "x", "a/m", 0, "j1", 0.1, True, 0.2), ("t", "x", "a/m", 0, "j2", 0.1, None, 0.6), ("t", "x", "a/m", 0, "j3", 0.1, False, 0.9), ("t", "x", "b", 0, "j1", 0.1, True, None), ("t", "x", "b", 0, "j2", 0.1, True, 0.4), ("u", "x", "b", 0, "j1", 0.1, True, 0.5)]
+    e = spark.createDataFrame(rows, "task_id string, task_type string, model string, sample int, evaluator_model string, evaluation_cost double, success boolean, final_score double")
+    cells = aggregates.cell_scores(e)
+    assert {(r.model, r.task_id): (r.score, r.evaluations) for r in cells.collect()} == {("a/m", "t"): (pytest.approx(0.4), 2), ("b", "t"): (0.4, 1), ("b", "u"): (0.5, 1)}
+    g = spark.createDataFrame([("t", "a/m", 0, 0.0, 10, 5, 8, True), ("t", "b", 0, 2.0, 10, 10, 0, None), ("t", "b", 1, 5.0, 1, 1, 0, False)], "task_id string, model string, sample int, generation_cost double, prompt_tokens long, completion_tokens long, reasoning_tokens long, success boolean")
+    tasks = spark.createDataFrame([("t", "dim", "th")], "task_id string, task_type string, theory string")
+    st = {r.task_id: r for r in aggregates.task_stats(cells, tasks, g).collect()}
+    assert (st["t"].best_model, st["t"].worst_model, st["t"].task_type, st["u"].task_type, st["u"].stdev, st["u"].theory) == ("a/m", "a/m", "dim", "x", 0.0, "Unknown")
+    eff = {r.model: r for r in aggregates.cost_efficiency(aggregates.model_costs(g)).collect()}
+    assert (eff["a/m"].output_tokens, eff["a/m"].cost_per_1k_output, eff["b"].reasoning_pct) == (-3, 0.0, 0.0)
+    assert [r.model for r in ranking.value_ranking(aggregates.summary(e, g)).collect()] == ["b"]
+    assert report.markdown_table(aggregates.model_scores(cells).orderBy("model"), {"avg_score": report.percent}).splitlines()[2] == "| a/m | 40.0% | 1 |"
+
+
+def test_frontier_and_markers(spark):
+    p = spark.createDataFrame([("a", 1.0, 0.5), ("b", 2.0, 0.5), ("c", 3.0, 0.9), ("d", 1.0, 0.6)], "model string, generation_cost double, avg_score double")
+    assert {r.model for r in ranking.frontier(p).where("on_frontier").collect()} == {"d", "c"}
+    assert {r.marker for r in ranking.marker_sizes(p.withColumn("total_tokens", F.lit(3))).collect()} == {100.0}
+
+
+def test_ledger_is_idempotent(spark):
+    schema = "task_id string, model string, sample int, success boolean, v int"
+    now = spark.createDataFrame([("t", "m", 0, True, 1), ("t", "n", 0, False, 2)], schema)
+    batch = spark.createDataFrame([("t", "m", 0, True, 5), ("t", "m", 0, True, 6), ("u", "m", 0, None, 7)], schema)
+    last = ledger.latest(batch, ledger.GENERATION_KEY, F.desc("v"))
+    once = ledger.upsert(now, last, ledger.GENERATION_KEY)
+    twice = ledger.upsert(once, last, ledger.GENERATION_KEY)
+    want = [("t", "m", 6), ("t", "n", 2), ("u", "m", 7)]
+    assert sorted((r.task_id, r.model, r.v) for r in once.collect()) == sorted((r.task_id, r.model, r.v) for r in twice.collect()) == want
+    assert ledger.purge_failed(once).count() == 2 and ledger.purge_failed(once, "zz").count() == 3
+    tasks, models = (spark.createDataFrame([(x,) for x in v], f"{c} string") for c, v in (("task_id", "tu"), ("model", "mn")))
+    assert sorted(tuple(r) for r in ledger.missing_generations(tasks, models, once).collect()) == [("t", "n"), ("u", "n")]
+    assert ledger.find(once, task_id="t", model="m").first().v == 6
+
+
+def test_p_values(spark):
+    df = spark.createDataFrame([(2.228, 10), (0.0, 5), (2.0, 60), (-2.0, 60), (None, 3), (12.706, 1)], "t double, df long")
+    got = [r.p for r in stats.with_p_values(df.coalesce(1)).collect()]
+    assert got[4] is None and [p for p in got if p is not None] == pytest.approx([0.05001, 1.0, 0.050033, 0.050033, 0.05], abs=1e-5)
+
+
+def test_pairs_without_variance(spark):
+    rows = spark.createDataFrame([(m, 0.5) for m in "aabb"] + [("c", 0.1)], "model string, score double")
+    (r,) = stats.with_p_values(stats.pairwise(rows)).collect()
+    assert (r.model_a, r.model_b, r.t, r.p, r.cohens_d, r.significant) == ("a", "b", None, None, 0.0, False)
+
+
+def test_turns(spark):
+    rows = [("g", 0, "system", "system", "s"), ("g", 1, "assistant", "question", "Q1"), ("g", 2, "user", "answer", " yes "), ("g", 3, "assistant", "generation", "draft"), ("g", 4, "assistant", "generation", "  "), ("g", 5, "assistant", "question", "Q2"), ("h", 0, "assistant", "plan", "p" * 2100)]
+    t = spark.createDataFrame(rows, "generation_id string, turn_idx int, role string, turn_type string, content string")
+    assert [(r.question, r.answer) for r in turns.question_answers(t).orderBy("turn_idx").collect()] == [("Q1", " yes "), ("Q2", "N/A")]
+    m = turns.turn_metrics(t).where("generation_id = 'g'").first()
+    assert (m.total_turns, m.questions_asked, m.constraints_discovered, m.revision_count) == (6, 2, 1, 1)
+    assert (turns.last_generation(t).first().output, turns.last_generation(t).first().blank) == ("  ", True)
+    assert len(turns.first_plan(t).first().plan) == 2003 and turns.trajectory(t, most=1).count() == 1
+    rules_ = spark.createDataFrame([("k", 1, "f", ["i"]), ("k", 3, "f", ["i"])], "task_id string, round int, focus string, items array<string>")
+    rounds = spark.createDataFrame([("g", "k", i) for i in (1, 2, 3)], "generation_id string, task_id string, round int")
+    assert [r["round"] for r in turns.feedback(rules_, rounds).collect()] == [1]
+
+
+def test_ingest(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"task_id": "t_001", "model": "c/m", "output": "x", "metadata": {"cost": 0.5, "success": false}}')
+    (tmp_path / "b.yaml").write_text("task_id: t_002\nmodel: c/m\nsample_index: 2\nmetadata:\n  prompt_tokens: 7\n") if _yaml() else (tmp_path / "b.yaml").write_text('{"task_id": "t_002", "model": "c/m", "sample_index": 2, "metadata": {"prompt_tokens": 7}}')
+    (tmp_path / "c.json").write_text("{broken")
+    (tmp_path / "d.json").write_text('{"task_id": "t_003"}')
+    docs = ingest.documents(spark, str(tmp_path))
+    assert ingest.corrupt(docs).count() == 1
+    g = {r.task_id: r for r in ingest.standard_generations(docs).collect()}
+    assert set(g) == {"t_001", "t_002"} and (g["t_001"].success, g["t_001"].generation_cost, g["t_002"].success, g["t_002"].sample, g["t_002"].prompt_tokens) == (False, 0.5, True, 2, 7)
+    assert ingest.load_or_empty(spark, str(tmp_path / "none"), "a int").count() == 0
+
+
+def _yaml():
+    try:
+        import yaml  # noqa: F401
+    except ImportError:
+        return False
+    return True
+
+
+def test_streaming_upserts(spark, tmp_path):
+    schema = "k string, v int, ts timestamp, event_type string, success boolean"
+    source = str(tmp_path / "in")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    for rows in ([("a", 1), ("b", 2), ("a", 3)], [("b", 5)]):
+        df = spark.createDataFrame(rows, "k string, v int").selectExpr("k", "v", "timestamp'2024-01-01 00:10:00' as ts", "'x' as event_type", "v > 1 as success")
+        df.coalesce(1).write.mode("append").parquet(source)
+        ledger_stream.start(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ("k",), [F.desc("v")]).awaitTermination()
+    assert {r.k: r.v for r in ledger_stream.current(spark, str(tmp_path / "out"), schema).collect()} == {"a": 3, "b": 5}
+    version = ledger_stream.current_version(spark, str(tmp_path / "out"))
+    ledger_stream.upsert_batch(spark.read.schema(schema).parquet(source), version, str(tmp_path / "out"), ("k",), [F.desc("v")])
+    assert ledger_stream.current_version(spark, str(tmp_path / "out")) == version
+    (r,) = ledger_stream.error_rates(spark.read.schema(schema).parquet(source)).collect()
+    assert (r.n, r.failed) == (4, 1)
