@@ -42,7 +42,7 @@ LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1  # places of an anchor in a window
 RIGHT = WINDOW // 2  # anchors at most this far from the window's start see the right part whole
 #: Bytes of text that are hashed at a time, and anchors that a task gathers before it ships them.
-BUFFER, FLUSH = 1 << 20, 1_000_000
+BUFFER, FLUSH = 1 << 20, 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACE = np.uint64((1 << 28) - 1)
@@ -214,37 +214,45 @@ class Suffixes:
                 n[part[wrong]] = differ[wrong].argmax(1)
         return n
 
-    def before(self, i: np.ndarray, j: np.ndarray, or_equal: bool) -> np.ndarray:
+    def before(self, i: np.ndarray, j: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         """Whether string i sorts before string j (or equals it)."""
         most = np.minimum(self.size[i], self.size[j])
         n = extension(self.prefixes, self.at[i], self.at[j], most)
         ends = n == most
         x = self.data[np.minimum(self.at[i] + n, len(self.data) - 1)]
         y = self.data[np.minimum(self.at[j] + n, len(self.data) - 1)]
-        shorter = self.size[i] <= self.size[j] if or_equal else self.size[i] < self.size[j]
+        shorter = np.where(or_equal, self.size[i] <= self.size[j], self.size[i] < self.size[j])
         return np.where(ends, shorter, x < y)
 
     def sort(self) -> np.ndarray:
-        """Order of the strings: runs of doubling width, merged by each element's rank in its sister run."""
-        n = len(self.at)
-        order, width = np.arange(n), 1
-        while width < n:
-            place = np.arange(n)
+        """Order of the strings: grouped by their first eight bytes, then merged within each group in runs of doubling width.
+
+        In a merge every string finds its rank in the sister run by binary search.
+        """
+        step = np.arange(8)
+        head = np.where(step < self.size[:, None], self.data[np.minimum(self.at[:, None] + step, len(self.data) - 1)], 0)
+        key = np.ascontiguousarray(head, np.uint8).view(">u8").ravel()
+        order, n = np.argsort(key, kind="stable"), len(key)
+        new = np.ones(n, bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        firsts = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        start, end, width = firsts[group], np.append(firsts[1:], n)[group], 1
+        while len(rows := np.flatnonzero(end - start > width)):
+            a, z = start[rows], end[rows]
+            place = rows - a
             run = place // width
-            sister = (run ^ 1) * width
-            low, high = np.minimum(sister, n), np.minimum(sister + width, n)
-            first_run = run % 2 == 0
-            base = low.copy()
-            while (low < high).any():
-                mid = np.minimum((low + high) // 2, n - 1)
-                go = low < high
-                a, b = order[mid[go]], order[go]
-                less = np.where(first_run[go], self.before(a, b, False), self.before(a, b, True))
-                low[go] = np.where(less, mid[go] + 1, low[go])
-                high[go] = np.where(less, high[go], mid[go])
-            target = (run // 2) * 2 * width + (place - run * width) + (low - base)
-            merged = np.empty_like(order)
-            merged[target] = order
+            sister = a + (run ^ 1) * width
+            low, high = np.minimum(sister, z), np.minimum(sister + width, z)
+            base, first_run = low.copy(), run % 2 == 0
+            while len(go := np.flatnonzero(low < high)):
+                mid = (low[go] + high[go]) // 2
+                x, y = order[mid], order[rows[go]]
+                less = self.before(x, y, ~first_run[go])
+                low[go] = np.where(less, mid + 1, low[go])
+                high[go] = np.where(less, high[go], mid)
+            merged = order.copy()
+            merged[a + run // 2 * 2 * width + place - run * width + low - base] = order[rows]
             order, width = merged, width * 2
         return order
 
@@ -480,7 +488,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     width = common.shuffle_width(spark)
-    blocks, buckets = width | 1, 2 * width
+    blocks, buckets = 2 * width | 1, 2 * width
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     extra = [f"x{k}" for k in range(len(others))]
     named = docs.select(F.col("doc_id").cast("long").alias("i"), common.text_bytes().alias("t"), *[F.col(f"`{c}`").alias(x) for c, x in zip(others, extra)])
