@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import judge, names, rules, text
 from ..operators import aggregates as agg
-from ..operators import ledger, ranking, stats, turns
+from ..operators import generate, ledger, ranking, stats, turns
 from ..sources import adapters
 from ..streaming import ledger_stream
 from . import oracle
@@ -455,3 +455,127 @@ def synthesis_pass(spark, sf):
     d = F.col("doc_id")
     nested = F.create_map(F.lit("x"), F.create_map(F.lit("p"), d % 2 == 0, F.lit("q"), F.lit(True)), F.lit("y"), F.create_map(F.lit("r"), F.lit(True)))
     return adapters.table(spark, sf, "documents").select("doc_id", rules.synthesis_pass(F.create_map(F.lit("m"), d % 3 == 0), nested, F.lit(False)).alias("pass"))
+
+
+@query
+def word_ranges(spark, sf):
+    """Each task's own range, or its type's default for every third task."""
+    t = adapters.tasks(spark, sf)
+    own = [F.when(F.col(c) % 3 != 0, F.col(c)) for c in ("word_count_min", "word_count_max")]
+    low, high = text.word_range(F.col("task_type"), *own)
+    return t.select("task_id", low.alias("low"), high.alias("high"))
+
+
+@query
+def beat_budgets(spark, sf):
+    a, b = text.beat_budget(F.col("word_count_min"), F.col("word_count_max"), F.lit(3))
+    return adapters.tasks(spark, sf).select("task_id", a.alias("low"), b.alias("high"))
+
+
+@query
+def words_in_range(spark, sf):
+    n = text.word_count(F.col("text"))
+    return _documents(spark, sf).select("doc_id", n.between(300, 500).alias("fits"))
+
+
+@query
+def first_tasks(spark, sf):
+    """A task scan by type in the fixed order, first five."""
+    t = adapters.tasks(spark, sf).where(F.col("task_type").isin("beat_revision", "critique_improvement"))
+    kind = F.array_position(F.array(*map(F.lit, K.TASK_TYPES)), F.col("task_type"))
+    return t.orderBy(kind, "task_id").limit(5).select("task_id", "task_type")
+
+
+@query
+def agentic_scores(spark, sf):
+    d = F.col("doc_id")
+    m = F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("k"), F.when(d % (3 + i) != 0, ((d * (i + 2) % 11) / 10.0).cast("string")).alias("v")) for i, k in enumerate((*K.AGENTIC_SCORES["planning_execution"][1], *K.AGENTIC_OUTPUTS))]))
+    process, output, final = judge.agentic_scores("planning_execution", m)
+    docs = adapters.table(spark, sf, "documents")
+    return rounded(docs.select("doc_id", judge.map_mean(process).alias("process"), judge.map_mean(output).alias("output"), final.alias("final")), "process", "output", "final")
+
+
+@query
+def interpolation_pass(spark, sf):
+    d = F.col("doc_id")
+    r = F.struct(*[(F.when(d % (7 + i) != 0, d % (2 + i) != 1)).alias(f"c{i}") for i in range(5)])
+    return adapters.table(spark, sf, "documents").select("doc_id", rules.interpolation_pass(r, tuple(f"c{i}" for i in range(5))).alias("pass"))
+
+
+@query
+def revision_pass(spark, sf):
+    d = F.col("doc_id")
+    r = F.struct(*[(F.when(d % (7 + i) != 0, d % (2 + i) != 1)).alias(f"c{i}") for i in range(5)])
+    return adapters.table(spark, sf, "documents").select("doc_id", rules.revision_pass(r, ("c0", "c1"), ("c2", "c3", "c4")).alias("pass"))
+
+
+@query
+def conversion_pass(spark, sf):
+    d = F.col("doc_id")
+    return adapters.table(spark, sf, "documents").select("doc_id", rules.conversion_pass(d % 2 == 0, F.when(d % 5 != 0, d % 3 == 0), F.when(d % 7 != 0, (d % 10) / 10)).alias("pass"))
+
+
+@query
+def generation_tasks(spark, sf):
+    """Generations with their task's attributes; generations of unknown tasks are skipped."""
+    g = adapters.generations(spark, sf).select("task_id", "model", "sample")
+    j = g.join(adapters.tasks(spark, sf).where("word_count_min % 3 <> 0").select("task_id", "theory"), "task_id")
+    return j.groupBy("theory").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("model").alias("models"))
+
+
+@query
+def feedback_rounds(spark, sf):
+    k = F.col("conv_id")
+    rounds = adapters.table(spark, sf, "conversations").select(k.alias("generation_id"), F.concat(F.lit("k"), (k % 3).cast("string")).alias("task_id"), (F.col("turn") + 1).alias("round")).distinct()
+    given = spark.createDataFrame([("k0", 1, "plot"), ("k0", 2, "tone"), ("k1", 1, "pace"), ("k1", 3, "voice")], "task_id string, round long, focus string")
+    return turns.feedback(given, rounds).select("generation_id", "round", "focus")
+
+
+@query
+def evaluator_prices(spark, sf):
+    prices = spark.createDataFrame([("judge-0", 1.0, 5.0), ("judge-1", 0.5, 2.0)], "evaluator_model string, price_in double, price_out double")
+    e = adapters.table(spark, sf, "lineitem").select(F.concat(F.lit("judge-"), (F.col("l_linenumber") % 3).cast("string")).alias("evaluator_model"), (F.col("l_orderkey") % 5000).alias("prompt_tokens"), (F.col("l_partkey") % 700).alias("completion_tokens"))
+    c = generate.evaluator_costs(e, prices, K.DEFAULT_PRICE)
+    return rounded(c.groupBy("evaluator_model").agg(F.count(F.lit(1)).alias("n"), F.sum("evaluation_cost").alias("cost")), "cost", digits=4)
+
+
+@query
+def display_names(spark, sf):
+    return adapters.models(spark, sf).select("model", names.display_name(F.regexp_replace("model", "/model-", "/gpt-")).alias("name"), names.company(F.col("model")).alias("company"))
+
+
+@query
+def file_names(spark, sf):
+    return adapters.generations(spark, sf).where("sample < 500").select("sample", names.file_stem(F.col("task_id"), F.col("model"), F.col("sample")).alias("stem"))
+
+
+@query
+def evaluation_type_report(spark, sf):
+    e = adapters.evaluations(spark, sf)
+    return rounded(agg.evaluation_report(e.where(ledger.succeeded(e)), "task_type").select("task_type", "successful", "avg_score"), "avg_score")
+
+
+@query
+def chart_points(spark, sf):
+    p = ranking.cost_score_points(_summary(spark, sf))
+    return rounded(p.select("model", "score_pct", "generation_cost", "total_tokens", "marker", "on_frontier"), "score_pct", "generation_cost", "marker")
+
+
+@query
+def radar(spark, sf):
+    """Pass rates of the first four models by task type."""
+    r = _rates(spark, sf).where("scope = 'model_task_type'")
+    few = r.select("model").distinct().orderBy("model").limit(4)
+    return rounded(r.join(few, "model", "left_semi").select("model", "task_type", "rate"), "rate")
+
+
+@query
+def find_generation(spark, sf):
+    return ledger.find(adapters.generations(spark, sf), sample=7).select("task_id", "model", "sample")
+
+
+@query
+def batch_upsert(spark, sf):
+    """Repeated keys inside one batch of evaluations: the last one stays."""
+    e = adapters.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round("l_extendedprice", 2).alias("price"))
+    return ledger.latest(e, ("l_orderkey", "l_linenumber"), F.desc("price"))

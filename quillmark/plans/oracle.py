@@ -177,4 +177,33 @@ SQL: dict[str, str] = {
     "error_rates": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY ALL",
     "continuation_pass": "SELECT doc_id, (CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 <> 0 THEN 1 ELSE 0 END + 2) / 5.0 >= 0.8 AS pass FROM documents",
     "synthesis_pass": "SELECT doc_id, doc_id % 3 = 0 AND (CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END + 2) / 3.0 >= 0.7 AS pass FROM documents",
+    "word_ranges": f"{_with(TASK)} SELECT task_id, coalesce(CASE WHEN word_count_min % 3 <> 0 THEN word_count_min END, CASE task_type "
+    + " ".join(f"WHEN '{t}' THEN {a}" for t, (a, _) in K.WORD_RANGES.items())
+    + " ELSE 300 END) AS low, coalesce(CASE WHEN word_count_max % 3 <> 0 THEN word_count_max END, CASE task_type "
+    + " ".join(f"WHEN '{t}' THEN {b}" for t, (_, b) in K.WORD_RANGES.items())
+    + " ELSE 600 END) AS high FROM tk",
+    "beat_budgets": f"{_with(TASK)} SELECT task_id, word_count_min // 3 AS low, word_count_max // 3 AS high FROM tk",
+    "words_in_range": f"SELECT doc_id, len({WORDS}) BETWEEN 300 AND 500 AS fits FROM documents",
+    "first_tasks": f"{_with(TASK)} SELECT task_id, task_type FROM tk WHERE task_type IN ('beat_revision', 'critique_improvement') ORDER BY list_position({TYPES}, task_type), task_id LIMIT 5",
+    "agentic_scores": "WITH v AS (SELECT doc_id, ["
+    + ", ".join(f"CASE WHEN doc_id % {3 + i} <> 0 THEN (doc_id * {i + 2} % 11) / 10.0 ELSE 0.5 END" for i in range(6))
+    + "] AS x FROM documents) SELECT doc_id, round((x[1] + x[2] + x[3]) / 3, 6) AS process, round((x[4] + x[5] + x[6]) / 3, 6) AS output, round((x[1] + x[2] + x[3]) / 3 * 0.35 + (x[4] + x[5] + x[6]) / 3 * 0.65, 6) AS final FROM v",
+    "interpolation_pass": "SELECT doc_id, " + " AND ".join(f"(doc_id % {7 + i} <> 0 AND doc_id % {2 + i} <> 1)" for i in range(5)) + " AS pass FROM documents",
+    "revision_pass": "SELECT doc_id, " + " AND ".join(f"(doc_id % {7 + i} <> 0 AND doc_id % {2 + i} <> 1)" for i in range(5)) + " AS pass FROM documents",
+    "conversion_pass": "SELECT doc_id, doc_id % 2 = 0 AND (doc_id % 5 <> 0 AND doc_id % 3 = 0) AND coalesce(CASE WHEN doc_id % 7 <> 0 THEN (doc_id % 10) / 10.0 END, 0) >= 0.7 AS pass FROM documents",
+    "generation_tasks": f"{_with(GEN, TASK)} SELECT theory, count(*) AS n, count(DISTINCT model) AS models FROM gen JOIN tk USING (task_id) WHERE word_count_min % 3 <> 0 GROUP BY theory",
+    "feedback_rounds": """WITH r AS (SELECT DISTINCT conv_id AS generation_id, 'k' || CAST(conv_id % 3 AS VARCHAR) AS task_id, turn + 1 AS round FROM conversations),
+      g(task_id, round, focus) AS (VALUES ('k0', 1, 'plot'), ('k0', 2, 'tone'), ('k1', 1, 'pace'), ('k1', 3, 'voice')), j AS (SELECT generation_id, r.round, focus FROM r LEFT JOIN g ON r.task_id = g.task_id AND r.round = g.round)
+      SELECT generation_id, round, focus FROM j QUALIFY NOT bool_or(focus IS NULL) OVER (PARTITION BY generation_id ORDER BY round)""",
+    "evaluator_prices": """SELECT 'judge-' || CAST(l_linenumber % 3 AS VARCHAR) AS evaluator_model, count(*) AS n, round(sum((l_orderkey % 5000) / 1e6 * CASE l_linenumber % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.25 END
+      + (l_partkey % 700) / 1e6 * CASE l_linenumber % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END), 4) AS cost FROM lineitem GROUP BY 1""",
+    "display_names": f"{_with(MODEL)} SELECT model, 'GPT-' || split_part(model, '-', -1) AS name, split_part(model, '/', 1) AS company FROM md",
+    "file_names": f"{_with(GEN)} SELECT sample, task_id || '_' || replace(model, '/', '_') || '_' || CAST(sample AS VARCHAR) AS stem FROM gen WHERE sample < 500",
+    "evaluation_type_report": f"{_with(EVAL)} SELECT task_type, count(*) AS successful, round(avg(final_score), 6) AS avg_score FROM ev WHERE success GROUP BY task_type",
+    "chart_points": f"""{_with(*SUMMARY)}, p AS (SELECT *, prompt_tokens + completion_tokens AS t FROM sm WHERE generation_cost > 0)
+      SELECT model, round(avg_score * 100, 6) AS score_pct, {_round('generation_cost')}, t AS total_tokens, round(CASE WHEN max(t) OVER () = min(t) OVER () THEN 100 ELSE 50 + (t - min(t) OVER ()) * 100.0 / (max(t) OVER () - min(t) OVER ()) END, 6) AS marker,
+      coalesce(round(avg_score, 12) > max(round(avg_score, 12)) OVER (ORDER BY round(generation_cost, 12), round(avg_score, 12) DESC, model ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS on_frontier FROM p""",
+    "radar": f"{_with(FLAGS, RATES)} SELECT model, task_type, {_round('rate')} FROM rt WHERE scope = 'model_task_type' AND model IN (SELECT DISTINCT source FROM documents ORDER BY source LIMIT 4)",
+    "find_generation": f"{_with(GEN)} SELECT task_id, model, sample FROM gen WHERE sample = 7",
+    "batch_upsert": "SELECT l_orderkey, l_linenumber, round(max(l_extendedprice), 2) AS price FROM lineitem GROUP BY ALL",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import constants as K
 from quillmark.functions import judge, names, rules, text
-from quillmark.operators import aggregates, ledger, ranking, report, stats, turns
+from quillmark.operators import aggregates, generate, ledger, ranking, report, stats, turns
 from quillmark.sources import ingest
 from quillmark.streaming import ledger_stream
 
@@ -217,3 +217,13 @@ def test_streaming_upserts(spark, tmp_path):
     assert ledger_stream.current_version(spark, str(tmp_path / "out")) == version
     (r,) = ledger_stream.error_rates(spark.read.schema(schema).parquet(source)).collect()
     assert (r.n, r.failed) == (4, 1)
+
+
+def test_model_calls(spark):
+    work = spark.createDataFrame([("g1", "a b"), ("g2", "fail now"), ("g3", None)], "generation_id string, prompt string")
+    got = {r.generation_id: r for r in generate.call_model(work, generate.stub_client, tries=2, delay=0.0).collect()}
+    assert (got["g1"].output, got["g1"].success, got["g1"].attempts) == ("b a", True, 1)
+    assert (got["g2"].success, got["g2"].attempts, got["g3"].error) == (False, 2, "no prompt") and "asked to fail" in got["g2"].error
+    talk = generate.conversation(work, generate.stub_client, 2, lambda answer, r: F.concat(answer, F.lit(" more")), 1, 0.0)
+    assert [(r.turn_idx, r.role, r.content) for r in talk.where("generation_id = 'g1'").orderBy("turn_idx").collect()] == [(0, "user", "a b"), (1, "assistant", "b a"), (2, "user", "b a more"), (3, "assistant", "more a b")]
+    assert talk.where("generation_id = 'g2'").count() == 2
