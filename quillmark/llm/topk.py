@@ -48,7 +48,7 @@ def best_of_tile(q: np.ndarray, c: np.ndarray, q_ids: np.ndarray, c_ids: np.ndar
     return q_ids[i[keep]], c_ids[j[keep]], s[keep]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, tile: int = 8192, query_block: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, tile: int = 8192, query_block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows of ``vectors``, itself excluded; ties to the smaller vec_id.
 
     vectors and queries: (vec_id, embedding), other columns ignored. Null vectors, null ids and vectors holding null or non-finite
