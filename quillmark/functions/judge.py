@@ -17,7 +17,8 @@ def safe_float(value: Column, default: float = 0.0) -> Column:
 def extract_json(text: Column) -> Column:
     """JSON out of a model's answer as text: the whole string, a fenced block, or from the first to the last brace; else null."""
     tries = [text, F.regexp_extract(text, r"```(?:json)?\s*([\s\S]*?)\s*```", 1), F.regexp_extract(text, r"\{[\s\S]*\}", 0)]
-    return F.coalesce(*[F.when(F.try_parse_json(t).isNotNull() & (F.trim(t) != ""), F.trim(t)) for t in tries])
+    might = lambda t: t.rlike(r'^\s*[\[{"\-0-9tfn]')  # noqa: E731  the parser is slow to refuse
+    return F.coalesce(*[F.when(might(t) & F.try_parse_json(F.when(might(t), t)).isNotNull(), F.trim(t)) for t in tries])
 
 
 def _get(results: Column, key: str, default: float) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import constants as K
 
@@ -14,9 +13,13 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != ""))
 
 
+#: Where a run of letters, digits and underscores starts and ends.
+_START, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words of ASCII letters only; a run with any other letter, digit or underscore gives nothing."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda x: x.rlike("^[a-z]+$"))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"{_START}[a-z]++{_END}"), F.lit(0))
 
 
 def sentences(text: Column) -> Column:
@@ -64,29 +67,25 @@ def word_count_score(words: Column, low: Column, high: Column, method: str = "ga
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), METHODS[method](words, low, high)))
 
 
-def _exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "word"))
-
-
 def repetition_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", stop_words: list[str] | None = None) -> DataFrame:
     """(key, repetition_score): 1 less 0.02 for each use of a content word above its threshold and 0.03 for each of a word pair above three.
 
-    Texts below 20 words or 10 content words score 0.7; the penalty is at most 0.5. Words and pairs are counted within the
-    document by map-side combined aggregates, so no text is gathered.
+    Texts below 20 words or 10 content words score 0.7; the penalty is at most 0.5. Texts are dealt by key once; words and pairs
+    are then counted where they stand, since every later grouping and join is by that key.
     """
-    words = _exploded(docs, key, text)
+    dealt = docs.select(key, F.col(text).alias("__text")).repartition(key).select(key, tokens(F.col("__text")).alias("t"))
     stops = F.array(*map(F.lit, stop_words if stop_words is not None else K.STOP_WORDS))
-    is_content = ~F.array_contains(stops, F.col("word")) & (F.length("word") > 2)
-    per_word = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n")).withColumn("content", is_content)
+    per_word = dealt.select(key, F.explode("t").alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    per_word = per_word.withColumn("content", (F.length("word") > 2) & ~F.array_contains(stops, F.col("word")))
     totals = per_word.groupBy(key).agg(F.sum("n").alias("total"), F.sum(F.when(F.col("content"), F.col("n"))).alias("content"), F.count_if("content").alias("distinct"), F.collect_list(F.when(F.col("content") & (F.col("n") > 3), F.col("n"))).alias("often"))
     threshold = F.greatest(F.lit(3.0), F.try_divide(F.col("content"), F.col("distinct")) * 2)
     over = F.aggregate("often", F.lit(0.0), lambda a, n: a + F.greatest(F.lit(0.0), (n - threshold) * 0.02))
-    pairs = words.withColumn("next", F.lead("word").over(Window.partitionBy(key).orderBy("pos"))).where("next is not null")
-    twice = pairs.groupBy(key, "word", "next").agg(F.count(F.lit(1)).alias("n")).where("n > 3").groupBy(key).agg(F.sum((F.col("n") - 3) * 0.03).alias("pairs"))
+    pairs = dealt.where(F.size("t") > 1).select(key, F.explode(F.arrays_zip(F.col("t").alias("a"), F.slice("t", F.lit(2), F.size("t")).alias("b"))).alias("p")).where("p.b is not null")
+    twice = pairs.groupBy(key, "p").agg(F.count(F.lit(1)).alias("n")).where("n > 3").groupBy(key).agg(F.sum((F.col("n") - 3) * 0.03).alias("pairs"))
     scored = totals.join(twice, key, "left")
     short = (F.coalesce("total", F.lit(0)) < 20) | (F.coalesce("content", F.lit(0)) < 10)
     score = F.when(short, 0.7).otherwise(F.lit(1.0) - F.least(F.lit(0.5), over + F.coalesce("pairs", F.lit(0.0))))
-    return docs.select(key).join(scored.select(key, score.alias("repetition_score")), key, "left").select(key, F.coalesce("repetition_score", F.lit(0.7)).alias("repetition_score"))
+    return dealt.select(key).join(scored.select(key, score.alias("repetition_score")), key, "left").select(key, F.coalesce("repetition_score", F.lit(0.7)).alias("repetition_score"))
 
 
 def phrase_count(text: Column, phrase: str) -> Column:
@@ -98,12 +97,14 @@ def slop_score(text: Column, words: dict[str, float] | None = None, phrases: dic
     """1 less 5 % for each overused word or phrase (by weight) per hundred words; below 20 words 0.8. Words inside phrases count twice."""
     words = K.OVERUSED_WORDS if words is None else words
     phrases = K.OVERUSED_PHRASES if phrases is None else phrases
-    weights = F.create_map(*[x for w, v in words.items() for x in (F.lit(w), F.lit(v))])
-    found, low = tokens(text), F.lower(F.coalesce(text, F.lit("")))
-    penalty = F.aggregate(found, F.lit(0.0), lambda a, x: a + F.coalesce(F.try_element_at(weights, x), F.lit(0.0)))
+    low, n = F.lower(F.coalesce(text, F.lit(""))), F.size(tokens(text))
+    penalty = F.lit(0.0)
+    for weight in sorted(set(words.values())):
+        listed = "|".join(w for w, v in words.items() if v == weight)
+        penalty = penalty + F.size(F.regexp_extract_all(low, F.lit(f"{_START}(?:{listed}){_END}"), F.lit(0))) * weight
     for phrase, weight in phrases.items():
         penalty = penalty + phrase_count(low, phrase) * weight
-    return F.when(F.size(found) < 20, 0.8).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - penalty / F.size(found) * 100 * 0.05))
+    return F.when(n < 20, 0.8).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - penalty / n * 100 * 0.05))
 
 
 def programmatic_score(words: Column, repetition: Column, slop: Column) -> Column:
