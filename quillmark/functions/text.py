@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from . import constants as K
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, however often it occurs."""
+    return F.transform(F.array(value), use)[0]
+
+
 def word_count(text: Column) -> Column:
     """Number of white-space separated words; null counts as empty."""
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != ""))
@@ -64,7 +69,7 @@ METHODS = {"gaussian": gaussian_score, "tanh": tanh_score, "sigmoid": sigmoid_sc
 def word_count_score(words: Column, low: Column, high: Column, method: str = "gaussian") -> Column:
     if method not in METHODS:
         raise ValueError(f"unknown word count method: {method}")
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), METHODS[method](words, low, high)))
+    return let(words, lambda w: F.greatest(F.lit(0.0), F.least(F.lit(1.0), METHODS[method](w, low, high))))
 
 
 def repetition_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", stop_words: list[str] | None = None) -> DataFrame:
@@ -97,14 +102,17 @@ def slop_score(text: Column, words: dict[str, float] | None = None, phrases: dic
     """1 less 5 % for each overused word or phrase (by weight) per hundred words; below 20 words 0.8. Words inside phrases count twice."""
     words = K.OVERUSED_WORDS if words is None else words
     phrases = K.OVERUSED_PHRASES if phrases is None else phrases
-    low, n = F.lower(F.coalesce(text, F.lit(""))), F.size(tokens(text))
-    penalty = F.lit(0.0)
-    for weight in sorted(set(words.values())):
-        listed = "|".join(w for w, v in words.items() if v == weight)
-        penalty = penalty + F.size(F.regexp_extract_all(low, F.lit(f"{_START}(?:{listed}){_END}"), F.lit(0))) * weight
-    for phrase, weight in phrases.items():
-        penalty = penalty + phrase_count(low, phrase) * weight
-    return F.when(n < 20, 0.8).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - penalty / n * 100 * 0.05))
+
+    def score(x: Column) -> Column:
+        penalty = F.lit(0.0)
+        for weight in sorted(set(words.values())):
+            listed = "|".join(w for w, v in words.items() if v == weight)
+            penalty = penalty + F.size(F.regexp_extract_all(x["low"], F.lit(f"{_START}(?:{listed}){_END}"), F.lit(0))) * weight
+        for phrase, weight in phrases.items():
+            penalty = penalty + phrase_count(x["low"], phrase) * weight
+        return F.when(x["n"] < 20, 0.8).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - penalty / x["n"] * 100 * 0.05))
+
+    return let(F.struct(F.lower(F.coalesce(text, F.lit(""))).alias("low"), F.size(tokens(text)).alias("n")), score)
 
 
 def programmatic_score(words: Column, repetition: Column, slop: Column) -> Column:

@@ -347,13 +347,15 @@ def _judge_results() -> Column:
 
 @query
 def judge_score(spark, sf):
-    return rounded(adapters.table(spark, sf, "documents").select("doc_id", judge.judge_score("beat_interpolation", _judge_results()).alias("judge")), "judge")
+    d = adapters.table(spark, sf, "documents").select("doc_id", _judge_results().alias("results"))
+    return rounded(d.select("doc_id", judge.judge_score("beat_interpolation", F.col("results")).alias("judge")), "judge")
 
 
 @query
 def final_score(spark, sf):
     w = text.word_count_score(text.word_count(F.col("text")), F.lit(300), F.lit(500))
-    return rounded(_documents(spark, sf).select("doc_id", text.final_score(w, judge.judge_score("beat_interpolation", _judge_results())).alias("final")), "final")
+    d = _documents(spark, sf).select("doc_id", w.alias("w"), _judge_results().alias("results"))
+    return rounded(d.select("doc_id", text.final_score(F.col("w"), judge.judge_score("beat_interpolation", F.col("results"))).alias("final")), "final")
 
 
 @query
