@@ -102,12 +102,11 @@ def slop_score(text: Column, words: dict[str, float] | None = None, phrases: dic
     """1 less 5 % for each overused word or phrase (by weight) per hundred words; below 20 words 0.8. Words inside phrases count twice."""
     words = K.OVERUSED_WORDS if words is None else words
     phrases = K.OVERUSED_PHRASES if phrases is None else phrases
+    weights = F.create_map(*[x for w, v in words.items() for x in (F.lit(w), F.lit(v))])
 
     def score(x: Column) -> Column:
-        penalty = F.lit(0.0)
-        for weight in sorted(set(words.values())):
-            listed = "|".join(w for w, v in words.items() if v == weight)
-            penalty = penalty + F.size(F.regexp_extract_all(x["low"], F.lit(f"{_START}(?:{listed}){_END}"), F.lit(0))) * weight
+        hits = F.regexp_extract_all(x["low"], F.lit(f"{_START}(?:{'|'.join(words)}){_END}"), F.lit(0))
+        penalty = F.aggregate(hits, F.lit(0.0), lambda a, w: a + weights[w]) if words else F.lit(0.0)
         for phrase, weight in phrases.items():
             penalty = penalty + phrase_count(x["low"], phrase) * weight
         return F.when(x["n"] < 20, 0.8).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - penalty / x["n"] * 100 * 0.05))

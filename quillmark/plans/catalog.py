@@ -53,7 +53,7 @@ def _stats(spark, sf) -> DataFrame:
 
 
 def _documents(spark, sf) -> DataFrame:
-    return adapters.table(spark, sf, "documents").select("doc_id", "text")
+    return adapters.spread(adapters.table(spark, sf, "documents").select("doc_id", "text"))
 
 
 @query
@@ -315,7 +315,7 @@ def sentences(spark, sf):
 
 @query
 def repetition_score(spark, sf):
-    return rounded(text.repetition_scores(_documents(spark, sf)), "repetition_score")
+    return rounded(text.repetition_scores(adapters.table(spark, sf, "documents")), "repetition_score")
 
 
 def _slop() -> Column:
@@ -329,7 +329,7 @@ def slop_score(spark, sf):
 
 @query
 def programmatic_score(spark, sf):
-    d = _documents(spark, sf)
+    d = adapters.table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
     own = d.select("doc_id", text.word_count_score(text.word_count(F.col("text")), F.lit(300), F.lit(500)).alias("w"), _slop().alias("s"))
     j = own.join(text.repetition_scores(d), "doc_id")
     return rounded(j.select("doc_id", text.programmatic_score(F.col("w"), F.col("repetition_score"), F.col("s")).alias("programmatic")), "programmatic")
