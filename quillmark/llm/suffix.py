@@ -14,7 +14,7 @@ repeats, not the text:
    smallest doc_id's are repeats. Anchors whose right or left part recurs in
    an unequal context stand at the edge of a repeat and go on.
 3. Edges. Each block of documents sorts the suffixes of its edge anchors, to
-   the right and (reversed) to the left: a merge sort whose comparisons find
+   the right and (reversed) to the left, anchor by anchor: a merge sort whose comparisons find
    the common extension by binary search on prefix hashes, each result
    verified on the bytes. Adjacent common extensions give the classes of
    equal windows. Windows that recur inside the block settle there; one row
@@ -43,6 +43,8 @@ WINDOW = LENGTH - GRAM + 1  # places of an anchor in a window
 RIGHT = WINDOW // 2  # anchors at most this far from the window's start see the right part whole
 #: Bytes of text that are hashed at a time, and anchors that a task gathers before it ships them.
 BUFFER, FLUSH = 1 << 20, 300_000
+#: Edge anchors of a block that are sorted at a time.
+EDGES = 8_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACE = np.uint64((1 << 28) - 1)
@@ -387,7 +389,30 @@ def _answers(table: pa.Table, kind: int, *types: str) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, t) for t in types]
 
 
-def _edges(blocks: int, buckets: int):
+def _edge_windows(texts: list[bytes], first: dict, doc: np.ndarray, place: np.ndarray, flag: np.ndarray) -> Iterator[tuple[tuple, tuple]]:
+    """Windows around some edge anchors: ((doc, start) of those that recur here, (digest, doc, start) of all others)."""
+    pieces, at = [], []  # of each text only what the windows around an edge can see
+    for i, x in zip(doc.tolist(), place.tolist()):
+        lo = max(0, x - (WINDOW - 1))
+        pieces.append(texts[first[i]][lo : x + LENGTH])
+        at.append(x - lo)
+    ends = np.cumsum([len(t) for t in pieces])
+    starts = np.concatenate([[0], ends[:-1]])
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    at = starts + np.array(at)
+    h = gram_hashes(data)
+    least = (sliding_least((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), WINDOW) & _PLACE).astype(np.int64)
+    prefixes, num = Prefixes(data), np.arange(len(at))
+    for off, rows, same in window_classes(data, starts, ends, num, at):
+        ours = (flag[rows] & (1 if off <= RIGHT else 2) > 0) & (least[at[rows] - off] == at[rows])
+        rows, same = rows[ours], same[ours]
+        d, start = doc[rows], place[rows] - off
+        old = d > least_of((same,), d)
+        w = at[rows[~old]] - off
+        yield (d[old], start[old]), (mix(prefixes.of(w, w + LENGTH)), d[~old], start[~old])
+
+
+def _edges(blocks: int, buckets: int, at_a_time: int):
     """Windows at the edges of repeats: settled inside the block, or one row each on their way to a bucket."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -398,27 +423,13 @@ def _edges(blocks: int, buckets: int):
         _, texts, first = _block_texts(docs)
         doc, place, flag = doc[on], place[on].astype(np.int64), flag[on]
         block = int(block_of(doc[:1], blocks)[0])
-        pieces, at = [], []  # of each text only what the windows around an edge can see
-        for i, x in zip(doc.tolist(), place.tolist()):
-            lo = max(0, x - (WINDOW - 1))
-            pieces.append(texts[first[i]][lo : x + LENGTH])
-            at.append(x - lo)
-        ends = np.cumsum([len(t) for t in pieces])
-        starts = np.concatenate([[0], ends[:-1]])
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        at = starts + np.array(at)
-        h = gram_hashes(data)
-        least = (sliding_least((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), WINDOW) & _PLACE).astype(np.int64)
-        prefixes, num = Prefixes(data), np.arange(len(at))
+        grams = np.frombuffer(b"".join([texts[first[i]][x : x + GRAM] for i, x in zip(doc.tolist(), place.tolist())]), np.uint64).reshape(-1, 2)
+        order = np.lexsort((grams[:, 1], grams[:, 0]))  # equal anchors stand together; a class that is cut meets again by digest
         spans, sent = [(doc[:0], place[:0])], [(np.empty(0, np.uint64), doc[:0], place[:0])]
-        for off, rows, same in window_classes(data, starts, ends, num, at):
-            ours = (flag[rows] & (1 if off <= RIGHT else 2) > 0) & (least[at[rows] - off] == at[rows])
-            rows, same = rows[ours], same[ours]
-            d, start = doc[rows], place[rows] - off
-            old = d > least_of((same,), d)
-            spans.append((d[old], start[old]))
-            w = at[rows[~old]] - off
-            sent.append((mix(prefixes.of(w, w + LENGTH)), d[~old], start[~old]))
+        for part in np.array_split(order, len(order) // at_a_time + 1):
+            for old, new in _edge_windows(texts, first, doc[part], place[part], flag[part]):
+                spans.append(old)
+                sent.append(new)
         out = []
         d, start = (np.concatenate(c) for c in zip(*spans))
         if len(d):
@@ -477,14 +488,14 @@ def _cut(extra: list[str]):
     return run
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, edges: int = EDGES) -> DataFrame:
     """Every row of ``docs`` (doc_id, text, any others) with what is left of its text.
 
     Returns the other columns and doc_id, text (valid UTF-8: a character that is cut in part is dropped), kept (binary: the remaining bytes
     exactly), n_bytes, n_removed and n_spans (maximal removed runs). Matches never cross documents; overlapping
     strings count, and strings are judged on the input. A doc_id names one text: rows that repeat it repeat the text, and don't count
     against each other. Null texts are empty; rows with a null doc_id neither lose bytes nor cost others any. An empty table gives
-    an empty result. Contexts inside a repeat are matched by 104 hash bits, its edges by the bytes.
+    an empty result. ``edges`` is how many edge anchors a task sorts at a time. Contexts inside a repeat are matched by 104 hash bits, its edges by the bytes.
     """
     spark = docs.sparkSession
     width = common.shuffle_width(spark)
@@ -496,7 +507,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     posted = named.select("i", "t").mapInArrow(_post(blocks, buckets), ROWS_DDL)
     answers = common.materialize(posted.groupBy("bucket").applyInArrow(_meet(blocks), ROWS_DDL), "anchors")
     by_block = base.groupBy("b")
-    windows = by_block.cogroup(answers.groupBy("block")).applyInArrow(_edges(blocks, buckets), ROWS_DDL)
+    windows = by_block.cogroup(answers.groupBy("block")).applyInArrow(_edges(blocks, buckets, edges), ROWS_DDL)
     spans = windows.groupBy("bucket").applyInArrow(_meet_windows(blocks), ROWS_DDL)
     types = dict(base.dtypes)
     ddl = ", ".join(["i long, n long, removed long, runs long, kept binary", *[f"{x} {types[x]}" for x in extra]])

@@ -170,9 +170,10 @@ def test_suffix_dedup_equals_brute_force(docs, rows, empty):
                 gone[p : p + 50] = True
         runs = len(re.findall(b"\1+", gone.astype(np.uint8).tobytes()))
         want[i] = (len(t), int(gone.sum()), runs, bytes(np.frombuffer(t, np.uint8)[~gone]))
-    got = suffix.deduplicate(docs).collect()
-    assert len(got) == len(rows)
-    assert all((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id] for r in got if r.doc_id is not None)
+    for edges in (suffix.EDGES, 3):
+        got = suffix.deduplicate(docs, edges).collect()
+        assert len(got) == len(rows)
+        assert all((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id] for r in got if r.doc_id is not None)
     assert [r.n_removed for r in got if r.doc_id is None] == [0]
     assert {r.n for r in got if r.doc_id is not None} == {-1} and sum(w[1] for w in want.values()) > 0
     assert suffix.deduplicate(empty).count() == 0
