@@ -9,7 +9,8 @@
    positions, so every linkable pair shares a posting.
 3. Within a posting the shared positional bytes of each pair are tallied, pairs
    that reach the guaranteed minimum are verified by their differing bits, and
-   only a spanning forest of the verified links leaves the posting. Postings
+   only a spanning forest of the verified links leaves the task, rooted at
+   small ids so that postings agree on their edges. Postings
    above ``block`` members are cut into blocks that are compared pairwise in
    separate groups.
 4. Components of the links are labelled with distributed star contraction.
@@ -17,6 +18,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -74,7 +76,7 @@ def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64) -> DataFrame:
     """(doc_id, fp binary) of every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, words, bits) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), common.text_bytes().alias("t")).mapInArrow(run, "doc_id long, fp binary")
@@ -103,12 +105,12 @@ def _differing(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _forest(words: np.ndarray, max_diff: int, min_shared: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among rows, by breadth-first search with one vectorised row at a time."""
+    """Edges of a spanning forest of the links among rows, by breadth-first search with one vectorised row at a time; first rows are roots."""
     left, edges = np.arange(len(words)), []
     while len(left):
-        queue, left = [left[0]], left[1:]
+        queue, left = deque([left[0]]), left[1:]
         while queue and len(left):
-            at = queue.pop()
+            at = queue.popleft()
             bits, shared = _differing(words[left], words[at])
             hit = (shared >= min_shared) & (bits <= max_diff)
             found = left[hit]
@@ -140,6 +142,22 @@ def _links_of_groups(ids: np.ndarray, words: np.ndarray, side: np.ndarray, bound
     return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
 
 
+def _joining(root: dict[int, int], pairs: np.ndarray) -> list[bool]:
+    """Which pairs join two sets that were apart so far; ``root`` is a union-find forest, kept from call to call."""
+
+    def top(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    out = []
+    for a, b in pairs.tolist():
+        x, y = top(a), top(b)
+        out.append(x != y)
+        root[max(x, y)] = min(x, y)
+    return out
+
+
 def links(nodes: DataFrame, bits: int, max_diff: int, block: int = 4096) -> DataFrame:
     """Links (a, b) between distinct fingerprints that connect every pair within ``max_diff`` bits.
 
@@ -163,9 +181,10 @@ def links(nodes: DataFrame, bits: int, max_diff: int, block: int = 4096) -> Data
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("mine")).alias("i"), F.greatest(j, F.col("mine")).alias("j")))
     dealt = postings.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", mine)
-    groups = dealt.withColumn("at", F.explode(blocks)).groupBy("key", "at").agg(F.collect_list(F.struct("id", "fp")).alias("m")).where(F.size("m") > 1).select(F.col("m.id").alias("ids"), F.col("m.fp").alias("fps"))
+    groups = dealt.withColumn("at", F.explode(blocks)).groupBy("key", "at").agg(F.array_sort(F.collect_list(F.struct("id", "fp"))).alias("m")).where(F.size("m") > 1).select(F.col("m.id").alias("ids"), F.col("m.fp").alias("fps"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}  # of the nodes that this task links
         for b in batches:
             for at in range(0, b.num_rows, 20_000):
                 s = b.slice(at, 20_000)
@@ -174,6 +193,7 @@ def links(nodes: DataFrame, bits: int, max_diff: int, block: int = 4096) -> Data
                 off = s.column(0).offsets.to_numpy()
                 x, y = _links_of_groups(ids, words, ids, off - off[0], max_diff, min_shared)
                 pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+                pairs = pairs[np.array(_joining(root, pairs), bool)]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return groups.mapInArrow(compare, "a long, b long")
