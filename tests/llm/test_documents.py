@@ -159,6 +159,26 @@ def test_near_copies_leave_one_document(docs, rows):
     assert len(kept & set(base)) == 1 and min(base) in kept and None in kept
 
 
+def test_near_copies_are_those_of_exact_similarity(spark):
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))}
+    texts = []
+    for size, changed in [(274, k) for k in (5, 6, 7, 8)] * 20 + [(8, 0)] * 10 + [(49, 1)] * 10:
+        base = [word() for _ in range(size)]
+        copy = list(base)
+        for i in range(changed):
+            copy[10 + i * 20] = word()
+        texts += [base, copy if changed else [*copy, word()]]  # 270 shingles, 6 words changed: 0.8 exactly; 4 of 5 shingles too
+    texts += [[*texts[0][:-i], *(word() for _ in range(i))] for i in range(1, 60)]  # a chain-free large group around one text
+    sets = [shingles(t) for t in texts]
+    want = components(range(len(texts)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    for block in (8, 512):
+        assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs, block=block).collect()} == want
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {i for i in want if want[i] == i}
+
+
 def test_suffix_dedup_equals_brute_force(docs, rows, empty):
     texts = {r[0]: utf8(r[1]) for r in rows if r[0] is not None}
     first, want = {}, {}
