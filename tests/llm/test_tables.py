@@ -66,6 +66,17 @@ def test_embedding_links(spark):
     assert embed.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_links_in_few_of_many_dimensions(spark):
+    rng = np.random.default_rng(4)
+    basis = np.linalg.qr(rng.normal(size=(64, 3)))[0]
+    x = rng.normal(size=(1500, 3)) @ basis.T
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    linked = x @ x.T >= 0.995
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: r.n_links for r in embed.near_duplicates(df, limit=0.995, rows_per_cell=50, block=64).collect()}
+    assert got == {i: int(n) - 1 for i, n in enumerate(linked.sum(1))} and sum(got.values()) > 1000
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(120)] + [(200, None), (201, [float("nan")] * 4), (202, [1.0, None, 0.0, 0.0]), (None, [1.0] * 4), (203, [1e8] * 4), (250, [0.5, 0.25])]
