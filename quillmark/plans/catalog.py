@@ -551,6 +551,12 @@ def file_names(spark, sf):
     return adapters.generations(spark, sf).where("sample < 500").select("sample", names.file_stem(F.col("task_id"), F.col("model"), F.col("sample")).alias("stem"))
 
 
+@query
+def all_file_names(spark, sf):
+    """The name of every generation's file; ``file_names`` has those of its SQL only."""
+    return adapters.generations(spark, sf).select("sample", names.file_stem(F.col("task_id"), F.col("model"), F.col("sample")).alias("stem"))
+
+
 @query
 def evaluation_type_report(spark, sf):
     e = adapters.evaluations(spark, sf)

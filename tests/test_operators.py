@@ -227,3 +227,12 @@ def test_model_calls(spark):
     talk = generate.conversation(work, generate.stub_client, 2, lambda answer, r: F.concat(answer, F.lit(" more")), 1, 0.0)
     assert [(r.turn_idx, r.role, r.content) for r in talk.where("generation_id = 'g1'").orderBy("turn_idx").collect()] == [(0, "user", "a b"), (1, "assistant", "b a"), (2, "user", "b a more"), (3, "assistant", "more a b")]
     assert talk.where("generation_id = 'g2'").count() == 2
+
+
+def test_every_generation_has_a_file_name(spark):
+    from quillmark.plans import catalog
+    from quillmark.sources import adapters
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted((r.sample, f"{r.task_id}_{r.model.replace('/', '_')}_{r.sample}") for r in adapters.generations(spark, sf).collect())
+    assert sorted(map(tuple, catalog.queries()["all_file_names"](spark, sf).collect())) == want and want[-1][0] >= 500
