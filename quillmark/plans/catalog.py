@@ -319,6 +319,7 @@ def repetition_score(spark, sf):
 
 
 def _slop() -> Column:
+    """By the short lists of the SQL, whose words occur in the test documents."""
     return text.slop_score(F.col("text"), oracle.CORPUS_LEXICON, oracle.CORPUS_PHRASES)
 
 
@@ -328,13 +329,28 @@ def slop_score(spark, sf):
 
 
 @query
-def programmatic_score(spark, sf):
+def slop_score_full(spark, sf):
+    """By the operator's own words and phrases."""
+    return rounded(_documents(spark, sf).select("doc_id", text.slop_score(F.col("text")).alias("slop_score")), "slop_score")
+
+
+def _programmatic(spark, sf, slop: Column) -> DataFrame:
     d = adapters.table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
-    own = d.select("doc_id", text.word_count_score(text.word_count(F.col("text")), F.lit(300), F.lit(500)).alias("w"), _slop().alias("s"))
+    own = d.select("doc_id", text.word_count_score(text.word_count(F.col("text")), F.lit(300), F.lit(500)).alias("w"), slop.alias("s"))
     j = own.join(text.repetition_scores(d), "doc_id")
     return rounded(j.select("doc_id", text.programmatic_score(F.col("w"), F.col("repetition_score"), F.col("s")).alias("programmatic")), "programmatic")
 
 
+@query
+def programmatic_score(spark, sf):
+    return _programmatic(spark, sf, _slop())
+
+
+@query
+def programmatic_score_full(spark, sf):
+    return _programmatic(spark, sf, text.slop_score(F.col("text")))
+
+
 def _judge_results() -> Column:
     """Judge maps with numbers, booleans, junk and missing keys."""
     pairs = []

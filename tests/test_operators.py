@@ -236,3 +236,17 @@ def test_every_generation_has_a_file_name(spark):
     sf = "/root/testdata/sf0.001"
     want = sorted((r.sample, f"{r.task_id}_{r.model.replace('/', '_')}_{r.sample}") for r in adapters.generations(spark, sf).collect())
     assert sorted(map(tuple, catalog.queries()["all_file_names"](spark, sf).collect())) == want and want[-1][0] >= 500
+
+
+def test_registered_slop_scores_look_for_the_whole_lists(spark, tmp_path):
+    from quillmark.plans import catalog
+
+    filler = " ".join(f"plain{i}" for i in range(30))
+    listed = [*K.OVERUSED_WORDS, *K.OVERUSED_PHRASES]
+    docs = [(i, f"{filler} {w} {filler}") for i, w in enumerate(listed)] + [(len(listed), f"{filler} the of and la der de"), (len(listed) + 1, "short")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    slop, whole = ({r[0]: r[1] for r in catalog.queries()[q](spark, str(tmp_path)).collect()} for q in ("slop_score_full", "programmatic_score_full"))
+    assert slop == {i: pytest.approx(brute_slop(t), abs=1e-6) for i, t in docs} and all(slop[i] < 1 for i in range(len(listed)))
+    words = {i: len(t.split()) for i, t in docs}
+    fits = {r[0]: r[1] for r in spark.createDataFrame(list(words.items()), "i long, n int").select("i", text.word_count_score(F.col("n"), F.lit(300), F.lit(500))).collect()}
+    assert whole == {i: pytest.approx(0.4 * fits[i] + 0.35 * brute_repetition(t) + 0.25 * brute_slop(t), abs=2e-6) for i, t in docs}
