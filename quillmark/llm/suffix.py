@@ -63,18 +63,27 @@ _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)  # a random value for e
 class Prefixes:
     """Prefix polynomial hashes (modulo 2**64) of a byte buffer."""
 
+    base, base_inverse, value = _BASE, _BASE_INVERSE, _VALUE
     powers = inverse = np.ones(1, np.uint64)
 
     def __init__(self, data: np.ndarray) -> None:
-        n = len(data) + 1
-        if len(Prefixes.powers) < n:
-            Prefixes.powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE)]))
-            Prefixes.inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE_INVERSE)]))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * Prefixes.powers[: n - 1])])
+        n, kind = len(data) + 1, type(self)
+        if len(kind.powers) < n:
+            kind.powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, self.base)]))
+            kind.inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, self.base_inverse)]))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.value[data] * kind.powers[: n - 1])])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Hashes of the strings from a up to b."""
-        return (self.sums[b] - self.sums[a]) * Prefixes.inverse[a]
+        return (self.sums[b] - self.sums[a]) * type(self).inverse[a]
+
+
+class OtherPrefixes(Prefixes):
+    """The same with another base and other values of the bytes."""
+
+    base, base_inverse = np.uint64(0xD6E8FEB86659FD93), np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+    value = mix(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    powers = inverse = np.ones(1, np.uint64)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -129,19 +138,20 @@ def unpack(blob: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
-POSTING = ("<u4", "<u4", "<u2", "<u2", "<u2", "<u4", "<u2", "<u2")  # anchor, context (6 bytes), right, left, document, place (4 bytes)
+POSTING = ("<u4", "<u8", "<u8", "<u2", "<u2", "<i8", "<u4")  # anchor, two hashes of the context, right, left, document, place
 
 
 def _postings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(gram, context, right, left, document, place in document) of all anchors."""
+    """(gram, two independent hashes of the context, right, left, document, place in document) of all anchors."""
     at, gram, doc = anchors(data, starts, ends)
     lo, hi = np.maximum(starts[doc], at - (WINDOW - 1)), np.minimum(ends[doc], at + LENGTH)
     prefixes = Prefixes(data)
     shape = ((at - lo) * 256 + (hi - at)).astype(np.uint64)
     context = mix(prefixes.of(lo, hi) + shape * _BASE)
+    other = OtherPrefixes(data).of(lo, hi)
     right = mix(prefixes.of(at, np.minimum(ends[doc], at + LENGTH - RIGHT)))
     left = mix(prefixes.of(np.maximum(starts[doc], at - RIGHT - 1), at + GRAM))
-    return gram, context, right, left, doc, at - starts[doc]
+    return gram, context, other, right, left, doc, at - starts[doc]
 
 
 def buffers(ids: list[int], blocks: list[int], texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -323,14 +333,13 @@ def _post(blocks: int, buckets: int):
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> list[pa.RecordBatch]:
-            gram, context, right, left, doc, place = (np.concatenate(c) for c in zip(*held))
+            gram, context, other, right, left, doc, place = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            old = doc > least_of((context, gram), doc)
+            old = doc > least_of((context, other, gram), doc)
             rows = _to_blocks(ANCHORS, blocks, int(place.sum() % buckets), doc[old], place[old].astype(np.uint32), np.zeros(int(old.sum()), np.uint8))
             new = ~old
             bucket = (gram[new] >> np.uint64(40)) % np.uint64(buckets)
-            c = context[new]
-            columns = [gram[new].astype(np.uint32), c.astype(np.uint32), (c >> np.uint64(32)).astype(np.uint16), right[new].astype(np.uint16), left[new].astype(np.uint16), doc[new], place[new].astype(np.uint32)]
+            columns = [gram[new].astype(np.uint32), context[new], other[new], right[new].astype(np.uint16), left[new].astype(np.uint16), doc[new], place[new].astype(np.uint32)]
             for _, (b, *rest) in _split(bucket, bucket, *columns):
                 rows.append((int(b[0]), SENT, 0, pack(**{str(i): x for i, x in enumerate(rest)})))
             return _rows(rows).to_batches()
@@ -341,8 +350,8 @@ def _post(blocks: int, buckets: int):
                 ids, texts = s.column(0).to_pylist(), s.column(1).to_pylist()
                 known = [i for i, x in enumerate(ids) if x is not None]
                 for data, starts, ends, names, _ in buffers([ids[i] for i in known], [0] * len(known), [texts[i] for i in known]):
-                    gram, context, right, left, doc, place = _postings(data, starts, ends)
-                    held.append((gram, context, right, left, names[doc], place))
+                    *hashes, doc, place = _postings(data, starts, ends)
+                    held.append((*hashes, names[doc], place))
                 if sum(len(h[0]) for h in held) > FLUSH:
                     yield from flush()
         if held:
@@ -358,11 +367,10 @@ def _meet(blocks: int):
         kinds, bucket = table.column("kind").to_numpy(), table.column("bucket")[0].as_py()
         blobs = table.column("blob").to_pylist()
         rows = [(bucket, ANCHORS, b, x) for k, b, x in zip(kinds, table.column("block").to_pylist(), blobs) if k == ANCHORS]
-        sent = [unpack(x, "<u4", "<u4", "<u2", "<u2", "<u2", "<i8", "<u4") for k, x in zip(kinds, blobs) if k == SENT]
+        sent = [unpack(x, *POSTING) for k, x in zip(kinds, blobs) if k == SENT]
         if sent:
-            gram, low, high, right, left, doc, place = (np.concatenate(c) for c in zip(*sent))
-            context = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-            old = doc > least_of((context, gram), doc)
+            gram, context, other, right, left, doc, place = (np.concatenate(c) for c in zip(*sent))
+            old = doc > least_of((context, other, gram), doc)
             flag = np.zeros(len(doc), np.uint8)
             open_ = np.flatnonzero(~old)
             for bit, part in ((1, right), (2, left)):
@@ -495,7 +503,8 @@ def deduplicate(docs: DataFrame, edges: int = EDGES) -> DataFrame:
     exactly), n_bytes, n_removed and n_spans (maximal removed runs). Matches never cross documents; overlapping
     strings count, and strings are judged on the input. A doc_id names one text: rows that repeat it repeat the text, and don't count
     against each other. Null texts are empty; rows with a null doc_id neither lose bytes nor cost others any. An empty table gives
-    an empty result. ``edges`` is how many edge anchors a task sorts at a time. Contexts inside a repeat are matched by 104 hash bits, its edges by the bytes.
+    an empty result. ``edges`` is how many edge anchors a task sorts at a time. Contexts inside a repeat are matched
+    by two independent 64-bit hashes of the whole context, its edges by the bytes.
     """
     spark = docs.sparkSession
     width = common.shuffle_width(spark)

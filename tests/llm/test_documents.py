@@ -199,6 +199,20 @@ def test_suffix_dedup_equals_brute_force(docs, rows, empty):
     assert suffix.deduplicate(empty).count() == 0
 
 
+def test_unequal_contexts_of_one_anchor_never_settle(monkeypatch):
+    import pyarrow as pa
+
+    mix = suffix.mix
+    monkeypatch.setattr(suffix, "mix", lambda h: mix(h) & ~np.uint64((1 << 48) - 1))  # anchors and 48 bits of contexts collide
+    rng = random.Random(2)
+    sent = []
+    for i in range(2):  # two tasks, whose postings meet in their bucket
+        text = "".join(rng.choice("abcdefgh") for _ in range(400)).encode()
+        sent += suffix._post(3, 1)(iter([pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([text], pa.binary())], ["i", "t"])]))
+    doc, place, flag = suffix._answers(suffix._meet(3)(pa.Table.from_batches(sent)), suffix.ANCHORS, "<i8", "<u4", "u1")
+    assert not (flag == 0).any()
+
+
 def test_suffix_sort_and_extensions():
     rng = np.random.default_rng(5)
     data = rng.integers(97, 99, 400).astype(np.uint8)
