@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 from . import constants as K
 
 
+_DIGITS = r"[0-9]+(?:_[0-9]+)*"
+_NUMBER = rf"^[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf|infinity|nan)$"
+
+
 def safe_float(value: Column, default: float = 0.0) -> Column:
-    """A number out of judge text; booleans count 1 and 0, anything else that doesn't parse gives the default."""
+    """A number out of judge text; booleans count 1 and 0, anything else that doesn't parse gives the default.
+
+    The pattern refuses what only Java takes for a number, such as a type suffix ("1d", "0.8f").
+    """
     low = F.lower(F.trim(value))
-    return F.coalesce(F.when(low == "true", 1.0).when(low == "false", 0.0), value.try_cast("double"), F.lit(default))
+    number = F.when(low.rlike(_NUMBER), F.replace(low, F.lit("_"), F.lit("")).try_cast("double"))
+    return F.coalesce(F.when(low == "true", 1.0).when(low == "false", 0.0), number, F.lit(default))
 
 
 def extract_json(text: Column) -> Column:

@@ -25,9 +25,9 @@ def company(model: Column) -> Column:
     return F.when(F.instr(model, "/") > 0, F.substring_index(model, "/", 1)).otherwise("unknown")
 
 
-def company_name(model: Column) -> Column:
-    """Display name of a model's company; unknown ones in title case, each part between hyphens on its own."""
-    names = F.create_map(*[F.lit(x) for pair in K.COMPANY_NAMES.items() for x in pair])
+def company_name(model: Column, shown: dict[str, str] | None = None) -> Column:
+    """Name of a model's company as in the leaderboard (or as in ``shown``); others in title case, each part between hyphens on its own."""
+    names = F.create_map(*[F.lit(x) for pair in (K.COMPANY_NAMES if shown is None else shown).items() for x in pair])
     c = company(model)
     return F.coalesce(F.try_element_at(names, c), F.array_join(F.transform(F.split(c, "-"), F.initcap), "-"))
 

@@ -39,19 +39,75 @@ def conversion_pass(first: Column, second: Column, accuracy: Column) -> Column:
 
 
 def synthesis_pass(cross: Column, requirements: Column, overall: Column) -> Column:
-    """All cross checks true if there are any, and at least 70 % of nested requirements; without requirements the overall flag."""
+    """No false cross check, and at least 70 % of nested requirements; without requirements the overall flag decides in their place."""
     flat = F.flatten(F.transform(F.map_values(requirements), F.map_values))
     rate = F.try_divide(F.size(F.filter(flat, lambda x: F.coalesce(x, F.lit(False)))), F.nullif(F.coalesce(F.size(flat), F.lit(0)), F.lit(0)))
     crossed = F.coalesce(F.forall(F.map_values(cross), lambda x: F.coalesce(x, F.lit(False))), F.lit(True))
     none = F.coalesce(F.size(flat), F.lit(0)) <= 0
-    return F.when(none, F.coalesce(overall, F.lit(False))).otherwise(crossed & F.coalesce(rate >= 0.70, F.lit(False)))
-
-
-def task_violations(task_id: Column, task_type: Column, low: Column, high: Column) -> Column:
-    """Names of the schema rules that a task breaks."""
-    rules = {
-        "task_id": ~F.coalesce(task_id.rlike("^[a-z_]+_[0-9]{3}$"), F.lit(False)),
-        "task_type": ~F.coalesce(task_type.isin(K.TASK_TYPES), F.lit(False)),
-        "word_count": ~F.coalesce((low > 0) & (low <= high), F.lit(False)),
+    return crossed & F.when(none, F.coalesce(overall, F.lit(False))).otherwise(F.coalesce(rate >= 0.70, F.lit(False)))
+
+
+def passes(task_type: Column, results: Column) -> Column:
+    """The pass rule of the row's task type; other types fail.
+
+    results: struct of flags map<string,boolean>, constraints_checked and cross_beat_constraints map<string,boolean>,
+    beat_requirements map<string,map<string,boolean>>, structural_accuracy_score double, overall_pass boolean; all may be null.
+    """
+    flag = lambda k: F.try_element_at(results["flags"], F.lit(k))
+    flags = F.struct(*[flag(k).alias(k) for k in dict.fromkeys((*K.INTERPOLATION_CRITERIA, *K.REVISION_CRITERIA, *K.CONVERSION_CRITERIA))])
+    by_type = {
+        "beat_interpolation": interpolation_pass(flags, K.INTERPOLATION_CRITERIA),
+        "beat_revision": revision_pass(flags, K.REVISION_CRITERIA[:2], K.REVISION_CRITERIA[2:]),
+        "constrained_continuation": continuation_pass(results["constraints_checked"]),
+        "theory_conversion": conversion_pass(*[flag(k) for k in K.CONVERSION_CRITERIA], results["structural_accuracy_score"]),
+        "multi_beat_synthesis": synthesis_pass(results["cross_beat_constraints"], results["beat_requirements"], results["overall_pass"]),
     }
-    return F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()]))
+    out = F.lit(False)
+    for t, rule in by_type.items():
+        out = F.when(task_type == t, rule).otherwise(out)
+    return F.coalesce(out, F.lit(False))
+
+
+def _holds(value: Column, kind: str) -> Column:
+    """Whether a variant is there and of a kind: string, array, object, boolean, integer, number, range, share, three, text100, 1..5, ^pattern, or one of a|b|c."""
+    shape = F.schema_of_variant(value)
+    number = value.isNotNull() & shape.rlike("^(BIGINT|DECIMAL|DOUBLE)")
+    at = lambda path, t: F.try_variant_get(value, path, t)
+    if kind in ("string", "array", "object", "boolean"):
+        return shape.startswith(kind.upper())
+    if kind == "integer":
+        return shape == "BIGINT"
+    if kind == "number":
+        return number
+    if kind == "share":
+        return number & at("$", "double").between(0, 1)
+    if kind == "range":  # two whole numbers of 50 or more
+        return shape.startswith("ARRAY<BIGINT") & (at("$[0]", "bigint") >= 50) & (at("$[1]", "bigint") >= 50) & (F.size(at("$", "array<variant>")) == 2)
+    if kind == "three":
+        return shape.startswith("ARRAY") & (F.size(at("$", "array<variant>")) == 3)
+    if kind == "text100":
+        return (shape == "STRING") & (F.length(at("$", "string")) >= 100)
+    if kind.startswith("^"):
+        return (shape == "STRING") & at("$", "string").rlike(kind)
+    if ".." in kind:
+        low, high = kind.split("..")
+        return (shape == "BIGINT") & (at("$", "bigint") >= int(low)) & (F.lit(not high) | (at("$", "bigint") <= int(high or 0)))
+    return (shape == "STRING") & at("$", "string").isin(kind.split("|"))
+
+
+def schema_violations(document: Column, task_type: Column, common: dict[str, str], by_type: dict[str, dict[str, str]]) -> Column:
+    """Paths of a JSON document that break the rules for all and for its task type; a path that ends in ? may be absent.
+
+    A document that doesn't parse breaks the rule "$".
+    """
+    v = F.try_parse_json(document)
+
+    def broken(path: str, kind: str) -> Column:
+        value = F.try_variant_get(v, f"$.{path.rstrip('?')}", "variant")
+        wrong = ~F.coalesce(_holds(value, kind), F.lit(False))
+        return F.when(value.isNotNull() & wrong if path.endswith("?") else wrong, F.lit(path.rstrip("?")))
+
+    out = [broken(p, k) for p, k in common.items()]
+    for t, rules in by_type.items():
+        out += [F.when(task_type == t, broken(p, k)) for p, k in rules.items()]
+    return F.when(v.isNull(), F.array(F.lit("$"))).otherwise(F.array_compact(F.array(*out)))

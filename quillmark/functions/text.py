@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +18,18 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+#: Inside (?U)[...]: every character that counts as white space, which is Unicode's own and the separators U+001C to U+001F.
+_SPACE = r"\s\x1c-\x1f"
+
+
 def word_count(text: Column) -> Column:
-    """Number of white-space separated words; null counts as empty."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != ""))
+    """Number of words, separated by white space of any kind; null counts as empty."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"(?U)[^{_SPACE}]+"))
+
+
+def blank(text: Column) -> Column:
+    """Whether a text is null or holds white space only."""
+    return ~F.coalesce(text, F.lit("")).rlike(f"(?U)[^{_SPACE}]")
 
 
 #: Where a run of letters, digits and underscores starts and ends.
@@ -29,7 +43,7 @@ def tokens(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Non-empty trimmed parts between full stops, exclamation and question marks."""
-    trim = lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s+", ""), r"\s+$", "")
+    trim = lambda x: F.regexp_replace(x, f"(?U)^[{_SPACE}]+|[{_SPACE}]+$", "")
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[.!?]+"), trim), lambda x: x != "")
 
 
@@ -72,46 +86,59 @@ def word_count_score(words: Column, low: Column, high: Column, method: str = "ga
     return let(words, lambda w: F.greatest(F.lit(0.0), F.least(F.lit(1.0), METHODS[method](w, low, high))))
 
 
-def repetition_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", stop_words: list[str] | None = None) -> DataFrame:
-    """(key, repetition_score): 1 less 0.02 for each use of a content word above its threshold and 0.03 for each of a word pair above three.
+_WORD = re.compile(r"\b[a-z]+\b")
+
+
+def repetition_of(words: list[str], stop_words: frozenset[str]) -> float:
+    """1 less 0.02 for each use of a content word above its threshold and 0.03 for each of a word pair above three.
 
-    Texts below 20 words or 10 content words score 0.7; the penalty is at most 0.5. Texts are dealt by key once; words and pairs
-    are then counted where they stand, since every later grouping and join is by that key.
+    Texts below 20 words or 10 content words score 0.7; the penalty is at most 0.5.
     """
-    dealt = docs.select(key, F.col(text).alias("__text")).repartition(key).select(key, tokens(F.col("__text")).alias("t"))
-    stops = F.array(*map(F.lit, stop_words if stop_words is not None else K.STOP_WORDS))
-    per_word = dealt.select(key, F.explode("t").alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    per_word = per_word.withColumn("content", (F.length("word") > 2) & ~F.array_contains(stops, F.col("word")))
-    totals = per_word.groupBy(key).agg(F.sum("n").alias("total"), F.sum(F.when(F.col("content"), F.col("n"))).alias("content"), F.count_if("content").alias("distinct"), F.collect_list(F.when(F.col("content") & (F.col("n") > 3), F.col("n"))).alias("often"))
-    threshold = F.greatest(F.lit(3.0), F.try_divide(F.col("content"), F.col("distinct")) * 2)
-    over = F.aggregate("often", F.lit(0.0), lambda a, n: a + F.greatest(F.lit(0.0), (n - threshold) * 0.02))
-    pairs = dealt.where(F.size("t") > 1).select(key, F.explode(F.arrays_zip(F.col("t").alias("a"), F.slice("t", F.lit(2), F.size("t")).alias("b"))).alias("p")).where("p.b is not null")
-    twice = pairs.groupBy(key, "p").agg(F.count(F.lit(1)).alias("n")).where("n > 3").groupBy(key).agg(F.sum((F.col("n") - 3) * 0.03).alias("pairs"))
-    scored = totals.join(twice, key, "left")
-    short = (F.coalesce("total", F.lit(0)) < 20) | (F.coalesce("content", F.lit(0)) < 10)
-    score = F.when(short, 0.7).otherwise(F.lit(1.0) - F.least(F.lit(0.5), over + F.coalesce("pairs", F.lit(0.0))))
-    return dealt.select(key).join(scored.select(key, score.alias("repetition_score")), key, "left").select(key, F.coalesce("repetition_score", F.lit(0.7)).alias("repetition_score"))
-
-
-def phrase_count(text: Column, phrase: str) -> Column:
-    """Non-overlapping occurrences of a phrase."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(phrase), F.lit("")))) / len(phrase)).cast("int")
+    content = Counter(w for w in words if len(w) > 2 and w not in stop_words)
+    total = content.total()
+    if len(words) < 20 or total < 10:
+        return 0.7
+    threshold = max(3.0, 2.0 * total / len(content))
+    over = sum((n - threshold) * 0.02 for n in content.values() if n > threshold)
+    pairs = sum((n - 3) * 0.03 for n in Counter(zip(words, words[1:])).values() if n > 3)
+    return 1.0 - min(0.5, over + pairs)
 
 
-def slop_score(text: Column, words: dict[str, float] | None = None, phrases: dict[str, float] | None = None) -> Column:
+def slop_of(low: str, words: list[str], lexicon: dict[str, float], phrases: dict[str, float]) -> float:
     """1 less 5 % for each overused word or phrase (by weight) per hundred words; below 20 words 0.8. Words inside phrases count twice."""
-    words = K.OVERUSED_WORDS if words is None else words
-    phrases = K.OVERUSED_PHRASES if phrases is None else phrases
-    weights = F.create_map(*[x for w, v in words.items() for x in (F.lit(w), F.lit(v))])
+    if len(words) < 20:
+        return 0.8
+    penalty = sum(lexicon[w] for w in words if w in lexicon) + sum(low.count(p) * v for p, v in phrases.items())
+    return max(0.0, 1.0 - penalty / len(words) * 100 * 0.05)
+
 
-    def score(x: Column) -> Column:
-        hits = F.regexp_extract_all(x["low"], F.lit(f"{_START}(?:{'|'.join(words)}){_END}"), F.lit(0))
-        penalty = F.aggregate(hits, F.lit(0.0), lambda a, w: a + weights[w]) if words else F.lit(0.0)
-        for phrase, weight in phrases.items():
-            penalty = penalty + phrase_count(x["low"], phrase) * weight
-        return F.when(x["n"] < 20, 0.8).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - penalty / x["n"] * 100 * 0.05))
+def _scored(score) -> Column:
+    """An Arrow batch function of each text's lower-case form and words; a row is scored where it stands, so there is no shuffle."""
 
-    return let(F.struct(F.lower(F.coalesce(text, F.lit(""))).alias("low"), F.size(tokens(text)).alias("n")), score)
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            lower = [(t or "").lower() for t in texts]
+            yield pd.Series([score(low, _WORD.findall(low)) for low in lower], dtype="float64")
+
+    return run
+
+
+def repetition_score(text: Column, stop_words: list[str] | None = None) -> Column:
+    """``repetition_of`` each row's text; null counts as empty, and rows that share an id stay apart."""
+    stops = frozenset(K.STOP_WORDS if stop_words is None else stop_words)
+    return _scored(lambda low, words: repetition_of(words, stops))(text)
+
+
+def repetition_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", stop_words: list[str] | None = None) -> DataFrame:
+    """(key, repetition_score) of every row."""
+    return docs.select(key, repetition_score(F.col(text), stop_words).alias("repetition_score"))
+
+
+def slop_score(text: Column, words: dict[str, float] | None = None, phrases: dict[str, float] | None = None) -> Column:
+    """``slop_of`` each row's text, by the fixed lists or a caller's own; null counts as empty."""
+    lexicon, listed = K.OVERUSED_WORDS if words is None else words, K.OVERUSED_PHRASES if phrases is None else phrases
+    return _scored(lambda low, found: slop_of(low, found, lexicon, listed))(text)
 
 
 def programmatic_score(words: Column, repetition: Column, slop: Column) -> Column:
@@ -126,9 +153,9 @@ def final_score(programmatic: Column, judge: Column, weights: tuple[float, float
 
 def response_class(completion: Column, reasoning: Column, output: Column, finish: Column) -> Column:
     """What is wrong with a model's response, or null: reasoning_only, content_filtered or bad_finish, in this order."""
-    blank = (completion > 0) & (F.regexp_replace(F.coalesce(output, F.lit("")), r"\s+", "") == "")
+    empty = (completion > 0) & blank(output)
     mostly = (reasoning > 0) & (reasoning >= completion * 0.9)
-    return F.when(blank & mostly, "reasoning_only").when(blank, "content_filtered").when(F.coalesce(finish, F.lit("")).isin("", "stop"), F.lit(None)).otherwise("bad_finish")
+    return F.when(empty & mostly, "reasoning_only").when(empty, "content_filtered").when(F.coalesce(finish, F.lit("")).isin("", "stop"), F.lit(None)).otherwise("bad_finish")
 
 
 def beat_budget(low: Column, high: Column, beats: Column) -> tuple[Column, Column]:

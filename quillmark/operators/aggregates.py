@@ -2,7 +2,9 @@
 
 Cells are (model, task) pairs: the median over evaluators, then means over
 cells. All are grouped aggregates on keys with few values, so they combine
-map-side; only the exact median keeps a cell's values together.
+map-side. The exact median is taken over (value, count) pairs that hash and
+combine before the shuffle; a cell's buffer grows with its different values,
+not with its rows.
 """
 
 from __future__ import annotations
@@ -14,12 +16,19 @@ from ..functions.judge import map_mean
 from ..functions.names import output_tokens
 from .ledger import scored, succeeded
 
+CELL = ("model", "task_id", "task_type")
 COMPONENTS = ("word_count", "programmatic", "llm_judge")
 
 
+def _median(value: Column | str) -> Column:
+    """Exact median of a value that occurs ``n`` times; nulls don't count."""
+    return F.percentile(value, F.lit(0.5), F.col("n"))
+
+
 def cell_scores(evaluations: DataFrame) -> DataFrame:
     """(model, task_id, task_type, score, evaluations): median of successful, scored evaluations."""
-    return scored(evaluations).groupBy("model", "task_id", "task_type").agg(F.median("final_score").alias("score"), F.count(F.lit(1)).alias("evaluations"))
+    counted = scored(evaluations).groupBy(*CELL, "final_score").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(*CELL).agg(_median("final_score").alias("score"), F.sum("n").alias("evaluations"))
 
 
 def cell_breakdown(evaluations: DataFrame) -> DataFrame:
@@ -30,7 +39,9 @@ def cell_breakdown(evaluations: DataFrame) -> DataFrame:
     e = scored(evaluations)
     agentic = F.col("output_scores").isNotNull()
     e = e.select("model", "task_id", "task_type", agentic.alias("a"), *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("word_count_score", "programmatic", "llm_judge")], map_mean(F.col("process_scores")).alias("pm"), map_mean(F.col("output_scores")).alias("om"))
-    g = e.groupBy("model", "task_id", "task_type").agg(F.max("a").alias("a"), *[F.median(F.when(~F.col("a"), F.col(c))).alias(c) for c in ("word_count_score", "programmatic", "llm_judge")], F.median("pm").alias("process"), F.median("om").alias("output"))
+    parts = ("word_count_score", "programmatic", "llm_judge")
+    counted = e.groupBy(*CELL, "a", *parts, "pm", "om").agg(F.count(F.lit(1)).alias("n"))
+    g = counted.groupBy(*CELL).agg(F.max("a").alias("a"), *[_median(F.when(~F.col("a"), F.col(c))).alias(c) for c in parts], _median("pm").alias("process"), _median("om").alias("output"))
     single = lambda c: F.when(~F.col("a"), F.col(c))
     return g.select("model", "task_id", "task_type", single("word_count_score").alias("word_count"), single("programmatic").alias("programmatic"), F.when(F.col("a"), F.col("output")).otherwise(F.col("llm_judge")).alias("llm_judge"), F.when(F.col("a"), F.col("process")).alias("process"), F.when(F.col("a"), F.col("output")).alias("output"))
 

@@ -77,6 +77,25 @@ def purge_failed(df: DataFrame, model: str | None = None) -> DataFrame:
     return df.where(keep if model is None else keep | (F.col("model") != model))
 
 
+def removed_count(df: DataFrame, model: str | None = None) -> DataFrame:
+    """(removed): how many rows ``purge_failed`` takes away."""
+    gone = ~succeeded(df)
+    return df.agg(F.count_if(gone if model is None else gone & (F.col("model") == model)).alias("removed"))
+
+
+def purge_models(df: DataFrame, models: DataFrame) -> DataFrame:
+    """Without failed rows of the given models, so that their work is missing again; what is done before each run."""
+    named = models.select("model", F.lit(True).alias("__named")).distinct()
+    return df.join(named, "model", "left").where(succeeded(df) | F.col("__named").isNull()).select(*df.columns)
+
+
+def planned_generations(tasks: DataFrame, models: DataFrame, generations: DataFrame, force: bool = False) -> DataFrame:
+    """(task_id, model) to generate: what is missing, or with ``force`` every pair."""
+    if force:
+        return tasks.select("task_id").distinct().crossJoin(models.select("model").distinct())
+    return missing_generations(tasks, models, generations)
+
+
 def totals(generations: DataFrame, evaluations: DataFrame) -> DataFrame:
     """Costs and counts over all rows, failed ones too."""
     g = generations.agg(F.coalesce(F.sum("generation_cost"), F.lit(0.0)).alias("generation_cost"), F.count(F.lit(1)).alias("generations"))

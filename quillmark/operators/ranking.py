@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import names
-from ..functions.constants import TASK_TYPES
+from ..functions.constants import CHART_COMPANY_NAMES, TASK_TYPES
 
 
 def settled(column) -> Column:
@@ -47,10 +47,11 @@ def best_by_type(type_scores: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def extreme_types(rates: DataFrame, k: int = 2) -> DataFrame:
-    """The k task types with the least and the k with the highest pass rate."""
+    """The k task types with the least and the k with the highest pass rate; with fewer than 2 k types some stand at both ends."""
     low, high = F.row_number().over(Window.orderBy("rate", "task_type")), F.row_number().over(Window.orderBy(F.desc("rate"), F.desc("task_type")))
     t = rates.where("scope = 'task_type'").select("task_type", "rate").withColumn("low", low).withColumn("high", high)
-    return t.where(f"low <= {k} or high <= {k}").select("task_type", "rate", F.when(F.col("low") <= k, "weakest").otherwise("strongest").alias("end"))
+    ends = F.array_compact(F.array(F.when(F.col("low") <= k, "weakest"), F.when(F.col("high") <= k, "strongest")))
+    return t.select("task_type", "rate", F.explode(ends).alias("end"))
 
 
 def model_gaps(rates: DataFrame, least: float = 0.15) -> DataFrame:
@@ -89,7 +90,7 @@ def cost_score_points(summary: DataFrame) -> DataFrame:
     """Chart points: score in per cent, cost, tokens, company, marker size, frontier flag."""
     p = summary.where("generation_cost > 0").withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
     p = frontier(marker_sizes(p))
-    return p.select("model", names.display_name(F.col("model")).alias("name"), names.company_name(F.col("model")).alias("company"), (F.col("avg_score") * 100).alias("score_pct"), "generation_cost", "total_tokens", "marker", "on_frontier")
+    return p.select("model", names.display_name(F.col("model")).alias("name"), names.company_name(F.col("model"), CHART_COMPANY_NAMES).alias("company"), (F.col("avg_score") * 100).alias("score_pct"), "generation_cost", "total_tokens", "marker", "on_frontier")
 
 
 def contributions(components: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as texts
+
 CONVERSATION = ("generation_id",)
 
 
@@ -28,7 +30,7 @@ def last_generation(turns: DataFrame) -> DataFrame:
     """The last assistant generation, untrimmed, and whether it is blank."""
     last = F.max_by("content", "turn_idx")
     g = turns.where("role = 'assistant' and turn_type = 'generation'").groupBy("generation_id").agg(last.alias("output"), F.max("turn_idx").alias("turn_idx"))
-    return g.withColumn("blank", F.regexp_replace(F.coalesce("output", F.lit("")), r"\s+", "") == "")
+    return g.withColumn("blank", texts.blank(F.col("output")))
 
 
 def clipped(text: Column, most: int = 2000) -> Column:

@@ -34,6 +34,8 @@ GEN = f"""gen AS (SELECT {_task("o_orderkey % 34")} AS task_id, {_type("o_orderk
 TASK = f"""tk AS (SELECT {_task("i")} AS task_id, {_type("i")} AS task_type, {_list(THEORIES)}[i % 5 + 1] AS theory, i * 10 + 200 AS word_count_min, i * 10 + 400 AS word_count_max
   FROM (SELECT DISTINCT p_partkey % 34 AS i FROM part))"""
 MODEL = f"md AS (SELECT DISTINCT {_model('s_suppkey')} AS model FROM supplier)"
+WANTED = f"wd AS (SELECT DISTINCT {_model('s_suppkey')} AS model FROM supplier UNION ALL SELECT 'acme-labs/model-new')"
+JUDGES = "jd AS (SELECT DISTINCT evaluator_model FROM ev UNION ALL SELECT 'judge-new')"
 CELL = "cell AS (SELECT model, task_id, task_type, median(final_score) AS score, count(*) AS evaluations FROM ev WHERE success GROUP BY ALL)"
 BREAK = """brk AS (SELECT model, task_id, task_type, median(CASE WHEN NOT a THEN w END) AS word_count, median(CASE WHEN NOT a THEN p END) AS programmatic,
   CASE WHEN bool_or(a) THEN median((j + final_score) / 2) ELSE median(j) END AS llm_judge, CASE WHEN bool_or(a) THEN median((w + p) / 2) END AS process,
@@ -51,9 +53,12 @@ FLAGS = "fl AS (SELECT source AS model, lang AS task_type, CAST(coalesce(quality
 RATES = """rt AS (SELECT model, task_type, CASE grouping(model, task_type) WHEN 0 THEN 'model_task_type' WHEN 1 THEN 'model' WHEN 2 THEN 'task_type' ELSE 'overall' END AS scope, count(*) AS n, CAST(sum(p) AS BIGINT) AS passed,
   avg(p) AS rate, var_pop(p) AS variance, stddev_pop(p) AS std FROM fl GROUP BY GROUPING SETS ((model), (task_type), (model, task_type), ()))"""
 TURNS = "tn AS (SELECT conv_id AS generation_id, turn AS turn_idx, role, CASE role WHEN 'system' THEN 'system' WHEN 'user' THEN 'question' ELSE 'generation' END AS turn_type, text AS content FROM conversations)"
-WORDS = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
+#: All characters that count as white space.
+SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WORDS = f"list_filter(string_split_regex(text, '[{SPACE}]+'), lambda x: x <> '')"
 TOKENS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]+'))"
-NAMED = "CASE split_part(model, '/', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.COMPANY_NAMES.items() if k in COMPANIES) + " ELSE 'Acme-Labs' END"
+NAMED = "CASE split_part(model, '/', 1) WHEN 'anthropic' THEN 'Anthropic' WHEN 'openai' THEN 'OpenAI' WHEN 'qwen' THEN 'Alibaba' WHEN 'z-ai' THEN 'Z-Ai' ELSE 'Acme-Labs' END"
+CHARTED = "CASE split_part(model, '/', 1) WHEN 'anthropic' THEN 'Anthropic' WHEN 'openai' THEN 'OpenAI' WHEN 'qwen' THEN 'Alibaba' WHEN 'z-ai' THEN 'Z-AI' ELSE 'Acme-Labs' END"
 
 
 def _with(*ctes: str) -> str:
@@ -77,11 +82,18 @@ def _matrix(source: str, row: str, column: str, value: str, columns: list[str],
     return f"SELECT {row}, {cells} FROM {source} GROUP BY {row}"
 
 
-#: Frequent words of the test corpus, which has none of the fixed list.
-CORPUS_LEXICON = {"the": 2.0, "of": 1.0, "and": 1.0, "la": 2.0, "der": 1.0, "de": 1.0}
-CORPUS_PHRASES = {"of the": 2.0, "the th": 1.0}
-_LEX = "CASE word " + " ".join(f"WHEN '{w}' THEN {v}" for w, v in CORPUS_LEXICON.items()) + " ELSE 0 END"
-_PHR = " + ".join(f"((length(lower(text)) - length(replace(lower(text), '{p}', ''))) // {len(p)}) * {v}" for p, v in CORPUS_PHRASES.items())
+
+
+def _slop(words: dict[str, float], phrases: dict[str, float]) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    weight = "CASE word " + " ".join(f"WHEN '{w}' THEN {v}" for w, v in words.items()) + " ELSE 0 END"
+    phrase = " + ".join(f"((length(low) - length(replace(low, {quoted(p)}, ''))) // {len(p)}) * {v}" for p, v in phrases.items())
+    return f"""sl AS (SELECT doc_id, CASE WHEN len(t) < 20 THEN 0.8 ELSE greatest(0, 1 - (list_sum([{weight} FOR word IN t]) + {phrase}) / len(t) * 100 * 0.05) END AS slop_score
+ FROM (SELECT doc_id, lower(text) AS low, {TOKENS} AS t FROM documents))"""
+
+
+OWN_SLOP = _slop({"the": 2.0, "of": 1.0, "and": 1.0, "la": 2.0, "der": 1.0, "de": 1.0}, {"of the": 2.0, "the th": 1.0})
+SLOP = _slop(K.OVERUSED_WORDS, K.OVERUSED_PHRASES)
 TOK = f"tok AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos, len(t) AS n FROM (SELECT doc_id, {TOKENS} AS t FROM documents))"
 REP = f"""per AS (SELECT doc_id, word, count(*) AS n, {CONTENT} AS c FROM tok GROUP BY doc_id, word),
 tot AS (SELECT doc_id, sum(n) AS total, sum(CASE WHEN c THEN n END) AS content, count(CASE WHEN c THEN 1 END) AS uniq FROM per GROUP BY doc_id),
@@ -90,14 +102,38 @@ big AS (SELECT doc_id, word, nxt, count(*) AS n FROM (SELECT doc_id, word, lead(
 bp AS (SELECT doc_id, sum((n - 3) * 0.03) AS y FROM big GROUP BY doc_id),
 rep AS (SELECT doc_id, CASE WHEN coalesce(total, 0) < 20 OR coalesce(content, 0) < 10 THEN 0.7 ELSE 1 - least(0.5, coalesce(x, 0) + coalesce(y, 0)) END AS repetition_score
  FROM documents LEFT JOIN tot USING (doc_id) LEFT JOIN pen USING (doc_id) LEFT JOIN bp USING (doc_id))"""
-SLOP = f"""sl AS (SELECT doc_id, CASE WHEN len(t) < 20 THEN 0.8 ELSE greatest(0, 1 - (list_sum([{_LEX} FOR word IN t]) + {_PHR}) / len(t) * 100 * 0.05) END AS slop_score
- FROM (SELECT doc_id, text, {TOKENS} AS t FROM documents))"""
 WC = f"wc AS (SELECT doc_id, len({WORDS}) AS n, 300 AS lo, 500 AS hi FROM documents)"
 GAUSS = f"CASE WHEN {DEV} = 0 THEN 1.0 ELSE exp(-({DEV} * {DEV}) / (2 * pow(greatest((hi - lo) * 0.8, 50), 2))) END"
 PAIRS = """mo AS (SELECT model AS g, count(*) AS n, avg(score) AS m, var_samp(score) AS v FROM cell GROUP BY model HAVING count(*) >= 2),
 pr AS (SELECT a.g AS model_a, b.g AS model_b, a.n AS n_a, b.n AS n_b, a.m AS mean_a, b.m AS mean_b, a.m - b.m AS difference, ((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) AS pooled FROM mo a JOIN mo b ON a.g < b.g)"""
 JUDGE_KEYS = {k: f"(doc_id * {17 + 3 * i} % 11) / 10.0" for i, k in enumerate(K.JUDGE_WEIGHTS["beat_interpolation"])}
 _JUDGE = " + ".join(f"{w} * CASE doc_id % {5 + i} WHEN 0 THEN {d} WHEN 1 THEN {'1.0' if i % 2 else d} ELSE {JUDGE_KEYS[k]} END" for i, (k, (w, d)) in enumerate(K.JUDGE_WEIGHTS["beat_interpolation"].items()))
+#: Weights and defaults of each kind of judge score, in the order of its keys.
+JUDGED = {
+    "beat_interpolation": [(0.25, 0.5), (0.25, 0.5), (0.15, 1.0), (0.10, 0.5), (0.15, 0.5), (0.10, 0.5)],
+    "beat_revision/no_flaw": [(0.40, 0.0), (0.30, 0.0), (0.15, 0.5), (0.15, 0.5)],
+    "beat_revision": [(0.20, 0.5), (0.20, 0.5), (0.20, 0.5), (0.10, 0.5), (0.10, 1.0), (0.10, 0.5), (0.10, 0.5)],
+    "constrained_continuation": [(0.20, 0.5), (0.30, 0.5), (0.25, 0.5), (0.15, 0.5), (0.10, 0.5)],
+    "theory_conversion": [(0.35, 0.5), (0.30, 0.5), (0.20, 0.5), (0.15, 0.5)],
+    "multi_beat_synthesis": [(0.40, 0.5), (0.35, 0.5), (0.15, 0.5), (0.10, 0.5)],
+}
+PROCESS_WEIGHTS = {"constraint_discovery": 0.40, "planning_execution": 0.35, "iterative_revision": 0.30, "critique_improvement": 0.35}
+_SIX = "[" + ", ".join(f"CASE WHEN doc_id % {3 + i} <> 0 THEN (doc_id * {i + 2} % 11) / 10.0 ELSE 0.5 END" for i in range(6)) + "]"
+
+
+def _judged(kind: str) -> str:
+    total = " + ".join(f"{w} * CASE WHEN doc_id % {5 + i} = 0 THEN {d} ELSE (doc_id * {17 + 3 * i} % 11) / 10.0 END" for i, (w, d) in enumerate(JUDGED[kind]))
+    return f"SELECT doc_id, '{kind}' AS kind, round({total}, 6) AS judge FROM documents"
+
+
+def _mod(n: int, m: int) -> str:
+    return f"(doc_id % {n} <> {m})"
+
+
+#: Flags of the pass rules: the i-th criterion holds unless doc_id leaves 1 on division by i + 2.
+PASSES = f"""SELECT doc_id, CASE (doc_id // 7) % 9 WHEN 0 THEN {' AND '.join(_mod(i + 2, 1) for i in range(5))}
+  WHEN 1 THEN {_mod(7, 1)} AND {_mod(8, 1)} AND CAST({_mod(9, 1)} AS INTEGER) + CAST({_mod(3, 1)} AS INTEGER) + CAST({_mod(10, 1)} AS INTEGER) >= 3
+  WHEN 2 THEN doc_id % 2 = 0 WHEN 3 THEN {_mod(11, 1)} AND {_mod(12, 1)} AND (doc_id % 10) / 10.0 >= 0.7 WHEN 4 THEN doc_id % 3 = 0 AND doc_id % 5 <> 0 ELSE false END AS pass FROM documents"""
 
 SQL: dict[str, str] = {
     "leaderboard": f"{_with(*SUMMARY)} SELECT row_number() OVER (ORDER BY round(coalesce(avg_score, 0), 12) DESC, model) AS rank, model, split_part(model, '/', -1) AS model_short, {NAMED} AS company, {_round('avg_score', 'generation_cost')}, total FROM sm",
@@ -126,13 +162,17 @@ SQL: dict[str, str] = {
     "pareto_frontier": f"""{_with(*SUMMARY)} SELECT model, {_round('generation_cost', 'avg_score')}, coalesce(round(avg_score, 12) > max(round(avg_score, 12)) OVER (ORDER BY round(generation_cost, 12), round(avg_score, 12) DESC, model ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS on_frontier FROM sm""",
     "marker_sizes": f"{_with(*SUMMARY)} SELECT model, round(CASE WHEN max(t) OVER () = min(t) OVER () THEN 100 ELSE 50 + (t - min(t) OVER ()) * 100.0 / (max(t) OVER () - min(t) OVER ()) END, 6) AS marker FROM (SELECT model, prompt_tokens + completion_tokens AS t FROM sm)",
     "contributions": f"{_with(EVAL, BREAK)} SELECT model, round(coalesce(avg(programmatic), 0) * 50, 6) AS programmatic_part, round(coalesce(avg(llm_judge), 0) * 50, 6) AS llm_judge_part FROM brk GROUP BY model",
-    "missing_generations": f"{_with(GEN, TASK, MODEL)} SELECT task_id, model FROM tk CROSS JOIN md WHERE NOT EXISTS (SELECT 1 FROM gen WHERE success AND gen.task_id = tk.task_id AND gen.model = md.model AND gen.sample % 5 = 0)",
-    "missing_evaluations": f"""{_with(GEN, EVAL)} SELECT g.task_id, g.model, g.sample, v.evaluator_model FROM gen g CROSS JOIN (SELECT DISTINCT evaluator_model FROM ev) v WHERE g.success AND NOT EXISTS
-      (SELECT 1 FROM ev WHERE ev.success AND ev.sample % 7 = 0 AND ev.task_id = g.task_id AND ev.model = g.model AND ev.evaluator_model = v.evaluator_model)""",
-    "work_estimate": f"""{_with(GEN, EVAL, TASK, MODEL)}, a AS (SELECT count(*) AS n FROM (SELECT DISTINCT task_id FROM tk) t CROSS JOIN md WHERE NOT EXISTS (SELECT 1 FROM gen WHERE success AND gen.sample % 5 = 0 AND gen.task_id = t.task_id AND gen.model = md.model)),
-      b AS (SELECT count(*) AS n FROM gen g CROSS JOIN (SELECT DISTINCT evaluator_model FROM ev) v WHERE g.success AND g.sample % 5 = 0 AND g.model IN (SELECT model FROM md) AND NOT EXISTS
-      (SELECT 1 FROM ev WHERE ev.success AND ev.sample % 7 = 0 AND ev.task_id = g.task_id AND ev.model = g.model AND ev.evaluator_model = v.evaluator_model))
+    "missing_generations": f"{_with(GEN, TASK, WANTED)} SELECT task_id, model FROM tk CROSS JOIN wd WHERE NOT EXISTS (SELECT 1 FROM gen WHERE success AND gen.task_id = tk.task_id AND gen.model = wd.model)",
+    "missing_evaluations": f"""{_with(GEN, EVAL, JUDGES)} SELECT g.task_id, g.model, g.sample, v.evaluator_model FROM gen g CROSS JOIN jd v WHERE g.success AND NOT EXISTS
+      (SELECT 1 FROM ev WHERE ev.success AND ev.task_id = g.task_id AND ev.model = g.model AND ev.evaluator_model = v.evaluator_model)""",
+    "work_estimate": f"""{_with(GEN, EVAL, TASK, WANTED, JUDGES)}, a AS (SELECT count(*) AS n FROM (SELECT DISTINCT task_id FROM tk) t CROSS JOIN wd WHERE NOT EXISTS (SELECT 1 FROM gen WHERE success AND gen.task_id = t.task_id AND gen.model = wd.model)),
+      b AS (SELECT count(*) AS n FROM gen g CROSS JOIN jd v WHERE g.success AND g.model IN (SELECT model FROM wd) AND NOT EXISTS
+      (SELECT 1 FROM ev WHERE ev.success AND ev.task_id = g.task_id AND ev.model = g.model AND ev.evaluator_model = v.evaluator_model))
       SELECT a.n AS generations, b.n AS evaluations, round(a.n * 0.001 + b.n * 0.0007, 6) AS estimated_cost FROM a, b""",
+    "forced_generations": f"{_with(TASK, WANTED)} SELECT task_id, model FROM tk CROSS JOIN wd",
+    "planned_after_purge": f"{_with(GEN, MODEL)} SELECT model, count(*) AS kept, count(*) FILTER (NOT success) AS failed FROM gen WHERE success OR NOT (starts_with(model, 'openai/') AND model IN (SELECT model FROM md)) GROUP BY model",
+    "purge_counts": f"{_with(GEN, EVAL)} SELECT 'generations' AS ledger, count(*) AS removed FROM gen WHERE NOT success AND model = 'anthropic/model-00' UNION ALL SELECT 'evaluations', count(*) FROM ev WHERE NOT success",
+    "purge_failed_evaluations": f"{_with(EVAL)} SELECT evaluator_model, count(*) AS kept, CAST(sum(sample) AS BIGINT) AS samples FROM ev WHERE success GROUP BY evaluator_model",
     "upsert_latest": """WITH b AS (SELECT * FROM events WHERE event_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1),
       c AS (SELECT * FROM events WHERE event_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1)
       SELECT user_id, event_type, event_id FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.user_id = c.user_id AND b.event_type = c.event_type) UNION ALL SELECT user_id, event_type, event_id FROM b""",
@@ -145,7 +185,7 @@ SQL: dict[str, str] = {
     "pass_rates_grouping_sets": f"{_with(FLAGS, RATES)} SELECT scope, model, task_type, n, passed, {_round('rate', 'variance', 'std')} FROM rt",
     "pass_rate_matrix": f"{_with(FLAGS, RATES)} {_matrix(chr(40) + 'SELECT * FROM rt WHERE scope = ' + chr(39) + 'model_task_type' + chr(39) + chr(41), 'model', 'task_type', 'round(rate, 6)', ['de', 'en', 'es', 'fr'])}",
     "extreme_types": f"""{_with(FLAGS, RATES)}, o AS (SELECT task_type, rate, row_number() OVER (ORDER BY rate, task_type) AS lo, row_number() OVER (ORDER BY rate DESC, task_type DESC) AS hi FROM rt WHERE scope = 'task_type')
-      SELECT task_type, {_round('rate')}, CASE WHEN lo <= 2 THEN 'weakest' ELSE 'strongest' END AS "end" FROM o WHERE lo <= 2 OR hi <= 2""",
+      SELECT task_type, {_round('rate')}, 'weakest' AS "end" FROM o WHERE lo <= 2 UNION ALL SELECT task_type, {_round('rate')}, 'strongest' FROM o WHERE hi <= 2""",
     "model_gaps": f"""{_with(FLAGS, RATES)}, m AS (SELECT *, dense_rank() OVER (ORDER BY model) AS mi FROM rt WHERE scope = 'model_task_type')
       SELECT task_type, count(*) AS models, round(max(rate) - min(rate), 6) AS gap, arg_max(model, (rate, -mi)) AS best_model, arg_min(model, (rate, mi)) AS worst_model FROM m GROUP BY task_type HAVING count(*) >= 2 AND max(rate) - min(rate) > 0.15""",
     "pairwise_ttest": f"{_with(*BASE)}, {PAIRS} SELECT model_a, model_b, n_a, n_b, {_round('difference')}, round(CASE WHEN pooled > 0 THEN difference / sqrt(pooled * (1.0 / n_a + 1.0 / n_b)) END, 6) AS t FROM pr",
@@ -154,29 +194,38 @@ SQL: dict[str, str] = {
     "word_count": f"SELECT doc_id, len({WORDS}) AS words FROM documents",
     "word_count_scores": f"WITH {WC} SELECT doc_id, round({GAUSS}, 6) AS gaussian, round(1 - tanh(0.02 * {DEV}), 6) AS tanh, round(2 / (1 + exp(least(0.03 * {DEV}, 700))), 6) AS sigmoid FROM wc",
     "tokens": f"SELECT doc_id, len(t) AS tokens, len(list_distinct(t)) AS distinct_tokens, t[1] AS first_token FROM (SELECT doc_id, {TOKENS} AS t FROM documents)",
-    "sentences": r"SELECT doc_id, len(list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: x <> '')) AS sentences FROM documents",
+    "sentences": f"SELECT doc_id, len(list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: regexp_replace(regexp_replace(x, '^[{SPACE}]+', ''), '[{SPACE}]+$', '')), lambda x: x <> '')) AS sentences FROM documents",
     "repetition_score": f"WITH {TOK}, {REP} SELECT doc_id, round(repetition_score, 6) AS repetition_score FROM rep",
+    "slop_score_own_lists": f"WITH {OWN_SLOP} SELECT doc_id, round(slop_score, 6) AS slop_score FROM sl",
     "slop_score": f"WITH {SLOP} SELECT doc_id, round(slop_score, 6) AS slop_score FROM sl",
     "programmatic_score": f"WITH {TOK}, {REP}, {SLOP}, {WC} SELECT doc_id, round(0.40 * ({GAUSS}) + 0.35 * repetition_score + 0.25 * slop_score, 6) AS programmatic FROM wc JOIN rep USING (doc_id) JOIN sl USING (doc_id)",
     "judge_score": f"SELECT doc_id, round({_JUDGE}, 6) AS judge FROM documents",
     "final_score": f"WITH {WC} SELECT doc_id, round(0.5 * ({GAUSS}) + 0.5 * ({_JUDGE}), 6) AS final FROM wc",
-    "schema_violations": f"""SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END AS violations FROM part""",
+    "judge_scores": " UNION ALL ".join(map(_judged, JUDGED)),
+    "agentic_kinds": f"WITH v AS (SELECT doc_id, {_SIX} AS x FROM documents) "
+    + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, round((x[1] + x[2] + x[3]) / 3, 6) AS process, round((x[4] + x[5] + x[6]) / 3, 6) AS output, round((x[1] + x[2] + x[3]) / 3 * {w} + (x[4] + x[5] + x[6]) / 3 * (1 - {w}), 6) AS final FROM v" for k, w in PROCESS_WEIGHTS.items()),
+    "schema_violations": """SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 1 ELSE CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END END AS violations FROM part""",
+    "evaluation_schema": """SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END
+      + CASE WHEN p_partkey % 7 = 0 THEN CASE p_partkey % 5 WHEN 2 THEN 2 WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 0 END ELSE 0 END AS violations FROM part""",
+    "pass_by_type": PASSES,
     "question_answer_pairs": f"""{_with(TURNS)} SELECT generation_id, turn_idx, md5(content) AS question_md5, md5(coalesce(nxt, 'N/A')) AS answer_md5 FROM (SELECT *, lead(content) OVER (PARTITION BY generation_id ORDER BY turn_idx) AS nxt FROM tn) WHERE turn_type = 'question'""",
     "turn_metrics": f"{_with(TURNS)} SELECT generation_id, count(*) AS total_turns, count(*) FILTER (turn_type = 'question') AS questions_asked, count(*) FILTER (turn_type = 'answer' AND upper(trim(content)) = 'YES') AS constraints_discovered, greatest(count(*) FILTER (turn_type = 'generation') - 1, 0) AS revision_count FROM tn GROUP BY generation_id",
     "last_generation": f"{_with(TURNS)} SELECT generation_id, max(turn_idx) AS turn_idx, md5(arg_max(content, turn_idx)) AS output_md5 FROM tn WHERE role = 'assistant' AND turn_type = 'generation' GROUP BY generation_id",
-    "first_question": f"{_with(TURNS)}, f AS (SELECT generation_id, arg_min(content, turn_idx) AS c FROM tn WHERE turn_type = 'question' GROUP BY generation_id) SELECT generation_id, CASE WHEN length(c) > 40 THEN c[1:40] || '...' ELSE c END AS plan FROM f",
-    "revision_trajectory": f"{_with(TURNS)} SELECT generation_id, row_number() OVER (PARTITION BY generation_id ORDER BY turn_idx) AS revision, content[1:50] AS excerpt FROM tn WHERE turn_type = 'generation' QUALIFY revision <= 4",
+    "first_question": f"{_with(TURNS)}, f AS (SELECT generation_id, arg_min(content, turn_idx) AS c FROM tn WHERE turn_type = 'question' GROUP BY generation_id) SELECT generation_id, CASE WHEN length(c) > 2000 THEN c[1:2000] || '...' ELSE c END AS plan FROM f",
+    "revision_trajectory": f"{_with(TURNS)} SELECT generation_id, row_number() OVER (PARTITION BY generation_id ORDER BY turn_idx) AS revision, content[1:500] AS excerpt FROM tn WHERE turn_type = 'generation'",
+    "critique_trajectory": f"{_with(TURNS)} SELECT generation_id, row_number() OVER (PARTITION BY generation_id ORDER BY turn_idx) AS revision, content[1:400] AS excerpt FROM tn WHERE turn_type = 'generation' QUALIFY revision <= 4",
+    "token_rollup": f"{_with(TURNS)} SELECT generation_id, CAST(sum(turn_idx * 10 + 5) AS BIGINT) AS prompt_tokens, CAST(sum(length(content)) AS BIGINT) AS completion_tokens, round(sum(turn_idx * 0.25), 6) AS cost FROM tn GROUP BY generation_id",
     "keyword_match": f"""{_with(TURNS)} SELECT generation_id, turn_idx, CASE WHEN contains(lower(content), 'the') OR contains(lower(content), 'der') THEN 'YES' WHEN contains(lower(content), 'la') THEN 'MAYBE' ELSE 'NO' END AS answer FROM tn WHERE turn_type = 'question'""",
     "oracle_answers": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'NO' WHEN 1 THEN 'B' WHEN 2 THEN 'YES' WHEN 3 THEN 'NO' WHEN 4 THEN 'YES' ELSE 'A' END AS answer FROM events""",
     "json_extract": """SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events""",
-    "safe_float": """SELECT event_id, CASE event_id % 5 WHEN 0 THEN round(value, 6) WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 ELSE 0.5 END AS v FROM events""",
+    "safe_float": """SELECT event_id, CASE event_id % 10 WHEN 0 THEN round(value, 6) WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 WHEN 6 THEN 2.5 WHEN 7 THEN 10.0 WHEN 8 THEN -5.0 ELSE 0.5 END AS v FROM events""",
     "company_rollup": f"{_with(*SUMMARY)} SELECT {NAMED} AS company, count(*) AS models, round(avg(avg_score), 6) AS avg_score, round(sum(generation_cost), 4) AS cost FROM sm GROUP BY 1",
     "token_limits": f"{_with(GEN)} SELECT task_type, any_value(CASE task_type " + " ".join(f"WHEN '{t}' THEN {a}" for t, (a, _) in K.TOKEN_LIMITS.items()) + " END) AS max_tokens, any_value(CASE task_type " + " ".join(f"WHEN '{t}' THEN {b}" for t, (_, b) in K.TOKEN_LIMITS.items()) + " END) AS max_reasoning FROM gen GROUP BY task_type",
     "response_class": """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '  ' ELSE text END AS o, 1000 AS c, doc_id % 1200 AS re, CASE doc_id % 3 WHEN 0 THEN 'stop' WHEN 1 THEN NULL ELSE 'length' END AS f FROM documents)
       SELECT doc_id, CASE WHEN trim(o) = '' AND re > 0 AND re >= 0.9 * c THEN 'reasoning_only' WHEN trim(o) = '' THEN 'content_filtered' WHEN coalesce(f, '') IN ('', 'stop') THEN NULL ELSE 'bad_finish' END AS class FROM r""",
     "error_rates": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY ALL",
     "continuation_pass": "SELECT doc_id, (CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 <> 0 THEN 1 ELSE 0 END + 2) / 5.0 >= 0.8 AS pass FROM documents",
-    "synthesis_pass": "SELECT doc_id, doc_id % 3 = 0 AND (CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END + 2) / 3.0 >= 0.7 AS pass FROM documents",
+    "synthesis_pass": "SELECT doc_id, (doc_id % 7 = 0 OR doc_id % 3 = 0) AND CASE WHEN doc_id % 4 = 0 THEN doc_id % 11 <> 0 AND doc_id % 5 <> 0 ELSE (CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END + 2) / 3.0 >= 0.7 END AS pass FROM documents",
     "word_ranges": f"{_with(TASK)} SELECT task_id, coalesce(CASE WHEN word_count_min % 3 <> 0 THEN word_count_min END, CASE task_type "
     + " ".join(f"WHEN '{t}' THEN {a}" for t, (a, _) in K.WORD_RANGES.items())
     + " ELSE 300 END) AS low, coalesce(CASE WHEN word_count_max % 3 <> 0 THEN word_count_max END, CASE task_type "
@@ -191,19 +240,20 @@ SQL: dict[str, str] = {
     "interpolation_pass": "SELECT doc_id, " + " AND ".join(f"(doc_id % {7 + i} <> 0 AND doc_id % {2 + i} <> 1)" for i in range(5)) + " AS pass FROM documents",
     "revision_pass": "SELECT doc_id, " + " AND ".join(f"(doc_id % {7 + i} <> 0 AND doc_id % {2 + i} <> 1)" for i in range(5)) + " AS pass FROM documents",
     "conversion_pass": "SELECT doc_id, doc_id % 2 = 0 AND (doc_id % 5 <> 0 AND doc_id % 3 = 0) AND coalesce(CASE WHEN doc_id % 7 <> 0 THEN (doc_id % 10) / 10.0 END, 0) >= 0.7 AS pass FROM documents",
-    "generation_tasks": f"{_with(GEN, TASK)} SELECT theory, count(*) AS n, count(DISTINCT model) AS models FROM gen JOIN tk USING (task_id) WHERE word_count_min % 3 <> 0 GROUP BY theory",
+    "generation_tasks": f"{_with(GEN, TASK)} SELECT theory, count(*) AS n, count(DISTINCT model) AS models FROM gen JOIN tk USING (task_id) GROUP BY theory",
     "feedback_rounds": """WITH r AS (SELECT DISTINCT conv_id AS generation_id, 'k' || CAST(conv_id % 3 AS VARCHAR) AS task_id, turn + 1 AS round FROM conversations),
       g(task_id, round, focus) AS (VALUES ('k0', 1, 'plot'), ('k0', 2, 'tone'), ('k1', 1, 'pace'), ('k1', 3, 'voice')), j AS (SELECT generation_id, r.round, focus FROM r LEFT JOIN g ON r.task_id = g.task_id AND r.round = g.round)
       SELECT generation_id, round, focus FROM j QUALIFY NOT bool_or(focus IS NULL) OVER (PARTITION BY generation_id ORDER BY round)""",
     "evaluator_prices": """SELECT 'judge-' || CAST(l_linenumber % 3 AS VARCHAR) AS evaluator_model, count(*) AS n, round(sum((l_orderkey % 5000) / 1e6 * CASE l_linenumber % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.25 END
       + (l_partkey % 700) / 1e6 * CASE l_linenumber % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END), 4) AS cost FROM lineitem GROUP BY 1""",
     "display_names": f"{_with(MODEL)} SELECT model, 'GPT-' || split_part(model, '-', -1) AS name, split_part(model, '/', 1) AS company FROM md",
-    "file_names": f"{_with(GEN)} SELECT sample, task_id || '_' || replace(model, '/', '_') || '_' || CAST(sample AS VARCHAR) AS stem FROM gen WHERE sample < 500",
+    "file_names": f"{_with(GEN)} SELECT sample, task_id || '_' || replace(model, '/', '_') || '_' || CAST(sample AS VARCHAR) AS stem FROM gen",
     "evaluation_type_report": f"{_with(EVAL)} SELECT task_type, count(*) AS successful, round(avg(final_score), 6) AS avg_score FROM ev WHERE success GROUP BY task_type",
     "chart_points": f"""{_with(*SUMMARY)}, p AS (SELECT *, prompt_tokens + completion_tokens AS t FROM sm WHERE generation_cost > 0)
-      SELECT model, round(avg_score * 100, 6) AS score_pct, {_round('generation_cost')}, t AS total_tokens, round(CASE WHEN max(t) OVER () = min(t) OVER () THEN 100 ELSE 50 + (t - min(t) OVER ()) * 100.0 / (max(t) OVER () - min(t) OVER ()) END, 6) AS marker,
+      SELECT model, {CHARTED} AS company, round(avg_score * 100, 6) AS score_pct, {_round('generation_cost')}, t AS total_tokens, round(CASE WHEN max(t) OVER () = min(t) OVER () THEN 100 ELSE 50 + (t - min(t) OVER ()) * 100.0 / (max(t) OVER () - min(t) OVER ()) END, 6) AS marker,
       coalesce(round(avg_score, 12) > max(round(avg_score, 12)) OVER (ORDER BY round(generation_cost, 12), round(avg_score, 12) DESC, model ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS on_frontier FROM p""",
     "radar": f"{_with(FLAGS, RATES)} SELECT model, task_type, {_round('rate')} FROM rt WHERE scope = 'model_task_type' AND model IN (SELECT DISTINCT source FROM documents ORDER BY source LIMIT 4)",
     "find_generation": f"{_with(GEN)} SELECT task_id, model, sample FROM gen WHERE sample = 7",
-    "batch_upsert": "SELECT l_orderkey, l_linenumber, round(max(l_extendedprice), 2) AS price FROM lineitem GROUP BY ALL",
+    "batch_upsert": "SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS price FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, round(l_extendedprice, 2) DESC) = 1",
 }
+SQL |= {"slop_score_full": SQL["slop_score"], "programmatic_score_full": SQL["programmatic_score"], "all_file_names": SQL["file_names"]}

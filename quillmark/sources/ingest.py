@@ -93,15 +93,18 @@ def agentic_generations(docs: DataFrame) -> DataFrame:
     )
 
 
-def evaluations(docs: DataFrame) -> DataFrame:
-    """Judge result files of both kinds; multi-turn ones are those with process scores."""
+def evaluations(docs: DataFrame, derive_type: bool = True) -> DataFrame:
+    """Judge result files of both kinds; multi-turn ones are those with process scores.
+
+    An absent task type comes from the task id; with ``derive_type`` false, as for single-turn files, it is "unknown".
+    """
     process, output = (F.from_json(F.get_json_object("json", f"$.{k}"), "map<string,double>") for k in ("process_scores", "output_scores"))
     component = lambda path: _at(f"score_breakdown.components.{path}", "double")
     return _finish(
         docs,
         schemas.EVALUATIONS,
         {
-            "task_type": F.coalesce(_at("task_type"), names.task_type_of(_at("task_id"))),
+            "task_type": F.coalesce(_at("task_type"), names.task_type_of(_at("task_id")) if derive_type else F.lit("unknown")),
             "sample": F.coalesce(_at("sample", "int"), F.lit(0)),
             "evaluator_model": F.coalesce(_at("evaluator_model"), F.lit("unknown")),
             "evaluation_cost": F.coalesce(_at("evaluator_cost", "double"), F.lit(0.0)),
@@ -154,10 +157,59 @@ def turns(docs: DataFrame) -> DataFrame:
     return read.select("generation_id", "turn_idx", "t.role", "t.turn_type", "t.content", "t.metadata")
 
 
-def write_tables(out: str, **tables: DataFrame) -> None:
-    """Full refresh of canonical tables below ``out``."""
+def live_version(spark: SparkSession, out: str) -> int:
+    """The number of the tables that readers see; -1 before the first write."""
+    seen = load_or_empty(spark, f"{out}/versions", "version long").agg(F.max("version")).first()[0]
+    return -1 if seen is None else seen
+
+
+def write_tables(out: str, **tables: DataFrame) -> int:
+    """Full refresh of canonical tables below ``out``; returns their version.
+
+    The tables are written aside and one small pointer is appended last, so a reader sees the tables of before or all the new
+    ones, and a refresh that dies changes nothing.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version = live_version(spark, out) + 1
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{out}/{name}")
+        df.write.mode("overwrite").parquet(f"{out}/v={version}/{name}")
+    spark.range(1).select(F.lit(version).cast("long").alias("version")).write.mode("append").parquet(f"{out}/versions")
+    return version
+
+
+def stored(spark: SparkSession, out: str, name: str, schema: str) -> DataFrame:
+    """The live table of a name; empty before the first write."""
+    return load_or_empty(spark, f"{out}/v={live_version(spark, out)}/{name}", schema)
+
+
+def rebuild(spark: SparkSession, results: str, out: str) -> DataFrame:
+    """Rebuild the ledger from result files and swap it in.
+
+    Below ``results``: generations/ and evaluations/ with single-turn files, agentic/ with multi-turn gen_* and eval_* files; a
+    folder may be absent. Returns one row: (generations, evaluations, unreadable, version), where unreadable counts the files that
+    don't parse; the files themselves are in the stored table ``unreadable``.
+    """
+
+    def read(folder: str, pattern: str) -> DataFrame:
+        from pyspark.errors import AnalysisException
+
+        try:
+            return documents(spark, f"{results}/{folder}", pattern)
+        except AnalysisException:
+            return spark.createDataFrame([], "file_path string, json string, name string")
+
+    single, multi = read("generations", "*.yaml"), read("agentic", "gen_*.yaml")
+    judged, judged_multi = read("evaluations", "*.yaml"), read("agentic", "eval_*.yaml")
+    version = write_tables(
+        out,
+        generations=standard_generations(single).unionByName(agentic_generations(multi)),
+        evaluations=evaluations(judged, derive_type=False).unionByName(evaluations(judged_multi)),
+        turns=turns(multi),
+        unreadable=corrupt(single).unionByName(corrupt(multi)).unionByName(corrupt(judged)).unionByName(corrupt(judged_multi)),
+    )
+    count = lambda name, schema: stored(spark, out, name, schema).agg(F.count(F.lit(1)).alias(name))
+    counts = count("generations", schemas.GENERATIONS).crossJoin(count("evaluations", schemas.EVALUATIONS)).crossJoin(count("unreadable", "file_path string"))
+    return counts.withColumn("version", F.lit(version))
 
 
 def load_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:

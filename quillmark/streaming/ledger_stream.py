@@ -1,8 +1,11 @@
-"""Incremental ledger: a stream of records upserted batch by batch into a versioned Parquet table.
+"""Incremental ledger: a stream of records upserted batch by batch into a versioned, bucketed Parquet table.
 
-A batch only reads the live version and writes the next one, then moves a small
-pointer, so a reader always sees a whole version; a batch that is run again
-(same batch id) replaces its own version and changes nothing else.
+Keys are dealt over a fixed number of buckets. A batch rewrites only the
+buckets that it touches and then appends one version: a small list of which
+folder holds each bucket. A reader follows the last version, so it always sees
+a whole table. Versions are numbered on their own; beside each stands the
+stream and the batch that made it, so a batch that runs again changes
+nothing, and a new stream on an old ledger goes on where the ledger is.
 """
 
 from __future__ import annotations
@@ -14,31 +17,68 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.ledger import latest, upsert
 from ..sources.ingest import load_or_empty
 
+#: Buckets of a ledger, and versions whose folders are kept for readers that are still on them.
+BUCKETS, KEEP = 64, 3
+_VERSION = "version long, source string, batch_id long, bucket int, folder string"
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    return load_or_empty(spark, f"{path}/versions", _VERSION)
+
 
 def current_version(spark: SparkSession, path: str) -> int:
     """The live version; -1 before the first batch."""
-    seen = load_or_empty(spark, f"{path}/versions", "version long").agg(F.max("version")).first()[0]
+    seen = _versions(spark, path).agg(F.max("version")).first()[0]
     return -1 if seen is None else seen
 
 
+def _folders(spark: SparkSession, path: str, version: int) -> dict[int, str]:
+    """Bucket -> folder of a version: at most BUCKETS rows."""
+    return {r.bucket: r.folder for r in _versions(spark, path).where((F.col("version") == version) & F.col("bucket").isNotNull()).collect()}
+
+
+def _read(spark: SparkSession, path: str, folders: list[str], schema: str) -> DataFrame:
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/{f}" for f in sorted(folders)])
+
+
 def current(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return load_or_empty(spark, f"{path}/v={current_version(spark, path)}", schema)
+    return _read(spark, path, list(_folders(spark, path, current_version(spark, path)).values()), schema)
 
 
-def upsert_batch(batch: DataFrame, batch_id: int, path: str, keys: tuple[str, ...], order: list[Column]) -> None:
-    """Apply one micro-batch; the last record of a key wins."""
+def upsert_batch(batch: DataFrame, batch_id: int, path: str, keys: tuple[str, ...], order: list[Column], source: str = "") -> None:
+    """Apply one micro-batch of a source; the last record of a key wins. A batch of that source that is already in changes nothing."""
     spark = batch.sparkSession
-    version = current_version(spark, path)
-    if version >= batch_id:
+    done = _versions(spark, path).where(F.col("source") == source).agg(F.max("batch_id")).first()[0]
+    if done is not None and done >= batch_id:
         return
+    now = current_version(spark, path)
+    folders, version = _folders(spark, path, now), now + 1
     ddl = ", ".join(f"`{n}` {t}" for n, t in batch.dtypes)
-    upsert(load_or_empty(spark, f"{path}/v={version}", ddl), latest(batch, keys, *order), keys).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
-    spark.range(1).select(F.lit(batch_id).cast("long").alias("version")).write.mode("append").parquet(f"{path}/versions")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    touched = {r[0] for r in batch.select(bucket).distinct().collect()}  # at most BUCKETS numbers
+    before = _read(spark, path, [f for b, f in folders.items() if b in touched], ddl)
+    after = upsert(before, latest(batch, keys, *order), keys).withColumn("__bucket", bucket)
+    after.repartition(F.col("__bucket")).write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/data/v={version}")
+    folders |= {b: f"data/v={version}/__bucket={b}" for b in touched}
+    rows = [(version, source, batch_id, b, f) for b, f in folders.items()] or [(version, source, batch_id, None, None)]
+    spark.createDataFrame(rows, _VERSION).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    _forget(spark, path, version)
+
+
+def _forget(spark: SparkSession, path: str, version: int) -> None:
+    """Delete the folders that the last KEEP versions don't name."""
+    seen = _versions(spark, path).where((F.col("version") == version - KEEP) & F.col("bucket").isNotNull())
+    kept = _versions(spark, path).where((F.col("version") > version - KEEP) & F.col("bucket").isNotNull())
+    for r in seen.join(kept, "folder", "left_anti").select("folder").collect():  # at most BUCKETS rows
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{r.folder}")
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def start(stream: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...], order: list[Column], **trigger) -> StreamingQuery:
-    """Run the upserts over a stream; ``trigger`` defaults to everything that is available."""
-    sink = lambda batch, i: upsert_batch(batch, i, path, keys, order)
+    """Run the upserts over a stream; ``trigger`` defaults to everything that is available. The checkpoint names the stream: batch numbers count within it."""
+    sink = lambda batch, i: upsert_batch(batch, i, path, keys, order, checkpoint)
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 

@@ -1,6 +1,7 @@
 """Operators on hand-made edge rows."""
 
 import math
+import os
 import re
 from collections import Counter
 
@@ -62,6 +63,7 @@ def brute_slop(t):
 EDGE_TEXTS = [
     None, "", " \n", "word " * 19, "word " * 20, "the of and " * 10 + "alpha beta gamma delta epsilon zeta eta theta iota", "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3,
     "naïve über_x a1b2 straße " * 9, "We delve into the rich tapestry of a realm; it's worth noting that " * 4, "it’s worth noting " * 12, "one two three four " * 5, "DELVE Into Delve into " * 30,
+    "one\xa0two\u3000three\x1cfour\x85five " * 5, "\u3000\xa0\x1f", "ab\u2003cd " * 9,
     "alpha beta " * 40 + " ".join(f"w{chr(97 + i)}x" for i in range(26)), "aaa bbb ccc ddd eee fff ggg hhh iii jjj kkk lll mmm nnn ooo ppp qqq rrr sss ttt aaa aaa aaa aaa aaa",
 ]
 
@@ -78,6 +80,7 @@ def test_text_scores_equal_plain_python(spark):
 
 def test_sentences_and_budgets(spark):
     assert one(spark, text.sentences(F.lit("One.  Two!? \n Three")))[0] == ["One", "Two", "Three"]
+    assert one(spark, text.sentences(F.lit("\xa0One\u3000.\u2003!\x1c?\x85Two")))[0] == ["One", "Two"]
     assert tuple(one(spark, *text.beat_budget(F.lit(600), F.lit(905), F.lit(4)))) == (150, 226)
     assert tuple(one(spark, *text.word_range(F.lit("theory_conversion")))) == (500, 800)
     assert tuple(one(spark, *text.word_range(F.lit("x"), F.lit(None).cast("int"), F.lit(9)))) == (300, 9)
@@ -110,7 +113,7 @@ def test_json_extraction(spark):
 def test_names(spark):
     f = lambda x: F.lit(x)
     got = one(spark, names.company_name(f("z-ai/x")), names.company_name(f("acme-labs/x")), names.company_name(f("solo")), names.short_name(f("a/b/c")), names.display_name(f("q/gpt-4-gpt-x")), names.task_type_of(f("a_b_001")), names.task_type_of(f("plain")), names.is_agentic(f("critique_improvement")), names.file_stem(f("t"), f("a/b"), f(0)), names.token_cost(f(1_000_000), f(2_000_000), f(0.5), f(1.0)))
-    assert tuple(got) == ("Z-AI", "Acme-Labs", "Unknown", "c", "GPT-4-GPT-x", "a_b", "plain", True, "t_a_b_0", 2.5)
+    assert tuple(got) == ("Z-Ai", "Acme-Labs", "Unknown", "c", "GPT-4-GPT-x", "a_b", "plain", True, "t_a_b_0", 2.5)
 
 
 def test_pass_rules(spark):
@@ -213,7 +216,7 @@ def test_streaming_upserts(spark, tmp_path):
         ledger_stream.start(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ("k",), [F.desc("v")]).awaitTermination()
     assert {r.k: r.v for r in ledger_stream.current(spark, str(tmp_path / "out"), schema).collect()} == {"a": 3, "b": 5}
     version = ledger_stream.current_version(spark, str(tmp_path / "out"))
-    ledger_stream.upsert_batch(spark.read.schema(schema).parquet(source), version, str(tmp_path / "out"), ("k",), [F.desc("v")])
+    ledger_stream.upsert_batch(spark.read.schema(schema).parquet(source), version, str(tmp_path / "out"), ("k",), [F.desc("v")], str(tmp_path / "cp"))
     assert ledger_stream.current_version(spark, str(tmp_path / "out")) == version
     (r,) = ledger_stream.error_rates(spark.read.schema(schema).parquet(source)).collect()
     assert (r.n, r.failed) == (4, 1)
@@ -235,7 +238,7 @@ def test_every_generation_has_a_file_name(spark):
 
     sf = "/root/testdata/sf0.001"
     want = sorted((r.sample, f"{r.task_id}_{r.model.replace('/', '_')}_{r.sample}") for r in adapters.generations(spark, sf).collect())
-    assert sorted(map(tuple, catalog.queries()["all_file_names"](spark, sf).collect())) == want and want[-1][0] >= 500
+    assert sorted(map(tuple, catalog.queries()["file_names"](spark, sf).collect())) == want and want[-1][0] >= 500
 
 
 def test_registered_slop_scores_look_for_the_whole_lists(spark, tmp_path):
@@ -245,8 +248,175 @@ def test_registered_slop_scores_look_for_the_whole_lists(spark, tmp_path):
     listed = [*K.OVERUSED_WORDS, *K.OVERUSED_PHRASES]
     docs = [(i, f"{filler} {w} {filler}") for i, w in enumerate(listed)] + [(len(listed), f"{filler} the of and la der de"), (len(listed) + 1, "short")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    slop, whole = ({r[0]: r[1] for r in catalog.queries()[q](spark, str(tmp_path)).collect()} for q in ("slop_score_full", "programmatic_score_full"))
+    slop, whole = ({r[0]: r[1] for r in catalog.queries()[q](spark, str(tmp_path)).collect()} for q in ("slop_score", "programmatic_score"))
     assert slop == {i: pytest.approx(brute_slop(t), abs=1e-6) for i, t in docs} and all(slop[i] < 1 for i in range(len(listed)))
     words = {i: len(t.split()) for i, t in docs}
     fits = {r[0]: r[1] for r in spark.createDataFrame(list(words.items()), "i long, n int").select("i", text.word_count_score(F.col("n"), F.lit(300), F.lit(500))).collect()}
     assert whole == {i: pytest.approx(0.4 * fits[i] + 0.35 * brute_repetition(t) + 0.25 * brute_slop(t), abs=2e-6) for i, t in docs}
+
+
+def test_repetition_scores_rows_not_ids(spark):
+    different, same = " ".join(chr(97 + i) * 4 for i in range(20)), "alpha beta gamma " * 20
+    df = spark.createDataFrame([(1, different), (1, same), (None, same)], "doc_id int, text string")
+    assert sorted(r.repetition_score for r in text.repetition_scores(df).collect()) == pytest.approx(sorted(map(brute_repetition, (different, same, same))))
+
+
+def test_safe_float_takes_what_python_takes(spark):
+    def plain(x):
+        try:
+            return float(x)
+        except ValueError:
+            return 0.25
+
+    values = ["1d", "0.8f", "1", " 0.5 ", ".5", "5.", "1e3", "1_000.5", "_1", "1__0", "0x10", "1,5", "", "+7", "-.5e-1", "8/10", "1e", "inf", "-Infinity", "true ly"]
+    got = one(spark, *[judge.safe_float(F.lit(v), 0.25) for v in values])
+    assert list(got) == [plain(v) for v in values]
+    assert tuple(one(spark, judge.safe_float(F.lit("True")), judge.safe_float(F.lit(None).cast("string"), 0.5))) == (1.0, 0.5)
+
+
+def test_extreme_types_of_three(spark):
+    rates = spark.createDataFrame([("task_type", t, r) for t, r in (("a", 0.1), ("b", 0.5), ("c", 0.9))], "scope string, task_type string, rate double")
+    assert sorted((r.task_type, r.end) for r in ranking.extreme_types(rates).collect()) == [("a", "weakest"), ("b", "strongest"), ("b", "weakest"), ("c", "strongest")]
+
+
+def test_synthesis_needs_its_cross_checks(spark):
+    cross = lambda v: F.create_map(F.lit("m"), F.lit(v))
+    none, nested = F.lit(None).cast("map<string,map<string,boolean>>"), F.create_map(F.lit("x"), F.create_map(F.lit("p"), F.lit(True)))
+    got = one(spark, *[rules.synthesis_pass(c, r, F.lit(o)) for c, r, o in ((cross(False), none, True), (cross(True), none, True), (cross(True), none, False), (cross(False), nested, True), (cross(True), nested, False))])
+    assert tuple(got) == (False, True, False, False, True)
+
+
+def test_names_in_leaderboard_and_charts(spark):
+    m = [F.lit(x) for x in ("z-ai/x", "moonshotai/x", "x-ai/x")]
+    assert tuple(one(spark, *map(names.company_name, m))) == ("Z-Ai", "Moonshotai", "xAI")
+    assert tuple(one(spark, *[names.company_name(x, K.CHART_COMPANY_NAMES) for x in m])) == ("Z-AI", "Moonshot", "xAI")
+
+
+def test_new_stream_on_an_old_ledger_loses_nothing(spark, tmp_path):
+    schema, out = "k string, v int", str(tmp_path / "out")
+    for source, rows in (("one", [("a", 1)]), ("one", [("b", 2)]), ("two", [("a", 7), ("c", 3)]), ("two", [("d", 4)])):
+        number = {("one", "a"): 0, ("one", "b"): 1, ("two", "a"): 0, ("two", "d"): 1}[source, rows[0][0]]
+        for _ in range(2):  # a batch that runs again changes nothing
+            ledger_stream.upsert_batch(spark.createDataFrame(rows, schema), number, out, ("k",), [F.desc("v")], source)
+    assert {r.k: r.v for r in ledger_stream.current(spark, out, schema).collect()} == {"a": 7, "b": 2, "c": 3, "d": 4}
+    assert ledger_stream.current_version(spark, out) == 3
+    ledger_stream.upsert_batch(spark.createDataFrame([], schema), 2, out, ("k",), [F.desc("v")], "two")
+    ledger_stream.upsert_batch(spark.createDataFrame([("a", 1)], schema), 3, out, ("k",), [F.desc("v")], "two")
+    assert {r.k: r.v for r in ledger_stream.current(spark, out, schema).collect()} == {"a": 1, "b": 2, "c": 3, "d": 4}
+
+
+def _result_files(folder):
+    import json
+
+    for d in ("generations", "evaluations", "agentic"):
+        (folder / d).mkdir(parents=True)
+    put = lambda name, x: (folder / name).write_text(x if isinstance(x, str) else json.dumps(x))
+    put("generations/a.yaml", {"task_id": "beat_revision_001", "task_type": "beat_revision", "model": "c/m", "output": "x", "metadata": {"cost": 0.5, "prompt_tokens": 3}})
+    put("generations/b.yaml", "{broken")
+    put("agentic/gen_a.yaml", {"generation_id": "g1", "task_id": "agentic_planning_execution_001", "model": "c/m", "token_usage": {"total_cost": 0.25, "total_completion_tokens": 9}, "metrics": {"total_turns": 2}, "agentic_type": "planning_execution", "turns": [{"role": "user", "content": "hi", "turn_type": "plan_prompt"}, {"role": "assistant", "content": "plan", "turn_type": "plan"}]})
+    put("agentic/eval_a.yaml", {"task_id": "agentic_planning_execution_001", "model": "c/m", "evaluator_model": "j", "final_score": 0.5, "process_scores": {"p": 0.25}, "output_scores": {"o": 0.75}, "evaluator_cost": 0.1})
+    put("evaluations/a.yaml", {"task_id": "beat_revision_001", "model": "c/m", "evaluator_model": "j", "final_score": 0.75, "score_breakdown": {"components": {"programmatic": {"score": 0.5, "breakdown": {"word_count_score": 0.25}}, "llm_judge": {"score": 1.0}}}, "llm_results": {"a": True}})
+    put("evaluations/b.yaml", {"model": "no task"})
+
+
+def test_rebuild_from_result_files(spark, tmp_path):
+    from quillmark.sources import schemas
+
+    _result_files(tmp_path / "results")
+    results, out = str(tmp_path / "results"), str(tmp_path / "ledger")
+    assert ingest.stored(spark, out, "generations", schemas.GENERATIONS).count() == 0
+    for version in (0, 1):  # a rebuild replaces, it doesn't append
+        assert tuple(ingest.rebuild(spark, results, out).first()) == (2, 2, 1, version)
+    g = {r.task_type: r for r in ingest.stored(spark, out, "generations", schemas.GENERATIONS).collect()}
+    assert (g["beat_revision"].generation_cost, g["beat_revision"].prompt_tokens, g["beat_revision"].agentic_type) == (0.5, 3, None)
+    assert (g["unknown"].generation_cost, g["unknown"].completion_tokens, g["unknown"].metrics.total_turns, g["unknown"].theory) == (0.25, 9, 2, "Unknown")
+    e = {r.task_id: r for r in ingest.stored(spark, out, "evaluations", schemas.EVALUATIONS).collect()}
+    one_, many = e["beat_revision_001"], e["agentic_planning_execution_001"]
+    assert (one_.task_type, one_.word_count_score, one_.programmatic, one_.llm_judge, one_.output_scores, one_.llm_results) == ("unknown", 0.25, 0.5, 1.0, None, {"a": "true"})
+    assert (many.task_type, many.process_scores, many.output_scores, many.evaluation_cost, many.success) == ("agentic_planning_execution", {"p": 0.25}, {"o": 0.75}, 0.1, True)
+    assert [(r.turn_idx, r.turn_type) for r in ingest.stored(spark, out, "turns", schemas.TURNS).orderBy("turn_idx").collect()] == [(0, "plan_prompt"), (1, "plan")]
+    assert ingest.rebuild(spark, str(tmp_path / "none"), str(tmp_path / "empty")).first()[:3] == (0, 0, 0)
+
+
+def test_task_files_in_scan_order(spark, tmp_path):
+    import json
+
+    for kind, name, place in (("critique_improvement", "b.json", "word_count"), ("beat_revision", "c.json", "requirements"), ("beat_revision", "a.json", "requirements"), ("theory_conversion", "d.json", "target_requirements")):
+        words = [300, 500]
+        body = {"word_count": words} if place == "word_count" else {place: {"word_count": words}}
+        (tmp_path / name).write_text(json.dumps({"task_id": f"{kind}_{ord(name[0])}", "task_type": kind, "theory": "Story Circle", **body}))
+    t = ingest.in_scan_order(ingest.tasks(ingest.documents(spark, str(tmp_path)))).orderBy("ord").collect()
+    assert [r.file_path.rsplit("/", 1)[1] for r in t] == ["a.json", "c.json", "d.json", "b.json"]
+    assert {(r.word_count_min, r.word_count_max) for r in t} == {(300, 500)}
+
+
+def test_tables_swap_only_when_all_are_written(spark, tmp_path):
+    out = str(tmp_path / "t")
+    ingest.write_tables(out, a=spark.range(3), b=spark.range(2))
+    with pytest.raises(Exception):
+        ingest.write_tables(out, a=spark.range(9), b=spark.range(1).select(F.raise_error(F.lit("dies")).cast("long").alias("id")))
+    assert [ingest.stored(spark, out, n, "id long").count() for n in "ab"] == [3, 2]
+
+
+def test_reports(spark, tmp_path):
+    from quillmark.sources import adapters
+
+    sf = "/root/testdata/sf0.001"
+    evaluations, generations, tasks, flags = (f(spark, sf) for f in (adapters.evaluations, adapters.generations, adapters.tasks, adapters.pass_flags))
+    report.write_report(str(tmp_path), flags, evaluations, generations, tasks)
+    analysis = "\n".join(r.value for r in spark.read.text(str(tmp_path / "task_analysis")).collect())
+    assert analysis.count("\n## ") == 7 and "| 1 | " in analysis.split("## Hardest tasks")[1]
+    assert spark.read.json(str(tmp_path / "insights")).where("insight = 'weakest_task_type'").count() == 2
+    assert spark.read.json(str(tmp_path / "statistical_comparisons")).count() == 45
+    cells = aggregates.cell_scores(evaluations)
+    summary = report.console_summary(aggregates.summary(evaluations, generations), aggregates.model_scores(cells, "task_type"), ["x/judge-0"])
+    assert summary.startswith("Models evaluated: 10\n") and "Evaluators: judge-0" in summary and "  10. " in summary
+    with pytest.raises(ValueError):
+        report.markdown_table(spark.range(4), most=3)
+    assert report.number(1234567) == "1,234,567"
+
+
+# The published leaderboard: model, score, cost, value.
+GOLDEN_TOP = [
+    ("deepseek-v3.2", "92.2%", "0.1978", "430.2"),
+    ("claude-opus-4.5", "90.9%", "2.8457", "29.0"),
+    ("claude-sonnet-4.5", "90.1%", "1.7390", "46.6"),
+    ("claude-sonnet-4", "89.6%", "1.5932", "50.4"),
+    ("o3", "89.5%", "0.9582", "83.6"),
+    ("glm-4.7", "88.8%", "0.6058", "130.3"),
+    ("kimi-k2-thinking", "88.7%", "0.5782", "136.1"),
+    ("gemini-3-flash-preview", "88.3%", "0.5896", "132.4"),
+    ("minimax-m2.1", "86.9%", "0.3793", "199.3"),
+    ("claude-haiku-4.5", "86.9%", "0.6956", "108.5"),
+    ("o3-mini", "86.9%", "0.5620", "134.3"),
+    ("deepseek-r1", "86.7%", "0.4157", "180.9"),
+    ("gemini-2.5-flash", "85.7%", "0.4177", "175.8"),
+    ("gpt-4o", "85.6%", "0.8069", "90.9"),
+    ("grok-4", "85.5%", "1.8858", "38.7"),
+    ("gemini-3-pro-preview", "85.3%", "2.1086", "34.5"),
+    ("qwen3-235b-a22b", "84.5%", "0.2177", "327.9"),
+    ("mistral-small-creative", "84.3%", "0.2119", "335.2"),
+    ("gpt-5", "82.0%", "1.6176", "41.6"),
+    ("gpt-4o-mini", "81.7%", "0.1829", "364.7"),
+    ("gpt-5.2", "80.3%", "1.7564", "36.7"),
+    ("gpt-5.1", "78.5%", "1.5230", "40.5"),
+    ("minimax-m2", "77.1%", "0.3116", "190.7"),
+    ("ministral-14b-2512", "77.1%", "0.1906", "311.6"),
+    ("llama-4-maverick", "72.2%", "0.1938", "268.8"),
+]
+
+
+@pytest.mark.skipif("QUILLMARK_RESULTS" not in os.environ, reason="no folder of result files is given")
+def test_published_tables(spark, tmp_path):
+    """Ingest of the published result files gives the published leaderboard, costs and counts."""
+    out = str(tmp_path / "ledger")
+    from quillmark.sources import schemas
+
+    found = ingest.rebuild(spark, os.environ["QUILLMARK_RESULTS"], out).first()
+    assert (found.generations, found.evaluations, found.unreadable) == (850, 2553, 0)
+    evaluations, generations = ingest.stored(spark, out, "evaluations", schemas.EVALUATIONS), ingest.stored(spark, out, "generations", schemas.GENERATIONS)
+    summary = aggregates.summary(evaluations, generations)
+    values = {r.model_short: r.value for r in ranking.value_ranking(summary).withColumn("model_short", names.short_name(F.col("model"))).collect()}
+    ranked = ranking.leaderboard(summary).orderBy("rank").collect()
+    assert [(r.model_short, f"{r.avg_score:.1%}", f"{r.generation_cost:.4f}", f"{values[r.model_short]:.1f}") for r in ranked] == GOLDEN_TOP
+    assert [r.company for r in ranked if r.model_short == "glm-4.7"] == ["Z-Ai"]
