@@ -23,10 +23,12 @@ def text_bytes(name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); one is set only where none is, as in tests."""
+    """The folder all executors share (``spark.checkpoint.dir``). Without it only a local master gets a temporary one; on a cluster it is an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if found is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         found = tempfile.mkdtemp(prefix="quillmark-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")

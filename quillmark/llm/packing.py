@@ -155,7 +155,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ByteEncoder(spec.value)
         for b in common.slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(encoder.encode(t)) + 1 for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "n"])
+            counts = [len(ids) // encoder.kind.itemsize + 1 for ids in encoder.encode(b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], ["doc_id", "n"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("t")).mapInArrow(run, "doc_id long, n long")
 

@@ -1,20 +1,25 @@
 """Token-id output as a content-addressed store.
 
-Rolling hashes cut each document's id stream into chunks. A task ships each
-chunk once, with the list of its uses; after the exchange by digest each
-unique chunk is written once, to ``store/`` (chunk bytes on the first row of a
-digest only). ``recipes/`` holds, in ascending doc_id order, every document's
-start, length and Merkle root over its chunk digests, and ``manifest/`` one
-root for each recipe range.
-
-Reading back checks every chunk's bytes against its digest and every
-document's root against its recipe. A checksum of a whole document is combined
-from its chunks' checksums, so verifying moves digests, not ids.
+Rolling hashes cut each document's id stream into chunks. The encoding tasks
+ship two kinds of rows through one exchange: chunks, named by their digest, of
+which one copy each is written to ``store/``; and one recipe for each
+document, made from its ids before they are cut: number of ids, checksum, the
+digests of its chunks in order, and their Merkle root. ``recipes/`` holds
+them in ascending doc_id order with each document's position and start.
+``manifest/`` holds a Merkle tree over the documents' roots in that order, up
+to a single root that also counts documents and ids.
+
+Reading back trusts no part: chunks must match their digests, recipes the
+root of their digests, the checksums of what is stored those of what was
+encoded, and all recipes together the manifest. So a changed or lost chunk,
+recipe, manifest row or table fails the job. A checksum of a whole document is
+combined from its chunks' checksums, so verifying moves digests, not ids.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,42 +34,72 @@ from pyspark.sql.window import Window
 from . import common
 from .bpe import rolling_hash
 
-#: Ids that a task gathers before it ships its chunks.
-FLUSH_IDS = 8_000_000
-USES = "array<struct<doc_id:long,uid:long,seq:int>>"
-#: What splits text in byte-level BPE (the pre-tokenizer's own pattern).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Beyond these characters Unicode versions may class characters differently, so the tokenizers library encodes such texts.
-_OTHER = re.compile("[^\x00-ɏ‐-‧€]")
+#: Ids that a task gathers before it ships its chunks, and words that an encoder remembers.
+FLUSH_IDS, MEMO_WORDS = 8_000_000, 250_000
+#: Documents or nodes below one node of the manifest.
+FAN = 1024
+#: Letters and numbers among the characters that ``_OTHER`` lets pass, for Python's classes; the pattern of byte-level pre-tokenizers.
+_L, _N = r"[^\W\d_²³¹¼½¾]", r"[\d²³¹¼½¾]"
+PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_L}+| ?{_N}+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+#: Texts with any other character are encoded whole: beyond these, Python may class characters otherwise.
+_OTHER = re.compile("[^\x00-\x1b\x20-ɏ‐-‧€]")
 
 
 class ByteEncoder:
     """Ids of the tokenizers library for a byte-level BPE file.
 
-    Texts of common characters go through the same merges as ranks in tiktoken, which gives the same ids several times faster;
-    all others go through the tokenizers library itself.
+    Texts of common characters are split as the library's pre-tokenizer splits them, and each different word is encoded by the
+    library once while a bounded memory lasts; other texts, and those that name an added token, go through the library whole.
     """
 
     def __init__(self, spec: str) -> None:
-        import tiktoken
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_str(spec)
-        self.library.no_truncation()
-        self.library.no_padding()
-        parsed = json.loads(spec)
-        added = {t["content"]: t["id"] for t in parsed["added_tokens"]}
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        ranks = {bytes(shown[c] for c in t): i for t, i in parsed["model"]["vocab"].items() if t not in added}
-        self.fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.kind = np.dtype(id_type(spec))
+        added = [t["content"] for t in json.loads(spec)["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.words = re.compile(PATTERN).findall
+        self.ids: dict[str, bytes] = {}  # what was used lately, and what was before
+        self.older: dict[str, bytes] = {}
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.ids) + len(words) > MEMO_WORDS:
+            self.ids, self.older = {}, self.ids
+        new = []
+        for w in words - self.ids.keys():
+            known = self.older.get(w)
+            if known is None:
+                new.append(w)
+            else:
+                self.ids[w] = known
+        if new:
+            self.ids.update(zip(new, self.library(new)))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of whole texts, as little-endian unsigned integers of the file's width."""
+        out: list[bytes] = []
+        for at in range(0, len(texts), 64):
+            part = [t.decode("utf-8", "replace") for t in texts[at : at + 64]]
+            whole = [bool(_OTHER.search(t) or self.special and self.special.search(t)) for t in part]
+            split = [[] if w else self.words(t) for t, w in zip(part, whole)]
+            self._learn({w for ws in split for w in ws})
+            found = iter(self.library([t for t, w in zip(part, whole) if w]))
+            out += [next(found) if w else b"".join(map(self.ids.__getitem__, ws)) for w, ws in zip(whole, split)]
+        return out
 
-    def encode(self, text: bytes) -> np.ndarray:
-        t = text.decode("utf-8", "replace")
-        if not t.isascii() and _OTHER.search(t) or self.special and self.special.search(t):
-            return np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(t, disallowed_special=())
+
+def id_type(spec: str) -> str:
+    """The width of stored ids: numpy's name of the type."""
+    parsed = json.loads(spec)
+    most = max([*parsed["model"]["vocab"].values(), *(t["id"] for t in parsed["added_tokens"])])
+    return "<u2" if most < 1 << 16 else "<u4"
 
 
 def id_chunks(ids: np.ndarray, bits: int = 9, width: int = 8) -> list[np.ndarray]:
@@ -87,65 +122,112 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return level[0]
 
 
+CHUNK, RECIPE = 0, 1
+_SHIPPED = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("ids", pa.binary()), ("doc_id", pa.int64()), ("uid", pa.int64()), ("n", pa.int64()), ("crc", pa.int64()), ("root", pa.binary()), ("digests", pa.binary())])
+_SHIPPED_DDL = "kind int, key binary, ids binary, doc_id long, uid long, n long, crc long, root binary, digests binary"
+_STORED = "key binary, ids binary"
+
+
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> None:
     """Encode ``docs`` (doc_id, text; other columns are ignored) and write store, recipes and manifest below ``path``.
 
     Each document's ids end with ``end_id``, so null and empty texts are one id long. Chunks hold little-endian unsigned integers
     of 16 bits, of 32 for vocabularies beyond 65536. Documents are ordered by doc_id (null first), equal ids by an arbitrary but
-    kept order; repeated rows are documents of their own. An empty table gives empty files.
+    kept order; repeated rows are documents of their own. An empty table gives an empty store with a root of no documents.
     """
     spark = docs.sparkSession
     text = open(tokenizer_path, encoding="utf-8").read()
     spec = spark.sparkContext.broadcast(text)  # a vocabulary file: its size doesn't depend on the data
-    kind = id_type(text)
+    kind = np.dtype(id_type(text))
+    end = np.array([end_id], kind).tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ByteEncoder(spec.value)
-        chunks: dict[bytes, tuple[bytes, list]] = {}
+        chunks: dict[bytes, bytes] = {}
         held = 0
+        for b in common.slices(batches, 500):
+            recipes = []
+            for doc_id, uid, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoder.encode(b.column(2).to_pylist())):
+                ids = np.frombuffer(raw + end, kind)
+                names = []
+                for c in id_chunks(ids):
+                    stored = c.tobytes()
+                    names.append(digest(stored))
+                    chunks[names[-1]] = stored
+                held += len(ids)
+                recipes.append((doc_id, uid, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), merkle_root(names), b"".join(names)))
+            yield _shipped(RECIPE, [u.to_bytes(8, "big", signed=True) for _, u, *_ in recipes], None, recipes)
+            if held > FLUSH_IDS:
+                yield _shipped(CHUNK, list(chunks), list(chunks.values()), None)
+                chunks, held = {}, 0
+        yield _shipped(CHUNK, list(chunks), list(chunks.values()), None)
 
-        def flush() -> pa.RecordBatch:
-            names = list(chunks)
-            out = pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([chunks[n][0] for n in names], pa.binary()), pa.array([chunks[n][1] for n in names], pa.list_(pa.struct([("doc_id", pa.int64()), ("uid", pa.int64()), ("seq", pa.int32())])))], ["digest", "ids", "uses"])
-            chunks.clear()
-            return out
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), common.text_bytes().alias("t"))
+    first = F.row_number().over(Window.partitionBy("key").orderBy("key"))  # chunks of one digest are equal: any copy will do
+    once = named.mapInArrow(cut, _SHIPPED_DDL).withColumn("__n", first).where("__n = 1").drop("__n")
+    once.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/store")
+    spark.createDataFrame([], _STORED).write.mode("append").parquet(f"{path}/store/kind={CHUNK}")
+    _write_recipes(spark, path)
+    common.remove(spark, f"{path}/store/kind={RECIPE}")  # they stand in recipes/ now
 
-        for b in batches:
-            for doc_id, uid, t in zip(*(b.column(i).to_pylist() for i in range(3))):
-                ids = np.append(encoder.encode(t), np.uint32(end_id)).astype(kind)
-                for seq, c in enumerate(id_chunks(ids)):
-                    raw = c.tobytes()
-                    chunks.setdefault(digest(raw), (raw, []))[1].append({"doc_id": doc_id, "uid": uid, "seq": seq})
-                held += len(ids)
-                if held > FLUSH_IDS:
-                    yield flush()
-                    held = 0
-        yield flush()
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for b in batches:
-            names = b.column(0).to_pylist()
-            first = []
-            for n in names:
-                first.append(n not in seen)
-                seen.add(n)
-            ids = pa.compute.if_else(pa.array(first, pa.bool_()), b.column(1), pa.scalar(None, pa.binary()))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, b.column(2)], ["digest", "ids", "uses"])
+def _shipped(kind: int, keys: list[bytes], ids: list[bytes] | None, recipes: list[tuple] | None) -> pa.RecordBatch:
+    rest = [pa.nulls(len(keys), t) for t in _SHIPPED.types[3:]] if recipes is None else [pa.array(c, t) for c, t in zip(zip(*recipes), _SHIPPED.types[3:])] or [pa.array([], t) for t in _SHIPPED.types[3:]]
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.int32()), pa.array(keys, pa.binary()), pa.nulls(len(keys), pa.binary()) if ids is None else pa.array(ids, pa.binary()), *rest], schema=_SHIPPED)
 
-    import pyarrow.compute  # noqa: F401
 
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), common.text_bytes().alias("t"))
-    shipped = named.mapInArrow(cut, f"digest binary, ids binary, uses {USES}").repartition(common.shuffle_width(spark), "digest")
-    shipped.mapInArrow(once, f"digest binary, ids binary, uses {USES}").write.option("compression", "zstd").parquet(f"{path}/store")
-    _write_recipes(spark, path, np.dtype(kind).itemsize)
+RECIPES = "doc_id long, uid long, position long, start long, n_tokens long, crc long, root binary, digests binary"
+MANIFEST = "level int, node long, documents long, n_tokens long, hash string"
 
 
-def id_type(spec: str) -> str:
-    """The width of stored ids: numpy's name of the type."""
-    parsed = json.loads(spec)
-    most = max([*parsed["model"]["vocab"].values(), *(t["id"] for t in parsed["added_tokens"])])
-    return "<u2" if most < 1 << 16 else "<u4"
+def _write_recipes(spark, path: str) -> None:
+    raw = spark.read.schema("doc_id long, uid long, n long, crc long, root binary, digests binary, kind int").parquet(f"{path}/store").where(F.col("kind") == RECIPE)
+    ranged = common.materialize(raw.drop("kind").repartitionByRange(common.shuffle_width(spark), "doc_id", "uid").withColumn("range", F.spark_partition_id()), "recipe-ranges")
+    totals = ranged.groupBy("range").agg(F.sum("n").alias("ids"), F.count(F.lit(1)).alias("docs"))
+    earlier = Window.orderBy("range")  # one row for each range
+    before = totals.select("range", (F.sum("ids").over(earlier) - F.col("ids")).alias("ids_before"), (F.sum("docs").over(earlier) - F.col("docs")).alias("docs_before"))
+    order = Window.partitionBy("range").orderBy("doc_id", "uid")
+    placed = ranged.join(F.broadcast(before), "range")
+    position, start = F.col("docs_before") + F.row_number().over(order) - 1, F.col("ids_before") + F.sum("n").over(order) - F.col("n")
+    placed.select("doc_id", "uid", position.cast("long").alias("position"), start.alias("start"), F.col("n").alias("n_tokens"), "crc", "root", "digests").write.parquet(f"{path}/recipes")
+    tree(spark.read.schema(RECIPES).parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+
+
+def tree(recipes: DataFrame) -> DataFrame:
+    """(level, node, documents, n_tokens, hash): a Merkle tree over the recipes in their order, FAN below a node, up to one root at node 0.
+
+    A node's hash covers the roots, positions and lengths below it in order, so a missing, added or moved recipe changes it. No task holds
+    more than FAN hashes. The number of levels follows from the number of documents.
+    """
+    spark = recipes.sparkSession
+    count = (recipes.agg(F.max("position")).first()[0] or 0) + 1
+    leaf = F.sha2(F.concat_ws(":", F.col("position"), F.col("start"), F.col("n_tokens"), F.col("crc"), F.hex("root"), F.hex("digests"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))), 256)
+    below = recipes.select(F.col("position").alias("node"), F.lit(1).cast("long").alias("documents"), "n_tokens", leaf.alias("hash"))
+    levels, level = [], 0
+    while True:
+        level, count = level + 1, -(-count // FAN)
+        children = F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda x: F.concat_ws("=", x["node"], x["hash"]))
+        above = below.groupBy(F.floor(F.col("node") / FAN).cast("long").alias("node")).agg(F.sum("documents").alias("documents"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.array_join(children, ","), 256).alias("hash"))
+        levels.append(above.select(F.lit(level).alias("level"), "node", "documents", "n_tokens", "hash"))
+        below = above
+        if count == 1:
+            break
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    empty = spark.range(1).select(F.lit(1).alias("level"), F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("documents"), F.lit(0).cast("long").alias("n_tokens"), F.sha2(F.lit(""), 256).alias("hash"))
+    return out if not recipes.isEmpty() else empty
+
+
+def verify_manifest(spark, path: str) -> None:
+    """Fail unless the recipes are exactly those of the manifest. Only a count reaches the driver."""
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
+    kept = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    mine, theirs = tree(recipes), kept.select("level", "node", *[F.col(c).alias(f"kept_{c}") for c in ("documents", "n_tokens", "hash")])
+    same = F.col("documents").eqNullSafe(F.col("kept_documents")) & F.col("n_tokens").eqNullSafe(F.col("kept_n_tokens")) & F.col("hash").eqNullSafe(F.col("kept_hash"))
+    wrong = mine.join(theirs, ["level", "node"], "full").where(~same).count()
+    if wrong:
+        raise ValueError(f"recipes and manifest differ in {wrong} nodes")
 
 
 def checked_chunks(spark, path: str, width: int) -> DataFrame:
@@ -163,22 +245,49 @@ def checked_chunks(spark, path: str, width: int) -> DataFrame:
                 crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["digest", "n", "crc"])
 
-    stored = spark.read.parquet(f"{path}/store").where("ids is not null").select("digest", "ids")
-    return stored.mapInArrow(check, "digest binary, n long, crc long")
+    return _chunks(spark, path).mapInArrow(check, "digest binary, n long, crc long")
+
+
+def _chunks(spark, path: str) -> DataFrame:
+    return spark.read.schema(_STORED).parquet(f"{path}/store/kind={CHUNK}").select(F.col("key").alias("digest"), "ids")
+
+
+def _uses(recipes: DataFrame) -> DataFrame:
+    """(root, seq, digest): the chunks of every different recipe; a root that isn't that of its digests fails the job."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches):
+            roots, seqs, out = [], [], []
+            for root, joined in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                names = [joined[i : i + 16] for i in range(0, len(joined), 16)]
+                if merkle_root(names) != root:
+                    raise ValueError("a recipe doesn't match its root")
+                roots += [root] * len(names)
+                seqs += range(len(names))
+                out += names
+            yield pa.RecordBatch.from_arrays([pa.array(roots, pa.binary()), pa.array(seqs, pa.int32()), pa.array(out, pa.binary())], ["root", "seq", "digest"])
+
+    return recipes.select("root", "digests").distinct().mapInArrow(split, "root binary, seq int, digest binary")
 
 
-def _documents(spark, path: str, width: int) -> DataFrame:
-    """(doc_id, uid, n, crc, root, digests) of every document, from the stored files."""
-    uses = spark.read.parquet(f"{path}/store").select("digest", F.explode("uses").alias("u")).select("digest", "u.*")
-    parts = uses.join(checked_chunks(spark, path, width), "digest").groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("seq", "n", "crc", "digest"))).alias("parts"))
+def read_back(spark, path: str, width: int = 2) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files.
+
+    Fails where any part of the store is missing, changed or added: at once for recipes and manifest, and when the result is
+    computed for chunks. A store of no documents gives an empty result.
+    """
+    verify_manifest(spark, path)
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
+    parts = _uses(recipes).join(checked_chunks(spark, path, width), "digest", "left")
+    whole = parts.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("seq", "n", "crc"))).alias("p"), F.count_if(F.col("n").isNull()).alias("lost"))
     zeros = bytes(1 << 16)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, crc, root = [], [], []
-            for seq, sizes, crcs, names in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5))):
-                if seq != list(range(len(seq))):
-                    raise ValueError("a document's chunks are incomplete")
+            n, crc = [], []
+            for sizes, crcs, lost in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+                if lost:
+                    raise ValueError(f"{lost} chunks of a document are missing")
                 total = 0
                 for c, size in zip(crcs, sizes):
                     for at in range(0, 4 * size, len(zeros)):
@@ -187,41 +296,20 @@ def _documents(spark, path: str, width: int) -> DataFrame:
                     total ^= c
                 n.append(sum(sizes))
                 crc.append(total)
-                root.append(merkle_root(names))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(root, pa.binary())], ["doc_id", "uid", "n", "crc", "root"])
-
-    flat = parts.select("doc_id", "uid", "parts.seq", "parts.n", "parts.crc", "parts.digest")
-    return flat.mapInArrow(join, "doc_id long, uid long, n long, crc long, root binary")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["root", "got_n", "got_crc"])
 
-
-def _write_recipes(spark, path: str, width: int) -> None:
-    found = common.materialize(_documents(spark, path, width), "documents-of-store")
-    ranged = common.materialize(found.repartitionByRange(common.shuffle_width(spark), "doc_id", "uid").withColumn("range", F.spark_partition_id()), "ranges")
-    order = Window.partitionBy("range").orderBy("doc_id", "uid")
-    totals = ranged.groupBy("range").agg(F.sum("n").alias("sum"))
-    before = totals.withColumn("before", F.sum("sum").over(Window.orderBy("range")) - F.col("sum")).select("range", "before")  # one row for each range
-    recipes = ranged.join(F.broadcast(before), "range").withColumn("start", F.col("before") + F.sum("n").over(order) - F.col("n"))
-    recipes.select("doc_id", "uid", "start", F.col("n").alias("n_tokens"), "root", "range").write.parquet(f"{path}/recipes")
-    kept = spark.read.parquet(f"{path}/recipes")
-    roots = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda x: F.hex(x["root"])), ""), 256)
-    kept.groupBy("range").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("n_tokens"), roots.alias("root")).write.parquet(f"{path}/manifest")
-
-
-def read_back(spark, path: str, width: int = 2) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files; a root that differs from its recipe fails the job."""
-    recipes = spark.read.parquet(f"{path}/recipes")
-    got = _documents(spark, path, width).select("uid", F.col("n").alias("got_n"), "crc", F.col("root").alias("got_root"))
-    same = (F.col("got_root") == F.col("root")) & (F.col("got_n") == F.col("n_tokens"))
-    checked = recipes.join(got, "uid", "left").withColumn("crc", F.when(F.coalesce(same, F.lit(False)), F.col("crc")).otherwise(F.raise_error(F.lit("a document doesn't match its recipe")).cast("long")))
-    return checked.select("doc_id", "start", "n_tokens", F.col("crc").alias("ids_crc32"))
+    got = whole.select("root", "p.n", "p.crc", "lost").mapInArrow(join, "root binary, got_n long, got_crc long")
+    same = (F.col("got_crc") == F.col("crc")) & (F.col("got_n") == F.col("n_tokens"))
+    checked = F.when(F.coalesce(same, F.lit(False)), F.col("got_crc")).otherwise(F.raise_error(F.lit("a document doesn't match its recipe")).cast("long"))
+    return recipes.join(got, "root", "left").select("doc_id", "start", "n_tokens", checked.alias("ids_crc32"))
 
 
 def read_ids(spark, path: str) -> DataFrame:
-    """(doc_id, uid, ids binary): every document's whole ids, rebuilt from its chunks."""
-    stored = spark.read.parquet(f"{path}/store")
-    uses = stored.select("digest", F.explode("uses").alias("u")).select("digest", "u.*")
-    parts = uses.join(stored.where("ids is not null").select("digest", "ids"), "digest").groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("p"))
-    return parts.select("doc_id", "uid", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
+    """(doc_id, uid, ids binary): every document's whole ids, rebuilt from its chunks; repeated rows stay apart by uid, null ids are kept."""
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
+    parts = _uses(recipes).join(_chunks(spark, path), "digest").groupBy("root").agg(F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("p"))
+    whole = parts.select("root", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
+    return recipes.join(whole, "root").select("doc_id", "uid", "ids")
 
 
 def op2_token_store(spark, sf_dir):

@@ -89,22 +89,75 @@ def test_token_store_round_trip(spark, docs, rows, empty, tmp_path):
     assert known == sorted(known)
     whole = store.read_ids(spark, str(tmp_path / "s")).collect()
     assert sorted((str(r.doc_id), np.frombuffer(r.ids, "<u2").tolist()) for r in whole) == sorted((str(i), x) for i, x in encoded)
-    chunks = spark.read.parquet(str(tmp_path / "s/store")).where("ids is not null")
-    assert chunks.count() == chunks.select("digest").distinct().count() == chunks.select("ids").distinct().count()
-    assert spark.read.parquet(str(tmp_path / "s/manifest")).agg({"documents": "sum"}).first()[0] == len(rows)
+    chunks = spark.read.parquet(str(tmp_path / "s/store"))
+    assert chunks.count() == chunks.select("key").distinct().count() == chunks.select("ids").distinct().count() and chunks.where("ids is null").count() == 0
+    (root,) = spark.read.parquet(str(tmp_path / "s/manifest")).collect()
+    assert (root.documents, root.n_tokens) == (len(rows), sum(len(x) for _, x in encoded))
     store.write_store(empty, str(tmp_path / "e"), path)
     assert store.read_back(spark, str(tmp_path / "e")).count() == 0
 
 
-def test_token_store_finds_damage(spark, docs, tmp_path):
+def _copy(spark, source, target, **changed):
+    """A copy of a store, with some tables changed; None leaves a table out."""
+    for name, table in {"store/kind=0": "chunks", "recipes": "recipes", "manifest": "manifest"}.items():
+        df = spark.read.parquet(f"{source}/{name}")
+        if (change := changed.get(table, lambda x: x)) is not None:
+            change(df).write.parquet(f"{target}/{name}")
+
+
+def test_token_store_finds_damage_and_loss(spark, docs, tmp_path):
     from pyspark.sql import functions as F
 
-    store.write_store(docs, str(tmp_path / "s"), public_tokenizers.path("byte_bpe_50k.json"))
-    bad = spark.read.parquet(str(tmp_path / "s/store")).withColumn("ids", F.when(F.col("ids").isNotNull(), F.concat("ids", F.lit(b"\0\0"))))
-    bad.write.parquet(str(tmp_path / "t/store"))
-    spark.read.parquet(str(tmp_path / "s/recipes")).write.parquet(str(tmp_path / "t/recipes"))
-    with pytest.raises(Exception, match="corrupt"):
-        store.read_back(spark, str(tmp_path / "t")).collect()
+    s = str(tmp_path / "s")
+    store.write_store(docs, s, public_tokenizers.path("byte_bpe_50k.json"))
+    count = store.read_back(spark, s).count()
+    one = spark.read.parquet(f"{s}/store/kind=0").orderBy("key").first()["key"]
+    last = count - 1
+    damages = {
+        "corrupt": {"chunks": lambda df: df.withColumn("ids", F.concat("ids", F.lit(b"\0\0")))},
+        "missing": {"chunks": lambda df: df.where(F.col("key") != F.lit(bytes(one)))},
+        "differ in": {"recipes": lambda df: df.where("position <> 3")},
+        "differ in .": {"recipes": lambda df: df.where(f"position <> {last}")},
+        "differ in ..?": {"recipes": lambda df: df.withColumn("crc", F.col("crc") + (F.col("position") == 2).cast("int"))},
+        "nodes": {"manifest": lambda df: df.limit(0)},
+        "PATH_NOT_FOUND": {"manifest": None},
+        "PATH_NOT_FOUND.*": {"recipes": None},
+        "PATH_NOT_FOUND.*kind=0": {"chunks": None},
+    }
+    for i, (message, changed) in enumerate(damages.items()):
+        _copy(spark, s, str(tmp_path / f"d{i}"), **changed)
+        with pytest.raises(Exception, match=message):
+            store.read_back(spark, str(tmp_path / f"d{i}")).collect()
+    _copy(spark, s, str(tmp_path / "same"))
+    assert store.read_back(spark, str(tmp_path / "same")).count() == count
+
+
+def test_manifest_tree_has_levels(spark, monkeypatch):
+    monkeypatch.setattr(store, "FAN", 3)
+    rows = [(i, i, i, 2 * i, 2, 7, bytes([i]) * 16, bytes([i]) * 16) for i in range(20)]
+    t = store.tree(spark.createDataFrame(rows, store.RECIPES)).collect()
+    assert sorted((r.level, r.node) for r in t) == [(1, i) for i in range(7)] + [(2, i) for i in range(3)] + [(3, 0)]
+    assert [(r.documents, r.n_tokens) for r in t if r.level == 3] == [(20, 40)]
+    swapped = [*rows[:4], rows[5][:2] + rows[4][2:], rows[4][:2] + rows[5][2:], *rows[6:]]
+    other = {(r.level, r.node): r.hash for r in store.tree(spark.createDataFrame(swapped, store.RECIPES)).collect()}
+    assert {k for k, h in other.items() if h != {(r.level, r.node): r.hash for r in t}[k]} == {(1, 1), (2, 0), (3, 0)}
+
+
+def test_byte_encoder_equals_the_library_on_every_character():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = store.ByteEncoder(open(path, encoding="utf-8").read())
+    plain = lambda texts: [np.array(e.ids, "<u2").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    common_ones = [chr(i) for i in [*range(0x250), *range(0x2010, 0x2028), 0x20AC] if not store._OTHER.search(chr(i))]
+    assert len(common_ones) > 600
+    texts = [f"a{c}b{c}{c} {c}1{c}2 {c} {c}{c}\n {c}" for c in common_ones]
+    assert encoder.encode([t.encode() for t in texts]) == plain(texts)
+    words = [t for t in (encoder.tokenizer.decode([i]) for i in range(encoder.tokenizer.get_vocab_size())) if "\ufffd" not in t]
+    joined = [" ".join(words[i : i + 7]) + "".join(words[i : i + 7]) for i in range(0, len(words), 7)]
+    assert encoder.encode([t.encode() for t in joined]) == plain(joined)
+    rng = random.Random(11)
+    odd = common_ones + ["\x1c", "\x1f", "日", "\u3000", "\u0301", "'s", "'ll", " ", "  ", "\n", "ab", "42", "<|endoftext|>"]
+    mixed = ["".join(rng.choice(odd) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    assert encoder.encode([t.encode() for t in mixed]) == plain(mixed)
 
 
 def test_merkle_root():
