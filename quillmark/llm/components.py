@@ -2,9 +2,9 @@
 
 Each round is a pair of grouped minima and joins on Spark; edges stay
 distributed throughout and only a count and a checksum reach the driver.
-A hub's edges are never gathered: its minimum is a map-side combined
-aggregate, and the join back is a plain equi-join that adaptive execution
-splits when one key is hot.
+A hub's edges are never gathered: they are dealt over SALTS keys, whose minima
+are map-side combined; a node's least minimum goes back to the salts that it
+has, and the join with the edges is on node and salt.
 """
 
 from __future__ import annotations
@@ -14,18 +14,29 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Keys over which the edges of a node are dealt.
+SALTS = 32
+
+
+def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) with ``m``, the least v of their u; and (u, m), one row for each u."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("u", "salt").agg(F.min("v").alias("part"))
+    low = parts.groupBy("u").agg(F.min("part").alias("m"), F.collect_list("salt").alias("salts"))  # at most SALTS values
+    return salted.join(low.select("u", "m", F.explode("salts").alias("salt")), ["u", "salt"]).drop("salt"), low.select("u", "m")
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Point every larger neighbour of a node at the smallest node around it."""
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    near, _ = _with_least(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    least = F.least("u", "m")
+    return near.where((F.col("v") > F.col("u")) & (F.col("v") != least)).select(F.col("v").alias("u"), least.alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Point a node and its smaller neighbours at the smallest of them (u > v in every edge)."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    near, low = _with_least(edges)
+    moved = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 

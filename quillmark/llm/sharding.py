@@ -8,7 +8,8 @@ the map: at most ``slots`` rows, whatever the number of records.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,8 +18,8 @@ from . import common
 SLOTS = 4096
 
 
-def slot_of(key: str, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+def slot_of(*keys: str, slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int")
 
 
 def slot_totals(records: DataFrame) -> DataFrame:
@@ -63,25 +64,48 @@ def rebalance(old: DataFrame, totals: DataFrame, shards: int) -> DataFrame:
     return kept.unionByName(moved).crossJoin(F.broadcast(version)).select("version", "virtual_slot", "shard", "bytes", "rows")
 
 
-def store_map(slot_map: DataFrame, path: str) -> DataFrame:
-    """Append a version to the stored map below ``path`` and read that version back."""
-    version = slot_map.select("version").limit(1).collect()
-    slot_map.drop("version").coalesce(1).write.mode("overwrite").parquet(at := f"{path}/version={version[0][0] if version else 1}")
-    return slot_map.sparkSession.read.schema(slot_map.drop("version").schema).parquet(at)
+_MAP = "virtual_slot int, shard int, bytes long, rows long"
+
+
+def stored_version(spark: SparkSession, path: str) -> int:
+    """The last version of the map below ``path``; 0 where there is none."""
+    try:
+        found = spark.read.schema(f"{_MAP}, version int").parquet(path)
+    except AnalysisException:
+        return 0
+    return found.agg(F.max("version")).first()[0] or 0
+
+
+def store_map(slot_map: DataFrame, path: str, version: int) -> DataFrame:
+    """Write a version of the map below ``path`` (at most ``slots`` rows) and read it back."""
+    slot_map.select("virtual_slot", "shard", "bytes", "rows").coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+    return read_map(slot_map.sparkSession, path, version)
+
+
+def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:
+    return spark.read.schema(_MAP).parquet(f"{path}/version={version}").withColumn("version", F.lit(version))
+
+
+def edit_map(spark: SparkSession, path: str, totals: DataFrame, shards: int) -> DataFrame:
+    """The map for these totals and shards: the first one, or the next version of the stored one, edited as ``rebalance`` does."""
+    version = stored_version(spark, path)
+    new = rebalance(read_map(spark, path, version), totals, shards) if version else first_map(totals, shards)
+    return store_map(new, path, version + 1)
 
 
 def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
-    """Place every row of ``docs`` (doc_id, text; other columns are ignored).
+    """Place every row of ``docs`` (doc_id, text; other columns are ignored); a map that is stored below ``map_path`` is rebalanced.
 
     Returns (doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot): slot is the row's position in its shard,
     without gaps from 0, by virtual slot and doc_id. size is the text's UTF-8 bytes plus 1; null counts as empty. The law is
-    ``bytes``: shards are near equal in size, so grown_shard is null. Repeated rows and null ids are rows like others; an empty
-    table gives an empty result.
+    ``bytes``: shards are near equal in size, so grown_shard is null. A record's slot follows from its id and its text, so rows of null
+    or repeated ids spread; equal rows share a slot. An empty table gives an empty result. The texts are read once.
     """
     spark = docs.sparkSession
     t = common.text_bytes()
-    records = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), slot_of("doc_id", slots).alias("virtual_slot"))
-    stored = store_map(first_map(slot_totals(records), shards), map_path or common.scratch_path(spark, "slot-map"))
+    records = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("text_crc32"))
+    records = common.materialize(records.withColumn("virtual_slot", slot_of("doc_id", "text_crc32", "size", slots=slots)), "records")
+    stored = edit_map(spark, map_path or common.scratch_path(spark, "slot-map"), slot_totals(records), shards)
     before = F.sum("rows").over(Window.partitionBy("shard").orderBy("virtual_slot")) - F.col("rows")
     places = stored.withColumn("before", before).select("virtual_slot", "shard", "before")
     inside = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))

@@ -1,22 +1,29 @@
 """SimHash near-duplicate groups through an inverted index on positional fingerprint bytes.
 
-1. Every whole text becomes a fingerprint (majority vote over the bits of its
-   word-shingle hashes); equal fingerprints collapse to one node, so copies
-   cost nothing after this step.
-2. The index posts every fingerprint under tuples of (position, byte). For
-   64 bits and at most 3 differing bits, 5 of the 8 bytes must agree, and the
-   eight triples inside the halves {0..3} and {4..7} hit every set of 5
+1. Every whole text becomes a fingerprint; equal ones collapse to one node, so
+   copies cost nothing after this step.
+2. The index posts every fingerprint under (position, byte) in tuples of
+   several positions: lists of single bytes would hold one fingerprint in 256
+   each, and comparing inside them would grow with the square of the rows.
+   For 64 bits and at most 3 differing bits, 5 of the 8 bytes must agree, and
+   the eight triples inside the halves {0..3} and {4..7} hit every set of 5
    positions, so every linkable pair shares a posting.
-3. Within a posting the shared positional bytes of each pair are tallied, pairs
-   that reach the guaranteed minimum are verified by their differing bits, and
-   only a spanning forest of the verified links leaves the task, rooted at
-   small ids so that postings agree on their edges. Postings
-   above ``block`` members are cut into blocks that are compared pairwise in
+3. Within a posting the shared positional bytes of each pair are tallied. Only
+   pairs that reach the guaranteed minimum are verified by their differing
+   bits, and only a spanning forest of the verified links leaves the task,
+   rooted at small ids so that postings agree on their edges. Postings above
+   ``block`` members are cut into blocks that are compared pairwise in
    separate groups.
 4. Components of the links are labelled with distributed star contraction.
 
-``keep_one`` removes near copies by the similarity itself: sketches only propose candidates, and
-components of candidates are settled by exact Jaccard similarity of their sets of word shingles.
+``near_duplicates`` votes each fingerprint bit over all shingles. At a Jaccard
+similarity of 0.8 such bits differ so often (15 % of them, so only 27 % of
+bytes agree) that no tuple of bytes is both selective and sure: three-byte
+keys would need 234 postings for a document to find 99 % of the pairs.
+``keep_one`` therefore lets one shingle vote each byte, the one that comes
+first in the byte's own random order. Two documents agree on such a byte with
+the probability of their similarity, so tuples of four bytes, tallies and a
+minimum work as above, and the exact similarity of shingle sets verifies.
 """
 
 from __future__ import annotations
@@ -35,9 +42,9 @@ from . import common
 from .components import connected_components
 
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-#: Candidates of ``keep_one`` share one of BANDS bands of BAND_ROWS minima each and differ in at most NEAR_BITS of 256 bits.
-BANDS, BAND_ROWS, NEAR_BITS = 32, 4, 80
-_FLIPS, _FACTORS = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64) | np.uint64(1)
+#: Fingerprints of ``keep_one``: bytes, positions posted together, bytes that travel for the tally, and how many of those must agree.
+BYTES, TUPLE, TALLIED, LEAST = 128, 4, 48, 24
+_FLIPS, _FACTORS = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 64, (2, BYTES, 1), np.uint64) | np.uint64(1)
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -94,33 +101,40 @@ def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64) -> DataFrame:
 def posting_tuples(n_bytes: int, max_diff: int) -> tuple[list[tuple[int, ...]], int]:
     """The byte positions that are posted together, and the least number of shared bytes.
 
-    With at most ``max_diff`` differing bits, ``n_bytes - max_diff`` bytes agree. If that is at least 5 of 8, all triples inside
-    each half are posted, which no such pair can avoid; if it is over half of the bytes, so are neighbouring pairs.
+    With at most ``max_diff`` differing bits, ``n_bytes - max_diff`` bytes agree; of 8 that must be at least 5, and all triples inside
+    each half are posted, which no such pair can avoid.
     """
     if n_bytes == 8 and max_diff <= 3:
         return [c for half in (range(4), range(4, 8)) for c in combinations(half, 3)], 8 - max_diff
-    if max_diff < n_bytes // 2:
-        return [(2 * i, 2 * i + 1) for i in range(n_bytes // 2)], n_bytes - max_diff
-    raise ValueError("no number of shared bytes is guaranteed at this limit")
+    raise ValueError("links are guaranteed for 64 bits and at most 3 differing ones")
 
 
-def _differing(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Differing bits and shared bytes of rows of uint64 words."""
-    x = a ^ b
-    bits = np.bitwise_count(x).sum(-1, dtype=np.int32)
-    shared = (np.ascontiguousarray(x).view(np.uint8) == 0).sum(-1, dtype=np.int32) if x.size else bits
-    return bits, shared
+def _tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many positional bytes each pair of rows shares."""
+    x = np.ascontiguousarray(a ^ b)
+    return (x.view(np.uint8) == 0).sum(-1, dtype=np.int32)
 
 
-def _forest(words: np.ndarray, max_diff: int, min_shared: int) -> list[tuple[int, int]]:
+def _reaching(a: np.ndarray, b: np.ndarray, min_shared: int, max_diff: int | None) -> np.ndarray:
+    """Which pairs of rows of uint64 words share ``min_shared`` positional bytes and, verified after that, differ in at most ``max_diff`` bits."""
+    if not len(a):
+        return np.zeros(0, bool)
+    a, b = np.broadcast_arrays(a, b)
+    out = _tally(a, b) >= min_shared
+    if max_diff is not None:
+        at = np.flatnonzero(out)
+        out[at] = np.bitwise_count(a[at] ^ b[at]).sum(-1, dtype=np.int32) <= max_diff
+    return out
+
+
+def _forest(words: np.ndarray, min_shared: int, max_diff: int | None) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links among rows, by breadth-first search with one vectorised row at a time; first rows are roots."""
     left, edges = np.arange(len(words)), []
     while len(left):
         queue, left = deque([left[0]]), left[1:]
         while queue and len(left):
             at = queue.popleft()
-            bits, shared = _differing(words[left], words[at])
-            hit = (shared >= min_shared) & (bits <= max_diff)
+            hit = _reaching(words[left], words[at], min_shared, max_diff)
             found = left[hit]
             left = left[~hit]
             edges += [(at, x) for x in found]
@@ -128,7 +142,7 @@ def _forest(words: np.ndarray, max_diff: int, min_shared: int) -> list[tuple[int
     return edges
 
 
-def _links_of_groups(ids: np.ndarray, words: np.ndarray, side: np.ndarray, bounds: np.ndarray, max_diff: int, min_shared: int, small: int = 24) -> tuple[np.ndarray, np.ndarray]:
+def _links_of_groups(ids: np.ndarray, words: np.ndarray, bounds: np.ndarray, min_shared: int, max_diff: int | None, small: int = 24) -> tuple[np.ndarray, np.ndarray]:
     """Verified links inside runs of rows (a run is one posting or one pair of blocks)."""
     lengths = np.diff(bounds)
     group = np.repeat(np.arange(len(lengths)), lengths)
@@ -137,13 +151,12 @@ def _links_of_groups(ids: np.ndarray, words: np.ndarray, side: np.ndarray, bound
     for d in range(1, min(small, int(lengths.max(initial=0)))):
         i = np.flatnonzero((group[:-d] == group[d:]) & tiny[:-d])
         for part in np.array_split(i, len(i) // 1_000_000 + 1):
-            bits, shared = _differing(words[part], words[part + d])
-            hit = part[(shared >= min_shared) & (bits <= max_diff)]
+            hit = part[_reaching(words[part], words[part + d], min_shared, max_diff)]
             out_a.append(ids[hit])
             out_b.append(ids[hit + d])
     for g in np.flatnonzero(lengths > small):
         a, b = bounds[g], bounds[g + 1]
-        for x, y in _forest(words[a:b], max_diff, min_shared):
+        for x, y in _forest(words[a:b], min_shared, max_diff):
             out_a.append(ids[a + x : a + x + 1])
             out_b.append(ids[a + y : a + y + 1])
     none = np.empty(0, np.int64)
@@ -184,10 +197,10 @@ def links(nodes: DataFrame, bits: int, max_diff: int, block: int = 4096) -> Data
                     key = (key << 8) | raw[:, p]
                 yield pa.RecordBatch.from_arrays([pa.array(key), ids, fps], ["key", "id", "fp"])
 
-    return _linked(nodes.mapInArrow(post, "key long, id long, fp binary"), n_bytes, max_diff, min_shared, block)
+    return _linked(nodes.mapInArrow(post, "key long, id long, fp binary"), n_bytes, min_shared, max_diff, block)
 
 
-def _linked(postings: DataFrame, n_bytes: int, max_diff: int, min_shared: int, block: int) -> DataFrame:
+def _linked(postings: DataFrame, n_bytes: int, min_shared: int, max_diff: int | None, block: int) -> DataFrame:
     """Links (a, b) that connect what shares a posting (key, id, fp) and lies within the limits."""
     hot = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -196,14 +209,16 @@ def _linked(postings: DataFrame, n_bytes: int, max_diff: int, min_shared: int, b
     groups = dealt.withColumn("at", F.explode(blocks)).groupBy("key", "at").agg(F.array_sort(F.collect_list(F.struct("id", "fp"))).alias("m")).where(F.size("m") > 1).select(F.col("m.id").alias("ids"), F.col("m.fp").alias("fps"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root: dict[int, int] = {}  # of the nodes that this task links
+        root: dict[int, int] = {}  # of the nodes that this task links; forgetting it only repeats links
         for b in batches:
             for at in range(0, b.num_rows, 20_000):
                 s = b.slice(at, 20_000)
                 ids = s.column(0).flatten().to_numpy(zero_copy_only=False)
                 words = np.frombuffer(b"".join(s.column(1).flatten().to_pylist()), np.uint64).reshape(-1, n_bytes // 8)
                 off = s.column(0).offsets.to_numpy()
-                x, y = _links_of_groups(ids, words, ids, off - off[0], max_diff, min_shared)
+                x, y = _links_of_groups(ids, words, off - off[0], min_shared, max_diff)
+                if len(root) > 1_000_000:
+                    root.clear()
                 pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
                 pairs = pairs[np.array(_joining(root, pairs), bool)]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -225,19 +240,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 64, max_diff: i
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def sketch(text: bytes, words: int = 5) -> tuple[bytes, bytes, bytes]:
-    """Of the set of word shingles: a 128-bit digest, a 256-bit fingerprint, and ``BANDS`` hashes of ``BAND_ROWS`` minima each."""
+def sketch(text: bytes, words: int = 5) -> tuple[bytes, bytes]:
+    """Of the set of word shingles: a 128-bit digest, and a fingerprint of BYTES bytes, each voted by the shingle that is first in its order."""
     h = np.unique(shingle_hashes(text, words))
-    low = np.full(len(_FACTORS), -1, np.int64).view(np.uint64)
+    low = np.full(BYTES, -1, np.int64).view(np.uint64)
     for at in range(0, len(h), 4096):
         m = (h[at : at + 4096] ^ _FLIPS) * _FACTORS
         m = (m ^ (m >> np.uint64(32))) * np.uint64(_MIX[1])
         low = np.minimum(low, m.min(1))
-    key = np.arange(BANDS, dtype=np.uint64)
-    for column in low.reshape(BANDS, BAND_ROWS).T:
-        key = (key ^ column) * np.uint64(_MIX[0])
-        key = key ^ (key >> np.uint64(29))
-    return xxhash.xxh3_128_digest(h.tobytes()), _votes(h, 256), key.tobytes()
+    voted = low * np.uint64(_MIX[0])
+    return xxhash.xxh3_128_digest(h.tobytes()), (voted >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def _similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -264,22 +276,26 @@ def _similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 def similar_documents(docs: DataFrame, words: int = 5, block: int = 512) -> DataFrame:
     """(doc_id, component_id) for every row of ``docs`` (doc_id, text): documents of Jaccard similarity 0.8 or more are linked.
 
-    Equal sets of shingles collapse first. At a similarity of 0.8 two sets share none of the bands with probability
-    (1 - 0.8 ** 4) ** 32 < 5e-8. Per bit their fingerprints differ with probability 0.15, at most 0.19 for the smallest sets, so
-    more than 80 of 256 bits differ with probability below 1e-6. All that is proposed is compared exactly: components of
-    candidates above ``block`` members are cut into blocks that are compared pairwise in separate groups.
+    Equal sets of shingles collapse first. Two sets of similarity 0.8 agree on a byte with probability 0.8, so they share none of
+    the 32 tuples of four bytes with probability (1 - 0.8 ** 4) ** 32 < 5e-8, and fewer than 24 of the 48 tallied bytes with
+    probability below 2e-6. Unlike sets share a tuple with probability 32 / 2 ** 32. All that is proposed is compared exactly:
+    components of candidates above ``block`` members are cut into blocks that are compared pairwise in separate groups. Null and
+    wordless texts have the empty set and are equal. Repeated rows give repeated results; rows with a null doc_id are no
+    candidates for component_id; an empty table gives an empty result.
     """
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
             columns = zip(*[sketch(t, words) for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.binary()) for c in columns]], ["doc_id", "digest", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.binary()) for c in columns]], ["doc_id", "digest", "fp"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64).reshape(-1, BANDS)
-            for k in range(BANDS):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, k])), b.column(0), b.column(1)], ["key", "id", "fp"])
+            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, BYTES)
+            tallied = pa.array([r.tobytes() for r in np.ascontiguousarray(raw[:, :TALLIED])], pa.binary())
+            keys = np.ascontiguousarray(raw).view(f"<u{TUPLE}").astype(np.int64) | np.arange(BYTES // TUPLE) << 8 * TUPLE
+            for k in range(BYTES // TUPLE):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, k])), b.column(0), tallied], ["key", "id", "fp"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
@@ -295,10 +311,10 @@ def similar_documents(docs: DataFrame, words: int = 5, block: int = 512) -> Data
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     texts = docs.select(F.col("doc_id").cast("long"), common.text_bytes().alias("t"))
-    rows = common.materialize(texts.mapInArrow(sketches, "doc_id long, digest binary, fp binary, bands binary"), "sketches")
-    nodes = common.materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp"), F.min("bands").alias("bands")), "nodes")
-    near = nodes.where("id is not null").select("id", "fp", "bands").mapInArrow(post, "key long, id long, fp binary")
-    members = connected_components(_linked(near, 32, NEAR_BITS, 0, 4096), "a", "b")
+    rows = common.materialize(texts.mapInArrow(sketches, "doc_id long, digest binary, fp binary"), "sketches")
+    nodes = common.materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")), "nodes")
+    near = nodes.where("id is not null").select("id", "fp").mapInArrow(post, "key long, id long, fp binary")
+    members = connected_components(_linked(near, TALLIED, LEAST, None, 4096), "a", "b")
     hot = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("component", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     dealt = members.join(hot, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("mine")).alias("i"), F.greatest(j, F.col("mine")).alias("j")))

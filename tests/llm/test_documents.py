@@ -206,6 +206,31 @@ def test_simhash_blocks_find_the_same_links(spark):
         assert components(range(len(values)), lambda a, b: (a, b) in near) == want  # noqa: B023
 
 
+def test_tallies_keep_what_reaches_the_minimum():
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 1 << 63, (500, 1), np.int64).view(np.uint64)
+    flips = np.array([[np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(0, 7)).astype(np.uint64)) if k % 5 else np.uint64(0)] for k in range(500)], np.uint64)
+    b = a ^ flips
+    shared = np.array([sum(x == y for x, y in zip(p.tobytes(), q.tobytes())) for p, q in zip(a, b)])
+    assert (simhash._tally(a, b) == shared).all()
+    differ = np.array([int(f[0]).bit_count() for f in flips])
+    assert (simhash._reaching(a, b, 5, 3) == ((shared >= 5) & (differ <= 3))).all() and (simhash._reaching(a, b, 7, None) == (shared >= 7)).all()
+    assert not (simhash._reaching(a, b, 5, 3) < (differ <= 3)).any()  # the count filter loses no link
+
+
+def test_positional_bytes_agree_as_often_as_sets_do():
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(1000)]
+    for changed in (10, 22, 60):
+        copy = list(base)
+        for i in range(changed):
+            copy[3 + i * 15] = "x" + str(i)
+        sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (base, copy)]
+        j = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        x, y = (np.frombuffer(simhash.sketch(" ".join(t).encode())[1], np.uint8) for t in (base, copy))
+        assert len(x) == simhash.BYTES and abs((x == y).mean() - j) < 0.15
+
+
 def test_near_copies_leave_one_document(docs, rows):
     kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
     base = [r[0] for r in rows if r[1] and r[1].startswith(rows[22][1][:80]) and r[0] is not None]
@@ -308,6 +333,8 @@ def test_sharding_law(docs, rows, empty):
     size = {r[0]: len(utf8(r[1])) + 1 for r in rows}
     assert all(r["size"] == size[r.doc_id] and r.law == "bytes" and r.grown_shard is None for r in got)
     assert {r.text_crc32 for r in got} == {zlib.crc32(utf8(r[1])) for r in rows}
+    loads = [sum(r["size"] for r in got if r.shard == s) for s in range(3)]
+    assert max(loads) - min(loads) <= max(size.values()) * 2
     slots = {}
     for r in got:
         slots.setdefault(r.virtual_slot, set()).add(r.shard)
@@ -315,6 +342,23 @@ def test_sharding_law(docs, rows, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_sharding_spreads_null_and_repeated_ids(spark):
+    rows = [(None if i % 2 else 7, f"text {i}") for i in range(4000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shards=4).collect()
+    loads = [sum(r["size"] for r in got if r.shard == s) for s in range(4)]
+    assert len(got) == 4000 and max(loads) - min(loads) < 0.02 * sum(loads)
+
+
+def test_sharding_edits_the_stored_map(spark, tmp_path):
+    path = str(tmp_path / "map")
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 5)) for i in range(600)], "doc_id long, text string").repartition(3)
+    first, again, more = ({r.doc_id: r for r in sharding.shard(docs, shards=n, slots=64, map_path=path).collect()} for n in (3, 3, 4))
+    assert sharding.stored_version(spark, path) == 3 and {r.version for r in sharding.read_map(spark, path, 2).collect()} == {2}
+    assert {k: r.virtual_slot for k, r in first.items()} == {k: r.virtual_slot for k, r in more.items()} and {r.shard for r in more.values()} == {0, 1, 2, 3}
+    assert sum(first[k].shard != again[k].shard for k in first) < 60  # what is above the fair share of its shard
+    assert all(again[k].shard == more[k].shard or more[k].shard == 3 for k in first) or sum(again[k].shard != more[k].shard for k in first) < 250
+
+
 def test_sharding_rebalance_moves_little(spark):
     totals = spark.createDataFrame([(i, 100 + i % 7, 5) for i in range(200)], "virtual_slot int, bytes long, rows long")
     old = sharding.first_map(totals, 4)
