@@ -3,20 +3,25 @@
 The packing of a multiset of lengths depends only on how often each length
 occurs, and lengths are bounded by the longest permitted sequence, so the
 plan is made on the histogram: best fit, longest first, with all pieces of one
-length placed at once. Each permitted length is tried as the bin size to
-open, every bin is finally downsized to the shortest permitted length that
-holds its contents, and the plan of least cost wins. Pieces then find their
-bins by their rank within their length, which is computed with map-side
+length placed at once. Where no open bin has room, the size to open is chosen
+for these bins alone: for each permitted size the pieces that are still to
+come are tried in it, and the size opens whose filled bin costs least for each
+unit that it holds. Pieces that a bin was opened for count as taken when the
+next one is opened, so the sizes are optimised jointly. Finally every bin is
+downsized to the shortest permitted length that holds its contents, and the
+plan is kept unless opening one size throughout is cheaper. Pieces then find
+their bins by their rank within their length, which is computed with map-side
 counts and a salted window, so that no length, however frequent, lands in one
 task.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,11 +59,52 @@ class Bins:
         return (*key, *run)
 
 
-def plan(histogram: dict[int, int], lengths: tuple[int, ...], opening: int) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
-    """Best-fit decreasing on a histogram of piece lengths, opening bins of ``opening`` (a longer permitted length where a piece needs it).
-
-    Returns placements (length, first rank, first bin, count, offset): pieces of that length with ranks first..first+count-1 go
-    to the bins first bin..first bin+count-1 at that offset; and bins (first bin, count, capacity), downsized to their contents.
+class JointSizes:
+    """Chooses the size of the next bins to open, by what the pieces that are still to come would fill them with."""
+
+    def __init__(self, histogram: dict[int, int], lengths: tuple[int, ...], overhead: int) -> None:
+        self.lengths, self.overhead = sorted(lengths), overhead
+        self.left = dict(histogram)  # pieces for which no bin has been opened yet
+        self.order = sorted(histogram)
+
+    def _fill(self, size: int, length: int, count: int) -> tuple[int, int, list[tuple[int, int]]]:
+        """(what a bin of this size would hold, how many pieces of the length, the shorter pieces), longest first."""
+        own = min(count, size // length)
+        free, with_it, at = size - own * length, [], bisect_left(self.order, length)
+        while free and at:
+            at = min(at, bisect_right(self.order, free)) - 1
+            if at < 0:
+                break
+            shorter = self.order[at]
+            n = min(self.left[shorter], free // shorter)
+            with_it.append((shorter, n))
+            free -= n * shorter
+        return size - free, own, with_it
+
+    def open(self, length: int, count: int) -> tuple[int, int]:
+        """(size, number of bins to open) for ``count`` pieces of a length."""
+        best = None
+        for size in self.lengths[bisect_left(self.lengths, length) :]:
+            held, own, with_it = self._fill(size, length, count)
+            closed = self.lengths[bisect_left(self.lengths, held)]
+            key = ((closed + self.overhead) / held, -held)
+            if best is None or key < best[0]:
+                best = key, size, own, with_it
+        _, size, own, with_it = best
+        bins = max(1, min([count // own, *(self.left[x] // n for x, n in with_it)]))
+        for x, n in with_it:
+            self.left[x] -= n * bins
+            if self.left[x] <= 0:
+                del self.left[x], self.order[bisect_left(self.order, x)]
+        return size, bins
+
+
+def plan(histogram: dict[int, int], lengths: tuple[int, ...], opening: int | JointSizes) -> tuple[list[tuple[int, int, int, int, int, int]], list[tuple[int, int, int]]]:
+    """Best-fit decreasing on a histogram of piece lengths; ``opening`` is one size (longer where a piece needs it) or chooses for each run of bins.
+
+    Returns placements (length, first rank, pieces, first bin, bins, offset): pieces of that length with ranks from the first on go
+    to the bins in turn, round after round, each round one length further from the offset; and bins (first bin, bins, capacity),
+    downsized to their contents.
     """
     bins, placed, n = Bins(), [], 0
     for length in sorted(histogram, reverse=True):
@@ -66,36 +112,40 @@ def plan(histogram: dict[int, int], lengths: tuple[int, ...], opening: int) -> t
         while left:
             got = bins.take(length)
             if got is None:
-                size = max(opening, min(c for c in lengths if c >= length))
-                got = (size, size, n, -(-left // (size // length)))
-                n += got[3]
+                if isinstance(opening, JointSizes):
+                    size, some = opening.open(length, left)
+                else:
+                    size = max(opening, min(c for c in lengths if c >= length))
+                    some = -(-left // (size // length))
+                got = (size, size, n, some)
+                n += some
             free, size, first, count = got
             each = free // length  # equal pieces: the fullest bin that still has room is the best fit, so bins fill one by one
             full = min(count, left // each)
             if full:
-                for layer in range(each):
-                    placed.append((length, rank, first, full, size - free + layer * length))
-                    rank += full
+                placed.append((length, rank, full * each, first, full, size - free))
                 bins.put(free - each * length, size, first, full)
-                left -= full * each
+                rank, left = rank + full * each, left - full * each
             if full < count:
-                for layer in range(left):
-                    placed.append((length, rank, first + full, 1, size - free + layer * length))
-                    rank += 1
                 some = int(left > 0)
                 if some:
+                    placed.append((length, rank, left, first + full, 1, size - free))
                     bins.put(free - left * length, size, first + full, 1)
                 if full + some < count:
                     bins.put(free, size, first + full + some, count - full - some)
                 left = 0
-    sized = [(first, count, min(c for c in lengths if c >= size - free)) for (free, size), runs in bins.open.items() for first, count in runs]
+    sized = [(first, count, min(c for c in lengths if c >= size - free)) for (free, size), runs in bins.open.items() for first, count in runs if free < size]
     return placed, sized
 
 
+def cost_of(sized: list[tuple[int, int, int]], overhead: int) -> int:
+    return sum(count * (capacity + overhead) for _, count, capacity in sized)
+
+
 def best_plan(histogram: dict[int, int], lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD) -> tuple[list, list]:
-    """The plan of least cost over all permitted opening sizes; a bin costs its final capacity plus the overhead."""
-    plans = [plan(histogram, lengths, size) for size in sorted(lengths, reverse=True)]
-    return min(plans, key=lambda p: sum(count * (capacity + overhead) for _, count, capacity in p[1]))
+    """The joint plan, or that of a single opening size where it costs less; a bin costs its final capacity plus the overhead."""
+    openings = [JointSizes(histogram, lengths, overhead), *sorted(lengths, reverse=True)]
+    return min((plan(histogram, lengths, o) for o in openings), key=lambda p: cost_of(p[1], overhead))
 
 
 def pack(items: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD, salts: int = 256) -> DataFrame:
@@ -119,33 +169,36 @@ def pack(items: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: int = O
     before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).drop("count")
     ranks = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start")) - 1
     ranked = pieces.withColumn("r", ranks).join(before, ["length", "salt"]).withColumn("rank", F.col("r") + F.col("before"))
-    # Both lists are made from the histogram: their size is bounded by the permitted lengths, not by the number of pieces.
-    runs = _lookup(spark, placed, ["length", "first_rank", "first_bin", "count", "bin_offset"], "length")
-    capacities = _lookup(spark, sized, ["first_bin", "count", "capacity"], None)
-    at = F.element_at("runs", F.size(F.filter("runs", lambda x: x["first_rank"] <= F.col("rank"))))
-    found = ranked.join(F.broadcast(runs), "length", "left").withColumn("run", at).withColumn("bin_id", F.col("run.first_bin") + F.col("rank") - F.col("run.first_rank"))
-    slim = found.select("doc_id", "piece", "start", "length", "bin_id", F.col("run.bin_offset").alias("bin_offset"))
-    return _capacity(spark, slim, capacities)
-
-
-def _lookup(spark, rows: list[tuple], names: list[str], key: str | None) -> DataFrame:
-    df = spark.createDataFrame([tuple(map(int, r)) for r in rows], ", ".join(f"{x} {'int' if x == 'length' else 'long'}" for x in names))
-    if key is None:
-        return df
-    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[x for x in names if x != key]))).alias("runs"))
+    slim = ranked.select("doc_id", "piece", "start", "length", _places(spark, placed, sized)("length", "rank").alias("at"))
+    return slim.select("doc_id", "piece", "start", "length", "at.bin_id", "at.bin_offset", "at.capacity")
 
 
-def _capacity(spark, slim: DataFrame, sized: DataFrame) -> DataFrame:
-    """Each piece's bin capacity, looked up by range in the sorted runs of bins."""
-    rows = np.array(sorted(tuple(r) for r in sized.collect()), np.int64).reshape(-1, 3)
-    sent = spark.sparkContext.broadcast(rows)
+def _places(spark, placed: list[tuple], sized: list[tuple]):
+    """(bin_id, bin_offset, capacity) of a piece of a length and rank, as an Arrow batch function.
 
-    @F.pandas_udf("int")
-    def capacity(bins):
-        at = np.searchsorted(sent.value[:, 0], bins.fillna(0).to_numpy(), side="right") - 1
-        return type(bins)(sent.value[at, 2] if len(sent.value) else np.zeros(len(bins))).where(bins.notna()).astype("Int32")
-
-    return slim.withColumn("capacity", capacity("bin_id"))
+    What it looks up is sent to all tasks: it follows from the histogram, and its size is bounded by the permitted lengths (about a
+    hundred runs of bins for each length at most), not by the number of pieces.
+    """
+    runs = np.array(sorted(placed), np.int64).reshape(-1, 6)
+    bins = np.array(sorted(sized), np.int64).reshape(-1, 3)
+    sent = spark.sparkContext.broadcast((runs[:, 0] << 44 | runs[:, 1], runs, bins))
+
+    @F.pandas_udf("bin_id long, bin_offset long, capacity int")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        keys, runs, bins = sent.value
+        n, r = length.to_numpy(np.int64), rank.to_numpy(np.int64)
+        out = pd.DataFrame({c: pd.array([pd.NA] * len(n), t) for c, t in (("bin_id", "Int64"), ("bin_offset", "Int64"), ("capacity", "Int32"))})
+        some = np.flatnonzero(n > 0)
+        if len(some):
+            own = runs[np.searchsorted(keys, n[some] << 44 | r[some], side="right") - 1]
+            turn = r[some] - own[:, 1]
+            bin_id = own[:, 3] + turn % own[:, 4]
+            out.loc[some, "bin_id"] = bin_id
+            out.loc[some, "bin_offset"] = own[:, 5] + turn // own[:, 4] * n[some]
+            out.loc[some, "capacity"] = bins[np.searchsorted(bins[:, 0], bin_id, side="right") - 1, 2].astype(np.int32)
+        return out
+
+    return place
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -162,7 +215,11 @@ def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, tokenizer_path: str | None = None) -> DataFrame:
-    """``pack`` for the token counts of ``docs`` (doc_id, text; other columns are ignored)."""
+    """``pack`` for the token counts of ``docs`` (doc_id, text; other columns are ignored).
+
+    Null and empty texts are one token long, the end token; null ids and repeated rows are rows like others; an empty table gives
+    an empty result.
+    """
     import public_tokenizers
 
     return pack(token_counts(docs, tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")), lengths)

@@ -389,10 +389,51 @@ def test_packing_plan_equals_best_fit_decreasing():
     for _ in range(100):
         lengths = [rng.choice([1, rng.randint(1, 64), rng.randint(1, 20)]) for _ in range(rng.randint(0, 60))]
         for opening in (16, 32, 64):
-            _, sized = packing.plan(Counter(lengths), (16, 32, 64), opening)
+            placed, sized = packing.plan(Counter(lengths), (16, 32, 64), opening)
+            assert sum(p[2] for p in placed) == len(lengths)
             assert sorted(k for _, c, k in sized for _ in range(c)) == naive_bins(lengths, (16, 32, 64), opening)
 
 
+def least_cost(lengths, permitted, overhead):
+    """Of all ways to deal a few pieces over bins."""
+    best = [10**9]
+
+    def deal(rest, bins):
+        if not rest:
+            best[0] = min(best[0], sum(min(c for c in permitted if c >= b) + overhead for b in bins))
+            return
+        for i in range(len(bins)):
+            if bins[i] + rest[0] <= max(permitted) and bins[i] not in bins[:i]:
+                deal(rest[1:], bins[:i] + [bins[i] + rest[0]] + bins[i + 1 :])
+        deal(rest[1:], [*bins, rest[0]])
+
+    deal(sorted(lengths, reverse=True), [])
+    return best[0]
+
+
+def test_joint_sizes_against_single_sizes_and_the_optimum():
+    from collections import Counter
+
+    rng, permitted, overhead = random.Random(6), (16, 24, 40, 64), 2
+    chosen, single, optimum, mixed = 0, 0, 0, 0
+    for _ in range(150):
+        lengths = [rng.choice([rng.randint(1, 64), rng.randint(1, 24), rng.randint(8, 16)]) for _ in range(rng.randint(1, 8))]
+        h = Counter(lengths)
+        placed, sized = packing.plan(h, permitted, packing.JointSizes(h, permitted, overhead))
+        assert sum(p[2] for p in placed) == len(lengths)
+        least = min(packing.cost_of(packing.plan(h, permitted, c)[1], overhead) for c in permitted)
+        best = packing.cost_of(packing.best_plan(h, permitted, overhead)[1], overhead)
+        optimal = least_cost(lengths, permitted, overhead)
+        assert optimal <= best <= least and best <= 1.35 * optimal
+        chosen, single, optimum = chosen + best, single + least, optimum + optimal
+        mixed += packing.cost_of(sized, overhead) < least
+    assert chosen < single and chosen < 1.05 * optimum and mixed >= 5
+    h = Counter({400: 90, 1000: 60, 1900: 40, 2500: 30, 600: 20})
+    permitted = packing.LENGTHS
+    costs = {o: packing.cost_of(packing.plan(h, permitted, packing.JointSizes(h, permitted, 32) if o == "joint" else o)[1], 32) for o in ("joint", *permitted)}
+    assert all(costs["joint"] < costs[o] for o in permitted)
+
+
 def test_packing_places_every_token_once(spark):
     rng = random.Random(4)
     items = [(i, rng.choice([1, 3, 17, 64, 65, rng.randint(1, 300)])) for i in range(500)] + [(7, 17), (7, 17), (None, 5), (900, None), (901, 0)]
