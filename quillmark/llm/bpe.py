@@ -4,15 +4,19 @@ A rolling hash over 32 bytes cuts texts into chunks, so equal passages give
 equal chunks wherever they stand. Documents are dealt by their smallest chunk
 hash, which brings documents that share text together (adaptive execution
 splits partitions that a large group of copies makes too big); each task
-encodes a chunk once, whichever documents it occurs in. A cut can fall inside
-a word, so every join is repaired: the window around it is encoded again and
-must begin and end with the ids that the two chunks gave those words; it is
-widened until it does, to the whole text at last.
+encodes a chunk once while its bounded store lasts, whichever documents it
+occurs in. A chunk is encoded from its first to its last white space (by the
+library, or where its words are independent, from a bounded memory of the
+library's ids of words, which costs half as much); a cut can fall inside a word, so what lies between two such bodies is a join, and
+every join is repaired: it is encoded again in a window with the last words of
+the body before it and the first of the body after it. The window must begin
+and end with the ids that those words have alone, and the bodies must end and
+begin with the same ids; as long as they don't agree, the window takes more
+words on either side, to the whole text at last.
 """
 
 from __future__ import annotations
 
-import hashlib
 import os
 import re
 from collections.abc import Iterator
@@ -24,11 +28,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words that an encoder remembers at most, and bytes of chunks that a task keeps.
-MEMO_WORDS, STORE_BYTES = 120_000, 12_000_000
-#: White space at which every pre-tokenizer in use breaks.
-SPACES = b"\t\n\x0b\x0c\r "
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　][\t-\r ]")
+#: Bytes of chunks that a task keeps, and words that it remembers for windows.
+STORE_BYTES, MEMO_WORDS = 12_000_000, 120_000
+#: Words on either side of a join, window by window.
+WIDER = (1, 4, 16)
+_SPACE = re.compile(rb"[\t-\r ]")
 
 
 def rolling_hash(data: np.ndarray, width: int) -> np.ndarray:
@@ -60,54 +64,53 @@ def text_chunks(text: bytes, bits: int = 10, width: int = 32) -> list[bytes]:
     return [text[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
-class Encoder:
-    """A tokenizer with a bounded memory of encoded words.
+class Chunk:
+    """A chunk of text: the bytes before its first white space, from there to its last white space (the body), and after that."""
 
-    prefixed: words carry the white space before them (byte-level pre-tokenizers); else white space separates and is dropped.
-    """
+    __slots__ = ("body", "head", "ids", "tail")
+
+    def __init__(self, text: bytes) -> None:
+        first = _SPACE.search(text)
+        if first is None:
+            self.head, self.body, self.tail = text, b"", b""
+        else:
+            self.tail = b"" if _SPACE.fullmatch(text[-1:]) else text.rsplit(None, 1)[-1]
+            self.head, self.body = text[: first.start()], text[first.start() : len(text) - len(self.tail)]
+        self.ids = b""
+
+    def last_words(self, n: int) -> bytes:
+        """The last n words of the body with all white space around them; the whole body if it has no more."""
+        parts = self.body.rsplit(None, n)
+        return self.body[len(parts[0]) :] if len(parts) > n else self.body
+
+    def first_words(self, n: int) -> bytes:
+        parts = self.body.split(None, n)
+        return self.body[: len(self.body) - len(parts[-1])] if len(parts) > n else self.body
 
-    def __init__(self, spec: str, prefixed: bool) -> None:
+
+class ChunkEncoder:
+    """Encodes documents from chunks, each encoded once while it is in the bounded store."""
+
+    def __init__(self, spec: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.prefixed = prefixed
-        self.split = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+").findall if prefixed else bytes.split
-        self.ids: dict[bytes, bytes] = {}  # what was used lately, and what was before
-        self.older: dict[bytes, bytes] = {}
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.name = {i: t.encode() for t, i in names.items()} if self.tokenizer.decoder is None else None
+        self.store: dict[bytes, Chunk] = {}
+        self.kept = 0
+        self.words: dict[bytes, bytes] = {}  # what was used lately, and what was before
+        self.older: dict[bytes, bytes] = {}
+        one, *words = self.library([b" a1 b's\n\tC\r\n  d ", b"a1", b"b's", b"C", b"d"])
+        self.independent = one == b"".join(words)  # white space separates words and leaves no trace
+        self.whole = 0  # texts that no window could repair
 
-    def library(self, texts: list[str]) -> list[bytes]:
+    def library(self, texts: list[bytes]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, straight from the library."""
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: set[bytes]) -> None:
-        """Make ``ids`` hold the words; those that aren't remembered are encoded."""
-        if len(self.ids) + len(words) > MEMO_WORDS:
-            self.ids, self.older = {}, self.ids
-        new = []
-        for w in words - self.ids.keys():
-            known = self.older.get(w)
-            if known is None:
-                new.append(w)
-            else:
-                self.ids[w] = known
-        self.ids.update(zip(new, self.library([w.decode("utf-8", "replace") for w in new])))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of whole texts, word by word."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), 64):
-            part = texts[at : at + 64]
-            words = [self.split(t) for t in part]
-            self.learn({w for ws in words for w in ws})
-            for t, ws in zip(part, words):
-                text = t.decode("utf-8", "replace") if self.prefixed and not t.isascii() else ""
-                out.append(self.library([text])[0] if text and _ODD_SPACE.search(text) else b"".join(map(self.ids.__getitem__, ws)))
-        return out
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the library's decode(ids, skip_special_tokens=False); without a decoder tokens are joined by spaces."""
@@ -116,107 +119,109 @@ class Encoder:
             return b" ".join([self.name[i] for i in values])
         return self.tokenizer.decode(values, skip_special_tokens=False).encode()
 
-
-class Chunk:
-    """An encoded chunk: ids of its inner words, and the words at both ends, which a neighbour may continue."""
-
-    __slots__ = ("head", "inner", "lead", "tail", "text", "trail")
-
-    def __init__(self, text: bytes, words: list[bytes], encoder: Encoder) -> None:
-        self.text = text
-        starts, ends = text[:1] in SPACES_SET, text[-1:] in SPACES_SET
-        body = words
-        self.head = b"" if starts or not body else body[0]
-        body = body if starts else body[1:]
-        self.tail = b"" if ends or not body else body[-1]
-        body = body if ends else body[:-1]
-        ids = encoder.ids
-        self.inner = b"".join(map(ids.__getitem__, body))
-        self.lead, self.trail = (body[0], body[-1]) if body else (b"", b"")
-
-    @property
-    def closed(self) -> bool:
-        """Whether it holds white space, so that its ends belong to different words."""
-        return bool(self.inner or self.tail) or self.text[:1] in SPACES_SET or self.text[-1:] in SPACES_SET
-
-
-SPACES_SET = frozenset(bytes([c]) for c in SPACES)
-
-
-class ChunkEncoder:
-    """Encodes documents from chunks, each encoded once while it is in the bounded store."""
-
-    def __init__(self, spec: str) -> None:
-        self.encoder, self.store, self.kept = Encoder(spec, prefixed=False), {}, 0
-
     def chunks(self, texts: list[bytes]) -> list[list[Chunk]]:
+        """The chunks of each text; those that the store doesn't hold are encoded."""
         cut = [text_chunks(t) for t in texts]
-        new = {c for cs in cut for c in cs if c not in self.store}
-        words = {c: c.split() for c in new}
-        if new:
-            self.encoder.learn({w for ws in words.values() for w in ws})
+        new = list({c for cs in cut for c in cs if c not in self.store})
         if self.kept > STORE_BYTES:
-            again = {c for cs in cut for c in cs} - new
+            again = {c for cs in cut for c in cs} - set(new)
             self.store, self.kept = {c: self.store[c] for c in again}, sum(map(len, again))
-        for c, ws in words.items():
-            self.store[c] = Chunk(c, ws, self.encoder)
-            self.kept += len(c)
+        made = [Chunk(c) for c in new]
+        for c, chunk, ids in zip(new, made, self.bodies([m.body for m in made])):
+            chunk.ids = ids
+            self.store[c] = chunk
+        self.kept += sum(map(len, new))
         return [[self.store[c] for c in cs] for cs in cut]
 
+    def bodies(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts that begin and end at white space."""
+        if not self.independent:
+            known = dict.fromkeys(texts, b"")
+            known.update(zip(known, self.library(list(known))))
+            return [known[t] for t in texts]
+        split = [t.split() for t in texts]
+        words = set().union(*split)
+        if len(self.words) + len(words) > MEMO_WORDS:
+            self.words, self.older = {}, self.words
+        new = []
+        for w in words:
+            if w not in self.words:
+                known = self.older.get(w)
+                if known is None:
+                    new.append(w)
+                else:
+                    self.words[w] = known
+        self.words.update(zip(new, self.library(new)))
+        return [b"".join(map(self.words.__getitem__, ws)) for ws in split]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            out += self._encode(texts[at : at + 256])
+        for at in range(0, len(texts), 512):
+            out += self._encode(texts[at : at + 512])
         return out
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         docs = self.chunks(texts)
-        plans, windows = [], []
+        plans: list[list] = []  # ids of bodies, and numbers of joins
+        joins: list[tuple[Chunk, bytes, Chunk]] = []
         for chunks in docs:
-            plan: list = []  # ids, or the number of a window
-            word, before = b"", b""
+            plan, before, between = [], _NONE, b""
             for c in chunks:
-                if not c.closed:
-                    word += c.head
-                    continue
-                word += c.head
-                if word:
-                    plan.append(len(windows))
-                    windows.append((before, word, c.lead))
-                plan.append(c.inner)
-                before = c.trail or word or before
-                word = c.tail
-            if word:
-                plan.append(len(windows))
-                windows.append((before, word, b""))
+                between += c.head
+                if c.body:
+                    plan += [len(joins), c.ids]
+                    joins.append((before, between, c))
+                    before, between = c, c.tail
+            if between or before is not _NONE:
+                plan.append(len(joins))
+                joins.append((before, between, _NONE))
             plans.append(plan)
-        repaired = self._repair(windows)
+        repaired = self._repair(joins)
         out = []
         for text, plan in zip(texts, plans):
             parts = [p if isinstance(p, bytes) else repaired[p] for p in plan]
-            out.append(self.encoder.library([text.decode("utf-8", "replace")])[0] if None in parts else b"".join(parts))
+            if None in parts:
+                self.whole += 1
+                out += self.library([text])
+            else:
+                out.append(b"".join(parts))
         return out
 
-    def _repair(self, windows: list[tuple[bytes, bytes, bytes]]) -> list[bytes | None]:
-        """Ids of the word across each join, from a window that also holds a known word on either side; None where they disagree."""
-        self.encoder.learn({w for a, _, b in windows for w in (a, b) if w})
-        ids = self.encoder.ids
-        got = self.encoder.library([b" ".join(filter(None, w)).decode("utf-8", "replace") for w in windows])
-        out: list[bytes | None] = []
-        for (a, _, b), g in zip(windows, got):
-            left, right = ids[a] if a else b"", ids[b] if b else b""
-            agree = g.startswith(left) and g.endswith(right) and len(left) + len(right) <= len(g)
-            out.append(g[len(left) : len(g) - len(right)] if agree else None)
+    def _repair(self, joins: list[tuple[Chunk, bytes, Chunk]]) -> list[bytes | None]:
+        """Ids of what stands between two bodies, from the narrowest window in which both sides agree; None where none does."""
+        out: list[bytes | None] = [None] * len(joins)
+        open_ = range(len(joins))
+        for n in WIDER:
+            sides = [(joins[i][0].last_words(n), joins[i][2].first_words(n)) for i in open_]
+            alone = list({x for pair in sides for x in pair})
+            ids = dict(zip(alone, self.bodies(alone)))
+            windows = [a + joins[i][1] + b for i, (a, b) in zip(open_, sides)]
+            known: dict[bytes, bytes] = dict.fromkeys(windows, b"")
+            known.update(zip(known, self.library(list(known))))
+            left = []
+            for i, (a, b), w in zip(open_, sides, windows):
+                before, _, after = joins[i]
+                x, y, g = ids[a], ids[b], known[w]
+                if before.ids.endswith(x) and after.ids.startswith(y) and g.startswith(x) and g.endswith(y) and len(x) + len(y) <= len(g):
+                    out[i] = g[len(x) : len(g) - len(y)]
+                else:
+                    left.append(i)
+            open_ = left
+            if not open_:
+                break
         return out
 
 
+_NONE = Chunk(b"")
+
+
 def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, ids binary, decoded binary) of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     ids are little-endian unsigned 32-bit integers without special tokens added; decoded is the UTF-8 text that they decode to.
     Null and empty texts give empty ids and text; repeated rows and null ids are rows like others; an empty table gives an empty
-    result. The tokenizer's pre-tokenizer must break at ASCII white space and drop it, else repairs disagree and whole texts are
-    encoded by the library.
+    result. Chunks are of use where the pre-tokenizer breaks at ASCII white space and drops it; where words carry the white space
+    before them, windows disagree and the library encodes whole texts.
     """
     spec = docs.sparkSession.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())  # a vocabulary file: its size doesn't depend on the data
 
@@ -226,7 +231,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             for at in range(0, b.num_rows, 1000):
                 s = b.slice(at, 1000)
                 ids = work.encode(s.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(ids, pa.binary()), pa.array(map(work.encoder.decode, ids), pa.binary())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(ids, pa.binary()), pa.array(map(work.decode, ids), pa.binary())], ["doc_id", "ids", "decoded"])
 
     return together(docs).mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
@@ -254,6 +259,6 @@ def op1_bpe(spark, sf_dir):
 
 
 def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``encode_decode`` reduced to (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    """``encode_decode`` reduced to (doc_id, n_tokens, ids_sha256, decoded_sha256); the same rows, nulls and repeats included."""
     out = encode_decode(docs, tokenizer_path)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

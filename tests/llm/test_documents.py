@@ -71,7 +71,41 @@ def test_chunks_are_encoded_once_and_joins_repaired(rows):
     assert b"".join(bpe.text_chunks(text)) == text and len(set(bpe.text_chunks(text))) < len(bpe.text_chunks(text))
     first = work.encode([text])
     known = set(work.store)
-    assert work.encode([text]) == first == work.encoder.library([text.decode()]) and set(work.store) == known
+    assert work.encode([text]) == first == work.library([text]) and set(work.store) == known and work.whole == 0
+
+
+@pytest.mark.parametrize("file, whole", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_chunks_give_the_ids_of_whole_texts(file, whole):
+    rng = random.Random(12)
+    words = ["alpha", "Beta", "gämma", "d'elta's", "x1", "—", "日本", "of", "ﬁ", "e\u0301", "\u0301x", "<|endoftext|>", "a\u00a0b", "\u3000", "İ", "ΣΑΣ", "don't", "'s", "12"]
+    spaces = [" ", " ", " ", "  ", "\n", "\t ", "\r\n", ""]
+    texts = ["".join(rng.choice(words) + rng.choice(spaces) for _ in range(rng.choice([1, 5, 300, 2000]))).encode() for _ in range(150)]
+    texts += [b" a b ", b"", b" ", b"\n\n", b"x" * 5000, b" " * 5000, b"ab " * 3000, b" ab" * 3000]
+    work = bpe.ChunkEncoder(open(public_tokenizers.path(file), encoding="utf-8").read())
+    assert work.encode(texts) == work.library(texts)
+    assert (work.whole > 0) == whole
+
+
+def test_windows_widen_until_both_sides_agree(monkeypatch):
+    work = bpe.ChunkEncoder(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    text = b" ".join(b"word%d alpha%d" % (i % 97, i * i % 1009) for i in range(3000))
+    exact, plain, asked = work.library([text]), work.library, []
+
+    def stubborn(texts):
+        """Windows of few words come back wrong."""
+        asked.append(max([len(t.split()) for t in texts], default=0))
+        return [b"\0\0\0\0" + g if 2 < len(t.split()) < 8 and t in windows else g for t, g in zip(texts, plain(texts))]
+
+    windows = set()
+    repair = work._repair
+
+    def spied(joins):
+        windows.update(a.last_words(n) + m + b.first_words(n) for a, m, b in joins for n in bpe.WIDER[:1])
+        return repair(joins)
+
+    monkeypatch.setattr(work, "library", stubborn)
+    monkeypatch.setattr(work, "_repair", spied)
+    assert work.encode([text]) == exact and work.whole == 0 and max(asked[1:]) >= 8
 
 
 def test_token_store_round_trip(spark, docs, rows, empty, tmp_path):
@@ -148,7 +182,7 @@ def test_byte_encoder_equals_the_library_on_every_character():
     encoder = store.ByteEncoder(open(path, encoding="utf-8").read())
     plain = lambda texts: [np.array(e.ids, "<u2").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
     common_ones = [chr(i) for i in [*range(0x250), *range(0x2010, 0x2028), 0x20AC] if not store._OTHER.search(chr(i))]
-    assert len(common_ones) > 600
+    assert len(common_ones) > 600 and encoder.fast is not None
     texts = [f"a{c}b{c}{c} {c}1{c}2 {c} {c}{c}\n {c}" for c in common_ones]
     assert encoder.encode([t.encode() for t in texts]) == plain(texts)
     words = [t for t in (encoder.tokenizer.decode([i]) for i in range(encoder.tokenizer.get_vocab_size())) if "\ufffd" not in t]
@@ -160,6 +194,19 @@ def test_byte_encoder_equals_the_library_on_every_character():
     assert encoder.encode([t.encode() for t in mixed]) == plain(mixed)
 
 
+def test_other_merges_are_left_to_the_library():
+    import json
+
+    spec = json.loads(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    assert store.merges_are_ranks(spec)
+    swapped = json.loads(json.dumps(spec))
+    swapped["model"]["merges"][:2] = swapped["model"]["merges"][1::-1]
+    assert not store.merges_are_ranks(swapped)
+    encoder = store.ByteEncoder(json.dumps(swapped))
+    assert encoder.fast is None and encoder.encode([b"some text"]) == encoder.library(["some text"])
+    assert not store.merges_are_ranks(json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()))
+
+
 def test_merkle_root():
     a, b, c = (bytes([i]) * 16 for i in range(3))
     assert store.merkle_root([a]) == a
