@@ -41,10 +41,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back."""
+    return materialize_at(df, label)[0]
+
+
+def materialize_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As ``materialize``; also returns the path, for ``remove`` when no later step reads it."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def materialize_counted(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict, str]:

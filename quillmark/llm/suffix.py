@@ -13,25 +13,27 @@ repeats, not the text:
 2. Postings meet by anchor. Equal contexts settle at once: all but the
    smallest doc_id's are repeats. Anchors whose right or left part recurs in
    an unequal context stand at the edge of a repeat and go on.
-3. Edges. Each block of documents sorts the suffixes of its edge anchors, to
-   the right and (reversed) to the left, anchor by anchor: a merge sort whose comparisons find
-   the common extension by binary search on prefix hashes, each result
-   verified on the bytes. Adjacent common extensions give the classes of
-   equal windows. Windows that recur inside the block settle there; one row
-   for each remaining window meets the other blocks' rows by digest.
+3. Edges. A window around an anchor holds the anchor's right or its left part
+   whole. Each block of documents ships what the windows around its edge
+   anchors can see, to where equal parts meet. There their suffixes are
+   sorted, to the right and (reversed) to the left of the anchor: a merge sort
+   whose comparisons find the common extension by binary search on prefix
+   hashes, each result verified on the bytes. Adjacent common extensions give
+   the classes of equal windows, and all but the smallest doc_id's are repeats.
 4. Each block applies the settled spans to its texts.
 
 Postings and answers travel packed, a few per task and bucket; texts are
-shuffled once, and their exchange is used by steps 3 and 4.
+shuffled once, and their exchange is used by steps 3 and 4. The numbers of
+blocks and buckets follow from the bytes of text.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +45,8 @@ WINDOW = LENGTH - GRAM + 1  # places of an anchor in a window
 RIGHT = WINDOW // 2  # anchors at most this far from the window's start see the right part whole
 #: Bytes of text that are hashed at a time, and anchors that a task gathers before it ships them.
 BUFFER, FLUSH = 1 << 20, 300_000
-#: Edge anchors of a block that are sorted at a time.
-EDGES = 8_000
+#: Edges that are sorted at a time, unless more of them share a part; bytes of text in a block of documents, and of a bucket's share.
+EDGES, BLOCK_BYTES, BUCKET_BYTES = 20_000, 32 << 20, 16 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACE = np.uint64((1 << 28) - 1)
@@ -122,20 +124,20 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return places, h[places], np.searchsorted(starts, places, side="right") - 1
 
 
-def pack(**columns: np.ndarray) -> bytes:
-    """Columns of equal length as one compressed blob."""
-    n = len(next(iter(columns.values())))
-    return zstandard.compress(n.to_bytes(8, "little") + b"".join(np.ascontiguousarray(c).tobytes() for c in columns.values()), 1)
+def pack(*columns: np.ndarray, rest: bytes = b"") -> bytes:
+    """Columns of equal length, and what may follow them, as one compressed blob."""
+    return zstandard.compress(len(columns[0]).to_bytes(8, "little") + b"".join(np.ascontiguousarray(c).tobytes() for c in columns) + rest, 1)
 
 
 def unpack(blob: bytes, *types: str) -> list[np.ndarray]:
+    """The columns of a blob, and as the last one what follows them."""
     raw = zstandard.decompress(blob)
     n, at, out = int.from_bytes(raw[:8], "little"), 8, []
     for t in types:
         size = n * np.dtype(t).itemsize
         out.append(np.frombuffer(raw, t, n, at))
         at += size
-    return out
+    return [*out, np.frombuffer(raw, np.uint8, -1, at)] if at < len(raw) else out
 
 
 POSTING = ("<u4", "<u8", "<u8", "<u2", "<u2", "<i8", "<u4")  # anchor, two hashes of the context, right, left, document, place
@@ -312,18 +314,18 @@ def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), ROWS.types)] if rows else [pa.array([], t) for t in ROWS.types], schema=ROWS)
 
 
-def _split(key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _split(key: np.ndarray, *columns: np.ndarray) -> Iterator[list[np.ndarray]]:
     """Rows of equal key together, in their order."""
     order = np.argsort(key, kind="stable")
     key = key[order]
     cuts = np.flatnonzero(np.diff(key)) + 1
     for part in np.split(order, cuts) if len(order) else []:
-        yield None, [c[part] for c in columns]
+        yield [c[part] for c in columns]
 
 
 def _to_blocks(kind: int, blocks: int, bucket: int, doc: np.ndarray, *columns: np.ndarray) -> list[tuple[int, int, int, bytes]]:
     block = block_of(doc, blocks)
-    return [(bucket, kind, int(b[0]), pack(doc=d, **{str(i): c for i, c in enumerate(rest)})) for _, (b, d, *rest) in _split(block, block, doc, *columns)]
+    return [(bucket, kind, int(b[0]), pack(d, *rest)) for b, d, *rest in _split(block, block, doc, *columns)]
 
 
 def _post(blocks: int, buckets: int):
@@ -336,12 +338,13 @@ def _post(blocks: int, buckets: int):
             gram, context, other, right, left, doc, place = (np.concatenate(c) for c in zip(*held))
             held.clear()
             old = doc > least_of((context, other, gram), doc)
-            rows = _to_blocks(ANCHORS, blocks, int(place.sum() % buckets), doc[old], place[old].astype(np.uint32), np.zeros(int(old.sum()), np.uint8))
+            rows = _to_blocks(ANCHORS, blocks, 0, doc[old], place[old].astype(np.uint32), np.zeros(int(old.sum()), np.uint8))
+            rows = [((int(place.sum()) + b) % buckets, kind, b, blob) for _, kind, b, blob in rows]  # they only pass through their bucket
             new = ~old
             bucket = (gram[new] >> np.uint64(40)) % np.uint64(buckets)
             columns = [gram[new].astype(np.uint32), context[new], other[new], right[new].astype(np.uint16), left[new].astype(np.uint16), doc[new], place[new].astype(np.uint32)]
-            for _, (b, *rest) in _split(bucket, bucket, *columns):
-                rows.append((int(b[0]), SENT, 0, pack(**{str(i): x for i, x in enumerate(rest)})))
+            for b, *rest in _split(bucket, bucket, *columns):
+                rows.append((int(b[0]), SENT, 0, pack(*rest)))
             return _rows(rows).to_batches()
 
         for b in batches:
@@ -397,68 +400,84 @@ def _answers(table: pa.Table, kind: int, *types: str) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, t) for t in types]
 
 
-def _edge_windows(texts: list[bytes], first: dict, doc: np.ndarray, place: np.ndarray, flag: np.ndarray) -> Iterator[tuple[tuple, tuple]]:
-    """Windows around some edge anchors: ((doc, start) of those that recur here, (digest, doc, start) of all others)."""
-    pieces, at = [], []  # of each text only what the windows around an edge can see
-    for i, x in zip(doc.tolist(), place.tolist()):
-        lo = max(0, x - (WINDOW - 1))
-        pieces.append(texts[first[i]][lo : x + LENGTH])
-        at.append(x - lo)
-    ends = np.cumsum([len(t) for t in pieces])
-    starts = np.concatenate([[0], ends[:-1]])
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    at = starts + np.array(at)
-    h = gram_hashes(data)
-    least = (sliding_least((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), WINDOW) & _PLACE).astype(np.int64)
-    prefixes, num = Prefixes(data), np.arange(len(at))
-    for off, rows, same in window_classes(data, starts, ends, num, at):
-        ours = (flag[rows] & (1 if off <= RIGHT else 2) > 0) & (least[at[rows] - off] == at[rows])
-        rows, same = rows[ours], same[ours]
-        d, start = doc[rows], place[rows] - off
-        old = d > least_of((same,), d)
-        w = at[rows[~old]] - off
-        yield (d[old], start[old]), (mix(prefixes.of(w, w + LENGTH)), d[~old], start[~old])
+EDGE = ("<u8", "<i8", "<u4", "u1", "u1")  # hash of the shared part, document, place, place of the anchor in the piece, length of the piece
 
 
-def _edges(blocks: int, buckets: int, at_a_time: int):
-    """Windows at the edges of repeats: settled inside the block, or one row each on their way to a bucket."""
+def _edges(blocks: int, buckets: int):
+    """What the windows around each edge anchor can see, on its way to where equal right or left parts meet."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         doc, place, flag = _answers(answers, ANCHORS, "<i8", "<u4", "u1")
-        on = flag > 0
-        if not docs.num_rows or not on.any():
+        on = np.flatnonzero(flag)
+        if not docs.num_rows or not len(on):
             return _rows([])
         _, texts, first = _block_texts(docs)
-        doc, place, flag = doc[on], place[on].astype(np.int64), flag[on]
-        block = int(block_of(doc[:1], blocks)[0])
-        grams = np.frombuffer(b"".join([texts[first[i]][x : x + GRAM] for i, x in zip(doc.tolist(), place.tolist())]), np.uint64).reshape(-1, 2)
-        order = np.lexsort((grams[:, 1], grams[:, 0]))  # equal anchors stand together; a class that is cut meets again by digest
-        spans, sent = [(doc[:0], place[:0])], [(np.empty(0, np.uint64), doc[:0], place[:0])]
-        for part in np.array_split(order, len(order) // at_a_time + 1):
-            for old, new in _edge_windows(texts, first, doc[part], place[part], flag[part]):
-                spans.append(old)
-                sent.append(new)
+        keys, owners, places, ats, pieces = [], [], [], [], []
+        for i, x, f in zip(doc[on].tolist(), place[on].tolist(), flag[on].tolist()):
+            t = texts[first[i]]
+            for bit, before, after, part in ((1, RIGHT, LENGTH, (0, LENGTH - RIGHT)), (2, WINDOW - 1, LENGTH - RIGHT - 1, (-RIGHT - 1, GRAM))):
+                if f & bit and x + part[0] >= 0 and x + part[1] <= len(t):
+                    lo = max(0, x - before)
+                    keys.append(xxhash.xxh3_64_intdigest(t[x + part[0] : x + part[1]], bit))
+                    owners.append(i)
+                    places.append(x)
+                    ats.append(x - lo)
+                    pieces.append(t[lo : x + after])
+        key = np.array(keys, np.uint64)
+        bucket = key % np.uint64(buckets)
+        columns = key, np.array(owners, np.int64), np.array(places, np.uint32), np.array(ats, np.uint8), np.array([len(p) for p in pieces], np.uint8)
+        order = np.argsort(key, kind="stable")  # alike pieces stand together
         out = []
-        d, start = (np.concatenate(c) for c in zip(*spans))
-        if len(d):
-            out.append((block % buckets, SPANS, block, pack(doc=d, start=start.astype(np.uint32))))
-        digest, d, start = (np.concatenate(c) for c in zip(*sent))
-        bucket = digest % np.uint64(buckets)
-        out += [(int(b[0]), SENT, block, pack(h=x, doc=y, start=z)) for _, (b, x, y, z) in _split(bucket, bucket, digest, d, start.astype(np.uint32))]
+        for b, rows, *rest in _split(bucket[order], bucket[order], order, *[c[order] for c in columns]):
+            out.append((int(b[0]), SENT, 0, pack(*rest, rest=b"".join([pieces[k] for k in rows.tolist()]))))
         return _rows(out)
 
     return run
 
 
-def _meet_windows(blocks: int):
-    """Equal windows of different blocks."""
+def _recurring(pieces: np.ndarray, size: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(documents, starts) of the windows around edges that a smaller doc_id has too, by the sorted suffixes of the pieces."""
+    ends = np.cumsum(size)
+    starts = ends - size
+    at = starts + at
+    h = gram_hashes(pieces)
+    least = (sliding_least((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), WINDOW) & _PLACE).astype(np.int64)
+    for off, rows, same in window_classes(pieces, starts, ends, np.arange(len(at)), at):
+        ours = least[at[rows] - off] == at[rows]  # other windows are seen from another anchor
+        rows, same = rows[ours], same[ours]
+        d = doc[rows]
+        old = d > least_of((same,), d)
+        yield d[old], place[rows][old] - off
+
+
+def _sort_edges(blocks: int, at_a_time: int):
+    """Repeats among the windows around edges whose parts are equal."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        kept = [(bucket, SPANS, b, x) for k, b, x in zip(*(table.column(n).to_pylist() for n in ("kind", "block", "blob"))) if k == SPANS]
-        digest, doc, start = _answers(table, SENT, "<u8", "<i8", "<u4")
-        old = doc > least_of((digest,), doc)
-        return _rows(kept + _to_blocks(SPANS, blocks, bucket, doc[old], start[old]))
+        parts = [unpack(x, *EDGE) for x in table.column("blob").to_pylist()]
+        key, doc, place, at, size = (np.concatenate(c) for c in list(zip(*parts))[:5])
+        pieces = np.concatenate([p[5] for p in parts])
+        ends = np.cumsum(size.astype(np.int64))
+        order = np.argsort(key, kind="stable")
+        firsts = np.flatnonzero(np.diff(key[order], prepend=~key[order][:1]))
+        firsts = np.append(firsts, len(order))
+        alone = np.repeat(np.diff(firsts) == 1, np.diff(firsts))
+        rows: list[tuple[int, int, int, bytes]] = []
+        begin = 0
+        for end in firsts[1:].tolist():  # equal parts stay together, however many there are
+            if end - begin < at_a_time and end < len(order):
+                continue
+            part = order[begin:end][~alone[begin:end]]
+            begin = end
+            if not len(part):
+                continue
+            long = size[part].astype(np.int64)
+            here = np.repeat(ends[part] - np.cumsum(long), long) + np.arange(int(long.sum()))
+            found = list(_recurring(pieces[here], long, at[part].astype(np.int64), doc[part], place[part].astype(np.int64)))
+            d, start = (np.concatenate(c) for c in zip(*found)) if found else (doc[:0], place[:0])
+            rows += _to_blocks(SPANS, blocks, bucket, d, start.astype(np.uint32))
+        return _rows(rows)
 
     return run
 
@@ -496,32 +515,45 @@ def _cut(extra: list[str]):
     return run
 
 
-def deduplicate(docs: DataFrame, edges: int = EDGES) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text, any others) with what is left of its text.
-
-    Returns the other columns and doc_id, text (valid UTF-8: a character that is cut in part is dropped), kept (binary: the remaining bytes
-    exactly), n_bytes, n_removed and n_spans (maximal removed runs). Matches never cross documents; overlapping
-    strings count, and strings are judged on the input. A doc_id names one text: rows that repeat it repeat the text, and don't count
-    against each other. Null texts are empty; rows with a null doc_id neither lose bytes nor cost others any. An empty table gives
-    an empty result. ``edges`` is how many edge anchors a task sorts at a time. Contexts inside a repeat are matched
-    by two independent 64-bit hashes of the whole context, its edges by the bytes.
-    """
+def _cleaned(docs: DataFrame, edges: int) -> tuple[DataFrame, dict[str, str]]:
+    """(i, n, removed, runs, kept, one column for each other column of docs), and the names of the others."""
     spark = docs.sparkSession
     width = common.shuffle_width(spark)
-    blocks, buckets = width | 1, 2 * width
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    extra = [f"x{k}" for k in range(len(others))]
-    named = docs.select(F.col("doc_id").cast("long").alias("i"), common.text_bytes().alias("t"), *[F.col(f"`{c}`").alias(x) for c, x in zip(others, extra)])
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks, buckets = max(width, size // BLOCK_BYTES) | 1, max(2 * width, size // BUCKET_BYTES)
+    others = {c: f"x{k}" for k, c in enumerate(c for c in docs.columns if c not in ("doc_id", "text"))}
+    named = docs.select(F.col("doc_id").cast("long").alias("i"), common.text_bytes().alias("t"), *[F.col(f"`{c}`").alias(x) for c, x in others.items()])
     base = named.withColumn("b", _block_column("i", blocks))
     posted = named.select("i", "t").mapInArrow(_post(blocks, buckets), ROWS_DDL)
     answers = common.materialize(posted.groupBy("bucket").applyInArrow(_meet(blocks), ROWS_DDL), "anchors")
     by_block = base.groupBy("b")
-    windows = by_block.cogroup(answers.groupBy("block")).applyInArrow(_edges(blocks, buckets, edges), ROWS_DDL)
-    spans = windows.groupBy("bucket").applyInArrow(_meet_windows(blocks), ROWS_DDL)
+    seen = by_block.cogroup(answers.groupBy("block")).applyInArrow(_edges(blocks, buckets), ROWS_DDL)
+    spans = seen.groupBy("bucket").applyInArrow(_sort_edges(blocks, edges), ROWS_DDL)
     types = dict(base.dtypes)
-    ddl = ", ".join(["i long, n long, removed long, runs long, kept binary", *[f"{x} {types[x]}" for x in extra]])
-    cut = by_block.cogroup(answers.unionByName(spans).groupBy("block")).applyInArrow(_cut(extra), ddl)
-    return cut.select(F.col("i").alias("doc_id"), valid_text("kept").alias("text"), "kept", F.col("n").alias("n_bytes"), F.col("removed").alias("n_removed"), F.col("runs").alias("n_spans"), *[F.col(x).alias(c) for x, c in zip(extra, others)])
+    ddl = ", ".join(["i long, n long, removed long, runs long, kept binary", *[f"{x} {types[x]}" for x in others.values()]])
+    return by_block.cogroup(answers.unionByName(spans).groupBy("block")).applyInArrow(_cut(list(others.values())), ddl), others
+
+
+def deduplicate(docs: DataFrame, edges: int = EDGES) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text, any others) with what is left of its text.
+
+    Returns doc_id, text (valid UTF-8: a character that is cut in part is dropped), kept (binary: the remaining bytes exactly),
+    n_bytes, n_removed, n_spans (maximal removed runs) and the other columns, without those of the same names. Matches never
+    cross documents; overlapping strings count, and strings are judged on the input. A doc_id names one text: rows that repeat it
+    repeat the text, and don't count against each other. Null texts are empty; rows with a null doc_id neither lose bytes nor
+    cost others any. An empty table gives an empty result. ``edges`` is how many edges a task sorts at a time. Contexts inside
+    a repeat are matched by two independent 64-bit hashes of the whole context, its edges by the bytes.
+    """
+    cut, others = _cleaned(docs, edges)
+    own = {"doc_id": F.col("i"), "text": valid_text("kept"), "kept": F.col("kept"), "n_bytes": F.col("n"), "n_removed": F.col("removed"), "n_spans": F.col("runs")}
+    return cut.select(*[c.alias(n) for n, c in own.items()], *[F.col(x).alias(c) for c, x in others.items() if c not in own])
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the same columns, whatever their names, and what is left of each text as its text."""
+    cut, others = _cleaned(docs, EDGES)
+    own = {"doc_id": F.col("i").cast(dict(docs.dtypes)["doc_id"]), "text": valid_text("kept")}
+    return cut.select(*[(own[c] if c in own else F.col(others[c])).alias(c) for c in docs.columns])
 
 
 def valid_text(name: str):

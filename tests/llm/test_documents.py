@@ -315,7 +315,7 @@ def test_suffix_dedup_equals_brute_force(docs, rows, empty):
                 gone[p : p + 50] = True
         runs = len(re.findall(b"\1+", gone.astype(np.uint8).tobytes()))
         want[i] = (len(t), int(gone.sum()), runs, bytes(np.frombuffer(t, np.uint8)[~gone]))
-    for edges in (suffix.EDGES, 3):
+    for edges in (suffix.EDGES, 1):
         got = suffix.deduplicate(docs, edges).collect()
         assert len(got) == len(rows)
         assert all((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id] for r in got if r.doc_id is not None)
@@ -324,6 +324,34 @@ def test_suffix_dedup_equals_brute_force(docs, rows, empty):
     assert suffix.deduplicate(empty).count() == 0
 
 
+def test_suffix_dedup_keeps_columns_of_any_name(spark, docs, rows):
+    clashing = docs.select("doc_id", "text", *[docs.n.alias(c) for c in ("kept", "n_bytes", "n_removed", "n_spans", "i", "t", "b", "x0", "a.b")])
+    plain = {r.doc_id: r for r in suffix.deduplicate(docs.select("doc_id", "text")).collect()}
+    got = suffix.deduplicate(clashing).collect()
+    assert all((r.n_removed, r.kept, r.n_spans) == (plain[r.doc_id].n_removed, plain[r.doc_id].kept, plain[r.doc_id].n_spans) for r in got) and got[0]["a.b"] == -1
+    back = suffix.without_repeats(clashing)
+    assert back.columns == clashing.columns and {(r.doc_id, r.text, r.kept) for r in back.collect()} == {(r.doc_id, plain[r.doc_id].text, r.n) for r in docs.collect()}
+
+
+def test_suffix_dedup_of_many_edges_around_one_anchor(spark):
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    template, texts = word(44), []
+    for _ in range(120):  # repeats that end at different places on either side of one passage
+        texts.append(word(rng.randrange(60)) + (rng.choice(texts)[20:90] if texts else "") + template[rng.randrange(8) :] + word(rng.randrange(40)))
+    first, want = {}, []
+    for i, t in enumerate(t.encode() for t in texts):
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 49):
+            if first.setdefault(t[p : p + 50], i) < i:
+                gone[p : p + 50] = True
+        want.append((i, bytes(np.frombuffer(t, np.uint8)[~gone])))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for edges in (suffix.EDGES, 1):
+        assert sorted((r.doc_id, bytes(r.kept)) for r in suffix.deduplicate(df, edges).collect()) == want
+    assert sum(len(k) for _, k in want) < sum(map(len, texts))
+
+
 def test_unequal_contexts_of_one_anchor_never_settle(monkeypatch):
     import pyarrow as pa
 
