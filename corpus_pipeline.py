@@ -3,7 +3,13 @@
 Each stage takes (spark, docs, sf_dir), works on everything the stage before
 kept, and returns a DataFrame; all but the last return the columns of
 ``documents``. ``run`` writes each stage's rows as Parquet into the shared
-folder and reads them back for the next.
+folder and reads them back for the next; a stage's rows are deleted when the
+next stage's are written.
+
+Every stage takes null and empty texts as texts without words, treats rows
+that repeat a doc_id and rows without one as its operator says, carries extra
+columns of any name along (the last returns its own), and gives an empty
+result for an empty table.
 """
 
 from __future__ import annotations
@@ -21,15 +27,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, similarity about 0.8 or more."""
+    """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more; rows without a doc_id stay."""
     return simhash.keep_one(docs)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeat 50-byte strings of earlier documents; n_chars follows the text."""
-    cut = suffix.deduplicate(docs)
-    new = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
-    return cut.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    cut = suffix.without_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +55,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = common.materialize_at(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            common.remove(spark, before)
+        before = path
     return docs
