@@ -140,7 +140,7 @@ def unpack(blob: bytes, *types: str) -> list[np.ndarray]:
     return [*out, np.frombuffer(raw, np.uint8, -1, at)] if at < len(raw) else out
 
 
-POSTING = ("<u4", "<u8", "<u8", "<u2", "<u2", "<i8", "<u4")  # anchor, two hashes of the context, right, left, document, place
+POSTING = ("<u4", "<u8", "<u4", "<u2", "<u2", "<i8", "<u4")  # anchor, two hashes of the context, right, left, document, place
 
 
 def _postings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -150,7 +150,7 @@ def _postings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     prefixes = Prefixes(data)
     shape = ((at - lo) * 256 + (hi - at)).astype(np.uint64)
     context = mix(prefixes.of(lo, hi) + shape * _BASE)
-    other = OtherPrefixes(data).of(lo, hi)
+    other = mix(OtherPrefixes(data).of(lo, hi)) >> np.uint64(32)
     right = mix(prefixes.of(at, np.minimum(ends[doc], at + LENGTH - RIGHT)))
     left = mix(prefixes.of(np.maximum(starts[doc], at - RIGHT - 1), at + GRAM))
     return gram, context, other, right, left, doc, at - starts[doc]
@@ -342,7 +342,7 @@ def _post(blocks: int, buckets: int):
             rows = [((int(place.sum()) + b) % buckets, kind, b, blob) for _, kind, b, blob in rows]  # they only pass through their bucket
             new = ~old
             bucket = (gram[new] >> np.uint64(40)) % np.uint64(buckets)
-            columns = [gram[new].astype(np.uint32), context[new], other[new], right[new].astype(np.uint16), left[new].astype(np.uint16), doc[new], place[new].astype(np.uint32)]
+            columns = [gram[new].astype(np.uint32), context[new], other[new].astype(np.uint32), right[new].astype(np.uint16), left[new].astype(np.uint16), doc[new], place[new].astype(np.uint32)]
             for b, *rest in _split(bucket, bucket, *columns):
                 rows.append((int(b[0]), SENT, 0, pack(*rest)))
             return _rows(rows).to_batches()
@@ -542,7 +542,7 @@ def deduplicate(docs: DataFrame, edges: int = EDGES) -> DataFrame:
     cross documents; overlapping strings count, and strings are judged on the input. A doc_id names one text: rows that repeat it
     repeat the text, and don't count against each other. Null texts are empty; rows with a null doc_id neither lose bytes nor
     cost others any. An empty table gives an empty result. ``edges`` is how many edges a task sorts at a time. Contexts inside
-    a repeat are matched by two independent 64-bit hashes of the whole context, its edges by the bytes.
+    a repeat are matched by 96 bits of two independent hashes of the whole context (its bytes would be five times the text), its edges by the bytes.
     """
     cut, others = _cleaned(docs, edges)
     own = {"doc_id": F.col("i"), "text": valid_text("kept"), "kept": F.col("kept"), "n_bytes": F.col("n"), "n_removed": F.col("removed"), "n_spans": F.col("runs")}
