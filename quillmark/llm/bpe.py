@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bytes of chunks that a task keeps, and words that it remembers for windows.
-STORE_BYTES, MEMO_WORDS = 12_000_000, 120_000
+STORE_BYTES, MEMO_WORDS = 12_000_000, 250_000
 #: Words on either side of a join, window by window.
 WIDER = (1, 4, 16)
 _SPACE = re.compile(rb"[\t-\r ]")
@@ -109,8 +110,8 @@ class ChunkEncoder:
         self.whole = 0  # texts that no window could repair
 
     def library(self, texts: list[bytes]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers, straight from the library."""
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        """Ids as unsigned 32-bit integers (little-endian, as the machines are), straight from the library."""
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the library's decode(ids, skip_special_tokens=False); without a decoder tokens are joined by spaces."""
@@ -141,8 +142,6 @@ class ChunkEncoder:
             return [known[t] for t in texts]
         split = [t.split() for t in texts]
         words = set().union(*split)
-        if len(self.words) + len(words) > MEMO_WORDS:
-            self.words, self.older = {}, self.words
         new = []
         for w in words:
             if w not in self.words:
@@ -152,12 +151,15 @@ class ChunkEncoder:
                 else:
                     self.words[w] = known
         self.words.update(zip(new, self.library(new)))
-        return [b"".join(map(self.words.__getitem__, ws)) for ws in split]
+        out = [b"".join(map(self.words.__getitem__, ws)) for ws in split]
+        if len(self.words) > MEMO_WORDS:
+            self.words, self.older = {}, self.words
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
-        for at in range(0, len(texts), 512):
-            out += self._encode(texts[at : at + 512])
+        for at in range(0, len(texts), 256):
+            out += self._encode(texts[at : at + 256])
         return out
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
@@ -226,7 +228,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     spec = docs.sparkSession.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())  # a vocabulary file: its size doesn't depend on the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = ChunkEncoder(spec.value)
+        work = common.per_worker(ChunkEncoder, spec.value)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 s = b.slice(at, 1000)

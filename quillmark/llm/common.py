@@ -67,6 +67,17 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_MADE: dict = {}
+
+
+def per_worker(kind: type, spec: str):
+    """``kind(spec)``, made once in each Python worker and kept for its later tasks; only the last spec of a kind is kept."""
+    known = _MADE.get(kind)
+    if known is None or known[0] != spec:
+        _MADE[kind] = known = (spec, kind(spec))
+    return known[1]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Batches cut into smaller ones, so that fewer Python objects live at once."""
     for b in batches:

@@ -206,7 +206,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     spec = docs.sparkSession.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteEncoder(spec.value)
+        encoder = common.per_worker(ByteEncoder, spec.value)
         for b in common.slices(batches):
             counts = [len(ids) // encoder.kind.itemsize + 1 for ids in encoder.encode(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], ["doc_id", "n"])

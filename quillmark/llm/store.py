@@ -140,7 +140,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
     end = np.array([end_id], kind).tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteEncoder(spec.value)
+        encoder = common.per_worker(ByteEncoder, spec.value)
         chunks: dict[bytes, bytes] = {}
         held = 0
         for b in common.slices(batches, 500):
