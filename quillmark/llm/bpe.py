@@ -2,8 +2,8 @@
 
 A rolling hash over 32 bytes cuts texts into chunks, so equal passages give
 equal chunks wherever they stand. Documents are dealt by their smallest chunk
-hash, which brings documents that share text together (adaptive execution
-splits partitions that a large group of copies makes too big); each task
+hash, which brings documents that share text together (of a large group each
+reading task sends only a few there and spreads the rest); each task
 encodes a chunk once while its bounded store lasts, whichever documents it
 occurs in. A chunk is encoded from its first to its last white space (by the
 library, or where its words are independent, from a bounded memory of the
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ from . import common
 
 #: Bytes of chunks that a task keeps, and words that it remembers for windows.
 STORE_BYTES, MEMO_WORDS = 12_000_000, 250_000
+#: Of documents of one smallest hash, those that a reading task sends where others of NEAR neighbouring tasks go.
+MEET, NEAR = 4, 256
 #: Words on either side of a join, window by window.
 WIDER = (1, 4, 16)
 _SPACE = re.compile(rb"[\t-\r ]")
@@ -239,18 +242,24 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def together(docs: DataFrame) -> DataFrame:
-    """(doc_id, t binary) dealt so that documents that share text tend to meet."""
+    """(doc_id, t binary) dealt so that documents that share text tend to meet, at most MEET * NEAR of them by their smallest chunk hash."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        seen: dict[int, int] = {}
         for b in batches:
-            low = []
+            keys = []
             for t in b.column(1).to_pylist():
                 h = rolling_hash(np.frombuffer(t, np.uint8), 32)
-                low.append(int(h.min()) if len(h) else len(t))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(low, pa.int64())], ["doc_id", "t", "route"])
+                low = int(h.min()) if len(h) else len(t)
+                k = seen[low] = seen.get(low, -1) + 1
+                keys.append((low << 31) + (task // NEAR if k < MEET else (1 << 30) + task * 1009 + k // MEET & (1 << 30) - 1))
+            if len(seen) > 1_000_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64())], ["doc_id", "t", "route"])
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("t")).mapInArrow(route, "doc_id long, t binary, route long")
-    return dealt.hint("rebalance", "route").select("doc_id", "t")
+    return dealt.repartition("route").select("doc_id", "t")
 
 
 def op1_bpe(spark, sf_dir):
