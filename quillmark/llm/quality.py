@@ -149,7 +149,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mode
     """Fit on at most ``fit_rows`` labelled documents that aren't held out; labels: (doc_id, quality), null labels are ignored."""
     known = labels.where(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # the bound that allows the broadcast
-    rows = docs.select("doc_id", common.text_bytes().alias("t")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", common.text_bytes().alias("t")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("t").alias("t"))
     width = len(FEATURES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -53,7 +53,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
 
     vectors and queries: (vec_id, embedding), other columns ignored. Null vectors, null ids and vectors holding null or non-finite
     components take no part; vectors of another length than the query's are no candidates. Queries with fewer candidates get
-    all of them, and none if there are none. Repeated query ids count once.
+    all of them, and none if there are none. Repeated query ids count once. Scores beyond 64 bits, of components beyond about 2 ** 27, raise
+    an error.
     """
     candidates = common.materialize(quantized(vectors, scale), "candidates")
     asked = common.materialize(quantized(queries, scale).dropDuplicates(["vec_id"]), "queries")

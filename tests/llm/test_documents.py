@@ -534,3 +534,18 @@ def test_packing_places_every_token_once(spark):
 def test_packing_documents(docs, rows, empty):
     assert {r.doc_id for r in packing.pack_documents(docs).collect()} == {r[0] for r in rows}
     assert packing.pack_documents(empty).count() == 0
+
+
+def test_pipeline_stages_on_odd_and_on_no_rows(spark, docs, rows, empty, labels, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    ids = {r[0] for r in rows}
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        for table in (docs, empty):
+            out = stage(spark, table, str(tmp_path))
+            got = out.collect()
+            assert {r.doc_id for r in got} <= (ids if table is docs else set())
+            if k < len(pipeline.STAGES) - 1:
+                assert out.columns == docs.columns and len(got) <= len(rows)
+                assert {r.n for r in got if r.doc_id is not None} <= {-1}
+    assert {r.doc_id for r in pipeline.STAGES[2][1](spark, docs, str(tmp_path)).collect()} == ids

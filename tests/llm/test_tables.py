@@ -107,6 +107,12 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_components_of_a_hub(spark):
+    pairs = [(1, i) for i in range(2, 400)] + [(i, 1000 + i) for i in range(2, 400, 3)]
+    got = connected_components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()
+    assert {r.component for r in got} == {1} and len(got) == len({n for p in pairs for n in p})
+
+
 def test_pipeline_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
