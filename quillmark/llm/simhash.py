@@ -12,8 +12,11 @@
    pairs that reach the guaranteed minimum are verified by their differing
    bits, and only a spanning forest of the verified links leaves the task,
    rooted at small ids so that postings agree on their edges. Postings above
-   ``block`` members are cut into blocks that are compared pairwise in
-   separate groups.
+   ``block`` members are cut into blocks. First every block is compared with
+   itself and the first one, and components of what was found are labelled;
+   only members outside a posting's largest component are then compared with
+   all its blocks. A large group of near copies is connected by the first
+   round, so its cost grows with its size and not with its square.
 4. Components of the links are labelled with distributed star contraction.
 
 ``near_duplicates`` votes each fingerprint bit over all shingles. At a Jaccard
@@ -200,13 +203,51 @@ def links(nodes: DataFrame, bits: int, max_diff: int, block: int = 4096) -> Data
     return _linked(nodes.mapInArrow(post, "key long, id long, fp binary"), n_bytes, min_shared, max_diff, block)
 
 
+def _block(id, blocks, salt: int = 0):
+    return F.pmod(F.xxhash64(id, F.lit(salt)), blocks).cast("int")
+
+
+def _numbers(n):
+    return F.sequence(F.lit(0), n - 1)
+
+
+def _linked_in_groups(members: DataFrame, block: int, links_of) -> DataFrame:
+    """Links that connect all that is linked inside the groups of ``members`` (key, id, any others).
+
+    ``links_of`` takes members with the column ``at`` and gives links (a, b) that connect what is linked among the rows of equal
+    key and ``at``. Groups of at most ``block`` members are one such run. Larger ones are cut into blocks: the first round joins each
+    block with the first one, the second one joins the members that are not in the group's largest component so far with every
+    block. Two members that no round brings together are both in that component, so no connection is lost.
+    """
+    spark = members.sparkSession
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    hot = common.materialize(counts.where(F.col("size") > block).select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "hot-groups")
+    mine = _block(F.col("id"), F.coalesce("blocks", F.lit(1)))
+    again = F.when(F.coalesce("blocks", F.lit(1)) == 1, F.array(F.lit(0))).when(mine == 0, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array(mine))
+    first = links_of(members.join(hot, "key", "left").withColumn("at", F.explode(again)).drop("blocks"))
+    if hot.isEmpty():
+        return first
+    first = common.materialize(first, "first-links")
+    parts, path = common.materialize_at(connected_components(first, "a", "b"), "parts")
+    large = members.join(hot, "key").join(parts, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id")).drop("node", "component")
+    sizes = large.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    rest = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("size")).where(F.col("size") > F.col("most.n"))
+    rest = common.materialize(rest.select("key", F.col("most.part").alias("most"), F.ceil((F.col("size") - F.col("most.n")) / block).cast("int").alias("others")), "split-groups")
+    if rest.isEmpty():
+        common.remove(spark, path)
+        return first
+    open_ = large.join(rest, "key").withColumn("at", F.lit(0))
+    i, j = _block(F.col("id"), F.col("others"), 1), _block(F.col("id"), F.col("blocks"))
+    all_of = F.transform(_numbers(F.col("others")), lambda x: x * F.col("blocks") + j)  # a member in its block, beside each block of others
+    outside = F.when(F.col("part") != F.col("most"), F.transform(_numbers(F.col("blocks")), lambda x: i * F.col("blocks") + x)).otherwise(F.array().cast("array<int>"))
+    dealt = open_.withColumn("at", F.explode(F.array_union(all_of, outside))).drop("blocks", "part", "most", "others")
+    second = common.materialize(links_of(dealt), "second-links")
+    common.remove(spark, path)
+    return first.unionByName(second)
+
+
 def _linked(postings: DataFrame, n_bytes: int, min_shared: int, max_diff: int | None, block: int) -> DataFrame:
     """Links (a, b) that connect what shares a posting (key, id, fp) and lies within the limits."""
-    hot = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("mine")).alias("i"), F.greatest(j, F.col("mine")).alias("j")))
-    dealt = postings.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", mine)
-    groups = dealt.withColumn("at", F.explode(blocks)).groupBy("key", "at").agg(F.array_sort(F.collect_list(F.struct("id", "fp"))).alias("m")).where(F.size("m") > 1).select(F.col("m.id").alias("ids"), F.col("m.fp").alias("fps"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root: dict[int, int] = {}  # of the nodes that this task links; forgetting it only repeats links
@@ -223,7 +264,11 @@ def _linked(postings: DataFrame, n_bytes: int, min_shared: int, max_diff: int |
                 pairs = pairs[np.array(_joining(root, pairs), bool)]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return groups.mapInArrow(compare, "a long, b long")
+    def links_of(dealt: DataFrame) -> DataFrame:
+        groups = dealt.groupBy("key", "at").agg(F.array_sort(F.collect_list(F.struct("id", "fp"))).alias("m")).where(F.size("m") > 1)
+        return groups.select(F.col("m.id").alias("ids"), F.col("m.fp").alias("fps")).mapInArrow(compare, "a long, b long")
+
+    return _linked_in_groups(postings, block, links_of)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 64, max_diff: int = 3, block: int = 4096) -> DataFrame:
@@ -278,8 +323,8 @@ def similar_documents(docs: DataFrame, words: int = 5, block: int = 512) -> Data
 
     Equal sets of shingles collapse first. Two sets of similarity 0.8 agree on a byte with probability 0.8, so they share none of
     the 32 tuples of four bytes with probability (1 - 0.8 ** 4) ** 32 < 5e-8, and fewer than 24 of the 48 tallied bytes with
-    probability below 2e-6. Unlike sets share a tuple with probability 32 / 2 ** 32. All that is proposed is compared exactly:
-    components of candidates above ``block`` members are cut into blocks that are compared pairwise in separate groups. Null and
+    probability below 2e-6. Unlike sets share a tuple with probability 32 / 2 ** 32. All that is proposed is compared exactly,
+    component by component of the candidates, those above ``block`` members in two rounds of blocks like large postings. Null and
     wordless texts have the empty set and are equal. Repeated rows give repeated results; rows with a null doc_id are no
     candidates for component_id; an empty table gives an empty result.
     """
@@ -299,7 +344,7 @@ def similar_documents(docs: DataFrame, words: int = 5, block: int = 512) -> Data
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t, words)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t, words)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "set"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -315,13 +360,14 @@ def similar_documents(docs: DataFrame, words: int = 5, block: int = 512) -> Data
     nodes = common.materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")), "nodes")
     near = nodes.where("id is not null").select("id", "fp").mapInArrow(post, "key long, id long, fp binary")
     members = connected_components(_linked(near, TALLIED, LEAST, None, 4096), "a", "b")
-    hot = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("component", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = members.join(hot, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("mine")).alias("i"), F.greatest(j, F.col("mine")).alias("j")))
-    sets = texts.join(members.select("node"), F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(shingles, "id long, set binary")
-    placed = sets.join(dealt, F.col("id") == F.col("node")).withColumn("at", F.explode(pairs))
-    groups = placed.groupBy("component", "at").agg(F.collect_list(F.struct("id", "set")).alias("m")).where(F.size("m") > 1).select(F.col("m.id").alias("ids"), F.col("m.set").alias("sets"))
-    found = connected_components(groups.mapInArrow(compare, "a long, b long"), "a", "b")
+
+    def links_of(dealt: DataFrame) -> DataFrame:
+        sets = texts.join(dealt.select("id"), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(shingles, "doc_id long, set binary")
+        placed = sets.join(dealt, F.col("doc_id") == F.col("id")).groupBy("key", "at").agg(F.collect_list(F.struct("id", "set")).alias("m")).where(F.size("m") > 1)
+        return placed.select(F.col("m.id").alias("ids"), F.col("m.set").alias("sets")).mapInArrow(compare, "a long, b long")
+
+    groups = members.select(F.col("component").alias("key"), F.col("node").alias("id"))
+    found = connected_components(_linked_in_groups(groups, block, links_of), "a", "b")
     classes = nodes.join(found, nodes.id == found.node, "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     return rows.select("doc_id", "digest").join(classes, "digest").select("doc_id", "component_id")
 

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from quillmark.llm import bpe, packing, quality, sharding, simhash, store, suffix  # noqa: E402
@@ -253,6 +254,25 @@ def test_simhash_blocks_find_the_same_links(spark):
         assert components(range(len(values)), lambda a, b: (a, b) in near) == want  # noqa: B023
 
 
+def test_large_groups_cost_as_their_size(spark):
+    members = spark.range(1200).selectExpr("CAST(id % 2 AS LONG) AS key", "id")
+    apart, dealt_rows = {7, 200, 201, 999}, []
+
+    def links_of(dealt):
+        dealt_rows.append(dealt.count())
+        near = dealt.where(~F.col("id").isin(sorted(apart)))
+        least = near.groupBy("key", "at").agg(F.min("id").alias("a"))
+        own = dealt.where(F.col("id").isin(201, 999)).groupBy("key", "at").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b")
+        return near.join(least, ["key", "at"]).select("a", F.col("id").alias("b")).union(own)
+
+    links = simhash._linked_in_groups(members, 50, links_of)
+    pairs = {(r.a, r.b) for r in links.collect()}
+    near = pairs | {(b, a) for a, b in pairs}
+    want = {i: 201 if i == 999 else i if i in apart else i % 2 for i in range(1200)}
+    assert components(range(1200), lambda a, b: (a, b) in near) == want
+    assert len(dealt_rows) == 2 and all(n < 3 * 1200 for n in dealt_rows)  # pairs of 12 blocks would deal 14,400 rows
+
+
 def test_tallies_keep_what_reaches_the_minimum():
     rng = np.random.default_rng(8)
     a = rng.integers(0, 1 << 63, (500, 1), np.int64).view(np.uint64)
