@@ -16,6 +16,9 @@ MODULES = {
     "op8_sharding": "sharding",
     "op9_embedding_neardup": "embed",
     "op10_topk": "topk",
+    "op11_decontamination": "decontaminate",
+    "op12_whitening": "whiten",
+    "op13_clusters": "centroids",
 }
 
 
