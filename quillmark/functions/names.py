@@ -26,10 +26,10 @@ def company(model: Column) -> Column:
 
 
 def company_name(model: Column, shown: dict[str, str] | None = None) -> Column:
-    """Name of a model's company as in the leaderboard (or as in ``shown``); others in title case, each part between hyphens on its own."""
+    """Name of a model's company as in the leaderboard (or as in ``shown``); others in title case, each run of letters on its own."""
     names = F.create_map(*[F.lit(x) for pair in (K.COMPANY_NAMES if shown is None else shown).items() for x in pair])
     c = company(model)
-    return F.coalesce(F.try_element_at(names, c), F.array_join(F.transform(F.split(c, "-"), F.initcap), "-"))
+    return F.coalesce(F.try_element_at(names, c), F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"\p{L}+|\P{L}+"), F.lit(0)), F.initcap), ""))
 
 
 def display_name(model: Column) -> Column:

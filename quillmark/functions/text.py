@@ -141,6 +141,22 @@ def slop_score(text: Column, words: dict[str, float] | None = None, phrases: dic
     return _scored(lambda low, found: slop_of(low, found, lexicon, listed))(text)
 
 
+def repetition_and_slop(text: Column) -> Column:
+    """struct<repetition, slop> by the fixed lists: both scores of a text that is lower-cased and cut into words once."""
+    stops, lexicon, listed = frozenset(K.STOP_WORDS), K.OVERUSED_WORDS, K.OVERUSED_PHRASES
+
+    @F.pandas_udf("repetition double, slop double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            both = []
+            for low in [(t or "").lower() for t in texts]:
+                words = _WORD.findall(low)
+                both.append((repetition_of(words, stops), slop_of(low, words, lexicon, listed)))
+            yield pd.DataFrame(both, columns=["repetition", "slop"], dtype="float64")
+
+    return run(text)
+
+
 def programmatic_score(words: Column, repetition: Column, slop: Column) -> Column:
     return words * 0.40 + repetition * 0.35 + slop * 0.25
 

@@ -9,6 +9,10 @@ from . import aggregates, ranking, stats
 from ..functions import names
 
 
+#: Rows or columns of a table that is still a report.
+MOST = 1000
+
+
 def percent(x: float | None) -> str:
     return "-" if x is None else f"{x:.1%}"
 
@@ -22,7 +26,7 @@ def number(x: int | None) -> str:
     return "-" if x is None else f"{x:,}"
 
 
-def markdown_table(df: DataFrame, formats: dict | None = None, most: int = 1000) -> str:
+def markdown_table(df: DataFrame, formats: dict | None = None, most: int = MOST) -> str:
     """A report-sized DataFrame as a Markdown table; null shows as a hyphen. More than ``most`` rows are no report and raise an error."""
     formats = formats or {}
     rows = df.limit(most + 1).collect()
@@ -51,7 +55,9 @@ def task_analysis_markdown(task_stats: DataFrame, cells: DataFrame) -> str:
         parts += [f"## {title}", markdown_table(top, formats)]
     every = t.orderBy("task_type", ranking.settled("spread").desc(), "task_id").select("task_type", "task_id", "theory", "avg_score", "min_score", "max_score", "spread", "stdev", "best_model", "worst_model")
     parts += ["## Every task", markdown_table(every, formats), "## Costs", markdown_table(aggregates.task_type_costs(t).orderBy("task_type"), formats)]
-    models = [r.model for r in cells.select("model").distinct().orderBy("model").limit(1000).collect()]
+    models = [r.model for r in cells.select("model").distinct().orderBy("model").limit(MOST + 1).collect()]
+    if len(models) > MOST:
+        raise ValueError(f"more than {MOST} models for a report")
     scores = ranking.matrix(cells, "task_id", "model", "score", models).orderBy("task_id")
     parts += ["## Scores by task and model", markdown_table(scores, {m: percent for m in models})]
     return "\n\n".join(parts) + "\n"
@@ -77,13 +83,21 @@ def write_report(out: str, flags: DataFrame, evaluations: DataFrame, generations
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/{name}")
 
 
-def console_summary(summary: DataFrame, type_scores: DataFrame, evaluators: list[str]) -> str:
-    """Plain text: how many models, which task types and judges, the ranking, and the best model of each type."""
+def summary_rows(summary: DataFrame, type_scores: DataFrame) -> DataFrame:
+    """(part, place, name, score_pct, cost) with display names: every model under "ranking" by its rank, and under "best" the best model of each task type; a score of 0 is shown as none."""
     ranked = ranking.leaderboard(summary)
-    best = {r.task_type: r for r in ranking.best_by_type(type_scores, ranked).collect()}  # one row for each task type
-    types = sorted(r.task_type for r in type_scores.select("task_type").distinct().collect())
-    rows = ranked.orderBy("rank").limit(1000).collect()
-    lines = [f"Models evaluated: {len(rows)}", f"Task types: {', '.join(types)}", f"Evaluators: {', '.join(e.split('/')[-1] for e in evaluators)}", "", "Ranking"]
-    lines += [f"  {r['rank']}. {r.model_short:25s} {f'{r.avg_score:.1%}' if r.avg_score else 'N/A':>8s}  (${r.generation_cost:.4f})" for r in rows]
-    lines += ["", "Best by task type"] + [f"  {t:30s}: {best[t].model.split('/')[-1]} ({best[t].avg_score:.1%})" for t in types if t in best]
-    return "\n".join(lines)
+    name = names.display_name(F.col("model")).alias("name")
+    score = F.when(F.col("avg_score") != 0, F.col("avg_score") * 100)
+    models = ranked.select(F.lit("ranking").alias("part"), F.col("rank").cast("string").alias("place"), name, score.alias("score_pct"), F.col("generation_cost").alias("cost"))
+    best = ranking.best_by_type(type_scores, ranked).select(F.lit("best").alias("part"), F.col("task_type").alias("place"), name, score.alias("score_pct"))
+    return models.unionByName(best, allowMissingColumns=True)
+
+
+def console_summary(summary: DataFrame, type_scores: DataFrame, evaluators: list[str]) -> str:
+    """The summary as Markdown: who judged, the ranking, and the best model of each task type. More models than a table holds raise an error."""
+    rows = summary_rows(summary, type_scores)
+    formats = {"score": lambda x: "N/A" if x is None else f"{x:.1f} %", "cost": money}
+    shown = lambda part, order, first: rows.where(F.col("part") == part).orderBy(order).select(F.col("place").alias(first), "name", F.col("score_pct").alias("score"), *(["cost"] if part == "ranking" else []))
+    judges = ", ".join(e.split("/")[-1] for e in evaluators) or "-"
+    tables = [markdown_table(shown("ranking", F.col("place").cast("int"), "rank"), formats), markdown_table(shown("best", F.col("place"), "task_type"), formats)]
+    return f"# Summary\n\nJudged by {judges}.\n\n## Ranking\n\n{tables[0]}\n\n## Best model of each task type\n\n{tables[1]}\n"

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import judge, names, rules, text
 from ..operators import aggregates as agg
-from ..operators import generate, ledger, ranking, stats, turns
-from ..sources import adapters
+from ..operators import generate, ledger, ranking, report, stats, turns
+from ..sources import adapters, ingest
 from ..streaming import ledger_stream
 from . import oracle
 
@@ -359,8 +359,8 @@ def slop_score_own_lists(spark, sf):
 def programmatic_score(spark, sf):
     t = F.col("text")
     fits = text.word_count_score(text.word_count(t), F.lit(300), F.lit(500))
-    d = _documents(spark, sf).select("doc_id", text.programmatic_score(fits, text.repetition_score(t), text.slop_score(t)).alias("programmatic"))
-    return rounded(d, "programmatic")
+    d = _documents(spark, sf).select("doc_id", fits.alias("fits"), text.repetition_and_slop(t).alias("s"))
+    return rounded(d.select("doc_id", text.programmatic_score(F.col("fits"), F.col("s.repetition"), F.col("s.slop")).alias("programmatic")), "programmatic")
 
 
 def _judge_results() -> Column:
@@ -669,6 +669,32 @@ def display_names(spark, sf):
     return adapters.models(spark, sf).select("model", names.display_name(F.regexp_replace("model", "/model-", "/gpt-")).alias("name"), names.company(F.col("model")).alias("company"))
 
 
+@query
+def company_titles(spark, sf):
+    """Companies that no list names, with digits, underscores and full stops inside."""
+    company = F.concat(F.lower(F.replace("s_name", F.lit("#"), F.lit("_"))), F.lit("labs."), F.lower("s_phone"), F.lit("x_y"))
+    return adapters.table(spark, sf, "supplier").select("s_suppkey", names.company_name(F.concat(company, F.lit("/m"))).alias("name"))
+
+
+@query
+def mixed_score_maps(spark, sf):
+    """Multi-turn judge files whose score maps hold text, booleans, nulls and nested values beside numbers."""
+    s = lambda c: F.col(c).cast("string")
+    scores = F.concat(F.lit('{"quality":'), s("l_quantity"), F.lit(',"note":"'), "l_returnflag", F.lit('","passed":'), s("open"), F.lit(',"none":null,"deep":{"x":'), s("l_tax"), F.lit('},"share":'), s("l_discount"), F.lit("}"))
+    text = F.concat(F.lit('{"task_id":"'), s("l_orderkey"), F.lit("_"), s("l_linenumber"), F.lit('","model":"a/b","process_scores":'), scores, F.lit(',"output_scores":{"kept":'), s("open"), F.lit(',"why":"'), "l_shipmode", F.lit('"}}'))
+    docs = adapters.table(spark, sf, "lineitem").withColumn("open", F.col("l_linestatus") == "O").select(text.alias("json"))
+    e = ingest.evaluations(docs).select("task_id", judge.map_mean(F.col("process_scores")).alias("process"), judge.map_mean(F.col("output_scores")).alias("output"))
+    return rounded(e, "process", "output")
+
+
+@query
+def summary_rows(spark, sf):
+    """The summary as rows: the ranking, and the best model of each task type."""
+    cells = _cells(spark, sf)
+    summary = agg.summary(adapters.evaluations(spark, sf), adapters.generations(spark, sf))
+    return rounded(report.summary_rows(summary, agg.model_scores(cells, "task_type")), "score_pct", "cost")
+
+
 @query
 def file_names(spark, sf):
     return adapters.generations(spark, sf).select("sample", names.file_stem(F.col("task_id"), F.col("model"), F.col("sample")).alias("stem"))

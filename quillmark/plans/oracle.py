@@ -247,6 +247,12 @@ SQL: dict[str, str] = {
     "evaluator_prices": """SELECT 'judge-' || CAST(l_linenumber % 3 AS VARCHAR) AS evaluator_model, count(*) AS n, round(sum((l_orderkey % 5000) / 1e6 * CASE l_linenumber % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.25 END
       + (l_partkey % 700) / 1e6 * CASE l_linenumber % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END), 4) AS cost FROM lineitem GROUP BY 1""",
     "display_names": f"{_with(MODEL)} SELECT model, 'GPT-' || split_part(model, '-', -1) AS name, split_part(model, '/', 1) AS company FROM md",
+    "company_titles": """SELECT s_suppkey, array_to_string(list_transform(regexp_extract_all(lower(replace(s_name, '#', '_')) || 'labs.' || lower(s_phone) || 'x_y', '[a-z]+|[^a-z]+'), lambda x: upper(x[1]) || x[2:]), '') AS name FROM supplier""",
+    "mixed_score_maps": """SELECT CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS task_id, round((l_quantity + CAST(l_linestatus = 'O' AS INTEGER) + l_discount) / 3, 6) AS process, CAST(l_linestatus = 'O' AS DOUBLE) AS output FROM lineitem""",
+    "summary_rows": f"""{_with(*SUMMARY)}, r AS (SELECT *, row_number() OVER (ORDER BY round(coalesce(avg_score, 0), 12) DESC, model) AS rank FROM sm), t AS (SELECT model, task_type, avg(score) AS s FROM cell GROUP BY ALL),
+      b AS (SELECT task_type, model, s FROM t JOIN r USING (model) WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY task_type ORDER BY round(s, 12) DESC, rank) = 1)
+      SELECT 'ranking' AS part, CAST(rank AS VARCHAR) AS place, split_part(model, '/', -1) AS name, round(CASE WHEN avg_score <> 0 THEN avg_score * 100 END, 6) AS score_pct, {_round('generation_cost').replace('AS generation_cost', 'AS cost')} FROM r
+      UNION ALL SELECT 'best', task_type, split_part(model, '/', -1), round(s * 100, 6), NULL FROM b""",
     "file_names": f"{_with(GEN)} SELECT sample, task_id || '_' || replace(model, '/', '_') || '_' || CAST(sample AS VARCHAR) AS stem FROM gen",
     "evaluation_type_report": f"{_with(EVAL)} SELECT task_type, count(*) AS successful, round(avg(final_score), 6) AS avg_score FROM ev WHERE success GROUP BY task_type",
     "chart_points": f"""{_with(*SUMMARY)}, p AS (SELECT *, prompt_tokens + completion_tokens AS t FROM sm WHERE generation_cost > 0)

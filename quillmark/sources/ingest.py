@@ -11,7 +11,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -93,12 +93,20 @@ def agentic_generations(docs: DataFrame) -> DataFrame:
     )
 
 
+def numbers_of(text: Column) -> Column:
+    """The numbers of a JSON object as map<string,double>; booleans count 1 and 0, entries of any other kind are left out. Null for what is no object."""
+    entries = F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>")
+    kind = F.schema_of_variant
+    number = lambda _, v: F.when(kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).when(kind(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, "$", "double"))
+    return F.map_filter(F.transform_values(entries, number), lambda _, x: x.isNotNull())
+
+
 def evaluations(docs: DataFrame, derive_type: bool = True) -> DataFrame:
     """Judge result files of both kinds; multi-turn ones are those with process scores.
 
     An absent task type comes from the task id; with ``derive_type`` false, as for single-turn files, it is "unknown".
     """
-    process, output = (F.from_json(F.get_json_object("json", f"$.{k}"), "map<string,double>") for k in ("process_scores", "output_scores"))
+    process, output = (numbers_of(F.get_json_object("json", f"$.{k}")) for k in ("process_scores", "output_scores"))
     component = lambda path: _at(f"score_breakdown.components.{path}", "double")
     return _finish(
         docs,

@@ -287,6 +287,8 @@ def test_synthesis_needs_its_cross_checks(spark):
 
 
 def test_names_in_leaderboard_and_charts(spark):
+    odd = ["ai21labs", "x_y", "a.b", "z-ai", "o'neil-2go", "ÉCOLE9b"]
+    assert list(one(spark, *[names.company_name(F.lit(f"{x}/m")) for x in odd])) == [x.title() for x in odd]
     m = [F.lit(x) for x in ("z-ai/x", "moonshotai/x", "x-ai/x")]
     assert tuple(one(spark, *map(names.company_name, m))) == ("Z-Ai", "Moonshotai", "xAI")
     assert tuple(one(spark, *[names.company_name(x, K.CHART_COMPANY_NAMES) for x in m])) == ("Z-AI", "Moonshot", "xAI")
@@ -358,6 +360,14 @@ def test_tables_swap_only_when_all_are_written(spark, tmp_path):
     assert [ingest.stored(spark, out, n, "id long").count() for n in "ab"] == [3, 2]
 
 
+def test_score_maps_keep_numbers_only(spark):
+    maps = ['{"a":0.5,"b":"text","c":true}', '{"a":1,"b":null,"c":{"d":2},"e":[1],"f":false,"g":1e-3}', "{}", '"text"', None, "{broken"]
+    rows = spark.createDataFrame([(i, m) for i, m in enumerate(maps)], "i int, m string")
+    got = {r.i: (r.n, r.mean) for r in rows.select("i", ingest.numbers_of(F.col("m")).alias("n")).select("i", "n", judge.map_mean(F.col("n")).alias("mean")).collect()}
+    assert got[0] == ({"a": 0.5, "c": 1.0}, 0.75) and got[1][0] == {"a": 1.0, "f": 0.0, "g": 0.001} and got[2] == ({}, None)
+    assert [got[i] for i in (3, 4, 5)] == [(None, None)] * 3
+
+
 def test_reports(spark, tmp_path):
     from quillmark.sources import adapters
 
@@ -370,7 +380,13 @@ def test_reports(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "statistical_comparisons")).count() == 45
     cells = aggregates.cell_scores(evaluations)
     summary = report.console_summary(aggregates.summary(evaluations, generations), aggregates.model_scores(cells, "task_type"), ["x/judge-0"])
-    assert summary.startswith("Models evaluated: 10\n") and "Evaluators: judge-0" in summary and "  10. " in summary
+    assert "Judged by judge-0." in summary and "| 10 | model-" in summary and "| 11 | " not in summary and summary.count("| beat_revision |") == 1
+    gpt = spark.createDataFrame([("openai/gpt-x", 0.0, 1, 0.5), ("c/claude-y", 0.5, 1, 0.25)], "model string, avg_score double, total long, generation_cost double")
+    shown = {r.name: (r.place, r.score_pct) for r in report.summary_rows(gpt, gpt.select("model", F.lit("t").alias("task_type"), "avg_score")).where("part = 'ranking'").collect()}
+    assert shown == {"Claude y": ("1", 50.0), "GPT-x": ("2", None)}
+    many = spark.range(1001).select(F.concat(F.lit("a/"), F.col("id").cast("string")).alias("model"), F.lit("t_1").alias("task_id"), F.lit("t").alias("task_type"), F.lit(0.5).alias("score"), F.lit(1).alias("evaluations"))
+    with pytest.raises(ValueError):
+        report.task_analysis_markdown(aggregates.task_stats(many, tasks, generations), many)
     with pytest.raises(ValueError):
         report.markdown_table(spark.range(4), most=3)
     assert report.number(1234567) == "1,234,567"
