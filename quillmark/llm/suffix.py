@@ -16,7 +16,8 @@ repeats, not the text:
 3. Edges. A window around an anchor holds the anchor's right or its left part
    whole. Each block of documents ships what the windows around its edge
    anchors can see, to where equal parts meet. There their suffixes are
-   sorted, to the right and (reversed) to the left of the anchor: a merge sort
+   sorted, to the right and (reversed) to the left of the anchor, equal ones
+   once for all that have them: a merge sort
    whose comparisons find the common extension by binary search on prefix
    hashes, each result verified on the bytes. Adjacent common extensions give
    the classes of equal windows, and all but the smallest doc_id's are repeats.
@@ -43,8 +44,8 @@ from . import common
 LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1  # places of an anchor in a window
 RIGHT = WINDOW // 2  # anchors at most this far from the window's start see the right part whole
-#: Bytes of text that are hashed at a time, and anchors that a task gathers before it ships them.
-BUFFER, FLUSH = 1 << 20, 300_000
+#: Bytes of text that are gathered and that are hashed at a time, and anchors that a task gathers before it ships them.
+BUFFER, SPAN, FLUSH = 1 << 20, 1 << 22, 300_000
 #: Edges that are sorted at a time, unless more of them share a part; bytes of text in a block of documents, and of a bucket's share.
 EDGES, BLOCK_BYTES, BUCKET_BYTES = 20_000, 32 << 20, 16 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -108,8 +109,8 @@ def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:-rest], out[rest:]) if rest else out
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, gram hashes, document numbers) of the anchors of all windows inside the documents data[starts:ends]."""
+def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, gram hashes, document numbers) of the anchors of the windows inside the documents data[starts:ends] that start from ``first`` up to ``last``."""
     none = np.empty(0, np.int64)
     if len(data) < LENGTH:
         return none, np.empty(0, np.uint64), none
@@ -120,7 +121,10 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     big = ends - starts >= LENGTH
     np.add.at(inside, starts[big], 1)
     np.add.at(inside, ends[big] - LENGTH + 1, -1)
-    places = np.unique((least[np.cumsum(inside[:-1]) > 0] & _PLACE).astype(np.int64))
+    mine = np.cumsum(inside[:-1]) > 0
+    mine[:first] = False
+    mine[len(mine) if last is None else last :] = False
+    places = np.unique((least[mine] & _PLACE).astype(np.int64))
     return places, h[places], np.searchsorted(starts, places, side="right") - 1
 
 
@@ -143,9 +147,18 @@ def unpack(blob: bytes, *types: str) -> list[np.ndarray]:
 POSTING = ("<u4", "<u8", "<u4", "<u2", "<u2", "<i8", "<u4")  # anchor, two hashes of the context, right, left, document, place
 
 
-def _postings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(gram, two independent hashes of the context, right, left, document, place in document) of all anchors."""
-    at, gram, doc = anchors(data, starts, ends)
+def _postings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, ...]:
+    """(gram, two independent hashes of the context, right, left, document, place in document) of all anchors; long buffers go in overlapping spans."""
+    found = []
+    for s in range(0, max(1, len(data)), span):
+        a, b = max(0, s - 2 * LENGTH), min(len(data), s + span + 3 * LENGTH)  # no window of the span sees further
+        docs = np.arange(np.searchsorted(ends, a, side="right"), np.searchsorted(starts, b, side="left"))
+        found.append((*_posted(data[a:b], np.maximum(starts[docs] - a, 0), np.minimum(ends[docs] - a, b - a), s - a, s - a + span), docs, a))
+    return tuple(np.concatenate(c) for c in zip(*[(*hashes, docs[doc], at + a - starts[docs[doc]]) for *hashes, doc, at, docs, a in found]))
+
+
+def _posted(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: int, last: int) -> tuple[np.ndarray, ...]:
+    at, gram, doc = anchors(data, starts, ends, first, last)
     lo, hi = np.maximum(starts[doc], at - (WINDOW - 1)), np.minimum(ends[doc], at + LENGTH)
     prefixes = Prefixes(data)
     shape = ((at - lo) * 256 + (hi - at)).astype(np.uint64)
@@ -153,7 +166,7 @@ def _postings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     other = mix(OtherPrefixes(data).of(lo, hi)) >> np.uint64(32)
     right = mix(prefixes.of(at, np.minimum(ends[doc], at + LENGTH - RIGHT)))
     left = mix(prefixes.of(np.maximum(starts[doc], at - RIGHT - 1), at + GRAM))
-    return gram, context, other, right, left, doc, at - starts[doc]
+    return gram, context, other, right, left, doc, at
 
 
 def buffers(ids: list[int], blocks: list[int], texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -400,32 +413,52 @@ def _answers(table: pa.Table, kind: int, *types: str) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, t) for t in types]
 
 
-EDGE = ("<u8", "<i8", "<u4", "u1", "u1")  # hash of the shared part, document, place, place of the anchor in the piece, length of the piece
+EDGE = ("<u8", "<i8", "<u4", "u1", "u1", "u1")  # hash of the shared part, document, place, kind, place of the anchor in the piece, length of the piece
+#: The kind of an edge: its right or its left part recurs; and whether the document has the same piece at other places.
+RIGHT_PART, LEFT_PART, ALSO = 1, 2, 4
+#: For either part: how far a piece goes before and behind the anchor, and where the part stands.
+SIDES = ((RIGHT_PART, RIGHT, LENGTH, (0, LENGTH - RIGHT)), (LEFT_PART, WINDOW - 1, LENGTH - RIGHT - 1, (-RIGHT - 1, GRAM)))
+
+
+def _pieces(text: bytes, places: list[int], flags: list[int]) -> dict[tuple[int, int, bytes], list[int]]:
+    """What the windows around the edge anchors of a text can see: (part, place of the anchor in the piece, piece) -> places, one or more."""
+    out: dict[tuple[int, int, bytes], list[int]] = {}
+    for x, f in zip(places, flags):
+        for bit, before, after, part in SIDES:
+            if f & bit and x + part[0] >= 0 and x + part[1] <= len(text):
+                lo = max(0, x - before)
+                out.setdefault((bit, x - lo, text[lo : x + after]), []).append(x)
+    return out
+
+
+def _by_document(doc: np.ndarray, *columns: np.ndarray) -> Iterator[list]:
+    """[document, its rows of each column] for each document, as lists."""
+    for d, *rest in _split(doc, doc, *columns):
+        yield [int(d[0]), *[c.tolist() for c in rest]]
 
 
 def _edges(blocks: int, buckets: int):
-    """What the windows around each edge anchor can see, on its way to where equal right or left parts meet."""
+    """The pieces around edge anchors, on their way to where equal right or left parts meet; a document sends each of its pieces once."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         doc, place, flag = _answers(answers, ANCHORS, "<i8", "<u4", "u1")
-        on = np.flatnonzero(flag)
-        if not docs.num_rows or not len(on):
+        on = flag > 0
+        if not docs.num_rows or not on.any():
             return _rows([])
         _, texts, first = _block_texts(docs)
-        keys, owners, places, ats, pieces = [], [], [], [], []
-        for i, x, f in zip(doc[on].tolist(), place[on].tolist(), flag[on].tolist()):
-            t = texts[first[i]]
-            for bit, before, after, part in ((1, RIGHT, LENGTH, (0, LENGTH - RIGHT)), (2, WINDOW - 1, LENGTH - RIGHT - 1, (-RIGHT - 1, GRAM))):
-                if f & bit and x + part[0] >= 0 and x + part[1] <= len(t):
-                    lo = max(0, x - before)
-                    keys.append(xxhash.xxh3_64_intdigest(t[x + part[0] : x + part[1]], bit))
-                    owners.append(i)
-                    places.append(x)
-                    ats.append(x - lo)
-                    pieces.append(t[lo : x + after])
+        keys, owners, places, kinds, ats, pieces = [], [], [], [], [], []
+        for i, x, f in _by_document(doc[on], place[on], flag[on]):
+            for (bit, at, piece), where in _pieces(texts[first[i]], x, f).items():
+                begin, end = next(part for b, _, _, part in SIDES if b == bit)
+                keys.append(xxhash.xxh3_64_intdigest(piece[at + begin : at + end], bit))
+                owners.append(i)
+                places.append(min(where))
+                kinds.append(bit | (ALSO if len(where) > 1 else 0))
+                ats.append(at)
+                pieces.append(piece)
         key = np.array(keys, np.uint64)
         bucket = key % np.uint64(buckets)
-        columns = key, np.array(owners, np.int64), np.array(places, np.uint32), np.array(ats, np.uint8), np.array([len(p) for p in pieces], np.uint8)
+        columns = key, np.array(owners, np.int64), np.array(places, np.uint32), np.array(kinds, np.uint8), np.array(ats, np.uint8), np.array([len(p) for p in pieces], np.uint8)
         order = np.argsort(key, kind="stable")  # alike pieces stand together
         out = []
         for b, rows, *rest in _split(bucket[order], bucket[order], order, *[c[order] for c in columns]):
@@ -435,19 +468,30 @@ def _edges(blocks: int, buckets: int):
     return run
 
 
-def _recurring(pieces: np.ndarray, size: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(documents, starts) of the windows around edges that a smaller doc_id has too, by the sorted suffixes of the pieces."""
+def _recurring(pieces: list[bytes], at: np.ndarray, piece: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least, greatest) distance of the anchor from the start of a window that a smaller doc_id has too, for each row; (255, 0) without any.
+
+    Rows (piece number, document) share pieces, which are sorted once each. All windows around an anchor overlap, so what goes is one run of bytes.
+    """
+    size = np.array([len(p) for p in pieces], np.int64)
+    data = np.frombuffer(b"".join(pieces), np.uint8)
     ends = np.cumsum(size)
     starts = ends - size
     at = starts + at
-    h = gram_hashes(pieces)
+    h = gram_hashes(data)
     least = (sliding_least((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), WINDOW) & _PLACE).astype(np.int64)
-    for off, rows, same in window_classes(pieces, starts, ends, np.arange(len(at)), at):
+    owner = np.full(len(pieces), np.iinfo(np.int64).max)
+    np.minimum.at(owner, piece, doc)
+    low, high = np.full(len(doc), 255, np.uint8), np.zeros(len(doc), np.uint8)
+    for off, rows, same in window_classes(data, starts, ends, np.arange(len(at)), at):
         ours = least[at[rows] - off] == at[rows]  # other windows are seen from another anchor
         rows, same = rows[ours], same[ours]
-        d = doc[rows]
-        old = d > least_of((same,), d)
-        yield d[old], place[rows][old] - off
+        smallest = np.full(len(pieces), np.iinfo(np.int64).max)
+        smallest[rows] = least_of((same,), owner[rows])
+        old = doc > smallest[piece]
+        low[old] = np.minimum(low[old], off)
+        high[old] = off
+    return low, high
 
 
 def _sort_edges(blocks: int, at_a_time: int):
@@ -456,8 +500,8 @@ def _sort_edges(blocks: int, at_a_time: int):
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         parts = [unpack(x, *EDGE) for x in table.column("blob").to_pylist()]
-        key, doc, place, at, size = (np.concatenate(c) for c in list(zip(*parts))[:5])
-        pieces = np.concatenate([p[5] for p in parts])
+        key, doc, place, kind, at, size = (np.concatenate(c) for c in list(zip(*parts))[:6])
+        data = b"".join([p[6].tobytes() for p in parts])
         ends = np.cumsum(size.astype(np.int64))
         order = np.argsort(key, kind="stable")
         firsts = np.flatnonzero(np.diff(key[order], prepend=~key[order][:1]))
@@ -472,27 +516,43 @@ def _sort_edges(blocks: int, at_a_time: int):
             begin = end
             if not len(part):
                 continue
-            long = size[part].astype(np.int64)
-            here = np.repeat(ends[part] - np.cumsum(long), long) + np.arange(int(long.sum()))
-            found = list(_recurring(pieces[here], long, at[part].astype(np.int64), doc[part], place[part].astype(np.int64)))
-            d, start = (np.concatenate(c) for c in zip(*found)) if found else (doc[:0], place[:0])
-            rows += _to_blocks(SPANS, blocks, bucket, d, start.astype(np.uint32))
+            number: dict[tuple[int, bytes], int] = {}
+            piece = np.array([number.setdefault((a, data[e - n : e]), len(number)) for a, e, n in zip(at[part].tolist(), ends[part].tolist(), size[part].tolist())], np.int64)
+            low, high = _recurring([p for _, p in number], np.array([a for a, _ in number], np.int64), piece, doc[part])
+            gone = low < 255
+            rows += _to_blocks(SPANS, blocks, bucket, doc[part][gone], place[part][gone], kind[part][gone], low[gone], high[gone])
         return _rows(rows)
 
     return run
 
 
+def _everywhere(texts: list[bytes], first: dict, anchors_: tuple[np.ndarray, ...], spans: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """(document, place, least, greatest distance) of spans at all places of the piece that they stand for."""
+    doc, place, kind, low, high = spans
+    also = kind & ALSO > 0
+    out = [(doc[~also], place[~also].astype(np.int64), low[~also], high[~also])]
+    if also.any():
+        wanted = np.isin(anchors_[0], doc[also])
+        told = {i: list(zip(*rest)) for i, *rest in _by_document(doc[also], place[also], kind[also], low[also], high[also])}
+        for i, x, f in _by_document(*[c[wanted] for c in anchors_]):
+            same = {(bit, min(p)): p for (bit, _, _), p in _pieces(texts[first[i]], x, f).items()}
+            for p, k, a, z in told[i]:
+                at = np.array(same[k & ~ALSO, p], np.int64)
+                out.append((np.full(len(at), i), at, np.full(len(at), a), np.full(len(at), z)))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def _cut(extra: list[str]):
     """Texts of a block without what the answers remove."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, texts, _ = _block_texts(docs)
+        ids, texts, first = _block_texts(docs)
         doc, place, flag = _answers(answers, ANCHORS, "<i8", "<u4", "u1")
-        settled = flag == 0
-        other, start = _answers(answers, SPANS, "<i8", "<u4")
+        settled, on = flag == 0, flag > 0
+        other, at, low, high = _everywhere(texts, first, (doc[on], place[on], flag[on]), _answers(answers, SPANS, "<i8", "<u4", "u1", "u1", "u1"))
         d = np.concatenate([doc[settled], other])
-        lo = np.concatenate([place[settled].astype(np.int64) - (WINDOW - 1), start.astype(np.int64)])
-        hi = np.concatenate([place[settled].astype(np.int64) + LENGTH, start.astype(np.int64) + LENGTH])
+        lo = np.concatenate([place[settled].astype(np.int64) - (WINDOW - 1), at - high])
+        hi = np.concatenate([place[settled].astype(np.int64) + LENGTH, at - low + LENGTH])
         order = np.argsort(d, kind="stable")
         d, lo, hi = d[order], lo[order], hi[order]
         kept, removed, runs = [], [], []
