@@ -22,7 +22,7 @@ from quillmark.llm import common, packing, quality, simhash, suffix
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on a bounded sample of their labels, doesn't reject."""
-    score = quality.scorer(spark, quality.fit_on(docs, common.table(spark, sf_dir, "labels")))
+    score = quality.scorer(quality.fit_on(docs, common.table(spark, sf_dir, "labels")))
     return docs.where(score(common.text_bytes()) >= quality.THRESHOLD)
 
 

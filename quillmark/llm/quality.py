@@ -161,14 +161,13 @@ def fit_on(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mode
     return fit(np.array(got["x"].tolist(), np.float64).reshape(-1, width), got["y"].to_numpy())
 
 
-def scorer(spark, model: Model):
+def scorer(model: Model):
     """A column function from text bytes to scores between 0 and 1."""
-    sent = spark.sparkContext.broadcast(model)  # some thousand numbers, whatever the data
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield pd.Series(sent.value.score(np.array([features(t) for t in s], np.float64).reshape(len(s), -1)))
+        for s in parts:  # the model goes with the function: some thousand numbers, whatever the data
+            yield pd.Series(model.score(np.array([features(t) for t in s], np.float64).reshape(len(s), len(FEATURES))))
 
     return score
 
@@ -179,7 +178,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     Null and empty texts are scored like others (all features zero). Repeated rows get equal scores; a null doc_id counts as not
     held out. Without labels every score is 0.5. An empty table gives an empty result.
     """
-    found = scorer(docs.sparkSession, fit_on(docs, labels))
+    found = scorer(fit_on(docs, labels))
     out = docs.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), found(common.text_bytes()).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
