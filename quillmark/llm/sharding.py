@@ -93,26 +93,49 @@ def edit_map(spark: SparkSession, path: str, totals: DataFrame, shards: int) ->
     return store_map(new, path, version + 1)
 
 
-def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
+def copy_numbers(records: DataFrame) -> DataFrame:
+    """Records (doc_id, text_crc32, size, part) with ``copy``, a number from 0 for each of the rows that are equal but for ``part``.
+
+    Equal rows are numbered part by part, so that a row that stands millions of times is no single task's work; part is whatever
+    bounds a task's rows, such as the partition that they were read in.
+    """
+    key = ["doc_id", "text_crc32", "size"]
+    inside = F.row_number().over(Window.partitionBy(*key, "part").orderBy("part"))
+    before = F.sum("n").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    later = records.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", before).where("before is not null").select(*[F.col(c).alias(f"k_{c}") for c in (*key, "part")], "before")
+    same = F.col("part") == F.col("k_part")
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"k_{c}"))
+    numbered = records.withColumn("inside", inside).join(later, same, "left")
+    return numbered.select(*key, (F.col("inside") - 1 + F.coalesce("before", F.lit(0))).alias("copy"))
+
+
+def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_path: str | None = None, grow: bool = False) -> DataFrame:
     """Place every row of ``docs`` (doc_id, text; other columns are ignored); a map that is stored below ``map_path`` is rebalanced.
 
-    Returns (doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot): slot is the row's position in its shard,
-    without gaps from 0, by virtual slot and doc_id. size is the text's UTF-8 bytes plus 1; null counts as empty. The law is
-    ``bytes``: shards are near equal in size, so grown_shard is null. A record's slot follows from its id and its text, so rows of null
-    or repeated ids spread; equal rows share a slot. An empty table gives an empty result. The texts are read once.
+    Returns (doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version, next_shard): slot is the row's position
+    in its shard, without gaps from 0, by virtual slot and doc_id. size is the text's UTF-8 bytes plus 1; null counts as empty. The law is
+    ``bytes``: shards are near equal in size, so grown_shard is null. A record's virtual slot follows from its id, its text and its
+    number among equal rows, so that rows of null or repeated ids and equal rows spread alike. With ``grow`` the map is then
+    rebalanced for one shard more and stored as the version after map_version, and next_shard is where that has the row; else it is
+    null. An empty table gives an empty result. The texts are read once.
     """
     spark = docs.sparkSession
     t = common.text_bytes()
-    records = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("text_crc32"))
-    records = common.materialize(records.withColumn("virtual_slot", slot_of("doc_id", "text_crc32", "size", slots=slots)), "records")
-    stored = edit_map(spark, map_path or common.scratch_path(spark, "slot-map"), slot_totals(records), shards)
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.spark_partition_id().alias("part"))
+    numbered = copy_numbers(common.materialize(read, "records-read"))
+    records = common.materialize(numbered.withColumn("virtual_slot", slot_of("doc_id", "text_crc32", "size", "copy", slots=slots)), "records")
+    path, totals = map_path or common.scratch_path(spark, "slot-map"), slot_totals(records)
+    stored = edit_map(spark, path, totals, shards)
+    version = stored_version(spark, path)
+    following = (edit_map(spark, path, totals, shards + 1) if grow else stored.withColumn("shard", F.lit(None).cast("int"))).select("virtual_slot", F.col("shard").alias("next_shard"))
     before = F.sum("rows").over(Window.partitionBy("shard").orderBy("virtual_slot")) - F.col("rows")
-    places = stored.withColumn("before", before).select("virtual_slot", "shard", "before")
+    places = stored.withColumn("before", before).select("virtual_slot", "shard", "before").join(following, "virtual_slot")
     inside = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
-    numbered = records.withColumn("at", inside).join(F.broadcast(places), "virtual_slot")  # at most ``slots`` rows
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("at") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+    at = records.withColumn("at", inside).join(F.broadcast(places), "virtual_slot")  # at most ``slots`` rows
+    return at.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("at") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(version).alias("map_version"), "next_shard")
 
 
 def op8_sharding(spark, sf_dir):
-    """Query: all documents into eight shards through 4096 virtual slots."""
-    return shard(common.table(spark, sf_dir, "documents"))
+    """Query: all documents into eight shards through 4096 virtual slots, and where they go with a ninth."""
+    return shard(common.table(spark, sf_dir, "documents"), grow=True)
