@@ -85,9 +85,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, broadcast_bytes: int
     rows = reduce(DataFrame.unionByName, [_hits(docs, w, sizes or [n]) for w in parts])
     mine = F.col("at") == 0
     per = rows.groupBy("doc_id", "key").agg(
-        F.count_if(mine).alias("rows"), F.max("n_words").alias("n_words"), F.collect_set(F.when(~mine, F.struct("at", "size"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
+        F.count_if(mine).alias("rows"), F.max("n_words").alias("n_words"), F.collect_set(F.when(~mine, F.struct("at", "size"))).alias("hits"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
-    hit = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["at"] - 1, x["at"] + x["size"] - 2)))))
+    hit = F.sort_array(F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["at"] - 1, x["at"] + x["size"] - 2)))))
     once = per.select("doc_id", "key", "n_words", hit.alias("hit_words"), "items", F.explode(F.array_repeat(F.lit(0), (F.col("rows") / len(parts)).cast("int"))).alias("copy"))
     return once.drop("copy")
 

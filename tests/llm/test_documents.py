@@ -372,6 +372,61 @@ def test_suffix_dedup_of_many_edges_around_one_anchor(spark):
     assert sum(len(k) for _, k in want) < sum(map(len, texts))
 
 
+def cut_by_brute_force(texts):
+    """(n_removed, n_spans, kept) of each text, in the order of ids."""
+    first, out = {}, []
+    for i, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 49):
+            if first.setdefault(t[p : p + 50], i) < i:
+                gone[p : p + 50] = True
+        out.append((int(gone.sum()), len(re.findall(b"\1+", gone.astype(np.uint8).tobytes())), bytes(np.frombuffer(t, np.uint8)[~gone])))
+    return out
+
+
+def test_suffix_dedup_of_periodic_texts(spark):
+    """Texts that repeat themselves: their anchors share their parts, and each piece is sorted once."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for period in (1, 2, 7, 16, 33, 49, 50, 61):
+        unit = word(period)
+        texts += [unit * (3000 // period), unit * (100 // period + 1), word(30) + unit * (150 // period) + word(40), (unit * (90 // period + 1))[3:], word(60) + (unit * 60)[:45] + word(20)]
+    rng.shuffle(texts)
+    want = cut_by_brute_force([t.encode() for t in texts])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for edges in (suffix.EDGES, 1):
+        assert [(r.n_removed, r.n_spans, bytes(r.kept)) for r in sorted(suffix.deduplicate(df, edges).collect(), key=lambda r: r.doc_id)] == want
+    assert sum(w[0] for w in want) > 5000
+
+
+def test_suffix_dedup_of_megabytes_of_periodic_text(spark):
+    """10 MB that repeat one line, and a short text with some of it: a few pieces are sorted, not half a million."""
+    import time
+
+    line = "the same line of some words, over and over again, once more.\n"
+    rows = [(2, line * (10_000_000 // len(line))), (1, "first " + line * 2), (3, line[5:] + "end")]
+    begin = time.monotonic()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = len(rows[0][1])
+    assert got == {1: (6 + 2 * len(line), 0, 0), 2: (n, n, 1), 3: (len(line) - 2, len(line) - 5, 1)}
+    rows[0], rows[1] = (0, rows[0][1]), (5, rows[1][1])  # the long text comes first: its anchors are the edges
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (0, 0), 5: (2 * len(line), 1), 3: (len(line) - 5, 1)}
+    assert time.monotonic() - begin < 90
+
+
+def test_postings_of_spans_are_those_of_whole_texts():
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 101, 5000).astype(np.uint8)
+    data[2000:2600] = 97
+    ends = np.array([700, 701, 4100, 5000])
+    starts = np.concatenate([[0], ends[:-1]])
+    rows = lambda span: set(zip(*[c.tolist() for c in suffix._postings(data, starts, ends, span)]))
+    whole = rows(1 << 22)
+    assert len(whole) > 200 and all(rows(span) == whole for span in (60, 333, 4999))
+
+
 def test_unequal_contexts_of_one_anchor_never_settle(monkeypatch):
     import pyarrow as pa
 
@@ -420,6 +475,18 @@ def test_quality_separates_junk(spark):
     assert held and all(r.predicted == int(r.doc_id % 3 != 0) for r in held)
 
 
+def test_quality_on_held_out_documents(spark):
+    """Held-out documents are told apart, and batches without rows are scored."""
+    sf = "/root/testdata/sf0.01"
+    known = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = [(r.score, known[r.doc_id], r.predicted) for r in quality.op7_quality(spark, sf).collect() if r.held_out and known.get(r.doc_id) is not None]
+    good, bad = ([x for x, y, _ in got if y == k] for k in (1, 0))
+    auc = sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad))
+    assert len(got) > 50 and auc > 0.97 and sum(p == y for _, y, p in got) > 0.95 * len(got)
+    score = quality.scorer(quality.Model(0.0))
+    assert spark.range(10).repartition(3).where("id > 100").select(score(F.lit("x").cast("binary"))).count() == 0
+
+
 def test_sharding_law(docs, rows, empty):
     got = sharding.shard(docs, shards=3, slots=64).collect()
     assert len(got) == len(rows)
@@ -444,6 +511,23 @@ def test_sharding_spreads_null_and_repeated_ids(spark):
     assert len(got) == 4000 and max(loads) - min(loads) < 0.02 * sum(loads)
 
 
+def test_sharding_spreads_equal_rows(spark):
+    """A row that stands thousands of times, in several partitions, is dealt like different rows; the others' slots don't depend on the layout."""
+    rows = [(1, "same text")] * 4000 + [(None, None)] * 400 + [(i, f"text {i}") for i in range(2, 800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, other = (sharding.shard(docs.repartition(n), shards=4, slots=512, grow=True).collect() for n in (5, 2))
+    loads = [sum(r["size"] for r in got if r.shard == s) for s in range(4)]
+    assert max(loads) - min(loads) < 0.02 * sum(loads)
+    for s in range(4):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    grown = [sum(r["size"] for r in got if r.next_shard == s) for s in range(5)]
+    assert max(grown) - min(grown) < 0.02 * sum(grown) and {r.map_version for r in got} == {1}
+    assert sum(r.next_shard != r.shard for r in got) < 0.3 * len(got)
+    key = lambda found: sorted((str(r.doc_id), r.virtual_slot, r.shard, r.slot) for r in found)
+    assert key(got) == key(other)
+    assert len({r.virtual_slot for r in got if r.doc_id == 1}) > 400
+
+
 def test_sharding_edits_the_stored_map(spark, tmp_path):
     path = str(tmp_path / "map")
     docs = spark.createDataFrame([(i, f"text {i} " * (i % 5)) for i in range(600)], "doc_id long, text string").repartition(3)
