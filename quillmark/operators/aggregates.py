@@ -2,9 +2,8 @@
 
 Cells are (model, task) pairs: the median over evaluators, then means over
 cells. All are grouped aggregates on keys with few values, so they combine
-map-side. The exact median is taken over (value, count) pairs that hash and
-combine before the shuffle; a cell's buffer grows with its different values,
-not with its rows.
+map-side. Medians are exact: over (value, count) pairs where a cell's
+different values have a proven bound, else by range counting (``selection``).
 """
 
 from __future__ import annotations
@@ -14,36 +13,34 @@ from pyspark.sql import functions as F
 
 from ..functions.judge import map_mean
 from ..functions.names import output_tokens
+from . import selection
 from .ledger import scored, succeeded
 
 CELL = ("model", "task_id", "task_type")
 COMPONENTS = ("word_count", "programmatic", "llm_judge")
 
 
-def _median(value: Column | str) -> Column:
-    """Exact median of a value that occurs ``n`` times; nulls don't count."""
-    return F.percentile(value, F.lit(0.5), F.col("n"))
-
-
 def cell_scores(evaluations: DataFrame) -> DataFrame:
     """(model, task_id, task_type, score, evaluations): median of successful, scored evaluations."""
-    counted = scored(evaluations).groupBy(*CELL, "final_score").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy(*CELL).agg(_median("final_score").alias("score"), F.sum("n").alias("evaluations"))
+    return selection.medians(scored(evaluations), CELL, "final_score").select(*CELL, F.col("median").alias("score"), F.col("n").alias("evaluations"))
 
 
 def cell_breakdown(evaluations: DataFrame) -> DataFrame:
     """Medians of score components; if any evaluation of a cell is multi-turn, only those count, and the judge is their output mean.
 
-    Columns: model, task_id, task_type, word_count, programmatic, llm_judge, process, output.
+    Columns: model, task_id, task_type, word_count, programmatic, llm_judge, process, output. Each component is counted apart, so that
+    equal values combine before the shuffle.
     """
     e = scored(evaluations)
     agentic = F.col("output_scores").isNotNull()
-    e = e.select("model", "task_id", "task_type", agentic.alias("a"), *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("word_count_score", "programmatic", "llm_judge")], map_mean(F.col("process_scores")).alias("pm"), map_mean(F.col("output_scores")).alias("om"))
-    parts = ("word_count_score", "programmatic", "llm_judge")
-    counted = e.groupBy(*CELL, "a", *parts, "pm", "om").agg(F.count(F.lit(1)).alias("n"))
-    g = counted.groupBy(*CELL).agg(F.max("a").alias("a"), *[_median(F.when(~F.col("a"), F.col(c))).alias(c) for c in parts], _median("pm").alias("process"), _median("om").alias("output"))
-    single = lambda c: F.when(~F.col("a"), F.col(c))
-    return g.select("model", "task_id", "task_type", single("word_count_score").alias("word_count"), single("programmatic").alias("programmatic"), F.when(F.col("a"), F.col("output")).otherwise(F.col("llm_judge")).alias("llm_judge"), F.when(F.col("a"), F.col("process")).alias("process"), F.when(F.col("a"), F.col("output")).alias("output"))
+    parts = {c: F.when(~agentic, F.coalesce(F.col(c), F.lit(0.0))) for c in ("word_count_score", "programmatic", "llm_judge")}
+    parts |= {"process": map_mean(F.col("process_scores")), "output": map_mean(F.col("output_scores")), "agentic": F.when(agentic, 1.0)}
+    long = e.select(*CELL, F.inline(F.array(*[F.struct(F.lit(k).alias("part"), v.alias("value")) for k, v in parts.items()]))).where("value is not null")
+    medians = selection.medians(long, (*CELL, "part"), "value")
+    g = medians.groupBy(*CELL).agg(*[F.max(F.when(F.col("part") == k, F.col("median"))).alias(k) for k in parts])
+    is_agentic = F.col("agentic").isNotNull()
+    single = lambda c: F.when(~is_agentic, F.col(c))
+    return g.select("model", "task_id", "task_type", single("word_count_score").alias("word_count"), single("programmatic").alias("programmatic"), F.when(is_agentic, F.col("output")).otherwise(F.col("llm_judge")).alias("llm_judge"), F.when(is_agentic, F.col("process")).alias("process"), F.when(is_agentic, F.col("output")).alias("output"))
 
 
 def model_scores(cells: DataFrame, *by: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Rankings, frontiers, matrices and chart-ready views over model-sized results."""
+"""Rankings, frontiers, matrices and chart-ready views; ranks and frontiers are made in ranges of the order, whatever the number of rows."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import names
 from ..functions.constants import CHART_COMPANY_NAMES, TASK_TYPES
+from .ordering import with_row_number, with_running_max
 
 
 def settled(column) -> Column:
@@ -17,14 +18,14 @@ def settled(column) -> Column:
 
 def leaderboard(summary: DataFrame) -> DataFrame:
     """Models by mean score (null counts as 0), then name; one row for each model."""
-    order = Window.orderBy(settled(F.coalesce("avg_score", F.lit(0.0))).desc(), "model")
-    return summary.withColumn("rank", F.row_number().over(order)).withColumn("model_short", names.short_name(F.col("model"))).withColumn("company", names.company_name(F.col("model")))
+    ranked = with_row_number(summary, -settled(F.coalesce("avg_score", F.lit(0.0))), "model")
+    return ranked.withColumn("model_short", names.short_name(F.col("model"))).withColumn("company", names.company_name(F.col("model")))
 
 
 def value_ranking(summary: DataFrame) -> DataFrame:
     """Squared score per dollar, for models with a score and a cost."""
     v = summary.where(F.col("avg_score").isNotNull() & (F.col("generation_cost") > 0)).withColumn("value", F.col("avg_score") * F.col("avg_score") * 100 / F.col("generation_cost"))
-    return v.withColumn("rank", F.row_number().over(Window.orderBy(settled("value").desc(), "model")))
+    return with_row_number(v, -settled("value"), "model")
 
 
 def top_tasks(stats: DataFrame, by: str, k: int = 10, ascending: bool = False) -> DataFrame:
@@ -64,15 +65,16 @@ def model_gaps(rates: DataFrame, least: float = 0.15) -> DataFrame:
 
 def frontier(points: DataFrame, cost: str = "generation_cost", score: str = "avg_score") -> DataFrame:
     """Points with ``on_frontier``: nothing cheaper scores as high."""
-    before = F.max(settled(score)).over(Window.orderBy(settled(cost), settled(score).desc(), "model").rowsBetween(Window.unboundedPreceding, -1))
-    return points.withColumn("__b", before).withColumn("on_frontier", F.col("__b").isNull() | (settled(score) > F.col("__b"))).drop("__b")
+    p = with_running_max(points, settled(cost), settled(score), settled(score).desc(), "model", name="__b")
+    return p.withColumn("on_frontier", F.col("__b").isNull() | (settled(score) > F.col("__b"))).drop("__b")
 
 
 def marker_sizes(points: DataFrame, by: str = "total_tokens") -> DataFrame:
     """Minimum-maximum scaling to 50..150; 100 where all are equal."""
-    everything = Window.partitionBy()
-    low, high = F.min(by).over(everything), F.max(by).over(everything)
-    return points.withColumn("marker", F.when(high == low, 100.0).otherwise(F.try_divide((F.col(by) - low) * 100.0, high - low) + 50))
+    ends = points.agg(F.min(by).alias("__low"), F.max(by).alias("__high"))  # each task sends one row
+    low, high = F.col("__low"), F.col("__high")
+    marker = F.when(high == low, 100.0).otherwise(F.try_divide((F.col(by) - low) * 100.0, high - low) + 50)
+    return points.crossJoin(F.broadcast(ends)).withColumn("marker", marker).drop("__low", "__high")
 
 
 def matrix(long: DataFrame, row: str, column: str, value: str, columns: list[str] | None = None) -> DataFrame:

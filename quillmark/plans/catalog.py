@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions import judge, names, rules, text
+from ..functions import judge, names, patterns, rules, schema, text
 from ..operators import aggregates as agg
-from ..operators import generate, ledger, ranking, report, stats, turns
+from ..operators import generate, incremental, ledger, ordering, ranking, report, selection, stats, turns
 from ..sources import adapters, ingest
-from ..streaming import ledger_stream
+from ..streaming import conversation_stream, ledger_stream
 from . import oracle
 
 Query = Callable[..., DataFrame]
@@ -67,6 +67,13 @@ def cell_scores(spark, sf):
     return rounded(_cells(spark, sf), "score")
 
 
+@query
+def range_medians(spark, sf):
+    """Medians of four large groups of continuous values, by range counting."""
+    t = adapters.table(spark, sf, "lineitem").withColumn("price", F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount")))
+    return rounded(selection.by_ranges(t, ("l_returnflag", "l_linestatus"), "price"), "median", digits=4)
+
+
 @query
 def cell_breakdown(spark, sf):
     parts = ("word_count", "programmatic", "llm_judge", "process", "output")
@@ -311,7 +318,7 @@ def cohens_d(spark, sf):
 
 @query
 def p_values(spark, sf):
-    """Student's p needs the incomplete beta function, which SQL lacks; tested against known values."""
+    """Student's p by the incomplete beta function."""
     return rounded(stats.with_p_values(stats.pairwise(_cells(spark, sf))).select("model_a", "model_b", "t", "df", "p", "significant"), "t", "p")
 
 
@@ -410,6 +417,34 @@ def final_score(spark, sf):
     return rounded(d.select("doc_id", text.final_score(F.col("w"), judge.judge_score("beat_interpolation", F.col("results"))).alias("final")), "final")
 
 
+@query
+def order_ranks(spark, sf):
+    """The rank of every order by price, and whether any earlier order was dearer: ranks and running maxima over a large table."""
+    o = adapters.table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.unix_date(F.col("o_orderdate").cast("date")).cast("double").alias("day"))
+    ranked = ordering.with_row_number(o, -F.col("o_totalprice"), "o_orderkey")
+    record = ordering.with_running_max(ranked, F.col("day"), F.col("o_totalprice"), "o_orderkey", name="before")
+    return record.select("o_orderkey", "rank", (F.col("before").isNull() | (F.col("o_totalprice") > F.col("before"))).alias("record"))
+
+
+@query
+def conversation_summaries(spark, sf):
+    """Whole conversations as arrays of turns, summarised as a stream of them is when they close."""
+    t = adapters.turns(spark, sf).withColumns({"prompt_tokens": F.length("role").cast("long"), "completion_tokens": F.length("content").cast("long"), "cost": F.col("turn_idx") * 0.25})
+    s = conversation_stream.summaries(conversation_stream.gathered(t))
+    return s.select("generation_id", "total_turns", "questions_asked", "revision_count", "prompt_tokens", "completion_tokens", F.round("cost", 6).alias("cost"), F.size("questions").alias("questions"), F.md5(F.element_at("questions", 1)["answer"]).alias("first_answer_md5"), F.md5("output").alias("output_md5"))
+
+
+@query
+def kept_evaluation_report(spark, sf):
+    """The report by model after an upsert, from the facts before it and the rows that went and came."""
+    rows = adapters.evaluations(spark, sf)
+    keys, measures = incremental.EVALUATION_KEYS, incremental.evaluation_measures()
+    again = rows.where("evaluator_model = 'judge-1'")  # judged again: the first score went, half of it came
+    feed = again.select(F.struct("*").alias("before"), F.struct(*[F.col(c) / 2 if c == "final_score" else F.col(c) for c in rows.columns]).alias("after")).select("before", F.col("after").cast(again.select(F.struct("*").alias("x")).schema["x"].dataType).alias("after"))
+    now = incremental.updated(incremental.facts(rows, keys, measures), feed, keys, measures)
+    return rounded(rounded(incremental.evaluation_report(now, "model"), "avg_score"), "cost", digits=4)
+
+
 @query
 def question_answer_pairs(spark, sf):
     q = turns.question_answers(adapters.turns(spark, sf))
@@ -455,6 +490,49 @@ def keyword_match(spark, sf):
     return adapters.turns(spark, sf).where("turn_type = 'question'").select("generation_id", "turn_idx", turns.keyword_answer(F.col("content"), constraints).alias("answer"))
 
 
+def _benchmark_words(spark, sf) -> list[str]:
+    """The different words of at least five letters in the benchmark, which is a small table."""
+    words = adapters.table(spark, sf, "benchmark").select(F.explode(text.tokens(F.col("text"))).alias("w")).where(F.length("w") >= 5)
+    return [r.w for r in words.distinct().orderBy("w").limit(patterns.MOST + 1).collect()]
+
+
+@query
+def phrase_hits(spark, sf):
+    """How many of the benchmark's words, and how often, stand anywhere inside each turn of a conversation."""
+    turn = adapters.spread(adapters.table(spark, sf, "conversations").select("conv_id", "turn", "text"))
+    found = turn.select("conv_id", "turn", patterns.phrase_counts(F.col("text"), _benchmark_words(spark, sf)).alias("m"))
+    return found.select("conv_id", "turn", F.size("m").alias("phrases"), F.aggregate(F.map_values("m"), F.lit(0), lambda a, x: a + x).alias("hits"))
+
+
+@query
+def pattern_answers(spark, sf):
+    """Answers of many constraints at once: each word of the benchmark is a pattern of one of 50 constraints, the first one wins."""
+    rules = [(f"C{k:02d}", words) for k in range(50) if (words := _benchmark_words(spark, sf)[k::50])]
+    asked = adapters.turns(spark, sf).where("turn_type = 'question'")
+    return asked.select("generation_id", "turn_idx", patterns.first_rule(F.col("content"), rules).alias("answer"))
+
+
+#: A schema of the JSON that ``order_schema`` makes of orders: items with rules of their own, references and conditions.
+ORDER_SCHEMA = {
+    "$schema": "http://json-schema.org/draft-07/schema#",
+    "definitions": {"line": {"type": "object", "required": ["mode", "quantity"], "properties": {"mode": {"enum": ["A", "N"]}, "quantity": {"type": "number", "minimum": 1, "maximum": 45}, "discount": {"type": "number", "exclusiveMaximum": 0.09}}, "additionalProperties": False}},
+    "type": "object",
+    "required": ["key", "status", "lines"],
+    "properties": {"key": {"type": "integer"}, "status": {"type": "string", "pattern": "^[FOP]$"}, "lines": {"type": "array", "minItems": 2, "items": {"$ref": "#/definitions/line"}}},
+    "allOf": [{"if": {"properties": {"status": {"const": "F"}}}, "then": {"required": ["closed"]}, "else": {"not": {"required": ["closed"]}}}],
+}
+
+
+@query
+def order_schema(spark, sf):
+    """Violations of a JSON schema by whole orders: what each line breaks, too few lines, and dates that the status doesn't allow."""
+    lines = adapters.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("mode"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"))).alias("lines"))
+    o = adapters.table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    closed = F.when(F.col("o_totalprice") > 100_000, F.col("o_orderdate").cast("string"))
+    document = F.to_json(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), "lines", closed.alias("closed")))
+    return o.select("o_orderkey", F.size(schema.violations(document, ORDER_SCHEMA)).alias("violations"))
+
+
 @query
 def oracle_answers(spark, sf):
     replies = F.array(*map(F.lit, ["none of them", "constraint 2", "Yes, that holds", "maybe", "99", "#1."]))
@@ -672,7 +750,7 @@ def display_names(spark, sf):
 @query
 def company_titles(spark, sf):
     """Companies that no list names, with digits, underscores and full stops inside."""
-    company = F.concat(F.lower(F.replace("s_name", F.lit("#"), F.lit("_"))), F.lit("labs."), F.lower("s_phone"), F.lit("x_y"))
+    company = F.concat(F.lower(F.replace("s_name", F.lit("#"), F.lit("_"))), F.lit("labs."), F.col("s_nationkey").cast("string"), F.lit("x_y"))
     return adapters.table(spark, sf, "supplier").select("s_suppkey", names.company_name(F.concat(company, F.lit("/m"))).alias("name"))
 
 
@@ -681,7 +759,7 @@ def mixed_score_maps(spark, sf):
     """Multi-turn judge files whose score maps hold text, booleans, nulls and nested values beside numbers."""
     s = lambda c: F.col(c).cast("string")
     scores = F.concat(F.lit('{"quality":'), s("l_quantity"), F.lit(',"note":"'), "l_returnflag", F.lit('","passed":'), s("open"), F.lit(',"none":null,"deep":{"x":'), s("l_tax"), F.lit('},"share":'), s("l_discount"), F.lit("}"))
-    text = F.concat(F.lit('{"task_id":"'), s("l_orderkey"), F.lit("_"), s("l_linenumber"), F.lit('","model":"a/b","process_scores":'), scores, F.lit(',"output_scores":{"kept":'), s("open"), F.lit(',"why":"'), "l_shipmode", F.lit('"}}'))
+    text = F.concat(F.lit('{"task_id":"'), s("l_orderkey"), F.lit("_"), s("l_linenumber"), F.lit('","model":"a/b","process_scores":'), scores, F.lit(',"output_scores":{"kept":'), s("open"), F.lit(',"why":"'), "l_returnflag", F.lit('"}}'))
     docs = adapters.table(spark, sf, "lineitem").withColumn("open", F.col("l_linestatus") == "O").select(text.alias("json"))
     e = ingest.evaluations(docs).select("task_id", judge.map_mean(F.col("process_scores")).alias("process"), judge.map_mean(F.col("output_scores")).alias("output"))
     return rounded(e, "process", "output")

@@ -247,7 +247,29 @@ SQL: dict[str, str] = {
     "evaluator_prices": """SELECT 'judge-' || CAST(l_linenumber % 3 AS VARCHAR) AS evaluator_model, count(*) AS n, round(sum((l_orderkey % 5000) / 1e6 * CASE l_linenumber % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.25 END
       + (l_partkey % 700) / 1e6 * CASE l_linenumber % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END), 4) AS cost FROM lineitem GROUP BY 1""",
     "display_names": f"{_with(MODEL)} SELECT model, 'GPT-' || split_part(model, '-', -1) AS name, split_part(model, '/', 1) AS company FROM md",
-    "company_titles": """SELECT s_suppkey, array_to_string(list_transform(regexp_extract_all(lower(replace(s_name, '#', '_')) || 'labs.' || lower(s_phone) || 'x_y', '[a-z]+|[^a-z]+'), lambda x: upper(x[1]) || x[2:]), '') AS name FROM supplier""",
+    "p_values": f"""{_with(*BASE).replace('WITH', 'WITH RECURSIVE')}, {PAIRS}, tt AS (SELECT model_a, model_b, n_a + n_b - 2 AS df, CASE WHEN pooled > 0 THEN difference / sqrt(pooled * (1.0 / n_a + 1.0 / n_b)) END AS t FROM pr),
+      an AS (SELECT *, atan(abs(t) / sqrt(df)) AS th FROM tt),
+      se(model_a, model_b, df, th, k, term, total) AS (SELECT model_a, model_b, df, th, df % 2, CASE WHEN df % 2 = 0 THEN 1.0 ELSE cos(th) END, CASE WHEN df = 1 THEN 0.0 WHEN df % 2 = 0 THEN 1.0 ELSE cos(th) END FROM an WHERE t IS NOT NULL
+        UNION ALL SELECT model_a, model_b, df, th, k + 2, term * (k + 1) / (k + 2) * cos(th) * cos(th), total + term * (k + 1) / (k + 2) * cos(th) * cos(th) FROM se WHERE k + 2 <= df - 2),
+      su AS (SELECT model_a, model_b, arg_max(total, k) AS total FROM se GROUP BY ALL),
+      pv AS (SELECT model_a, model_b, t, df, 1 - CASE WHEN df % 2 = 0 THEN sin(th) * total ELSE 2 / pi() * (th + sin(th) * total) END AS p FROM an LEFT JOIN su USING (model_a, model_b))
+      SELECT model_a, model_b, round(t, 6) AS t, df, round(greatest(p, 0), 6) AS p, coalesce(p < 0.05, false) AS significant FROM pv""",
+    "phrase_hits": f"""WITH w AS (SELECT DISTINCT unnest({TOKENS}) AS p FROM benchmark), f AS (SELECT p FROM w WHERE length(p) >= 5),
+      c AS (SELECT conv_id, turn, lower(text) AS low FROM conversations), h AS (SELECT conv_id, turn, (length(low) - length(replace(low, p, ''))) // length(p) AS n FROM c JOIN f ON contains(low, p))
+      SELECT c.conv_id, c.turn, count(n) AS phrases, CAST(coalesce(sum(n), 0) AS BIGINT) AS hits FROM c LEFT JOIN h ON h.conv_id = c.conv_id AND h.turn = c.turn GROUP BY ALL""",
+    "pattern_answers": f"""{_with(TURNS)}, w AS (SELECT DISTINCT unnest({TOKENS}) AS p FROM benchmark), f AS (SELECT p, (row_number() OVER (ORDER BY p) - 1) % 50 AS k FROM w WHERE length(p) >= 5)
+      SELECT generation_id, turn_idx, coalesce('C' || lpad(CAST(min(k) AS VARCHAR), 2, '0'), 'NO') AS answer FROM (SELECT * FROM tn WHERE turn_type = 'question') LEFT JOIN f ON contains(lower(content), p) GROUP BY generation_id, turn_idx""",
+    "order_schema": """WITH l AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag NOT IN ('A', 'N')) + count(*) FILTER (l_quantity < 1 OR l_quantity > 45) + count(*) FILTER (l_discount >= 0.09) AS bad FROM lineitem GROUP BY l_orderkey)
+      SELECT o_orderkey, CAST(bad + (n < 2)::INT + CASE WHEN o_orderstatus = 'F' THEN (NOT o_totalprice > 100000)::INT ELSE (o_totalprice > 100000)::INT END AS INTEGER) AS violations FROM orders JOIN l ON o_orderkey = l_orderkey""",
+    "order_ranks": """SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank,
+      coalesce(o_totalprice > max(o_totalprice) OVER (ORDER BY CAST(o_orderdate AS DATE), o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS record FROM orders""",
+    "conversation_summaries": f"""{_with(TURNS)}, n AS (SELECT *, lead(content) OVER (PARTITION BY generation_id ORDER BY turn_idx) AS nxt FROM tn)
+      SELECT generation_id, count(*) AS total_turns, count(*) FILTER (turn_type = 'question') AS questions_asked, greatest(count(*) FILTER (turn_type = 'generation') - 1, 0) AS revision_count, CAST(sum(length(role)) AS BIGINT) AS prompt_tokens,
+      CAST(sum(length(content)) AS BIGINT) AS completion_tokens, round(sum(turn_idx * 0.25), 6) AS cost, count(*) FILTER (turn_type = 'question') AS questions, md5(arg_min(coalesce(nxt, 'N/A'), turn_idx) FILTER (turn_type = 'question')) AS first_answer_md5,
+      md5(arg_max(content, turn_idx) FILTER (role = 'assistant' AND turn_type = 'generation')) AS output_md5 FROM n GROUP BY generation_id""",
+    "kept_evaluation_report": f"{_with(EVAL)}, n AS (SELECT * REPLACE (CASE WHEN evaluator_model = 'judge-1' THEN final_score / 2 ELSE final_score END AS final_score) FROM ev) SELECT model, count(*) AS total, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS errors, round(avg(final_score) FILTER (success), 6) AS avg_score, round(sum(evaluation_cost), 4) AS cost FROM n GROUP BY model",
+    "range_medians": "SELECT l_returnflag, l_linestatus, round(median(l_extendedprice * (1 - l_discount)), 4) AS median, count(*) AS n FROM lineitem GROUP BY ALL",
+    "company_titles": """SELECT s_suppkey, array_to_string(list_transform(regexp_extract_all(lower(replace(s_name, '#', '_')) || 'labs.' || CAST(s_nationkey AS VARCHAR) || 'x_y', '[a-z]+|[^a-z]+'), lambda x: upper(x[1]) || x[2:]), '') AS name FROM supplier""",
     "mixed_score_maps": """SELECT CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS task_id, round((l_quantity + CAST(l_linestatus = 'O' AS INTEGER) + l_discount) / 3, 6) AS process, CAST(l_linestatus = 'O' AS DOUBLE) AS output FROM lineitem""",
     "summary_rows": f"""{_with(*SUMMARY)}, r AS (SELECT *, row_number() OVER (ORDER BY round(coalesce(avg_score, 0), 12) DESC, model) AS rank FROM sm), t AS (SELECT model, task_type, avg(score) AS s FROM cell GROUP BY ALL),
       b AS (SELECT task_type, model, s FROM t JOIN r USING (model) WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY task_type ORDER BY round(s, 12) DESC, rank) = 1)

@@ -8,7 +8,9 @@ read the Parquet that ``write_tables`` leaves.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,10 +19,14 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import names
 from . import schemas
+from .commits import Folder
 
+#: Column of stored tables that names the file a row came from.
+TRACE = "from_file"
 
-def documents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(file_path, name, json): each file's document as JSON text; null where it doesn't parse."""
+
+def parsed(files: DataFrame) -> DataFrame:
+    """(file_path, json, name) of files (path, content): each file's document as JSON text; null where it doesn't parse."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         try:
@@ -39,10 +45,14 @@ def documents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
                     out.append(None)
             yield pd.DataFrame({"file_path": pdf["path"], "json": out})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(parse, "file_path string, json string").withColumn("name", F.substring_index("file_path", "/", -1))
 
 
+def documents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(file_path, json, name) of the files below a path."""
+    return parsed(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path))
+
+
 def corrupt(docs: DataFrame) -> DataFrame:
     """Files that didn't parse."""
     return docs.where("json is null").select("file_path")
@@ -154,15 +164,16 @@ def _finish(docs: DataFrame, schema: str, columns: dict, need: tuple[str, ...] =
 
     fields = StructType.fromDDL(schema)
     keyed = {k: _at(k) for k in need} | columns
-    parsed = docs.where("json is not null").select(*[(keyed[f.name] if f.name in keyed else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
-    return parsed.dropna(subset=list(need))
+    traced = [F.col("file_path").alias(TRACE)] if "file_path" in docs.columns else []
+    rows = docs.where("json is not null").select(*[(keyed[f.name] if f.name in keyed else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields], *traced)
+    return rows.dropna(subset=list(need))
 
 
 def turns(docs: DataFrame) -> DataFrame:
     """Conversation turns of multi-turn result files, in order."""
     item = "array<struct<role:string,content:string,turn_type:string,metadata:map<string,string>>>"
-    read = docs.where("json is not null").select(F.coalesce(_at("generation_id"), F.col("name")).alias("generation_id"), F.posexplode(F.from_json(F.get_json_object("json", "$.turns"), item)).alias("turn_idx", "t"))
-    return read.select("generation_id", "turn_idx", "t.role", "t.turn_type", "t.content", "t.metadata")
+    read = docs.where("json is not null").select(F.coalesce(_at("generation_id"), F.col("name")).alias("generation_id"), F.posexplode(F.from_json(F.get_json_object("json", "$.turns"), item)).alias("turn_idx", "t"), "file_path")
+    return read.select("generation_id", "turn_idx", "t.role", "t.turn_type", "t.content", "t.metadata", F.col("file_path").alias(TRACE))
 
 
 def live_version(spark: SparkSession, out: str) -> int:
@@ -190,34 +201,96 @@ def stored(spark: SparkSession, out: str, name: str, schema: str) -> DataFrame:
     return load_or_empty(spark, f"{out}/v={live_version(spark, out)}/{name}", schema)
 
 
+#: Kinds of result file: the folder and the names they have below the results.
+KINDS = {"generations": ("generations", "*.yaml"), "evaluations": ("evaluations", "*.yaml"), "agentic_generations": ("agentic", "gen_*.yaml"), "agentic_evaluations": ("agentic", "eval_*.yaml")}
+MANIFEST = "kind string, path string, length long, modified timestamp, digest string"
+#: Changed files of one kind that are read by name; more of them are read with all others.
+NAMED = 10_000
+
+
+def _files(spark: SparkSession, results: str, kind: str) -> DataFrame:
+    """(path, length, modificationTime, content) of the files of a kind; an absent folder has none."""
+    from pyspark.errors import AnalysisException
+
+    folder, pattern = KINDS[kind]
+    try:
+        return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(f"{results}/{folder}")
+    except AnalysisException:
+        return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+
+
+def _tables(docs: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The ledger's tables out of the documents of each kind."""
+    return {
+        "generations": standard_generations(docs["generations"]).unionByName(agentic_generations(docs["agentic_generations"])),
+        "evaluations": evaluations(docs["evaluations"], derive_type=False).unionByName(evaluations(docs["agentic_evaluations"])),
+        "turns": turns(docs["agentic_generations"]),
+        "unreadable": reduce(DataFrame.unionByName, map(corrupt, docs.values())).withColumn(TRACE, F.col("file_path")),
+    }
+
+
+_STORED = {"generations": schemas.GENERATIONS, "evaluations": schemas.EVALUATIONS, "turns": schemas.TURNS, "unreadable": "file_path string"}
+
+
+def _rebuilt(spark: SparkSession, out: str, version: int, read: int) -> DataFrame:
+    count = lambda name: stored(spark, out, name, _STORED[name]).agg(F.count(F.lit(1)).alias(name))
+    counts = count("generations").crossJoin(count("evaluations")).crossJoin(count("unreadable"))
+    return counts.withColumn("version", F.lit(version)).withColumn("parsed", F.lit(read))
+
+
 def rebuild(spark: SparkSession, results: str, out: str) -> DataFrame:
-    """Rebuild the ledger from result files and swap it in.
+    """Rebuild the ledger from all result files and swap it in.
 
     Below ``results``: generations/ and evaluations/ with single-turn files, agentic/ with multi-turn gen_* and eval_* files; a
-    folder may be absent. Returns one row: (generations, evaluations, unreadable, version), where unreadable counts the files that
-    don't parse; the files themselves are in the stored table ``unreadable``.
+    folder may be absent. Returns one row: (generations, evaluations, unreadable, version, parsed), where unreadable counts the files
+    that don't parse; the files themselves are in the stored table ``unreadable``. The stored table ``manifest`` tells what was read.
     """
+    files = {kind: _files(spark, results, kind) for kind in KINDS}
+    seen = [f.select(F.lit(kind).alias("kind"), "path", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("digest")) for kind, f in files.items()]
+    version = write_tables(out, manifest=reduce(DataFrame.unionByName, seen), **_tables({kind: parsed(f) for kind, f in files.items()}))
+    return _rebuilt(spark, out, version, stored(spark, out, "manifest", MANIFEST).count())
 
-    def read(folder: str, pattern: str) -> DataFrame:
-        from pyspark.errors import AnalysisException
 
-        try:
-            return documents(spark, f"{results}/{folder}", pattern)
-        except AnalysisException:
-            return spark.createDataFrame([], "file_path string, json string, name string")
-
-    single, multi = read("generations", "*.yaml"), read("agentic", "gen_*.yaml")
-    judged, judged_multi = read("evaluations", "*.yaml"), read("agentic", "eval_*.yaml")
-    version = write_tables(
-        out,
-        generations=standard_generations(single).unionByName(agentic_generations(multi)),
-        evaluations=evaluations(judged, derive_type=False).unionByName(evaluations(judged_multi)),
-        turns=turns(multi),
-        unreadable=corrupt(single).unionByName(corrupt(multi)).unionByName(corrupt(judged)).unionByName(corrupt(judged_multi)),
-    )
-    count = lambda name, schema: stored(spark, out, name, schema).agg(F.count(F.lit(1)).alias(name))
-    counts = count("generations", schemas.GENERATIONS).crossJoin(count("evaluations", schemas.EVALUATIONS)).crossJoin(count("unreadable", "file_path string"))
-    return counts.withColumn("version", F.lit(version))
+def refresh(spark: SparkSession, results: str, out: str) -> DataFrame:
+    """As ``rebuild``, and with the same tables, but only files that are new or whose bytes have changed are parsed.
+
+    Files of the same length and time as in the manifest aren't opened; others are, and parsed if their digest differs. The rows of
+    changed and deleted files are taken back by the file that each row came from. ``parsed`` counts the files that were parsed; where nothing changed,
+    no version is made. Which files changed is known to the driver, as Spark's own list of files is.
+    """
+    if live_version(spark, out) < 0:
+        return rebuild(spark, results, out)
+    old = stored(spark, out, "manifest", MANIFEST)
+    known = old.select("kind", "path", F.col("length").alias("was_length"), F.col("modified").alias("was_modified"), F.col("digest").alias("was_digest"))
+    opened: dict[str, DataFrame] = {}
+    listed = []
+    for kind in KINDS:
+        files = _files(spark, results, kind)
+        now = files.select(F.lit(kind).alias("kind"), "path", "length", F.col("modificationTime").alias("modified")).join(known, ["kind", "path"], "left")
+        touched = now.where(~F.coalesce((F.col("length") == F.col("was_length")) & (F.col("modified") == F.col("was_modified")), F.lit(False))).select("path")
+        names = [r.path for r in touched.limit(NAMED + 1).collect()]
+        if not names:
+            opened[kind] = files.limit(0)
+        elif len(names) <= NAMED:
+            opened[kind] = spark.read.format("binaryFile").load([n.replace("[", "\\[").replace("{", "\\{").replace("*", "\\*").replace("?", "\\?") for n in names])
+        else:
+            opened[kind] = files.join(touched, "path", "left_semi")
+        digests = opened[kind].select("path", F.sha2("content", 256).alias("digest"))
+        listed.append(now.join(digests, "path", "left").select("kind", "path", "length", "modified", F.coalesce("digest", "was_digest").alias("digest"), "was_digest"))
+    path = f"{out}/listed/{uuid.uuid4().hex}"  # what a file is now is looked at once
+    reduce(DataFrame.unionByName, listed).write.parquet(path)
+    listing = spark.read.schema(f"{MANIFEST}, was_digest string").parquet(path)
+    changed = listing.where(~F.col("digest").eqNullSafe(F.col("was_digest")))
+    gone = old.join(listing.select("kind", "path"), ["kind", "path"], "left_anti").select("kind", "path")
+    stale = gone.unionByName(changed.where("was_digest is not null").select("kind", "path"))
+    read, retracted = changed.count(), stale.limit(1).count()
+    version = live_version(spark, out)
+    if read or retracted:
+        fresh = _tables({kind: parsed(opened[kind].join(changed.where(F.col("kind") == kind).select("path"), "path", "left_semi")) for kind in KINDS})
+        kept = {n: stored(spark, out, n, f"{schema}, {TRACE} string").join(stale.select(F.col("path").alias(TRACE)), TRACE, "left_anti") for n, schema in _STORED.items()}
+        version = write_tables(out, manifest=listing.drop("was_digest"), **{n: kept[n].unionByName(fresh[n]) for n in _STORED})
+    Folder(spark, out).remove(path.removeprefix(f"{out}/"))
+    return _rebuilt(spark, out, version, read)
 
 
 def load_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -187,6 +187,27 @@ def upsert_batch(batch: DataFrame, batch_id: int, path: str, keys: tuple[str, ..
     raise RuntimeError(f"other writers were first {STARTS} times")
 
 
+def delete_where(spark: SparkSession, path: str, schema: str, gone: Column) -> dict | None:
+    """Delete the rows for which ``gone`` is true, as a purge does; only files that hold such rows are rewritten. Returns the record, or None where there are none."""
+    log, hashed = CommitLog(spark, path), f"{schema}, __hash long"
+    for _ in range(STARTS):
+        state = log.snapshot()
+        rows = _read(spark, path, list(state.files), hashed)
+        found = rows.where(gone).select(F.regexp_extract("_metadata.file_path", "(data/[^/]+/__leaf=[^/]+)/", 1).alias("folder")).distinct().collect() if state.files else []  # of the directory
+        if not found:
+            return None
+        held = [state.files[r["folder"]] for r in found]
+        kept = _read(spark, path, [f["folder"] for f in held], hashed).where(~F.coalesce(gone, F.lit(False)))
+        added, now = _store(kept, state.leaves, log, path, max(LEAF_BYTES, *[2 * f["bytes"] for f in held]))
+        record = {"add": added, "remove": [{"folder": f["folder"], "filter": f["filter"]} for f in held], "closed": sorted(state.leaves - now), "opened": sorted(now - state.leaves), "touched": sorted({f["leaf"] for f in held}), "source": "", "batch_id": None}
+        version = log.commit(record, state.version)
+        if version is not None:
+            _drop(log, log.forget(version, KEEP))
+            return record | {"version": version}
+        _drop(log, added)
+    raise RuntimeError(f"other writers were first {STARTS} times")
+
+
 def changes(spark: SparkSession, path: str, schema: str, keys: tuple[str, ...], since: int, until: int | None = None) -> DataFrame:
     """(change, before, after) of each key whose row differs between two versions: insert, delete or update, with the rows as structs.
 

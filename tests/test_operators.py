@@ -166,6 +166,19 @@ def test_p_values(spark):
     assert got[4] is None and [p for p in got if p is not None] == pytest.approx([0.05001, 1.0, 0.050033, 0.050033, 0.05], abs=1e-5)
 
 
+def test_p_values_to_nine_digits_without_python(spark):
+    """Against the t distribution of the mathematics library that Spark itself ships."""
+    cases = [(t, df) for df in (1, 2, 3, 4, 7, 30, 66, 500, 12_345, 1_000_000) for t in (0.0, 1e-6, 0.3, -1.0, 1.96, 2.5, -8.0, 40.0)]
+    got = stats.with_p_values(spark.createDataFrame(cases, "t double, df long"))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    known = spark.sparkContext._jvm.org.apache.commons.math3.distribution.TDistribution
+    for r in got.collect():
+        assert r.p == pytest.approx(2 * known(float(r.df)).cumulativeProbability(-abs(r.t)), rel=1e-9, abs=1e-14), (r.t, r.df)
+    values = [1e-3, 0.5, 1.0, 1.5, 3.25, 20.0, 1e4, 5e5]
+    gammas = one(spark, *[stats.log_gamma(F.lit(v)) for v in values])
+    assert list(gammas) == pytest.approx([math.lgamma(v) for v in values], rel=1e-13, abs=1e-13)
+
+
 def test_pairs_without_variance(spark):
     rows = spark.createDataFrame([(m, 0.5) for m in "aabb"] + [("c", 0.1)], "model string, score double")
     (r,) = stats.with_p_values(stats.pairwise(rows)).collect()
@@ -328,7 +341,7 @@ def test_rebuild_from_result_files(spark, tmp_path):
     results, out = str(tmp_path / "results"), str(tmp_path / "ledger")
     assert ingest.stored(spark, out, "generations", schemas.GENERATIONS).count() == 0
     for version in (0, 1):  # a rebuild replaces, it doesn't append
-        assert tuple(ingest.rebuild(spark, results, out).first()) == (2, 2, 1, version)
+        assert tuple(ingest.rebuild(spark, results, out).first()) == (2, 2, 1, version, 6)
     g = {r.task_type: r for r in ingest.stored(spark, out, "generations", schemas.GENERATIONS).collect()}
     assert (g["beat_revision"].generation_cost, g["beat_revision"].prompt_tokens, g["beat_revision"].agentic_type) == (0.5, 3, None)
     assert (g["unknown"].generation_cost, g["unknown"].completion_tokens, g["unknown"].metrics.total_turns, g["unknown"].theory) == (0.25, 9, 2, "Unknown")
@@ -360,6 +373,43 @@ def test_tables_swap_only_when_all_are_written(spark, tmp_path):
     assert [ingest.stored(spark, out, n, "id long").count() for n in "ab"] == [3, 2]
 
 
+def test_refresh_equals_rebuild_and_parses_what_changed(spark, tmp_path):
+    import json
+    import os
+
+    from quillmark.sources import schemas
+
+    files, results = tmp_path / "results", str(tmp_path / "results")
+    _result_files(files)
+    out = str(tmp_path / "ledger")
+    tables = {"generations": schemas.GENERATIONS, "evaluations": schemas.EVALUATIONS, "turns": schemas.TURNS, "unreadable": "file_path string"}
+
+    def same_as_rebuilt(n):
+        ingest.rebuild(spark, results, str(tmp_path / f"whole{n}"))
+        for name, schema in tables.items():
+            a, b = (sorted(map(str, ingest.stored(spark, p, name, schema).collect())) for p in (out, str(tmp_path / f"whole{n}")))
+            assert a == b, name
+        listed = [sorted((r.kind, r.path, r.digest) for r in ingest.stored(spark, p, "manifest", ingest.MANIFEST).collect()) for p in (out, str(tmp_path / f"whole{n}"))]
+        assert listed[0] == listed[1]
+
+    refreshed = lambda: tuple(ingest.refresh(spark, results, out).first())
+    assert refreshed() == (2, 2, 1, 0, 6)  # the first one reads everything
+    assert refreshed() == (2, 2, 1, 0, 0)  # nothing changed: no version
+    (files / "generations/b.yaml").write_text(json.dumps({"task_id": "t_001", "model": "c/n"}))  # was broken
+    (files / "evaluations/[odd] name.yaml").write_text(json.dumps({"task_id": "t_001", "model": "c/n", "final_score": 1.0}))
+    assert refreshed() == (3, 3, 0, 1, 2)
+    same_as_rebuilt(1)
+    again = (files / "generations/a.yaml").read_text()
+    (files / "generations/a.yaml").write_text(again)
+    os.utime(files / "generations/a.yaml", (10**9, 10**9))  # touched, with the same bytes
+    assert refreshed() == (3, 3, 0, 1, 0)
+    os.remove(files / "agentic/gen_a.yaml")
+    (files / "evaluations/a.yaml").write_text("{broken now")
+    assert refreshed() == (2, 2, 1, 2, 1)
+    same_as_rebuilt(2)
+    assert ingest.stored(spark, out, "turns", schemas.TURNS).count() == 0
+
+
 def test_score_maps_keep_numbers_only(spark):
     maps = ['{"a":0.5,"b":"text","c":true}', '{"a":1,"b":null,"c":{"d":2},"e":[1],"f":false,"g":1e-3}', "{}", '"text"', None, "{broken"]
     rows = spark.createDataFrame([(i, m) for i, m in enumerate(maps)], "i int, m string")
