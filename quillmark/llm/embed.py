@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from . import common
 from .components import connected_components
 
-#: Rows on which centroids are fitted at most; every row is assigned and compared.
-FIT_ROWS = 20_000
+#: Rows on which centroids are fitted at most, and their bytes; every row is assigned and compared.
+FIT_ROWS, FIT_BYTES = 40_000, 64 << 20
 #: Cells at most (the centroids are sent to every task: MAX_CELLS * dimension doubles).
-MAX_CELLS = 1024
+MAX_CELLS = 4096
 
 
 def usable(vector) -> F.Column:
@@ -58,7 +58,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
-def near_duplicates(vectors: DataFrame, limit: float = 0.95, rows_per_cell: int = 1000, block: int = 2048) -> DataFrame:
+def near_duplicates(vectors: DataFrame, limit: float = 0.95, rows_per_cell: int = 8192, block: int = 2048) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding; other columns are ignored).
 
     Two rows are linked if the cosine of their vectors is at least ``limit`` in double precision. Equal vectors collapse to one
@@ -75,13 +75,12 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.95, rows_per_cell: int
     centroids = {}
     for r in total:
         cells = int(min(MAX_CELLS, max(1, r["count"] // rows_per_cell)))
-        sample = classes.where(F.col("d") == r["d"]).orderBy(F.xxhash64("v"), "v").limit(min(FIT_ROWS, cells * 40)).select("v").toPandas()["v"]
+        sample = classes.where(F.col("d") == r["d"]).orderBy(F.xxhash64("v"), "v").limit(min(FIT_ROWS, cells * 40, max(1, FIT_BYTES // (8 * max(1, r["d"]))))).select("v").toPandas()["v"]
         centroids[r["d"]] = spherical_kmeans(unit(np.array(sample.tolist(), np.float64)), cells)
     sent = spark.sparkContext.broadcast(centroids)
     reach = float(np.sqrt(2 - 2 * limit)) / 2 + 1e-9
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gaps = {d: np.sqrt(np.maximum(2 - 2 * (c @ c.T), 1e-18)) for d, c in sent.value.items()}
         for b in batches:
             size = b.column(3).to_numpy()
             for d in np.unique(size):
@@ -91,7 +90,7 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.95, rows_per_cell: int
                     x = unit(_matrix(take.column(0)))
                     near = x @ sent.value[d].T
                     home = near.argmax(1)
-                    span = gaps[d][home]
+                    span = np.sqrt(np.maximum(2 - 2 * (sent.value[d][home] @ sent.value[d].T), 1e-18))
                     i, cell = np.nonzero(near[np.arange(len(x)), home][:, None] - near <= reach * span)
                     at_home = cell == home[i]
                     ends = np.searchsorted(i, np.arange(len(x) + 1))
