@@ -253,7 +253,7 @@ def together(docs: DataFrame) -> DataFrame:
                 h = rolling_hash(np.frombuffer(t, np.uint8), 32)
                 low = int(h.min()) if len(h) else len(t)
                 k = seen[low] = seen.get(low, -1) + 1
-                keys.append((low << 31) + (task // NEAR if k < MEET else (1 << 30) + task * 1009 + k // MEET & (1 << 30) - 1))
+                keys.append((low << 31) + (task // NEAR if k < MEET else (1 << 30) + ((task * 1009 + k // MEET) & ((1 << 30) - 1))))
             if len(seen) > 1_000_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64())], ["doc_id", "t", "route"])
