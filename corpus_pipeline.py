@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), works on everything the stage before
 kept, and returns a DataFrame; all but the last return the columns of
 ``documents``. ``run`` writes each stage's rows as Parquet into the shared
 folder and reads them back for the next; a stage's rows are deleted when the
-next stage's are written.
+next stage's are written, and what it wrote on its way when its rows are.
 
 Every stage takes null and empty texts as texts without words, treats rows
 that repeat a doc_id and rows without one as its operator says, carries extra
@@ -57,7 +57,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     before = None
     for name, stage in STAGES:
+        made = common.paths_made()
         docs, path = common.materialize_at(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        common.tidy(spark, path, made)
         if before is not None:
             common.remove(spark, before)
         before = path

@@ -34,9 +34,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths that were made since the last ``tidy``.
+_PATHS: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path in the shared folder."""
-    return f"{shared_dir(spark)}/quillmark/{label}-{uuid.uuid4().hex}"
+    _PATHS.append(f"{shared_dir(spark)}/quillmark/{label}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
+def tidy(spark: SparkSession, keep: str, since: int) -> None:
+    """Delete what was written on the way to the table at ``keep`` (all paths after the first ``since``), which is now the only one that later steps read."""
+    for path in _PATHS[since:]:
+        if path != keep:
+            remove(spark, path)
+    _PATHS[since:] = [keep]
+
+
+def paths_made() -> int:
+    return len(_PATHS)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

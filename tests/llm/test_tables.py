@@ -125,3 +125,53 @@ def test_pipeline_stages(spark):
             assert out.count() <= n
             docs, n = out, out.count()
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_whole_pipeline_equals_brute_force(spark):
+    """Documents by the scores of the classifier, near copies by the similarity of all pairs, bytes by a plain search, tokens by the library; nothing but the result stays behind."""
+    import os
+    import re
+    from urllib.parse import urlparse
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quillmark.llm import common, quality
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    folder = urlparse(common.shared_dir(spark)).path + "/quillmark"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    good = sorted(r.doc_id for r in quality.op7_quality(spark, sf).collect() if r.score >= quality.THRESHOLD)
+    sets = {}
+    for i in good:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in texts[i]))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    alike = lambda a, b: 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b)
+    linked = {i: [j for j in good if i == j or alike(sets[i], sets[j])] for i in good}
+    near = {i: i for i in good}
+    while True:
+        now = {i: min(near[j] for j in linked[i]) for i in good}
+        if now == near:
+            break
+        near = now
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.no_truncation(), tokenizer.no_padding()
+    first, want = {}, {}
+    for i in [i for i in good if near[i] == i]:
+        t = texts[i].encode()
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 49):
+            if first.setdefault(t[p : p + 50], i) < i:
+                gone[p : p + 50] = True
+        left = np.frombuffer(t, np.uint8)[~gone].tobytes().decode(errors="ignore")
+        want[i] = len(tokenizer.encode(left, add_special_tokens=False).ids) + 1
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    got = pipeline.run(spark, sf).collect()
+    assert len(set(os.listdir(folder)) - before) == 1
+    assert {i: sum(r.length for r in got if r.doc_id == i) for i in {r.doc_id for r in got}} == want
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.bin_id, r.bin_offset)):  # pieces of a sequence follow each other and fit
+        assert r.bin_offset == ends.get(r.bin_id, 0)
+        ends[r.bin_id] = r.bin_offset + r.length
+        assert ends[r.bin_id] <= r.capacity
