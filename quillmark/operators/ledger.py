@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions.constants import ESTIMATE
 
+#: Names that are put into a plan.
+FEW = 1000
 GENERATION_KEY = ("task_id", "model", "sample")
 EVALUATION_KEY = ("task_id", "model", "sample", "evaluator_model")
 
@@ -35,8 +37,11 @@ def missing_evaluations(generations: DataFrame, evaluators: DataFrame, evaluatio
     """(task_id, model, sample, evaluator_model) of successful generations that an evaluator hasn't judged; a generation's multiplicity is kept."""
     done = generations.where(succeeded(generations)).select("task_id", "model", "sample")
     if models is not None:
-        done = done.join(F.broadcast(models.select("model").distinct()), "model", "left_semi")
-    wanted = done.crossJoin(F.broadcast(evaluators.select("evaluator_model").distinct()))  # a handful of names
+        done = done.join(models.select("model").distinct(), "model", "left_semi")
+    names = evaluators.select("evaluator_model").distinct()
+    few = [r["evaluator_model"] for r in names.limit(FEW + 1).collect()]
+    listed = F.array(*map(F.lit, few)).cast("array<string>")  # judges are a handful of names; more of them are joined
+    wanted = done.withColumn("evaluator_model", F.explode(listed)) if len(few) <= FEW else done.crossJoin(names)
     return wanted.join(existing(evaluations, "task_id", "model", "evaluator_model"), ["task_id", "model", "evaluator_model"], "left_anti").select("task_id", "model", "sample", "evaluator_model")
 
 

@@ -34,19 +34,36 @@ def pairwise(rows: DataFrame, group: str = "model", value: str = "score") -> Dat
     return p.select(F.col("g_a").alias("model_a"), F.col("g_b").alias("model_b"), "n_a", "n_b", "mean_a", "mean_b", "difference", "t", (F.col("n_a") + F.col("n_b") - 2).alias("df"), "cohens_d", label.alias("effect"))
 
 
-def log_gamma(z: Column) -> Column:
-    """Logarithm of the gamma function for z > 0, to about 1e-14: Stirling's series at z + 10, less the logarithms of the ten factors in between."""
-    shift = sum((F.log(z + i) for i in range(1, 10)), F.log(z))
-    x = z + 10
+def _stirling(x: Column) -> Column:
+    """What Stirling's formula leaves out of log gamma, for x of 10 or more."""
     y = F.lit(1.0) / (x * x)
     series = ((((y * (-691.0 / 360360) + 1.0 / 1188) * y - 1.0 / 1680) * y + 1.0 / 1260) * y - 1.0 / 360) * y + 1.0 / 12
-    return (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + series / x - shift
+    return series / x
+
+
+def log_gamma(z: Column) -> Column:
+    """Logarithm of the gamma function for z > 0: Stirling's series at z + 10, less the logarithms of the ten factors in between."""
+    x = z + 10
+    shift = sum((F.log(z + i) for i in range(1, 10)), F.log(z))
+    return (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + _stirling(x) - shift
+
 
+def log_beta(p: Column, q: Column) -> Column:
+    """Logarithm of the beta function; the large terms of a large argument are taken off before anything is rounded."""
+    large, small = F.greatest(p, q), F.least(p, q)
+    x = large + 10
+    rising = (x - 0.5) * F.log1p(small / x) + small * F.log(x + small) - small + _stirling(x + small) - _stirling(x)
+    return log_gamma(small) - rising + sum((F.log1p(small / (large + i)) for i in range(1, 10)), F.log1p(small / large))
 
-def incomplete_beta(a: Column, b: Column, x: Column, steps: int = STEPS) -> Column:
-    """Regularised incomplete beta function for a, b > 0 and 0 <= x <= 1: Lentz's continued fraction as a fold of a fixed number of steps."""
+
+def incomplete_beta(a: Column, b: Column, x: Column, rest: Column | None = None, steps: int = STEPS) -> Column:
+    """Regularised incomplete beta function for a, b > 0 and 0 <= x <= 1: Lentz's continued fraction as a fold of a fixed number of steps.
+
+    ``rest`` is 1 - x, where it is known better than that.
+    """
+    rest = F.lit(1.0) - x if rest is None else rest
     turned = x > (a + 1) / (a + b + 2)
-    args = F.struct(F.when(turned, b).otherwise(a).alias("a"), F.when(turned, a).otherwise(b).alias("b"), F.when(turned, F.lit(1.0) - x).otherwise(x).alias("x"))
+    args = F.struct(F.when(turned, b).otherwise(a).alias("a"), F.when(turned, a).otherwise(b).alias("b"), F.when(turned, rest).otherwise(x).alias("x"), F.when(turned, x).otherwise(rest).alias("rest"))
     kept = lambda v: F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
 
     def fraction(s: Column) -> Column:
@@ -64,7 +81,8 @@ def incomplete_beta(a: Column, b: Column, x: Column, steps: int = STEPS) -> Colu
             return half(half(w, even), odd)
 
         h = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda w: w["h"])
-        front = F.exp(log_gamma(p + q) - log_gamma(p) - log_gamma(q) + p * F.log(y) + q * F.log1p(-y)) / p
+        log = lambda u, v: F.when(u > 0.5, F.log1p(-v)).otherwise(F.log(u))
+        front = F.exp(p * log(y, s["rest"]) + q * log(s["rest"], y) - log_beta(p, q)) / p
         return F.when(y <= 0, 0.0).otherwise(front * h)
 
     value = F.transform(F.array(args), fraction)[0]
@@ -74,5 +92,6 @@ def incomplete_beta(a: Column, b: Column, x: Column, steps: int = STEPS) -> Colu
 def with_p_values(pairs: DataFrame) -> DataFrame:
     """Two-sided p of Student's t, and significance at 0.05; null t gives null p and no significance."""
     df = F.col("df").cast("double")
-    p = incomplete_beta(df / 2, F.lit(0.5), df / (df + F.col("t") * F.col("t")))
+    square = F.col("t") * F.col("t")
+    p = incomplete_beta(df / 2, F.lit(0.5), df / (df + square), square / (df + square))
     return pairs.withColumn("p", F.when(F.col("t").isNotNull(), p)).withColumn("significant", F.coalesce(F.col("p") < 0.05, F.lit(False)))

@@ -176,29 +176,51 @@ def turns(docs: DataFrame) -> DataFrame:
     return read.select("generation_id", "turn_idx", "t.role", "t.turn_type", "t.content", "t.metadata", F.col("file_path").alias(TRACE))
 
 
+class Conflict(RuntimeError):
+    """Another writer has made a version in between."""
+
+
+#: Versions of stored tables that are kept for readers that are still on them.
+KEEP = 3
+
+
+def _versions(folder: Folder) -> list[int]:
+    return sorted(int(n.removesuffix(".json")) for n in folder.names("log") if n.endswith(".json") and n[0] != ".")
+
+
 def live_version(spark: SparkSession, out: str) -> int:
     """The number of the tables that readers see; -1 before the first write."""
-    seen = load_or_empty(spark, f"{out}/versions", "version long").agg(F.max("version")).first()[0]
-    return -1 if seen is None else seen
+    return max(_versions(Folder(spark, out)), default=-1)
 
 
-def write_tables(out: str, **tables: DataFrame) -> int:
+def write_tables(out: str, based_on: int | None = None, **tables: DataFrame) -> int:
     """Full refresh of canonical tables below ``out``; returns their version.
 
-    The tables are written aside and one small pointer is appended last, so a reader sees the tables of before or all the new
-    ones, and a refresh that dies changes nothing.
+    The tables are written aside, and a version is one small file that names their folder and is only made if there is none, so a
+    reader sees the tables of before or all the new ones, a refresh that dies changes nothing, and of two writers both
+    get a version. With ``based_on`` the version must follow that one; else there is a ``Conflict``, and nothing changes.
     """
     spark = next(iter(tables.values())).sparkSession
-    version = live_version(spark, out) + 1
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{out}/v={version}/{name}")
-    spark.range(1).select(F.lit(version).cast("long").alias("version")).write.mode("append").parquet(f"{out}/versions")
+    folder, name = Folder(spark, out), f"tables-{uuid.uuid4().hex}"
+    for table, df in tables.items():
+        df.write.parquet(f"{out}/{name}/{table}")
+    version = live_version(spark, out) + 1 if based_on is None else based_on + 1
+    while not folder.create(f"log/{version:020d}.json", json.dumps({"folder": name})):
+        if based_on is not None:
+            folder.remove(name)
+            raise Conflict(f"version {version} is another writer's")
+        version += 1
+    for old in [v for v in _versions(folder) if v <= version - KEEP]:
+        folder.remove(json.loads(folder.read(f"log/{old:020d}.json"))["folder"])
+        folder.remove(f"log/{old:020d}.json")
     return version
 
 
-def stored(spark: SparkSession, out: str, name: str, schema: str) -> DataFrame:
-    """The live table of a name; empty before the first write."""
-    return load_or_empty(spark, f"{out}/v={live_version(spark, out)}/{name}", schema)
+def stored(spark: SparkSession, out: str, name: str, schema: str, version: int | None = None) -> DataFrame:
+    """The live table of a name, or that of one of the last versions; empty before the first write."""
+    folder = Folder(spark, out)
+    at = live_version(spark, out) if version is None else version
+    return spark.createDataFrame([], schema) if at < 0 else load_or_empty(spark, f"{out}/{json.loads(folder.read(f'log/{at:020d}.json'))['folder']}/{name}", schema)
 
 
 #: Kinds of result file: the folder and the names they have below the results.
@@ -206,6 +228,8 @@ KINDS = {"generations": ("generations", "*.yaml"), "evaluations": ("evaluations"
 MANIFEST = "kind string, path string, length long, modified timestamp, digest string"
 #: Changed files of one kind that are read by name; more of them are read with all others.
 NAMED = 10_000
+#: Starts of a refresh that meets other writers.
+STARTS = 20
 
 
 def _files(spark: SparkSession, results: str, kind: str) -> DataFrame:
@@ -258,9 +282,19 @@ def refresh(spark: SparkSession, results: str, out: str) -> DataFrame:
     changed and deleted files are taken back by the file that each row came from. ``parsed`` counts the files that were parsed; where nothing changed,
     no version is made. Which files changed is known to the driver, as Spark's own list of files is.
     """
-    if live_version(spark, out) < 0:
+    for _ in range(STARTS):
+        try:
+            return _refreshed(spark, results, out)
+        except Conflict:  # start again from what the other writer left
+            continue
+    raise Conflict(f"other writers were first {STARTS} times")
+
+
+def _refreshed(spark: SparkSession, results: str, out: str) -> DataFrame:
+    version = live_version(spark, out)
+    if version < 0:
         return rebuild(spark, results, out)
-    old = stored(spark, out, "manifest", MANIFEST)
+    old = stored(spark, out, "manifest", MANIFEST, version)
     known = old.select("kind", "path", F.col("length").alias("was_length"), F.col("modified").alias("was_modified"), F.col("digest").alias("was_digest"))
     opened: dict[str, DataFrame] = {}
     listed = []
@@ -284,11 +318,10 @@ def refresh(spark: SparkSession, results: str, out: str) -> DataFrame:
     gone = old.join(listing.select("kind", "path"), ["kind", "path"], "left_anti").select("kind", "path")
     stale = gone.unionByName(changed.where("was_digest is not null").select("kind", "path"))
     read, retracted = changed.count(), stale.limit(1).count()
-    version = live_version(spark, out)
     if read or retracted:
         fresh = _tables({kind: parsed(opened[kind].join(changed.where(F.col("kind") == kind).select("path"), "path", "left_semi")) for kind in KINDS})
-        kept = {n: stored(spark, out, n, f"{schema}, {TRACE} string").join(stale.select(F.col("path").alias(TRACE)), TRACE, "left_anti") for n, schema in _STORED.items()}
-        version = write_tables(out, manifest=listing.drop("was_digest"), **{n: kept[n].unionByName(fresh[n]) for n in _STORED})
+        kept = {n: stored(spark, out, n, f"{schema}, {TRACE} string", version).join(stale.select(F.col("path").alias(TRACE)), TRACE, "left_anti") for n, schema in _STORED.items()}
+        version = write_tables(out, version, manifest=listing.drop("was_digest"), **{n: kept[n].unionByName(fresh[n]) for n in _STORED})
     Folder(spark, out).remove(path.removeprefix(f"{out}/"))
     return _rebuilt(spark, out, version, read)
 

@@ -168,15 +168,19 @@ def test_p_values(spark):
 
 def test_p_values_to_nine_digits_without_python(spark):
     """Against the t distribution of the mathematics library that Spark itself ships."""
-    cases = [(t, df) for df in (1, 2, 3, 4, 7, 30, 66, 500, 12_345, 1_000_000) for t in (0.0, 1e-6, 0.3, -1.0, 1.96, 2.5, -8.0, 40.0)]
+    cases = [(t, df) for df in (1, 2, 3, 4, 7, 30, 66, 500, 12_345, 1_000_000) for t in (0.0, 0.01, 0.3, -1.0, 1.96, 2.5, -8.0, 40.0)]
     got = stats.with_p_values(spark.createDataFrame(cases, "t double, df long"))
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
     known = spark.sparkContext._jvm.org.apache.commons.math3.distribution.TDistribution
     for r in got.collect():
         assert r.p == pytest.approx(2 * known(float(r.df)).cumulativeProbability(-abs(r.t)), rel=1e-9, abs=1e-14), (r.t, r.df)
+    (tiny,) = stats.with_p_values(spark.createDataFrame([(1e-6, 66)], "t double, df long")).collect()
+    assert 1 - tiny.p == pytest.approx(2e-6 * math.exp(math.lgamma(33.5) - math.lgamma(33)) / math.sqrt(66 * math.pi), rel=1e-6)  # twice the density at 0
     values = [1e-3, 0.5, 1.0, 1.5, 3.25, 20.0, 1e4, 5e5]
     gammas = one(spark, *[stats.log_gamma(F.lit(v)) for v in values])
     assert list(gammas) == pytest.approx([math.lgamma(v) for v in values], rel=1e-13, abs=1e-13)
+    betas = one(spark, *[stats.log_beta(F.lit(v), F.lit(0.5)) for v in values])
+    assert list(betas) == pytest.approx([math.lgamma(v) + math.lgamma(0.5) - math.lgamma(v + 0.5) for v in values], rel=1e-9)
 
 
 def test_pairs_without_variance(spark):
@@ -410,6 +414,37 @@ def test_refresh_equals_rebuild_and_parses_what_changed(spark, tmp_path):
     assert ingest.stored(spark, out, "turns", schemas.TURNS).count() == 0
 
 
+def test_two_writers_of_tables(spark, tmp_path, monkeypatch):
+    """Both full refreshes get a version; a refresh from changes starts again from what another writer left."""
+    from quillmark.sources import schemas
+
+    out = str(tmp_path / "plain")
+    one, two = spark.range(1), spark.range(2)
+    assert [ingest.write_tables(out, a=t) for t in (one, two)] == [0, 1]
+    with pytest.raises(ingest.Conflict):
+        ingest.write_tables(out, 0, a=one)
+    assert ingest.stored(spark, out, "a", "id long").count() == 2 and ingest.live_version(spark, out) == 1
+    for n in range(5):
+        ingest.write_tables(out, a=one)
+    assert len(list((tmp_path / "plain").glob("tables-*"))) == ingest.KEEP
+
+    _result_files(tmp_path / "results")
+    results, out = str(tmp_path / "results"), str(tmp_path / "ledger")
+    ingest.rebuild(spark, results, out)
+    (tmp_path / "results/evaluations/c.yaml").write_text('{"task_id": "t_001", "model": "c/n", "final_score": 1.0}')
+    write, inside = ingest.write_tables, []
+
+    def interrupted(path, *args, **tables):
+        if args and not inside:
+            inside.append(1)
+            ingest.rebuild(spark, results, out)  # the other writer is first
+        return write(path, *args, **tables)
+
+    monkeypatch.setattr(ingest, "write_tables", interrupted)
+    assert ingest.refresh(spark, results, out).first()[:4] == (2, 3, 1, 1)
+    assert ingest.stored(spark, out, "evaluations", schemas.EVALUATIONS).count() == 3
+
+
 def test_score_maps_keep_numbers_only(spark):
     maps = ['{"a":0.5,"b":"text","c":true}', '{"a":1,"b":null,"c":{"d":2},"e":[1],"f":false,"g":1e-3}', "{}", '"text"', None, "{broken"]
     rows = spark.createDataFrame([(i, m) for i, m in enumerate(maps)], "i int, m string")
