@@ -24,6 +24,8 @@ from . import common, vectors
 #: Up to this many dimensions the bidiagonalisation is complete, so that equal singular values are found as often as they occur; beyond it, it ends when the wanted ones have settled.
 COMPLETE = 128
 _EPS = float(np.finfo(float).eps)
+#: A left vector X y that is smaller than this, as a share of the largest value so far times y, counts as zero: cancellation leaves too few of its digits.
+_LEAST = 1e-7
 
 #: (y's of the left vectors so far as columns, candidate y) -> (inner products of the left vectors with z = X y, z.z, X'z).
 Sweep = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, float, np.ndarray]]
@@ -64,7 +66,7 @@ def bidiagonalise(sweep: Sweep, d: int, k: int) -> tuple[np.ndarray, np.ndarray]
             before = zz
         size = zz**0.5
         scale = max(scale, size)
-        if size > 64 * _EPS * scale * d**0.5 and size > 0:
+        if size > _LEAST * scale * max(1.0, float(np.linalg.norm(y))):
             alphas.append(size)
             ys, back = np.column_stack([ys, y / size]), np.column_stack([back, w / size])
             last = ys.shape[1] - 1
