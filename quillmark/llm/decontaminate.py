@@ -47,8 +47,8 @@ def test_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
 def parts_of(windows: DataFrame, most: int) -> tuple[list[int], list[DataFrame]]:
     """(window sizes, parts of the windows): each part within ``most`` bytes is marked for a broadcast."""
     weight = F.octet_length("gram") + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 16) + 64
-    seen = windows.agg(F.sort_array(F.collect_set("size")).alias("sizes"), F.coalesce(F.sum(weight), F.lit(0)).alias("bytes")).first()  # sizes 1 to n
-    count = -(-seen["bytes"] * 2 // most) if seen["bytes"] > most else 1
+    seen = windows.agg(F.sort_array(F.collect_set("size")).alias("sizes"), F.coalesce(F.sum(weight), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("n")).first()  # sizes 1 to n
+    count = min(-(-seen["bytes"] * 2 // most), seen["n"]) if seen["bytes"] > most else 1
     part = F.pmod(F.xxhash64("gram", F.lit(count)), F.lit(count)).cast("int")
     large = {r["part"] for r in windows.groupBy(part.alias("part")).agg(F.sum(weight).alias("b")).where(F.col("b") > most).collect()}  # of ``count`` rows
     cut = [windows if count == 1 else windows.where(part == p) for p in range(count)]

@@ -47,7 +47,7 @@ DOCS = [
 ]
 
 
-@pytest.mark.parametrize("n, most", [(10, 64 << 20), (10, 700), (3, 200), (10, 1)])
+@pytest.mark.parametrize("n, most", [(10, 64 << 20), (3, 64 << 20), (10, 2000)])
 def test_decontamination_equals_brute_force(spark, n, most):
     docs = spark.createDataFrame([(*d, "w", 5) for d in DOCS], "doc_id long, text string, w string, at int").repartition(3)
     items = spark.createDataFrame([(*i, "gram") for i in ITEMS], "item_id long, text string, gram string")
@@ -55,6 +55,15 @@ def test_decontamination_equals_brute_force(spark, n, most):
     assert sorted([(r.doc_id, r.n_words, r.hit_words, r["items"]) for r in got], key=str) == brute_scan(DOCS, ITEMS, n)
 
 
+def test_only_bounded_parts_are_broadcast(spark):
+    items = spark.createDataFrame([(i, f"word{i} and some more") for i in range(6)] + [(9, "y" * 5000)], "item_id long, text string")
+    windows = decontaminate.test_windows(items)
+    sizes, parts = decontaminate.parts_of(windows, 1000)
+    assert sizes == [1, 4] and 1 < len(parts) <= 7 and sum(p.count() for p in parts) == 7
+    marked = ["broadcast" in p._jdf.queryExecution().logical().toString().lower() or "ResolvedHint" in p._jdf.queryExecution().analyzed().toString() for p in parts]
+    assert marked.count(False) == 1  # the part with the giant word
+
+
 def test_decontamination_of_nothing(spark):
     docs, items = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
     assert all(r.hit_words == [] and r["items"] == [] for r in decontaminate.scan(docs, items.limit(0)).collect())
@@ -207,7 +216,7 @@ def test_clusters_of_nothing(spark):
 def test_bounds_filter_and_keep_the_nearest():
     """On clustered data most pairs are never measured, and the nearest centroid is always among those that are."""
     rng = np.random.default_rng(2)
-    centres = rng.integers(-400, 400, size=(40, 64))
+    centres = (rng.normal(size=(40, 6)) @ rng.normal(size=(6, 64)) * 150).astype(np.int64)  # the centres lie in few dimensions, as those of embeddings do
     x = (centres[rng.integers(0, 40, 3000)] + rng.integers(-20, 20, size=(3000, 64))).astype(np.int64)
     c = np.unique(x[:40], axis=0)
     mean = x.mean(0)
