@@ -168,12 +168,16 @@ def test_p_values(spark):
 
 def test_p_values_to_nine_digits_without_python(spark):
     """Against the t distribution of the mathematics library that Spark itself ships."""
-    cases = [(t, df) for df in (1, 2, 3, 4, 7, 30, 66, 500, 12_345, 1_000_000) for t in (0.0, 0.01, 0.3, -1.0, 1.96, 2.5, -8.0, 40.0)]
+    cases = [(t, df) for df in (1, 2, 3, 4, 7, 30, 66, 500, 12_345) for t in (0.0, 0.01, 0.3, -1.0, 1.96, 2.5, -8.0, 40.0)]
     got = stats.with_p_values(spark.createDataFrame(cases, "t double, df long"))
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
     known = spark.sparkContext._jvm.org.apache.commons.math3.distribution.TDistribution
     for r in got.collect():
         assert r.p == pytest.approx(2 * known(float(r.df)).cumulativeProbability(-abs(r.t)), rel=1e-9, abs=1e-14), (r.t, r.df)
+    n = 1_000_000  # where that library loses digits itself: the normal distribution and the first term of the difference
+    for r in stats.with_p_values(spark.createDataFrame([(t, n) for t in (0.0, 0.01, 0.5, -1.0, 2.5)], "t double, df long")).collect():
+        t = abs(r.t)
+        assert r.p == pytest.approx(math.erfc(t / math.sqrt(2)) + 2 * math.exp(-t * t / 2) / math.sqrt(2 * math.pi) * (t**3 + t) / (4 * n), rel=1e-9)
     (tiny,) = stats.with_p_values(spark.createDataFrame([(1e-6, 66)], "t double, df long")).collect()
     assert 1 - tiny.p == pytest.approx(2e-6 * math.exp(math.lgamma(33.5) - math.lgamma(33)) / math.sqrt(66 * math.pi), rel=1e-6)  # twice the density at 0
     values = [1e-3, 0.5, 1.0, 1.5, 3.25, 20.0, 1e4, 5e5]
