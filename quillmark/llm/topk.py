@@ -17,6 +17,8 @@ from . import common
 
 #: Largest sum of products that a double holds exactly.
 EXACT = float(1 << 53)
+#: Types that components travel in, with the greatest that each holds.
+WIDTHS = (("smallint", (1 << 15) - 1), ("int", (1 << 31) - 1), ("bigint", (1 << 63) - 1))
 
 
 def quantized(vectors: DataFrame, scale: int) -> DataFrame:
@@ -26,6 +28,12 @@ def quantized(vectors: DataFrame, scale: int) -> DataFrame:
     return good.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("q"), F.size("embedding").alias("d"))
 
 
+def _counted(df: DataFrame) -> tuple[int, int]:
+    """(number of rows, greatest component x, or -x - 1 of a negative one) of (q)."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest(F.array_max("q"), -(F.least(F.array_min("q"), F.lit(0)) + 1))).alias("most")).first()
+    return r["n"], r["most"] or 0
+
+
 def best_of_tile(q: np.ndarray, c: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, candidate, score) of each query's k best other rows in a tile; ties to the smaller candidate. c_ids ascend."""
     if np.abs(q).max(initial=0) * float(np.abs(c).max(initial=0)) * q.shape[1] < EXACT:
@@ -54,14 +62,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     vectors and queries: (vec_id, embedding), other columns ignored. Null vectors, null ids and vectors holding null or non-finite
     components take no part; vectors of another length than the query's are no candidates. Queries with fewer candidates get
     all of them, and none if there are none. Repeated query ids count once. Scores beyond 64 bits, of components beyond about 2 ** 27, raise
-    an error.
+    an error. Components travel in the narrowest integers that hold all of them.
     """
     candidates = common.materialize(quantized(vectors, scale), "candidates")
     asked = common.materialize(quantized(queries, scale).dropDuplicates(["vec_id"]), "queries")
-    n_tiles, n_blocks = (max(1, -(-df.count() // rows)) for df, rows in ((candidates, tile), (asked, query_block)))
+    (n_candidates, most), (n_asked, most_asked) = _counted(candidates), _counted(asked)
+    n_tiles, n_blocks = max(1, -(-n_candidates // tile)), max(1, -(-n_asked // query_block))
+    narrow = F.col("q").cast(f"array<{next(name for name, holds in WIDTHS if max(most, most_asked) <= holds)}>").alias("q")
     cell = ["d", "i", "j"]
-    c = candidates.select("d", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("i"), F.pmod(F.xxhash64("vec_id"), F.lit(n_tiles)).cast("int").alias("j"), F.lit(False).alias("asks"), "vec_id", "q")
-    q = asked.select("d", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1))).alias("j"), F.lit(True).alias("asks"), "vec_id", "q")
+    c = candidates.select("d", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("i"), F.pmod(F.xxhash64("vec_id"), F.lit(n_tiles)).cast("int").alias("j"), F.lit(False).alias("asks"), "vec_id", narrow)
+    q = asked.select("d", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1))).alias("j"), F.lit(True).alias("asks"), "vec_id", narrow)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("vec_id")

@@ -94,6 +94,21 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size, kind", [(127.996, "smallint"), (-128.0, "smallint"), (128.0, "int"), (-128.01, "int"), (float(1 << 23), "bigint"), (-float(1 << 23), "int")])
+def test_top_k_components_travel_in_the_narrowest_integers_that_hold_them(spark, size, kind):
+    """One great component on either side decides for all; the scores are those of plain integers."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(40)]
+    rows[7] = (7, [size, 0.25, -0.5, 1.0])
+    df = spark.createDataFrame([*rows, (90, [])], "vec_id long, embedding array<double>")
+    q = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    for asked in ([7], [3, 20]):
+        found = topk.top_k(df, df.where(df.vec_id.isin(asked)), tile=11)
+        want = [(a, k + 1, i, -s) for a in asked for k, (s, i) in enumerate(sorted((-sum(x * y for x, y in zip(q[a], v)), i) for i, v in q.items() if i != a)[:5])]
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+        assert f"array<{kind}>" in found._jdf.queryExecution().analyzed().toString()
+
+
 def test_components(spark):
     rng = random.Random(9)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 260)] + [(5, 5), (3, None), (7, 9), (9, 7), (7, 9)] + [(rng.randint(300, 400), rng.randint(300, 400)) for _ in range(40)]
