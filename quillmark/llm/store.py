@@ -100,12 +100,20 @@ def id_type(spec: str) -> str:
     return "<u2" if most < 1 << 16 else "<u4"
 
 
-def id_chunks(ids: np.ndarray, bits: int = 9, width: int = 8) -> list[np.ndarray]:
-    """Content-defined chunks of about 2**bits ids; an empty stream has none."""
+def id_chunks(ids: np.ndarray, bits: int = 9, width: int = 8, most: int = 4096) -> list[np.ndarray]:
+    """Content-defined chunks of about 2**bits ids; an empty stream has none.
+
+    Where no hash cuts for ``most`` ids, as in a text that repeats itself, every ``most`` ids from the last cut are a chunk.
+    """
     if len(ids) <= width:
         return [ids] if len(ids) else []
     cuts = np.flatnonzero(rolling_hash(ids, width) >> np.uint32(32 - bits) == 0) + width
-    return np.split(ids, cuts[cuts < len(ids)])
+    cuts = cuts[cuts < len(ids)]
+    starts, ends = np.append(0, cuts), np.append(cuts, len(ids))
+    long = np.flatnonzero(ends - starts > most)
+    if len(long):
+        cuts = np.sort(np.concatenate([cuts, *[np.arange(starts[k] + most, ends[k], most) for k in long]]))
+    return np.split(ids, cuts)
 
 
 def digest(chunk: bytes) -> bytes:

@@ -132,6 +132,46 @@ def test_token_store_round_trip(spark, docs, rows, empty, tmp_path):
     assert store.read_back(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_id_chunks_have_a_greatest_length():
+    rng = np.random.default_rng(3)
+    period = np.tile(np.array([5, 9, 11], np.uint16), 10_000)
+    for ids in (rng.integers(0, 50_000, 30_000).astype(np.uint16), np.zeros(4096, np.uint16), np.zeros(4097, np.uint16), np.concatenate([rng.integers(0, 50_000, 700).astype(np.uint16), period, rng.integers(0, 50_000, 700).astype(np.uint16)])):
+        chunks = store.id_chunks(ids)
+        assert np.array_equal(np.concatenate(chunks), ids) and 0 < min(map(len, chunks)) and max(map(len, chunks)) <= 4096
+    assert len({c.tobytes() for c in store.id_chunks(np.zeros(1 << 20, np.uint16))}) == 1
+    assert store.id_chunks(ids[:0]) == [] and len(store.id_chunks(ids[:8])) == 1
+
+
+def test_token_store_splits_the_uses_of_a_chunk_that_all_documents_share(spark, tmp_path):
+    """The lookup of chunks is cut where one digest has most of the uses; the lookup's thresholds are lowered to this table's size."""
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    rows = [(i, f"{word()} {word()}.{' the' * 20_000} {word()}") for i in range(400)]
+    t = Tokenizer.from_file(path)
+    encoded = [(i, t.encode(x, add_special_tokens=False).ids + [0]) for i, x in rows]
+    store.write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), str(tmp_path / "s"), path)
+    lowered = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+    }
+    before = {k: spark.conf.get(k, None) for k in lowered}
+    try:
+        for k, v in lowered.items():
+            spark.conf.set(k, v)
+        read = store.read_back(spark, str(tmp_path / "s"))
+        got = read.collect()
+        plan = read._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == sorted((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in encoded)
+    hot = store._uses(spark.read.schema(store.RECIPES).parquet(str(tmp_path / "s/recipes"))).groupBy("digest").count().agg(F.max("count"), F.sum("count")).first()
+    assert hot[0] > hot[1] / 2
+    assert "skew=true" in plan
+
+
 def _copy(spark, source, target, **changed):
     """A copy of a store, with some tables changed; None leaves a table out."""
     for name, table in {"store/kind=0": "chunks", "recipes": "recipes", "manifest": "manifest"}.items():
