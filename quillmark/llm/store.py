@@ -109,9 +109,9 @@ def id_chunks(ids: np.ndarray, bits: int = 9, width: int = 8, most: int = 4096)
         return [ids] if len(ids) else []
     cuts = np.flatnonzero(rolling_hash(ids, width) >> np.uint32(32 - bits) == 0) + width
     cuts = cuts[cuts < len(ids)]
-    starts, ends = np.append(0, cuts), np.append(cuts, len(ids))
-    long = np.flatnonzero(ends - starts > most)
-    if len(long):
+    if len(ids) > most:
+        starts, ends = np.append(0, cuts), np.append(cuts, len(ids))
+        long = np.flatnonzero(ends - starts > most)
         cuts = np.sort(np.concatenate([cuts, *[np.arange(starts[k] + most, ends[k], most) for k in long]]))
     return np.split(ids, cuts)
 
