@@ -77,6 +77,22 @@ def test_embedding_links_in_few_of_many_dimensions(spark):
     assert got == {i: int(n) - 1 for i, n in enumerate(linked.sum(1))} and sum(got.values()) > 1000
 
 
+def test_embedding_pairs_are_not_shuffled(spark):
+    """A dense cluster over many cells: what is shuffled grows as the vectors, not as the cells that each of them visits."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    shuffled = lambda: sum(store.executorList(True).apply(i).totalShuffleWrite() for i in range(store.executorList(True).size()))
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=64) + rng.normal(size=(1500, 64)) * 0.226
+    x[100:130] = x[100]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = unit @ unit.T >= 0.95
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    before = shuffled()
+    got = {r.vec_id: r.n_links for r in embed.near_duplicates(df, rows_per_cell=150, block=75).collect()}
+    assert got == {i: int(n) - 1 for i, n in enumerate(linked.sum(1))} and sum(got.values()) > 100_000
+    assert 0 < shuffled() - before < 8 * x.nbytes
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(120)] + [(200, None), (201, [float("nan")] * 4), (202, [1.0, None, 0.0, 0.0]), (None, [1.0] * 4), (203, [1e8] * 4), (250, [0.5, 0.25])]
