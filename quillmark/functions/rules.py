@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,19 +97,29 @@ def _holds(value: Column, kind: str) -> Column:
     return (shape == "STRING") & at("$", "string").isin(kind.split("|"))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def schema_violations(document: Column, task_type: Column, common: dict[str, str], by_type: dict[str, dict[str, str]]) -> Column:
     """Paths of a JSON document that break the rules for all and for its task type; a path that ends in ? may be absent.
 
-    A document that doesn't parse breaks the rule "$".
+    A document that doesn't parse breaks the rule "$". It is parsed once, and only the rules of its own type are looked at.
     """
-    v = F.try_parse_json(document)
 
-    def broken(path: str, kind: str) -> Column:
-        value = F.try_variant_get(v, f"$.{path.rstrip('?')}", "variant")
-        wrong = ~F.coalesce(_holds(value, kind), F.lit(False))
-        return F.when(value.isNotNull() & wrong if path.endswith("?") else wrong, F.lit(path.rstrip("?")))
+    def broken(v: Column, path: str, kind: str) -> Column:
+        def judge(value: Column) -> Column:
+            wrong = ~F.coalesce(_holds(value, kind), F.lit(False))
+            return F.when(value.isNotNull() & wrong if path.endswith("?") else wrong, F.lit(path.rstrip("?")))
+
+        return _let(F.try_variant_get(v, f"$.{path.rstrip('?')}", "variant"), judge)
+
+    def all_broken(v: Column, kind: Column) -> Column:
+        own = F.array().cast("array<string>")
+        for t, rules in by_type.items():
+            own = F.when(kind == t, F.array(*[broken(v, p, k) for p, k in rules.items()])).otherwise(own)
+        out = F.concat(F.array(*[broken(v, p, k) for p, k in common.items()]), own) if common else own
+        return F.when(v.isNull(), F.array(F.lit("$"))).otherwise(F.array_compact(out))
 
-    out = [broken(p, k) for p, k in common.items()]
-    for t, rules in by_type.items():
-        out += [F.when(task_type == t, broken(p, k)) for p, k in rules.items()]
-    return F.when(v.isNull(), F.array(F.lit("$"))).otherwise(F.array_compact(F.array(*out)))
+    return _let(F.struct(F.try_parse_json(document).alias("v"), task_type.alias("t")), lambda s: all_broken(s["v"], s["t"]))

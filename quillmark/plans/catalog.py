@@ -633,7 +633,7 @@ def schema_violations(spark, sf):
     head = F.concat(F.lit('{"task_id":"'), F.when(k % 11 == 0, "Bad-1").otherwise("some_task_001"), F.lit('","task_type":"'), kind, F.lit('","theory":"'), F.when(k % 5 == 0, "Other").otherwise("Story Circle"), F.lit('",'))
     document = F.when(k % 13 == 0, "{broken").otherwise(F.concat(head, body, F.lit("}")))
     v = rules.schema_violations(document, kind, K.TASK_RULES, K.TASK_RULES_BY_TYPE)
-    return adapters.table(spark, sf, "part").select("p_partkey", F.size(v).alias("violations"))
+    return adapters.dealt(adapters.table(spark, sf, "part").select("p_partkey")).select("p_partkey", F.size(v).alias("violations"))
 
 
 _RESULT_JSON = {
