@@ -55,16 +55,32 @@ def judge_score_by_type(task_type: Column, results: Column) -> Column:
     return out
 
 
-def agentic_scores(kind: str, results: Column) -> tuple[Column, Column, Column]:
-    """(process map, output map, final) of a multi-turn type; missing values count 0.5, an unknown type scores 0."""
+def agentic_result(kind: str, results: Column) -> Column:
+    """struct<process map<string,double>, output map<string,double>, final double> of a multi-turn type; each number is read once.
+
+    Missing values count 0.5, an unknown type scores 0.
+    """
+    none = F.create_map().cast("map<string,double>")
     if kind not in K.AGENTIC_SCORES:
-        none = F.create_map().cast("map<string,double>")
-        return none, none, F.lit(0.0)
+        return F.struct(none.alias("process"), none.alias("output"), F.lit(0.0).alias("final"))
     weight, keys = K.AGENTIC_SCORES[kind]
-    process, output = ({k: _get(results, k, 0.5) for k in ks} for ks in (keys, K.AGENTIC_OUTPUTS))
-    mean = lambda m: sum(m.values(), F.lit(0.0)) / len(m)
-    as_map = lambda m: F.create_map(*[x for k, v in m.items() for x in (F.lit(k), v)])
-    return as_map(process), as_map(output), mean(process) * weight + mean(output) * (1 - weight)
+    named = lambda ks: F.array(*map(F.lit, ks))
+    numbers = lambda m, ks: F.transform(F.transform(named(ks), lambda k: F.lower(F.trim(F.try_element_at(m, k)))), lambda low: safe_float(low, 0.5))
+    mean = lambda x, ks: sum((x[i] for i in range(len(ks))), F.lit(0.0)) / len(ks)
+
+    def scores(x: Column) -> Column:
+        p, o = x["p"], x["o"]
+        final = mean(p, keys) * weight + mean(o, K.AGENTIC_OUTPUTS) * (1 - weight)
+        return F.struct(F.map_from_arrays(named(keys), p).alias("process"), F.map_from_arrays(named(K.AGENTIC_OUTPUTS), o).alias("output"), final.alias("final"))
+
+    once = lambda value, use: F.transform(F.array(value), use)[0]
+    return once(results, lambda m: once(F.struct(numbers(m, keys).alias("p"), numbers(m, K.AGENTIC_OUTPUTS).alias("o")), scores))
+
+
+def agentic_scores(kind: str, results: Column) -> tuple[Column, Column, Column]:
+    """(process map, output map, final) of a multi-turn type, see ``agentic_result``."""
+    r = agentic_result(kind, results)
+    return r["process"], r["output"], r["final"]
 
 
 def map_mean(scores: Column) -> Column:

@@ -404,10 +404,10 @@ def agentic_kinds(spark, sf):
     kinds = []
     for kind, (_, keys) in K.AGENTIC_SCORES.items():
         values = [F.struct(F.lit(k).alias("k"), F.when(F.col("doc_id") % (3 + i) != 0, ((F.col("doc_id") * (i + 2) % 11) / 10.0).cast("string")).alias("v")) for i, k in enumerate((*keys, *K.AGENTIC_OUTPUTS))]
-        process, output, final = judge.agentic_scores(kind, F.map_from_entries(F.array(*values)))
-        kinds.append(F.struct(F.lit(kind).alias("kind"), judge.map_mean(process).alias("process"), judge.map_mean(output).alias("output"), final.alias("final")))
-    d = adapters.table(spark, sf, "documents").select("doc_id", F.explode(F.array(*kinds)).alias("x"))
-    return rounded(d.select("doc_id", "x.kind", "x.process", "x.output", "x.final"), "process", "output", "final")
+        kinds.append(F.struct(F.lit(kind).alias("kind"), judge.agentic_result(kind, F.map_from_entries(F.array(*values))).alias("scores")))
+    d = adapters.dealt(adapters.table(spark, sf, "documents").select("doc_id")).select("doc_id", F.explode(F.array(*kinds)).alias("x"))
+    means = d.select("doc_id", "x.kind", judge.map_mean(F.col("x.scores.process")).alias("process"), judge.map_mean(F.col("x.scores.output")).alias("output"), "x.scores.final")
+    return rounded(means, "process", "output", "final")
 
 
 @query
@@ -657,7 +657,7 @@ def evaluation_schema(spark, sf):
     evaluation = F.when(k % 4 != 0, '"evaluation_id":"e",').otherwise("")
     document = F.concat(F.lit("{"), evaluation, F.lit('"task_id":"t","generation_id":"g","task_type":"'), kind, F.lit('","results":{"overall_pass":'), passed, F.lit(","), body, F.lit("}}"))
     v = rules.schema_violations(document, kind, K.EVALUATION_RULES, K.EVALUATION_RULES_BY_TYPE)
-    return adapters.table(spark, sf, "part").select("p_partkey", F.size(v).alias("violations"))
+    return adapters.dealt(adapters.table(spark, sf, "part").select("p_partkey")).select("p_partkey", F.size(v).alias("violations"))
 
 
 @query
