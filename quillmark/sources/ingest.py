@@ -106,8 +106,7 @@ def agentic_generations(docs: DataFrame) -> DataFrame:
 def numbers_of(text: Column) -> Column:
     """The numbers of a JSON object as map<string,double>; booleans count 1 and 0, entries of any other kind are left out. Null for what is no object."""
     entries = F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>")
-    kind = F.schema_of_variant
-    number = lambda _, v: F.when(kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).when(kind(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, "$", "double"))
+    number = lambda _, v: F.transform(F.array(F.to_json(v)), lambda text: F.when(text == "true", 1.0).when(text == "false", 0.0).when(F.substring(text, 1, 1).isin("-", *"0123456789"), text.try_cast("double")))[0]
     return F.map_filter(F.transform_values(entries, number), lambda _, x: x.isNotNull())
 
 
@@ -116,27 +115,30 @@ def evaluations(docs: DataFrame, derive_type: bool = True) -> DataFrame:
 
     An absent task type comes from the task id; with ``derive_type`` false, as for single-turn files, it is "unknown".
     """
-    process, output = (numbers_of(F.get_json_object("json", f"$.{k}")) for k in ("process_scores", "output_scores"))
-    component = lambda path: _at(f"score_breakdown.components.{path}", "double")
+    tops = ("task_id", "model", "task_type", "sample", "evaluator_model", "evaluator_cost", "timestamp", "success", "final_score", "score_breakdown", "process_scores", "output_scores", "llm_results", "error", "agentic_type", "generation_id")
+    docs = docs.select("*", F.json_tuple("json", *tops).alias(*[f"top_{t}" for t in tops]))  # a document is parsed once for all of them
+    top = lambda name, kind="string": F.col(f"top_{name}").try_cast(kind)
+    process, output = (numbers_of(top(k)) for k in ("process_scores", "output_scores"))
+    component = lambda path: F.get_json_object(top("score_breakdown"), f"$.components.{path}").try_cast("double")
     return _finish(
         docs,
         schemas.EVALUATIONS,
         {
-            "task_type": F.coalesce(_at("task_type"), names.task_type_of(_at("task_id")) if derive_type else F.lit("unknown")),
-            "sample": F.coalesce(_at("sample", "int"), F.lit(0)),
-            "evaluator_model": F.coalesce(_at("evaluator_model"), F.lit("unknown")),
-            "evaluation_cost": F.coalesce(_at("evaluator_cost", "double"), F.lit(0.0)),
-            "timestamp": F.coalesce(_at("timestamp"), F.lit("")),
-            "success": F.coalesce(_at("success", "boolean"), F.lit(True)),
-            "final_score": _at("final_score", "double"),
+            "task_type": F.coalesce(top("task_type"), names.task_type_of(top("task_id")) if derive_type else F.lit("unknown")),
+            "sample": F.coalesce(top("sample", "int"), F.lit(0)),
+            "evaluator_model": F.coalesce(top("evaluator_model"), F.lit("unknown")),
+            "evaluation_cost": F.coalesce(top("evaluator_cost", "double"), F.lit(0.0)),
+            "timestamp": F.coalesce(top("timestamp"), F.lit("")),
+            "success": F.coalesce(top("success", "boolean"), F.lit(True)),
+            "final_score": top("final_score", "double"),
             "word_count_score": component("programmatic.breakdown.word_count_score"),
             "programmatic": component("programmatic.score"),
             "llm_judge": component("llm_judge.score"),
             "process_scores": process,
             "output_scores": output,
-            "llm_results": F.from_json(F.get_json_object("json", "$.llm_results"), "map<string,string>"),
-            "error": _at("error"),
-            "agentic_type": _at("agentic_type"),
+            "llm_results": F.from_json(top("llm_results"), "map<string,string>"),
+            "error": top("error"),
+            "agentic_type": top("agentic_type"),
         },
     )
 
@@ -163,7 +165,7 @@ def _finish(docs: DataFrame, schema: str, columns: dict, need: tuple[str, ...] =
     from pyspark.sql.types import StructType
 
     fields = StructType.fromDDL(schema)
-    keyed = {k: _at(k) for k in need} | columns
+    keyed = {k: F.col(f"top_{k}") if f"top_{k}" in docs.columns else _at(k) for k in need} | columns
     traced = [F.col("file_path").alias(TRACE)] if "file_path" in docs.columns else []
     rows = docs.where("json is not null").select(*[(keyed[f.name] if f.name in keyed else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields], *traced)
     return rows.dropna(subset=list(need))

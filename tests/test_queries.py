@@ -51,7 +51,7 @@ def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name, step, most", [("schema_violations", "parseJson", 1), ("agentic_kinds", "map_from_entries", 4)])
+@pytest.mark.parametrize("name, step, most", [("schema_violations", "parseJson", 1), ("agentic_kinds", "map_from_entries", 4), ("mixed_score_maps", "DoubleType", 0)])
 def test_slow_steps_are_planned_once(spark, name, step, most):
     """A document is parsed and a map built once for a row; numbers of a variant aren't cast one by one."""
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
