@@ -119,6 +119,35 @@ def test_schema_edges(spark):
             schema.violations(F.col("doc"), wrong)
 
 
+#: Several schemas that look at one value and its members, members of members, long and mixed enums, and references from members.
+SHARED = [
+    {"definitions": {"few": {"enum": [1, 1.0, "a", None]}, "deep": {"properties": {"er": {"$ref": "#/definitions/few"}, "a": {"items": {"type": "integer"}}}}},
+     "properties": {"a": {"$ref": "#/definitions/few"}, "deep": {"$ref": "#/definitions/deep"}, "n": {"type": "number"}},
+     "allOf": [{"properties": {"a": {"type": ["integer", "null"]}, "n": {"maximum": 5}, "c": {"minLength": 1}}, "required": ["n"]}, {"minProperties": 2}],
+     "if": {"properties": {"n": {"minimum": 0}, "deep": {"required": ["er"]}}}, "then": {"properties": {"b": {"const": True}, "f": {"minItems": 1}}, "maxProperties": 4}, "else": False},
+    {"additionalProperties": {"anyOf": [{"type": ["object", "string", "array"]}, {"enum": list(range(12))}]}, "properties": {"er": {"description": "anything"}, "a": {"not": {"type": ["string", "array", "object"]}}, "deep": {"additionalProperties": False}}},
+    {"type": ["object", "array", "string"], "items": {"oneOf": [{"properties": {"a": {"type": "string"}}, "type": "object"}, {"enum": ["", "x", "ax", "xyz", "abcd", "F", "A", "a", "b", "c", "d"]}, {"minimum": 2}]}, "minLength": 2, "not": {"required": ["a"], "additionalProperties": {"type": "integer"}, "type": "object"}},
+]
+
+
+@pytest.mark.parametrize("n", range(len(SHARED)))
+def test_schemas_that_share_a_value_equal_plain_validator(spark, n):
+    rng = random.Random(50 + n)
+    values = [some_value(rng) for _ in range(400)] + [{k: some_value(rng, 1) for k in rng.sample(["a", "b", "c", "n", "f", "deep", "er"], rng.randrange(7))} for _ in range(200)]
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, doc string").repartition(4)
+    got = {r.i: sorted(r.v) for r in df.select("i", schema.violations(F.col("doc"), SHARED[n]).alias("v")).collect()}
+    want = {i: sorted(plain(SHARED[n], v, SHARED[n])) for i, v in enumerate(values)}
+    assert got == want and 20 < sum(map(bool, want.values())) < 600
+
+
+def test_parts_of_a_value_are_found_once_for_all_its_schemas(spark):
+    """Orders and their lines are the only objects that are asked for members, whatever number of schemas look at them; nothing in a lambda ends by an exception."""
+    df = spark.createDataFrame([("{}",)], "doc string").select(schema.violations(F.col("doc"), ORDER_SCHEMA))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapType(") == 2 and plan.count("SchemaOfVariant.schemaOfVariant(") < 12
+    assert "array_contains(" not in plan and " IN (" not in plan
+
+
 @pytest.mark.skipif(not os.environ.get("QUILLMARK_SCHEMAS"), reason="QUILLMARK_SCHEMAS names no folder of schemas and documents")
 def test_published_schemas(spark):
     """Published schemas as they are (*schema*.json), over the documents beside them, whole and with parts taken out."""
